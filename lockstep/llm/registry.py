@@ -1,9 +1,10 @@
 """The text operators' queries, and their SQL where SQL can express them."""
 
-from . import exact_dedup, url_filter
+from . import exact_dedup, simhash, url_filter
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_url_cascade": url_filter.op7_url_cascade,
+    "op8_simhash": simhash.op8_simhash,
 }
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op7_url_cascade": url_filter.SQL}
