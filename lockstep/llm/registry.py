@@ -1,10 +1,12 @@
 """The text operators' queries, and their SQL where SQL can express them."""
 
-from . import exact_dedup, simhash, url_filter
+from . import chunk_dedup, exact_dedup, sharding, simhash, url_filter
 
 QUERIES = {
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_chunk_dedup": chunk_dedup.op6_chunk_dedup,
     "op7_url_cascade": url_filter.op7_url_cascade,
     "op8_simhash": simhash.op8_simhash,
+    "op10_kk_shards": sharding.op10_kk_shards,
 }
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op7_url_cascade": url_filter.SQL}

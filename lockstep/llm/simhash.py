@@ -95,18 +95,19 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
 def _keys(scheme: Scheme) -> Column:
     """All keys of a fingerprint: the balls around its segments."""
-    balls = []
-    for no, (word, shift, width) in enumerate(scheme.segments):
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+    def ball(no: int, word: int, shift: int, width: int) -> Column:
         value = F.shiftrightunsigned(f"f{word}", shift).bitwiseAND(F.lit((1 << width) - 1))
         bits = F.sequence(F.lit(0), F.lit(width - 1))
-        one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
         if scheme.radius == 1:  # of two that differ in one bit, one has it clear: setting it gives the other
-            ball = F.transform(bits, lambda i, v=value: v.bitwiseOR(one(i)))
+            around = F.transform(bits, lambda i: value.bitwiseOR(one(i)))
         else:  # one step from either side
-            ball = F.transform(bits, lambda i, v=value: v.bitwiseXOR(one(i)))
-        ball = F.array_distinct(F.concat(F.array(value), ball))
-        balls.append(F.transform(ball, lambda v, no=no: v.bitwiseOR(F.lit(no << 40))))
-    return F.flatten(F.array(*balls))
+            around = F.transform(bits, lambda i: value.bitwiseXOR(one(i)))
+        values = F.array_distinct(F.concat(F.array(value), around))
+        return F.transform(values, lambda v: v.bitwiseOR(F.lit(no << 40)))
+
+    return F.flatten(F.array(*[ball(no, *segment) for no, segment in enumerate(scheme.segments)]))
 
 
 def forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple[int, int]]:
