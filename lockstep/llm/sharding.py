@@ -1,10 +1,11 @@
 """Shards of near-equal bytes by Karmarkar-Karp differencing.
 
-Equal texts are one group, which stays in one shard (null counts as a text without bytes).  A task takes a hash
-partition of the groups, at most about GROUPS_PER_TASK, and differences them into one partial partition of `shards`
-sums: again and again the two partial partitions of largest spread are combined, the largest sum of one with the
-smallest of the other.  The driver then goes on with one partial partition a task, a number of rows that is the number
-of groups / GROUPS_PER_TASK.  What is left as spread is at most that of the largest indivisible group.
+Equal texts are one group, which stays in one shard (null counts as a text without bytes).  Up to GROUPS_PER_TASK
+groups are differenced by one task: again and again the two partial partitions of largest spread are combined, the
+largest sum of one with the smallest of the other.  Of more groups, each task differences its hash partition into
+BUNDLES bundles of about equal size; bundles, groups larger than a bundle and every so many-th group as it is are the
+items of the next level, about a fortieth as many.  Those single groups, of all sizes, let the last level make up for
+what the large ones leave uneven.  Neither driver nor any task ever holds more than about GROUPS_PER_TASK groups.
 
 A hot text is one group, summed map-side.  Texts that occur once need no join to learn their shard; the others are
 joined by group and salt, so that copies of one text are dealt over SALTS tasks.  Slots come from per-bucket counts, not
@@ -29,6 +30,7 @@ from .common import stored, table
 
 SHARDS = 16
 GROUPS_PER_TASK = 100_000
+BUNDLES, SINGLES = 256, 2048
 SALTS = 16
 
 
@@ -87,21 +89,49 @@ def assign(weights: list[int], shards: int) -> list[int]:
     return out
 
 
-def _part_assign(shards: int):
+def bundle(weights: list[int]) -> list[int]:
+    """The bundle of each weight (in falling order)."""
+    n = len(weights)
+    bundles, singles = min(BUNDLES, max(1, n // 8)), min(SINGLES, n // 20)
+    large = sum(weights) / bundles
+    alone = {i for i, w in enumerate(weights) if w > large} | {i * n // singles for i in range(singles)}
+    rest = [i for i in range(n) if i not in alone]
+    out = [0] * n
+    for i, b in zip(rest, assign([weights[i] for i in rest], bundles), strict=True):
+        out[i] = b
+    for k, i in enumerate(sorted(alone)):
+        out[i] = bundles + k
+    return out
+
+
+def _by_task(place):
+    """For id, bytes in falling order of bytes: `to`, what place() says of the task's weights, made distinct by task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if found is None:
-            return
-        slots = assign(found.column("bytes").to_pylist(), shards)
-        found = found.append_column("part", pa.array(np.full(len(slots), TaskContext.get().partitionId(), dtype=np.int32)))
-        yield from found.append_column("local", pa.array(np.array(slots, dtype=np.int32))).to_batches(max_chunksize=10_000)
+        batches = [b for b in batches if b.num_rows]
+        if batches:
+            found = pa.Table.from_batches(batches)
+            to = np.array(place(found.column("bytes").to_pylist()), dtype=np.int64) + (TaskContext.get().partitionId() << 32)
+            yield from found.append_column("to", pa.array(to)).to_batches(max_chunksize=10_000)
 
     return run
 
 
+def place(items: DataFrame, shards: int) -> DataFrame:
+    """id, shard of items(id binary, bytes)."""
+    n = items.count()
+    if n <= GROUPS_PER_TASK:
+        one = items.repartition(1).sortWithinPartitions(F.desc("bytes"), "id")
+        return one.mapInArrow(_by_task(lambda w: assign(w, shards)), "id binary, bytes long, to long").select("id", F.col("to").cast("int").alias("shard"))
+    dealt = items.repartition(-(-n // GROUPS_PER_TASK), "id").sortWithinPartitions(F.desc("bytes"), "id")
+    bundled = stored(dealt.mapInArrow(_by_task(bundle), "id binary, bytes long, to long"), "shard-bundles")
+    name = F.to_binary(F.lpad(F.hex("to"), 16, "0"), F.lit("hex"))
+    upper = place(stored(bundled.groupBy("to").agg(F.sum("bytes").alias("bytes")).select(name.alias("id"), "bytes"), "shard-items"), shards)
+    return bundled.select("id", name.alias("upper")).join(upper.withColumnRenamed("id", "upper"), "upper").select("id", "shard")
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
-    spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = stored(
         docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc"), F.unhex(F.sha2(text, 256)).alias("key")),
@@ -109,21 +139,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("size").alias("size"), F.min("crc").alias("crc"))
     groups = stored(groups, "shard-groups")
-    parts = max(1, -(-groups.count() // GROUPS_PER_TASK))
-    dealt = groups.repartition(parts, "key").sortWithinPartitions(F.desc("bytes"), "key")
-    kinds = ", ".join(f"{c} {t}" for c, t in groups.dtypes)
-    placed = stored(dealt.mapInArrow(_part_assign(shards), f"{kinds}, part int, local int"), "shard-placed")
-    sums: dict[int, list[int]] = {}
-    for part, local, total in placed.groupBy("part", "local").agg(F.sum("bytes")).collect():  # `shards` rows a task
-        sums.setdefault(part, [0] * shards)[local] = total
-    where = []
-    if sums:
-        firsts = {p: sorted(range(shards), key=s.__getitem__, reverse=True) for p, s in sums.items()}
-        root = difference([Partial([sums[p][i] - min(sums[p]) for i in firsts[p]], item=p) for p in sorted(sums)])
-        for p, slots in resolve(root):
-            where += [(p, local, slots[j]) for j, local in enumerate(firsts[p])]
-    where_df = spark.createDataFrame(where, "part int, local int, shard int")
-    placed = placed.join(F.broadcast(where_df), ["part", "local"])  # shards x tasks rows
+    placed = stored(place(groups.select(F.col("key").alias("id"), "bytes"), shards), "shard-placed")
+    placed = groups.join(placed.withColumnRenamed("id", "key"), "key")
     alone = placed.where("n = 1").select("doc_id", "size", "crc", "shard")
     salted = placed.where("n > 1").select("key", "shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     copies = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
