@@ -70,7 +70,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             ends = cuts(data)
-            starts = [0, *ends[:-1]]
+            starts = [0, *ends[:-1]] if ends else []
             ids += [uid] * len(ends)
             nos += range(len(ends))
             ats += starts
@@ -109,7 +109,7 @@ def _with_ids(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out = next(_chunks(iter([batch])))
             at = np.searchsorted(batch.column("uid").to_numpy(), out.column("uid").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *out.columns], ["doc_id", *out.schema.names])
