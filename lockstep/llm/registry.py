@@ -1,9 +1,11 @@
 """The text operators' queries, and their SQL where SQL can express them."""
 
-from . import chunk_dedup, exact_dedup, sharding, simhash, url_filter
+from . import chunk_dedup, decontaminate, exact_dedup, language, sharding, simhash, url_filter
 
 QUERIES = {
+    "op1_template_leaks": decontaminate.op1_template_leaks,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_language_mixture": language.op5_language_mixture,
     "op6_chunk_dedup": chunk_dedup.op6_chunk_dedup,
     "op7_url_cascade": url_filter.op7_url_cascade,
     "op8_simhash": simhash.op8_simhash,
