@@ -9,7 +9,7 @@ transition from piece a to piece b is allowed if merging a+b on its own gives a,
 sequence of pieces is the merge result exactly if all its transitions are allowed, so that the one allowed path is what
 the library returns (tests compare them).  Words with several marks (runs of spaces) go through the merges directly.
 
-Bounds.  Known words are kept per task up to MEMO; a batch is at most ROWS texts or one text.  No shuffle is needed.
+Bounds.  Known words are kept per worker, about twice MEMO at most, those in use longest; a batch is at most ROWS texts or one text.  No shuffle is needed.
 
 Cases.  Null and empty texts have no ids.  Characters outside the vocabulary become byte pieces.  A text's own `▁` is
 taken as a space, as the library does, so that decoding gives the space back.  Repeated rows are rows like any other,
@@ -68,6 +68,7 @@ class Pieces:
         self.halves: dict[int, tuple[int, int]] = {}
         self.allowed: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merged(self, word: str, whole: bool = True) -> list[str]:
         """The merges themselves: the best-scored pair first, the leftmost of equal ones.  whole: the last may make
@@ -158,7 +159,7 @@ class Pieces:
                 shared += 1
             del starts[shared + 1 :], ends[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
-                for i in range(j - longest if j > longest else 0, j):
+                for i in range(j - 1, j - longest - 1 if j > longest else -1, -1):
                     piece = get(word[i:j], UNKNOWN)
                     if piece < 0 and i < j - 1:
                         continue
@@ -181,9 +182,12 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set(chain.from_iterable(cut))
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-        self.learn(new - self.memo.keys())
+        if len(self.memo) > MEMO:
+            self.older, self.memo = self.memo, {}
+        new -= self.memo.keys()
+        known = new & self.older.keys()
+        self.memo.update((w, self.older[w]) for w in known)
+        self.learn(new - known)
         look = self.memo.__getitem__
         return [np.fromiter(chain.from_iterable(map(look, words)), np.int32) for words in cut]
 

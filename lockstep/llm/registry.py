@@ -1,14 +1,16 @@
 """The text operators' queries, and their SQL where SQL can express them."""
 
-from . import chunk_dedup, decontaminate, exact_dedup, language, sharding, simhash, url_filter
+from . import chunk_dedup, decontaminate, exact_dedup, html_extract, language, pieces, sharding, simhash, url_filter
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
+    "op2_line_blocks": html_extract.op2_line_blocks,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_language_mixture": language.op5_language_mixture,
     "op6_chunk_dedup": chunk_dedup.op6_chunk_dedup,
     "op7_url_cascade": url_filter.op7_url_cascade,
     "op8_simhash": simhash.op8_simhash,
+    "op9_piece_viterbi": pieces.op9_piece_viterbi,
     "op10_kk_shards": sharding.op10_kk_shards,
 }
 SQL = {"op4_exact_dedup": exact_dedup.SQL, "op7_url_cascade": url_filter.SQL}
