@@ -1,10 +1,11 @@
 """The text operators' queries, and their SQL where SQL can express them."""
 
-from . import chunk_dedup, decontaminate, exact_dedup, html_extract, language, pieces, sharding, simhash, url_filter
+from . import chunk_dedup, decontaminate, exact_dedup, html_extract, language, pieces, sharding, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
     "op2_line_blocks": html_extract.op2_line_blocks,
+    "op3_range_coded_ids": token_files.op3_range_coded_ids,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_language_mixture": language.op5_language_mixture,
     "op6_chunk_dedup": chunk_dedup.op6_chunk_dedup,
