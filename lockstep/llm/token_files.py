@@ -9,7 +9,8 @@ temporary name in the shared folder, then renames it, so that a repeated task le
 by a group (range_coder.LANES blocks) and ROWS texts.  Reading: a task a file, a group at a time.
 
 Tokenising is the library's.  Texts of plain Latin characters, where lower-casing and splitting are beyond doubt the
-same, are split here and only words not seen before go to the library; all other texts go to it whole.
+same and that hold no special token, are split here and only words not seen before go to the library; all other texts
+go to it whole.
 
 Cases.  Null and empty texts are the end id alone.  Null doc_ids come first, repeated ones in any order.  Empty tables
 write no file and give empty results.  Other columns are ignored.
@@ -57,6 +58,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.added = [str(t).lower() for t in self.library.get_added_tokens_decoder().values()]
         self.memo: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
         probe = "It's a Test, naïve-ÉCOLE 12½ don't…"
@@ -66,8 +68,9 @@ class Tokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
-        plain = [i for i, t in enumerate(texts) if self.splits and PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t)]
-        words = [SPLIT.findall(texts[i].lower()) for i in plain]
+        lower = [t.lower() for t in texts]
+        plain = [i for i, t in enumerate(texts) if self.splits and PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) and not any(a in lower[i] for a in self.added)]
+        words = [SPLIT.findall(lower[i]) for i in plain]
         if len(self.memo) > MEMO:
             self.older, self.memo = self.memo, {}
         new = set(chain.from_iterable(words)) - self.memo.keys()
