@@ -49,7 +49,7 @@ def test_against_brute_force(spark, tmp_path):
     spark.createDataFrame([Row(item_id=i, text=t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
     want = {r.doc_id: library.encode(r.text) for r in brute_force(rows, items)}
-    assert len(want) == 40
+    assert len(want) == 41
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.ids for r in got} == want and len(got) == len(want)
 
