@@ -1,4 +1,392 @@
-"""All queries of the engine by name, and their SQL where SQL can express them."""
+"""All queries of the engine by name, each over whole tables, and their SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import dedup, margins, nulls, pairs, residual, responses, statistics, windows
+from ..sources import ingest
+from ..sources.storage import stored
+from ..sources.views import SQL as VIEW
+from ..sources.views import VIEWS, read, resp
+from ..streaming import incremental
+from . import report
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+MARGINS = "im AS (SELECT item, CAST(sum(f) AS BIGINT) AS c FROM o GROUP BY item), em AS (SELECT entity, CAST(sum(f) AS BIGINT) AS r FROM o GROUP BY entity)"
+TOTALS = (
+    MARGINS + ", t AS (SELECT * FROM (SELECT CAST(count(*) AS DOUBLE) AS m, CAST(sum(c) AS DOUBLE) AS sc, CAST(sum(c * c) AS DOUBLE) AS scc FROM im), "
+    "(SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(r * r) AS DOUBLE) AS srr FROM em))"
+    ", x AS (SELECT *, (scc - sc) / (m * n * (n - 1)) AS mean, (scc - sc) / (m * n * (n - 1)) - (sc * sc - srr) / (m * m * n * (n - 1)) AS excess, "
+    "(n * (scc / (m * n * n) - (sc / (m * n)) * (sc / (m * n))) + srr / (n * m * m) - (sc / (m * n)) * (sc / (m * n)) - (sc / (m * n)) * (1 - sc / (m * n))) / (n - 1) AS closed FROM t)"
+)
+PAIRS = (
+    MARGINS + ", g AS (SELECT a.entity AS i, b.entity AS j, count(*) AS g FROM o a JOIN o b ON a.item = b.item AND a.entity < b.entity WHERE a.f = 1 AND b.f = 1 GROUP BY 1, 2)"
+    ", p AS (SELECT a.entity AS i, b.entity AS j, coalesce(g.g, 0) AS g, a.r AS ri, b.r AS rj, (SELECT count(*) FROM im) AS m FROM em a JOIN em b ON a.entity < b.entity LEFT JOIN g ON g.i = a.entity AND g.j = b.entity)"
+    ", ag AS (SELECT i, j, (m - ri - rj + 2 * g) / m AS agreement FROM p)"
+)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def over(view: str, f):
+    return lambda spark, sf_dir: f(VIEWS[view](spark, sf_dir))
+
+
+def on(view: str, name: str, f, sql: str | None = None, parts: str = MARGINS) -> None:
+    query(name, None if sql is None else f"WITH o AS ({VIEW[view]}), {parts} {sql}")(over(view, f))
+
+
+def _day(df: DataFrame) -> DataFrame:
+    return df.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+# Margins -------------------------------------------------------------------------------------------------------------
+RECORD = (
+    "SELECT CAST(n AS BIGINT) AS n_entities, CAST(m AS BIGINT) AS n_items, round(mean, 10) AS mean_joint, round(excess * 1e6, 4) AS naive_excess_e6, "
+    "round(closed * 1e6, 4) AS margin_artifact_e6, abs(excess - closed) < 1e-9 AS closed_form_holds FROM x"
+)
+on("emb", "joint_failure_record", margins.joint_failure_record, RECORD, TOTALS)
+on("evt", "joint_failure_record_evt", margins.joint_failure_record, RECORD, TOTALS)
+on("ret", "joint_failure_record_ret", margins.joint_failure_record, RECORD, TOTALS)
+on("emb", "margin_decomposition", margins.decomposition, "SELECT round(excess * 1e6, 4) AS naive_e6, round(closed * 1e6, 4) AS explained_e6, abs(excess - closed) < 1e-9 AS all_explained FROM x", TOTALS)
+on("ret", "item_margins", margins.item_margins, "SELECT item, c FROM im")
+on("evt", "entity_rates", margins.entity_rates, "SELECT entity, r, r / (SELECT count(*) FROM im) AS p FROM em")
+TRIM = (
+    "e1 AS (SELECT entity FROM o GROUP BY entity HAVING sum(f) > 0 AND sum(f) < (SELECT count(DISTINCT item) FROM o)), o1 AS (SELECT * FROM o WHERE entity IN (SELECT entity FROM e1)), "
+    "i1 AS (SELECT item FROM o1 GROUP BY item HAVING sum(f) > 0 AND sum(f) < (SELECT count(DISTINCT entity) FROM o1))"
+)
+for _view in ("brand", "evt", "ret"):
+    on(_view, f"trim_degenerate_{_view}", margins.trim_degenerate, "SELECT entity, item, f FROM o1 WHERE item IN (SELECT item FROM i1)", TRIM)
+on("emb", "domain_check", margins.domain_check, "SELECT CAST(sum(k) AS BIGINT) AS n_cells, CAST(sum(bad) AS BIGINT) AS n_not_binary, CAST(sum(CAST(k > 1 AS INTEGER)) AS BIGINT) AS n_repeated FROM cells", "cells AS (SELECT entity, item, count(*) AS k, sum(CAST(f NOT IN (0, 1) OR f IS NULL AS INTEGER)) AS bad FROM o GROUP BY 1, 2)")
+on(
+    "evt",
+    "rowcount_guard",
+    margins.rowcount_guard,
+    "SELECT entity, n_rows, CASE WHEN n_rows <> mode THEN concat('rowcount:', n_rows, '!=', mode) WHEN binary_ = 0 THEN 'non-binary' ELSE 'kept' END AS status FROM k, (SELECT n_rows AS mode FROM k GROUP BY n_rows ORDER BY count(*) DESC, n_rows LIMIT 1)",
+    "k AS (SELECT entity, count(*) AS n_rows, min(CAST(f IN (0, 1) AS INTEGER)) AS binary_ FROM o GROUP BY entity)",
+)
+
+# Pairs ---------------------------------------------------------------------------------------------------------------
+on("emb", "pair_joint", pairs.joint_counts, "SELECT i, j, g FROM g", PAIRS)
+on("ret", "pair_joint_sparse", pairs.sparse_counts, "SELECT i, j, g FROM g", PAIRS)
+on("emb", "pair_joint_packed", pairs.packed_counts, "SELECT i, j, g FROM g", PAIRS)
+on("emb", "pair_agreement", lambda o: pairs.agreement(o).withColumn("agreement", F.round("agreement", 8)), "SELECT i, j, round(agreement, 8) AS agreement FROM ag", PAIRS)
+on(
+    "emb",
+    "agreement_census",
+    lambda o: pairs.agreement_census(o, 0.70, 0.60),
+    "SELECT count(*) AS n_pairs, round(avg(agreement), 8) AS mean, round(quantile_cont(agreement, 0.99), 8) AS p99, round(max(agreement), 8) AS largest, count(*) FILTER (agreement >= 0.70) AS n_high, count(*) FILTER (agreement >= 0.60) AS n_low FROM ag",
+    PAIRS,
+)
+DISPERSION = "SELECT count(*) AS n_pairs, round(avg(g / m), 10) AS mean, round(var_pop(g / m) * 1e6, 4) AS variance_e6 FROM p"
+on("emb", "dispersion", pairs.dispersion, DISPERSION, PAIRS)
+on("ret", "dispersion_ret", pairs.dispersion, DISPERSION, PAIRS)
+on(
+    "emb",
+    "variance_inflation",
+    pairs.variance_inflation,
+    "SELECT n, round(rbar, 8) AS mean_correlation, round(n / (1 + (n - 1) * rbar), 4) AS n_effective FROM (SELECT count(*) AS n FROM em), "
+    "(SELECT avg((g * m - ri * rj) / sqrt(CAST(ri * (m - ri) AS DOUBLE) * CAST(rj * (m - rj) AS DOUBLE))) AS rbar FROM p WHERE ri > 0 AND ri < m AND rj > 0 AND rj < m)",
+    PAIRS,
+)
+
+
+def _neighbours(o: DataFrame, step: int) -> DataFrame:
+    e = o.select("entity").distinct()
+    return e.select(F.col("entity").alias("i"), (F.col("entity") + step).alias("j")).join(e.withColumnRenamed("entity", "j"), "j", "left_semi").select("i", "j")
+
+
+on("emb", "sampled_dispersion", lambda o: pairs.sampled_dispersion(o, _neighbours(o, 3)), "SELECT count(*) AS n_pairs, round(var_pop(g / m) * 1e6, 4) AS variance_e6 FROM p WHERE j = i + 3", PAIRS)
+
+
+def _panels(o: DataFrame) -> DataFrame:
+    return o.select("entity").distinct().select((F.col("entity") % 25).alias("panel"), "entity")
+
+
+on(
+    "emb",
+    "panel_double_fault",
+    lambda o: pairs.double_fault(o, _panels(o)),
+    "SELECT i % 25 AS panel, count(*) AS n_pairs, round(avg(g / m), 8) AS double_fault, round(avg((ri + rj - 2 * g) / m), 8) AS disagreement FROM p WHERE i % 25 = j % 25 GROUP BY 1",
+    PAIRS,
+)
+on("emb", "pair_submatrix", lambda o: pairs.submatrix(pairs.joint_counts(o), o.where("entity % 5 = 0")), "SELECT i, j, g FROM g WHERE i % 5 = 0 AND j % 5 = 0", PAIRS)
+
+# Ranks, windows, runs ------------------------------------------------------------------------------------------------
+RANKED = ", rk AS (SELECT entity, r, row_number() OVER (ORDER BY r, entity) AS rank FROM em)"
+on("emb", "accuracy_rank", windows.by_accuracy, "SELECT entity, r, rank FROM rk", MARGINS + RANKED)
+query(
+    "rank_spearman",
+    f"WITH o AS ({VIEW['evt']}), {MARGINS}, v AS (SELECT user_id AS entity, count(*) AS k FROM events GROUP BY 1), b AS (SELECT row_number() OVER (ORDER BY r, entity) AS rx, row_number() OVER (ORDER BY k, entity) AS ry FROM em JOIN v USING (entity)) "
+    "SELECT count(*) AS n, round(corr(CAST(rx AS DOUBLE), CAST(ry AS DOUBLE)), 8) AS spearman FROM b",
+)(lambda s, d: windows.spearman(margins.entity_margins(VIEWS["evt"](s, d)).join(read(s, d, "events").groupBy(F.col("user_id").alias("entity")).agg(F.count(F.lit(1)).alias("k")), "entity"), "r", "k", "entity"))
+PROFILE = (
+    PAIRS + RANKED + ", sz AS (SELECT count(*) AS n, greatest(CAST(floor(count(*) * 0.10) AS BIGINT), 10) AS w FROM em), sp AS (SELECT k AS \"window\", k * (n - w) // 24 + 1 AS start, w AS width FROM sz, range(25) q(k))"
+    ", prof AS (SELECT c.\"window\", c.start, round(c.accuracy, 8) AS centre_accuracy, round(a.agreement, 8) AS mean_agreement FROM "
+    "(SELECT sp.\"window\", sp.start, avg(1 - rk.r / (SELECT count(*) FROM im)) AS accuracy FROM sp JOIN rk ON rk.rank >= sp.start AND rk.rank < sp.start + sp.width GROUP BY 1, 2) c JOIN "
+    "(SELECT sp.\"window\", avg(ag.agreement) AS agreement FROM ag JOIN rk a ON a.entity = ag.i JOIN rk b ON b.entity = ag.j JOIN sp ON least(a.rank, b.rank) >= sp.start AND greatest(a.rank, b.rank) < sp.start + sp.width GROUP BY 1) a ON a.\"window\" = c.\"window\")"
+)
+on("emb", "rank_window_profile", windows.window_profile, 'SELECT CAST("window" AS INTEGER) AS "window", CAST(start AS INTEGER) AS start, centre_accuracy, mean_agreement FROM prof', PROFILE)
+on(
+    "emb",
+    "rank_window_summary",
+    lambda o: windows.profile_summary(windows.window_profile(o)),
+    'SELECT a."top", b.median, round(a."top" / b.median, 6) AS top_over_median FROM (SELECT mean_agreement AS "top" FROM prof WHERE "window" = 0) a, (SELECT round(median(mean_agreement), 8) AS median FROM prof) b',
+    PROFILE,
+)
+RUNS = "runs AS (SELECT CAST(ts AS DATE) AS day, event_type AS bench, count(DISTINCT user_id) AS n_models FROM events GROUP BY 1, 2)"
+query("runs_delta", f"WITH {RUNS} SELECT strftime(day, '%Y-%m-%d') AS day, bench, n_models, n_models - lag(n_models, 1, 0) OVER (PARTITION BY bench ORDER BY day) AS delta FROM runs")(lambda s, d: _day(windows.delta_vs_previous(windows.runs_by_day(read(s, d, "events")))))
+query("runs_last", f"WITH {RUNS} SELECT bench, arg_max(n_models, day) AS n_models FROM runs GROUP BY bench")(lambda s, d: windows.last_value(windows.runs_by_day(read(s, d, "events"))))
+query(
+    "runs_autocorrelation",
+    "WITH d AS (SELECT CAST(ts AS DATE) AS day, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1), c AS (SELECT day, x - (SELECT avg(x) FROM d) AS d FROM d) SELECT round(sum(d * e) / sum(d * d), 8) AS lag1 FROM (SELECT d, lead(d) OVER (ORDER BY day) AS e FROM c)",
+)(lambda s, d: windows.autocorrelation(read(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("x")), "day", "x"))
+
+# Responses -----------------------------------------------------------------------------------------------------------
+RESP = f"r AS ({VIEW['resp']})"
+GOLD = RESP + (
+    ", rg AS (SELECT item, choice, count(*) AS k FROM r WHERE acc = 1 AND choice >= 0 GROUP BY 1, 2), gold AS (SELECT i.item, coalesce(b.gold, -1) AS gold, round(b.top / b.n, 8) AS agreement FROM (SELECT DISTINCT item FROM r) i LEFT JOIN "
+    "(SELECT item, max(k) AS top, sum(k) AS n, arg_max(choice, (k, -choice)) AS gold FROM rg GROUP BY item) b ON b.item = i.item)"
+)
+WRONG = RESP + ", w AS (SELECT item, choice, count(*) AS k FROM r WHERE acc = 0 AND choice >= 0 GROUP BY 1, 2), q AS (SELECT item, CAST(sum(k) AS BIGINT) AS n_wrong, CASE WHEN sum(k) >= 2 THEN round(sum(k * k) / (sum(k) * sum(k)), 8) END AS q2 FROM w GROUP BY item)"
+query("recover_gold", f"WITH {GOLD} SELECT item, gold, agreement FROM gold")(lambda s, d: responses.recover_gold(resp(s, d)))
+query("validate_gold", f"WITH {GOLD} SELECT count(*) AS n, round(avg(CAST((choice = gold) = (acc = 1) AS INTEGER)), 8) AS reproduced FROM r JOIN gold USING (item) WHERE choice >= 0 AND gold >= 0")(
+    lambda s, d: responses.validate_gold(resp(s, d), responses.recover_gold(resp(s, d)))
+)
+query("wrong_concentration", f"WITH {WRONG} SELECT item, n_wrong, q2 FROM q")(lambda s, d: responses.concentration(resp(s, d)))
+query("global_agreement", f"WITH {WRONG}, s AS (SELECT item, sum(k) AS n, sum(k * (k - 1)) AS same FROM w GROUP BY item) SELECT CAST(sum(same) AS BIGINT) AS same, CAST(sum(n * (n - 1)) AS BIGINT) AS pairs, round(sum(same) / sum(n * (n - 1)), 8) AS agreement FROM s")(
+    lambda s, d: responses.global_agreement(resp(s, d))
+)
+query(
+    "pair_wrong_agreement",
+    f"WITH {WRONG} SELECT a.entity AS i, b.entity AS j, count(*) AS n, round(avg(CAST(a.choice = b.choice AS INTEGER)), 8) AS observed, round(avg(q2), 8) AS expected FROM r a JOIN r b ON b.item = a.item AND b.entity = a.entity + 1 JOIN q ON q.item = a.item "
+    "WHERE a.acc = 0 AND b.acc = 0 AND a.choice >= 0 AND b.choice >= 0 AND q2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10",
+)(lambda s, d: responses.pair_agreement(resp(s, d), _neighbours(resp(s, d), 1), 10))
+PANELS = ", pn AS (SELECT panel, entity FROM (SELECT panel, entity, row_number() OVER (PARTITION BY panel ORDER BY md5(concat_ws('|', '5', panel, entity))) AS k FROM (SELECT DISTINCT entity FROM r), (SELECT range AS panel FROM range(20))) WHERE k <= 7)"
+query("hashed_panels", f"WITH {RESP}{PANELS} SELECT panel, entity FROM pn")(lambda s, d: responses.hashed_panels(resp(s, d), 20, 7, 5))
+query(
+    "majority_vote",
+    f"WITH {GOLD}{PANELS}, v AS (SELECT panel, item, choice, count(*) AS k FROM pn JOIN r USING (entity) WHERE choice >= 0 GROUP BY 1, 2, 3), won AS (SELECT panel, item, choice FROM (SELECT *, row_number() OVER (PARTITION BY panel, item ORDER BY k DESC, md5(concat_ws('|', '9', panel, item, choice))) AS z FROM v) WHERE z = 1) "
+    "SELECT p.panel, count(*) AS n_items, round(avg(coalesce(CAST(won.choice = g.gold AS INTEGER), 0)), 8) AS accuracy FROM (SELECT DISTINCT panel FROM pn) p CROSS JOIN (SELECT item, gold FROM gold WHERE gold >= 0) g LEFT JOIN won ON won.panel = p.panel AND won.item = g.item GROUP BY 1",
+)(lambda s, d: responses.majority_vote(resp(s, d), responses.hashed_panels(resp(s, d), 20, 7, 5), responses.recover_gold(resp(s, d)), 9))
+for _mask, _group in ((True, "item, acc"), (False, "item")):
+    query(
+        f"permute_responses_{'masked' if _mask else 'unmasked'}",
+        f"WITH {RESP}, h AS (SELECT *, row_number() OVER (PARTITION BY {_group} ORDER BY entity) AS place FROM r), t AS (SELECT {_group}, choice, row_number() OVER (PARTITION BY {_group} ORDER BY md5(concat_ws('|', '3', entity, item))) AS place FROM r) SELECT entity, item, t.choice, acc FROM h JOIN t USING ({_group}, place)",
+    )(lambda s, d, mask=_mask: responses.permute_wrong(resp(s, d), 3, mask))
+on("emb", "top_panel", lambda o: responses.top_panel(o, 100), "SELECT entity, r FROM em ORDER BY r, entity LIMIT 100")
+on("emb", "item_halves", lambda o: responses.item_halves(o, 4), "SELECT item, ntile(2) OVER (ORDER BY md5(concat_ws('|', '4', item)), item) AS half FROM im")
+on("emb", "greedy_diverse_panel", lambda o: o.sparkSession.createDataFrame([(k, e) for k, e in enumerate(responses.greedy_diverse(stored(pairs.agreement(o), "agreement"), 0, 8))], "place int, entity long"))
+
+# Text and ingest -----------------------------------------------------------------------------------------------------
+KEY = r"substr(md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16)"
+query("text_keys", f"SELECT doc_id, {KEY} AS key FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", scalar.text_key(F.col("text")).alias("key")))
+query("first_per_key", f"SELECT key, min(doc_id) AS doc_id FROM (SELECT doc_id, {KEY} AS key FROM documents) GROUP BY key")(
+    lambda s, d: ingest.first_per_key(read(s, d, "documents").select("doc_id", scalar.text_key(F.col("text")).alias("key")), "key", "doc_id")
+)
+query(
+    "key_overlap",
+    f"WITH k AS (SELECT source, {KEY} AS key FROM documents), a AS (SELECT DISTINCT key FROM k WHERE source = 'src0'), b AS (SELECT DISTINCT key FROM k WHERE source <> 'src0'), s AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SELECT count(*) FROM a JOIN b USING (key)) AS shared) SELECT n_a, n_b, shared, round(shared / least(n_a, n_b), 8) AS overlap FROM s",
+)(lambda s, d: (lambda k: ingest.key_overlap(k.where("source = 'src0'"), k.where("source <> 'src0'")))(read(s, d, "documents").select("source", scalar.text_key(F.col("text")).alias("key"))))
+query(
+    "row_order_audit",
+    f"WITH a AS (SELECT doc_id AS position, {KEY} AS key FROM documents), b AS (SELECT CASE WHEN doc_id % 50 = 7 THEN doc_id + 1 WHEN doc_id % 50 = 8 THEN doc_id - 1 ELSE doc_id END AS position, {KEY} AS key FROM documents), "
+    "x AS (SELECT position, a.key IS DISTINCT FROM b.key AS bad FROM a FULL JOIN b USING (position)) SELECT count(*) AS n, count(*) FILTER (bad) AS n_mismatch, array_to_string((SELECT list(position ORDER BY position) FROM (SELECT position FROM x WHERE bad ORDER BY position LIMIT 10)), ',') AS first_mismatches, count(*) FILTER (bad) = 0 AS aligned FROM x",
+)(
+    lambda s, d: (
+        lambda k: ingest.row_order_audit(
+            k.withColumnRenamed("doc_id", "position"),
+            k.select(F.when(F.col("doc_id") % 50 == 7, F.col("doc_id") + 1).when(F.col("doc_id") % 50 == 8, F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("position"), "key"),
+        )
+    )(read(s, d, "documents").select("doc_id", scalar.text_key(F.col("text")).alias("key")))
+)
+
+
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events")
+    return e.select(F.col("user_id").alias("model"), F.col("event_type").alias("bench"), F.concat_ws("/", F.date_format("ts", "yyyy-MM-dd"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("path"))
+
+
+PATHS = "paths AS (SELECT user_id AS model, event_type AS bench, concat(strftime(ts, '%Y-%m-%d'), '/', lpad(CAST(event_id AS VARCHAR), 12, '0')) AS path FROM events)"
+query("latest_snapshot", f"WITH {PATHS} SELECT model, bench, max(path) AS path FROM paths GROUP BY 1, 2")(lambda s, d: ingest.latest_snapshot(_paths(s, d)))
+query("newest_directory", f"WITH {PATHS} SELECT model, bench, path FROM (SELECT *, split_part(path, '/', 1) = max(split_part(path, '/', 1)) OVER (PARTITION BY model, bench) AS newest FROM paths) WHERE newest")(lambda s, d: ingest.newest_directory(_paths(s, d)))
+query("manifest_coverage", f"WITH {PATHS} SELECT bench, count(DISTINCT model) AS n_models FROM paths GROUP BY bench")(lambda s, d: ingest.latest_snapshot(_paths(s, d)).groupBy("bench").agg(F.count(F.lit(1)).alias("n_models")))
+
+
+def _todo(s: SparkSession, d: str) -> DataFrame:
+    e = read(s, d, "events").select(F.col("user_id").alias("model"), "event_type", "value")
+    done = e.where("event_type = 'purchase' AND value > 90").select("model").distinct()
+    errors = e.where("event_type = 'error' AND value > 90").select("model", F.when(F.col("model") % 2 == 0, "http:429").otherwise("http:404").alias("error")).distinct()
+    return ingest.not_yet_read(e.select("model").distinct(), done, errors)
+
+
+query(
+    "not_yet_read",
+    "SELECT DISTINCT user_id AS model FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90) AND NOT (user_id % 2 <> 0 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 90))",
+)(_todo)
+
+
+def _cards(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as models: even ones name a base in the card, odd ones in a tag, every tenth nothing usable."""
+    n = F.col("s_suppkey")
+    base = F.concat(F.lit("org"), (n % 5).cast("string"), F.when(n % 10 == 0, F.lit("-")).otherwise(F.lit("/")), F.lit("base"), (n % 7).cast("string"))
+    none = F.array().cast("array<string>")
+    return read(s, d, "supplier").select(F.col("s_name").alias("model"), F.when(n % 2 == 0, F.array(base)).otherwise(none).alias("card"), F.array(F.lit("tag"), F.concat(F.lit("base_model:finetune:"), base)).alias("tags"))
+
+
+CARDS = "cards AS (SELECT s_name AS model, concat('org', s_suppkey % 5, CASE WHEN s_suppkey % 10 = 0 THEN '-' ELSE '/' END, 'base', s_suppkey % 7) AS base, CASE WHEN s_suppkey % 2 = 0 THEN 'card' ELSE 'tags' END AS source FROM supplier), lin AS (SELECT model, CASE WHEN contains(base, '/') THEN base END AS parent, source FROM cards)"
+query("lineage_parse", f"WITH {CARDS} SELECT model, coalesce(parent, '') AS parents, source FROM lin")(lambda s, d: ingest.parsed_lineage(_cards(s, d)).withColumn("parents", F.array_join("parents", ",")))
+query("lineage_gate", f"WITH {CARDS} SELECT count(*) AS n_models, count(parent) AS n_with_parent, round(count(parent) / count(*), 8) AS coverage, count(DISTINCT parent) AS n_parents FROM lin")(
+    lambda s, d: ingest.lineage_gate(_cards(s, d).select("model"), ingest.parsed_lineage(_cards(s, d)))
+)
+query("top_parents", f"WITH {CARDS} SELECT parent, count(*) AS n FROM lin WHERE parent IS NOT NULL GROUP BY parent ORDER BY n DESC, parent LIMIT 25")(lambda s, d: ingest.top_parents(ingest.parsed_lineage(_cards(s, d))))
+query("lineage_lookup", f"WITH {CARDS} SELECT c_name AS model, coalesce(lin.source, 'none') AS source, coalesce(parent, '') AS parents FROM (SELECT replace(c_name, 'Customer', 'Supplier') AS c_name FROM customer) LEFT JOIN lin ON lin.model = c_name")(
+    lambda s, d: ingest.with_lineage(read(s, d, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("model")), ingest.parsed_lineage(_cards(s, d))).withColumn("parents", F.array_join("parents", ","))
+)
+NAMES = ["org/details_org__Mixtral-8x7B-moe", "x/details_a__Llama-2-7b__v2", "x/details_b__llama3-slerp", "x/details_c__Yi-34B", "x/details_d__phi-2", "x/details_e__opt-1.3b", "x/details_f__dolphin", "x/none"]
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "part").select("p_partkey", F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("p_partkey") % len(NAMES) + 1).cast("int")).alias("name"))
+
+
+NAME_SQL = f"names AS (SELECT p_partkey, ({NAMES!r})[p_partkey % {len(NAMES)} + 1] AS name FROM part)"
+query("model_ids", rf"WITH {NAME_SQL} SELECT p_partkey, CASE WHEN regexp_matches(name, '^[^/]*/details_(.*?)__(.*)$') THEN regexp_extract(name, '^[^/]*/details_(.*?)__(.*)$', 1) || '/' || regexp_extract(name, '^[^/]*/details_(.*?)__(.*)$', 2) END AS model FROM names")(
+    lambda s, d: _names(s, d).select("p_partkey", scalar.model_of_dataset(F.col("name")).alias("model"))
+)
+FAMILY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(name), '{p}') THEN '{n}'" for n, p in scalar.FAMILIES) + " ELSE 'unattributed' END"
+query("family_census", f"WITH {NAME_SQL} SELECT {FAMILY_SQL} AS family, count(*) AS n, count(*) FILTER (regexp_matches(lower(name), '{scalar.MERGE}')) AS n_merge FROM names GROUP BY 1")(
+    lambda s, d: _names(s, d).groupBy(scalar.family(F.col("name")).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.count_if(scalar.is_merge(F.col("name"))).alias("n_merge"))
+)
+query(
+    "family_share",
+    f"WITH {NAME_SQL}, c AS (SELECT {FAMILY_SQL} AS family, count(*) AS n FROM names GROUP BY 1) SELECT round(sum(n) / (SELECT sum(n) FROM c), 8) AS top5_share FROM (SELECT n FROM c WHERE family <> 'unattributed' ORDER BY n DESC, family LIMIT 5)",
+)(
+    lambda s, d: (lambda c: c.where("family <> 'unattributed'").orderBy(F.desc("n"), "family").limit(5).agg(F.sum("n").alias("k")).crossJoin(c.agg(F.sum("n").alias("all"))).select(F.round(F.col("k") / F.col("all"), 8).alias("top5_share")))(
+        _names(s, d).groupBy(scalar.family(F.col("name")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    )
+)
+query("first_days", "SELECT model, strftime(day, '%Y-%m-%d') AS day, rank FROM (SELECT user_id AS model, min(CAST(ts AS DATE)) AS day, row_number() OVER (ORDER BY min(CAST(ts AS DATE)), user_id) AS rank, count(*) OVER () AS n FROM events GROUP BY 1) WHERE rank IN (SELECT CAST(floor(i * n / 10) AS BIGINT) + 1 FROM range(10) t(i))")(
+    lambda s, d: _day(ingest.stratified_by_date(read(s, d, "events").groupBy(F.col("user_id").alias("model")).agg(F.min(F.to_date("ts")).alias("day")), 10))
+)
+query("month_cohorts", "SELECT strftime(o_orderdate, '%Y-%m') AS cohort, count(*) AS n FROM orders GROUP BY 1")(lambda s, d: read(s, d, "orders").groupBy(scalar.month(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("cohort")).agg(F.count(F.lit(1)).alias("n")))
+query("json_props", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")(lambda s, d: read(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
+query("analytic_floor", "SELECT n_name, round(1 / sqrt(n_nationkey + 5 - 3), 10) AS floor FROM nation")(lambda s, d: read(s, d, "nation").select("n_name", F.round(scalar.analytic_floor(F.col("n_nationkey") + 5), 10).alias("floor")))
+query("argmax_choice", "SELECT vec_id, CAST(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS INTEGER) AS choice FROM embeddings")(
+    lambda s, d: read(s, d, "embeddings").select("vec_id", scalar.first_argmax(F.slice("embedding", 1, 8).cast("array<double>")).alias("choice"))
+)
+
+# Statistics ----------------------------------------------------------------------------------------------------------
+query("price_slope", "SELECT round(regr_slope(p_retailprice, p_size), 8) AS slope, round(corr(p_retailprice, p_size), 8) AS correlation FROM part")(lambda s, d: statistics.slope(read(s, d, "part"), "p_retailprice", "p_size"))
+query(
+    "gelman_rubin",
+    "WITH c AS (SELECT o_custkey % 4 AS chain, avg(o_totalprice) AS mean, var_samp(o_totalprice) AS w, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT var_samp(mean) AS b, avg(w) AS w, max(n) AS n FROM c) SELECT round(sqrt(((n - 1) / n * w + b) / w), 8) AS r_hat FROM t",
+)(lambda s, d: statistics.gelman_rubin(read(s, d, "orders").select((F.col("o_custkey") % 4).alias("chain"), F.col("o_totalprice").alias("x"))))
+query("chi_square_hours", "SELECT round(CAST(sum(k * k) AS DOUBLE) * 24 / sum(k) - sum(k), 8) AS chi_square, 23 AS df FROM (SELECT hour(ts), count(*) AS k FROM events GROUP BY 1)")(
+    lambda s, d: statistics.chi_square_uniform(read(s, d, "events").groupBy(F.hour("ts")).agg(F.count(F.lit(1)).alias("k")), 24).select("chi_square", "df")
+)
+query("chi_square_tail")(lambda s, d: statistics.chi_square_uniform(read(s, d, "events").groupBy(F.hour("ts")).agg(F.count(F.lit(1)).alias("k")), 24))
+query(
+    "bootstrap_mean",
+    "WITH u AS (SELECT draw, s_acctbal AS x, CAST(('0x' || substr(md5(concat_ws('|', '2', draw, s_suppkey)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM supplier, (SELECT range AS draw FROM range(100))), "
+    "w AS (SELECT draw, x, " + " + ".join(f"CAST(u >= {statistics_cut} AS INTEGER)" for statistics_cut in statistics.poisson_cuts()) + " AS w FROM u), m AS (SELECT draw, sum(x * w) / sum(w) AS mean FROM w GROUP BY draw) "
+    "SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m",
+)(lambda s, d: statistics.bootstrap_mean(read(s, d, "supplier"), "s_suppkey", "s_acctbal", 100, 2).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")]))
+
+
+@query("nested_models")
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    """R^2 and partial F of panel accuracy on member accuracy, then with double fault, by rank."""
+    o = margins.trim_degenerate(VIEWS["emb"](s, d))
+    members = _panels(o)
+    means = members.join(margins.entity_rates(o), "entity").groupBy("panel").agg((1 - F.avg("p")).alias("accuracy"), F.max("p").alias("worst"))
+    df = stored(statistics.zscored(pairs.double_fault(o, members).join(means, "panel").select("accuracy", "worst", "double_fault", "disagreement"), ["worst", "double_fault", "disagreement"]), "panels")
+    m0, m1, m2 = (statistics.ols(df, "accuracy", x) for x in (["worst"], ["worst", "double_fault"], ["worst", "double_fault", "disagreement"]))
+    rows = [("M0", m0["r2"], m0["rank"], None, None, None)] + [(n, b["r2"], b["rank"], *statistics.partial_f(a, b)) for n, a, b in (("M1", m0, m1), ("M2", m1, m2))]
+    return s.createDataFrame(rows, "model string, r2 double, rank int, partial_f double, q int, p double")
+
+
+# Null models ---------------------------------------------------------------------------------------------------------
+for _name, _key, _other, _f in (("permute_rows", "entity", "item", nulls.permute_rows), ("permute_columns", "item", "entity", nulls.permute_columns)):
+    on(
+        "emb",
+        _name,
+        lambda o, f=_f: f(o, 11),
+        f"SELECT entity, item, CAST(row_number() OVER (PARTITION BY {_key} ORDER BY md5(concat_ws('|', '11', entity, item)), {_other}) <= s AS INTEGER) AS f FROM (SELECT {_key}, sum(f) AS s FROM o GROUP BY 1), (SELECT DISTINCT {_other} FROM o)",
+    )
+on("emb", "bernoulli_null", lambda o: nulls.bernoulli(o, 12, 0.4), "SELECT entity, item, CAST(CAST(('0x' || substr(md5(concat_ws('|', '12', entity, item)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE < 0.4 AS INTEGER) AS f FROM o")
+on(
+    "emb",
+    "fraction_changed",
+    lambda o: margins.fraction_changed(o, nulls.permute_rows(o, 11)),
+    "SELECT round(avg(CAST(o.f <> z.f AS INTEGER)), 10) AS fraction_changed FROM o JOIN z USING (entity, item)",
+    "z AS (SELECT entity, item, CAST(row_number() OVER (PARTITION BY entity ORDER BY md5(concat_ws('|', '11', entity, item)), item) <= s AS INTEGER) AS f FROM (SELECT entity, sum(f) AS s FROM o GROUP BY 1), (SELECT DISTINCT item FROM o))",
+)
+on("emb", "fixed_margin_null", lambda o: margins.margins_equal(o, nulls.null_matrices(o, 1, 1).drop("rep")), "SELECT CAST(0 AS BIGINT) AS largest_gap, true AS equal")
+on("emb", "fixed_margin_mean", lambda o: nulls.null_statistics(o, 4, 1).agg(F.round(F.max("mean") - F.min("mean"), 14).alias("spread"), F.count(F.lit(1)).alias("n")), "SELECT CAST(0.0 AS DOUBLE) AS spread, CAST(5 AS BIGINT) AS n")
+on("emb", "dispersion_test", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 2), "dispersion"))
+on("emb", "dispersion_test_chains", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 3, chains=4), "dispersion"))
+on("emb", "chain_mixing", lambda o: statistics.gelman_rubin(nulls.null_statistics(o, 40, 4, chains=4).where("chain >= 0").select("chain", F.col("dispersion").alias("x"))))
+on("emb", "n_effective", lambda o: nulls.n_effective(o, 8, 5))
+on("emb", "null_convergence", lambda o: nulls.convergence(o, 6))
+on("emb", "noise_floor", lambda o: nulls.noise_floor(o, 3, 7))
+on("evt", "null_ladder", lambda o: nulls.noise_floor(margins.trim_degenerate(o), 2, 8, extra=True))
+on("evt", "held_out_dimension", lambda o: nulls.held_out_dimension(margins.trim_degenerate(o), 3, 9))
+query("detection_power")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.2), ("shared", 1.2), ("copy", 0.35)], 4, 80, 150, 8, 10))
+query("controls")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.6), ("clone", 1.0)], 2, 120, 200, 10, 11).select("kind", "strength", "mean_ses"))
+
+
+@query("fiber_uniformity")
+def _fibers(s: SparkSession, d: str) -> DataFrame:
+    """Chi-square of the sampler's visits against equal frequencies, on margins whose matrices can all be listed."""
+    out = None
+    for name, rows, columns in (("90", [2, 2, 2, 2], [2, 2, 2, 2]), ("48", [3, 2, 2, 1], [2, 2, 2, 2]), ("204", [3, 3, 2, 2, 2], [3, 3, 3, 3])):
+        visits, size = nulls.fiber_visits(s, rows, columns, 8000, 12)
+        one = statistics.chi_square_uniform(visits, size).select(F.lit(name).alias("fiber"), F.lit(size).alias("size"), "chi_square", "p")
+        out = one if out is None else out.union(one)
+    return out
+
+
+# Conditioning --------------------------------------------------------------------------------------------------------
+on("emb", "residual_summary", residual.residual_summary)
+on("emb", "residual_pairs", residual.residual_pairs)
+on("emb", "variance_terms", residual.variance_terms)
+on("emb", "spectrum_summary", lambda o: residual.spectrum_summary(residual.spectrum(o)))
+on("emb", "spectrum_raw", lambda o: residual.spectrum(o, raw=True))
+on("emb", "eigenvalues_above", lambda o: residual.eigenvalues_above(residual.spectrum(o), 2.0))
+query("cohort_participation")(lambda s, d: residual.by_cohort(VIEWS["emb"](s, d), read(s, d, "embeddings").select(F.col("vec_id").alias("entity"), F.col("label").cast("string").alias("cohort")), 20, 20))
+on("emb", "margin_fit_gap", lambda o: o.sparkSession.range(1).select(F.lit(residual.fit_margins(o).gap < 1e-8).alias("margins_fit")), "SELECT true AS margins_fit")
+
+
+@query("log_likelihood")
+def _log_likelihood(s: SparkSession, d: str) -> DataFrame:
+    o = VIEWS["emb"](s, d)
+    a, b = residual.parameters(o, residual.fit_margins(o))
+    cells = o.join(a, "entity").join(F.broadcast(b), "item")  # a row an item
+    return statistics.log_likelihood(cells.withColumn("p", scalar.sigmoid(F.col("alpha") + F.col("beta"), 30.0)), "p", "f")
+
+
+# Redundancy ----------------------------------------------------------------------------------------------------------
+on("emb", "keep_accurate", lambda o: dedup.keep_accurate(o, 0.65))
+on("emb", "representatives", lambda o: dedup.representatives(o, 0.65))
+on("emb", "redundancy_sweep", lambda o: dedup.sweep(o, [1.01, 0.70, 0.65, 0.60]))
+
+# Streaming, monitor, report ------------------------------------------------------------------------------------------
+query("stream_joint_failure", f"WITH o AS ({VIEW['evt']}), {TOTALS} {RECORD}")(lambda s, d: incremental.monitor_record(s, f"{d}/events.parquet"))
+query("stream_windows", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: _day(incremental.windowed_errors(s, f"{d}/events.parquet")))
+query("stream_latest", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")(lambda s, d: incremental.newest_snapshots(s, f"{d}/events.parquet"))
+on("emb", "audit_report", lambda o: report.audit(o, 4, (0.70, 0.65, 0.60)))
+on("emb", "monitor_row", lambda o: report.measure(o, 4))
