@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def slope(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -41,7 +42,7 @@ def gelman_rubin(draws: DataFrame) -> DataFrame:
     return t.select(F.round(F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("w") + F.col("b")) / F.col("w")), 8).alias("r_hat"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def erfc(x):
     return x.map(math.erfc)
 
@@ -76,7 +77,7 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> dict:
     good = values > values.max() * 1e-12
     beta = vectors[:, good] @ ((vectors[:, good].T @ b) / values[good])
     rss = max(0.0, yy - float(beta @ b))
-    return {"coefficients": beta.tolist(), "rank": int(good.sum()), "r2": 1 - rss / (yy - b[0] ** 2 / n), "rss": rss, "n": n}
+    return {"coefficients": beta.tolist(), "rank": int(good.sum()), "r2": float(1 - rss / (yy - b[0] ** 2 / n)), "rss": float(rss), "n": n}
 
 
 def partial_f(small: dict, large: dict) -> tuple[float, int, float]:
@@ -90,7 +91,7 @@ def partial_f(small: dict, large: dict) -> tuple[float, int, float]:
     f = (small["rss"] - large["rss"]) / q / (large["rss"] / df)
     third = max(f, 0.0) ** (1 / 3)
     z = (third * (1 - 2 / (9 * df)) - (1 - 2 / (9 * q))) / math.sqrt(2 / (9 * q) + third * third * 2 / (9 * df))
-    return f, q, 0.5 * math.erfc(z / math.sqrt(2))
+    return float(f), q, 0.5 * math.erfc(z / math.sqrt(2))
 
 
 def zscored(df: DataFrame, columns: list[str]) -> DataFrame:
