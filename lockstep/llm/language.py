@@ -7,7 +7,8 @@ best is the text's language set.  Its main language is the prediction, its propo
 
 The model is a table of TABLE hashed trigrams a language.  It is fitted on at most TRAIN_DOCS labelled documents a
 language (those with the smallest hash of their text among those of at most TRAIN_CHARS characters): a bound that does
-not follow the corpus, so that the sample fits the driver.  Prediction reads whole texts in pieces of fixed size, and
+not follow the corpus, so that the sample fits the driver.  Each language is counted first, and only texts whose hash is
+below a threshold that leaves about SPARE times as many as wanted are shuffled to pick the smallest.  Prediction reads whole texts in pieces of fixed size, and
 uses nothing but the text.
 
 Cases.  A null text, or one without letters, is `und` with score 0; so is every text if no row has a label.  Null
@@ -30,6 +31,7 @@ from .common import packed, table, unpacked
 TABLE = 1 << 16
 TRAIN_DOCS = 400
 TRAIN_CHARS = 20_000
+SPARE = 2.0
 ROUNDS = 12
 LARGEST_SET = 3
 PENALTY = 2.0
@@ -139,7 +141,12 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """A model from the labelled rows that are not held out; see the bounds above."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")) & (F.char_length("text") <= TRAIN_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    counts = dict(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a language
+    if not counts:
+        return fit({})
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, SPARE * TRAIN_DOCS / n))])
+    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share[F.col("lang")] * float(1 << 40))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), F.lit(1 << 40)), "text")
     rows = rows.select("lang", "text").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS)
     samples: dict[str, list[str]] = {}
     for lang, text, _ in rows.collect():  # TRAIN_DOCS rows a language
