@@ -6,7 +6,8 @@ unique and passes straight through; only the others are shuffled, by the full SH
 
 Bounds.  The filter has 16 bits a row, at most MAX_BITS, stored as 4 KB bitmaps: the broadcast is 128 MB at most
 whatever the input.  Beyond 2^30 / 16 rows the filter fills up, more rows are "possible", and the result is still
-exact: the second phase decides by digest.  What pass 1 shuffles are positions (two longs a row, combined map-side, so
+exact: the second phase decides by digest.  Copies learn their class by digest and salt, so that those of one text are
+dealt over SALTS tasks.  What pass 1 shuffles are positions (two longs a row, combined map-side, so
 that a hot text costs one row a task), never texts.
 
 Cases.  A null text counts as empty.  Null doc_ids rank below all others.  Rows that repeat text and doc_id are all
@@ -24,6 +25,7 @@ from .common import ascii_lower, packed, stored, table, unpacked
 BITS_PER_ROW = 16
 MIN_BITS = 1 << 15
 MAX_BITS = 1 << 30
+SALTS = 16
 
 
 def digest(text: Column) -> Column:
@@ -76,7 +78,10 @@ def classes(docs: DataFrame) -> DataFrame:
     alone = flagged.where("not possible").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     maybe = flagged.where("possible").select("doc_id", "sha")
     groups = maybe.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = maybe.join(groups, "sha").select("doc_id", "keep_id", "group_size", "sha")
+    after_all = groups.where("group_size = 1").select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", "sha")
+    salted = groups.where("group_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    several = maybe.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"])
+    several = several.select("doc_id", "keep_id", "group_size", "sha").unionByName(after_all)
     return alone.unionByName(several).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
