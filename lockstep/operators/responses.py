@@ -46,7 +46,7 @@ def pair_agreement(r: DataFrame, pairs: DataFrame, least: int = 20) -> DataFrame
     j = w.select(F.col("entity").alias("j"), "item", F.col("choice").alias("cj"))
     both = pairs.join(i, "i").join(j, ["j", "item"]).join(q2, "item")
     out = both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("ci") == F.col("cj")).cast("int")).alias("o"), F.avg("q2").alias("e"))
-    return out.where(F.col("n") >= least).select("i", "j", "n", F.round("o", 8).alias("observed"), F.round("e", 8).alias("expected"))
+    return out.where(F.col("n") >= least).select("i", "j", "n", F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"))
 
 
 def tiebreak(seed: int, *columns: str):

@@ -172,7 +172,7 @@ query("global_agreement", f"WITH {WRONG}, s AS (SELECT item, sum(k) AS n, sum(k
 )
 query(
     "pair_wrong_agreement",
-    f"WITH {WRONG} SELECT a.entity AS i, b.entity AS j, count(*) AS n, round(avg(CAST(a.choice = b.choice AS INTEGER)), 8) AS observed, round(avg(q2), 8) AS expected FROM r a JOIN r b ON b.item = a.item AND b.entity = a.entity + 1 JOIN q ON q.item = a.item "
+    f"WITH {WRONG} SELECT a.entity AS i, b.entity AS j, count(*) AS n, round(avg(CAST(a.choice = b.choice AS INTEGER)), 6) AS observed, round(avg(q2), 6) AS expected FROM r a JOIN r b ON b.item = a.item AND b.entity = a.entity + 1 JOIN q ON q.item = a.item "
     "WHERE a.acc = 0 AND b.acc = 0 AND a.choice >= 0 AND b.choice >= 0 AND q2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10",
 )(lambda s, d: responses.pair_agreement(resp(s, d), _neighbours(resp(s, d), 1), 10))
 PANELS = ", pn AS (SELECT panel, entity FROM (SELECT panel, entity, row_number() OVER (PARTITION BY panel ORDER BY md5(concat_ws('|', '5', panel, entity))) AS k FROM (SELECT DISTINCT entity FROM r), (SELECT range AS panel FROM range(20))) WHERE k <= 7)"
