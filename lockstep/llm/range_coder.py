@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 8192  # ids a block, at most
-LANES = 1024  # blocks of a group
+LANES = 2048  # blocks of a group
 WEIGHT = 96  # of a seen id against an unseen one
 SLOTS1, SLOTS2 = 12, 13  # bits
 FULL, LOW = (1 << 48) - 1, 1 << 32
@@ -37,7 +37,7 @@ class _Model:
         self.before = np.zeros((lanes, vocabulary + 1), dtype=np.uint16)  # exclusive cumulative counts as of the last refresh
         self.flat = self.before.reshape(-1)
         self.seen = 0
-        self.tables = [np.zeros(lanes << SLOTS1, dtype=np.int64), np.zeros(lanes << SLOTS2, dtype=np.int64)]  # id * 8 + confidence
+        self.tables = [np.zeros(lanes << SLOTS1, dtype=np.int32), np.zeros(lanes << SLOTS2, dtype=np.int32)]  # id * 8 + confidence
         self.bases = self.rows << SLOTS1, self.rows << SLOTS2, self.rows << 4
         # chances, of CHANCE, that order 2 is right, and that order 1 is and order 2 is not: as either order's confidence tells
         self.right2 = [np.full(lanes << 4, CHANCE // 3, dtype=np.int64) for _ in (1, 2)]
@@ -71,8 +71,9 @@ class _Model:
         # the weight follows the order that gave the decision the greater chance
         better = np.where(is2, self.p2[1] - self.p2[0], np.where(is1, self.p1[1] - self.p1[0], self.p2[0] + self.p1[0] - self.p2[1] - self.p1[1]))
         w = self.weight[:n]
-        w += np.sign(better)
-        np.clip(w, 4, 60, out=w)
+        w += better > 0
+        w -= better < 0
+        np.minimum(np.maximum(w, 4, out=w), 60, out=w)
         for k in (0, 1):
             self.right2[k][self.ctx[k]] = self.p2[k] + (hit2 - self.p2[k] >> 5)
             self.right1[k][self.ctx[k]] = self.p1[k] + (hit1 - self.p1[k] >> 5)
