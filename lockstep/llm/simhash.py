@@ -9,7 +9,8 @@ ball around each segment.  Two fingerprints within the stated distance meet unde
 the complete distance decides.  A bucket is searched from one member at a time among those not yet reached, so that it
 yields a spanning forest, never all pairs, and a family of near copies costs about one comparison a member.  A bucket
 of over RUN_LIMIT fingerprints is not held by one task: it is dealt out anew by pairs of its parts.  What is left is
-`graph.components`.  Nothing is capped, and copies of a fingerprint are one node whatever their number.
+`graph.components`.  A scheme with a `similarity` takes these components as candidates: within each, sketches of the
+shingle sets (exact up to a few dozen shingles, a deviation of 0.025 for long texts) are linked the same way.  Nothing is capped, and copies of a fingerprint are one node whatever their number.
 
 Cases.  doc_ids that repeat are one document in the result's `component_id` and a row each; null doc_ids take part,
 and are a component's id only if it has no other.  Empty tables give empty results.  Other columns are ignored by
@@ -44,20 +45,37 @@ class Scheme:
     distance: int
     segments: tuple[tuple[int, int, int], ...]
     radius: int
+    similarity: float = 0.0  # if set, what fingerprints link are candidates, and sketches decide
 
 
 #: Three words, 3 of 64 bits: one of the two halves differs by one bit at most, so that no link is missed.
 EXACT = Scheme(3, 1, 3, ((0, 0, 32), (0, 32, 32)), 1)
-#: Five words, 20 of 128 bits: an angle of 56 degrees x 20/64 between shingle sets, a Jaccard similarity of about 0.8.
-#: Two fingerprints that far apart meet in one of six 20-bit segments (within 2 bits) with probability 0.95; closer
-#: ones practically always.
-SIMILAR = Scheme(5, 2, 20, tuple((w, s, 20) for w in (0, 1) for s in (0, 20, 40)), 2)
+#: Five words.  Candidates differ in at most 26 of 128 bits, three deviations above what two texts of similarity 0.8
+#: differ by (an angle of 27 degrees, 19 bits); they meet within 2 bits of a 20-bit segment.  A link is an estimated
+#: similarity of 0.8 or more.
+SIMILAR = Scheme(5, 2, 26, tuple((w, s, 20) for w in (0, 1) for s in (0, 20, 40)), 2, 0.8)
+BINS = 256  # of a sketch, 16 bits each
+SKETCH = BINS // 4  # 64-bit words
+EMPTY = 0xFFFF
+SKETCH_LIMIT = 5_000  # sketches that one task compares with each other
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Of each of BINS classes of the hashes (by their lowest bits) 16 bits of the least one; EMPTY if there is none."""
+    out = np.full(BINS, EMPTY, dtype=np.uint16)
+    turned = np.sort(hashes << np.uint64(56) | hashes >> np.uint64(8))
+    bins = (turned >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))) if len(bins) else []
+    out[bins[first]] = (turned[first] & np.uint64((1 << 56) - 1)) % np.uint64(EMPTY)
+    return out
 
 
-def fingerprint(text: str | None, shingle: int, words: int) -> list[int]:
-    """The fingerprint's words as unsigned integers."""
+def fingerprint(text: str | None, shingle: int, words: int, sketches: list | None = None) -> list[int]:
+    """The fingerprint's words as unsigned integers.  sketches: gets the text's sketch."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
+        if sketches is not None:
+            sketches.append(np.full(BINS, EMPTY, dtype=np.uint16))
         return [0] * words
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
@@ -69,27 +87,35 @@ def fingerprint(text: str | None, shingle: int, words: int) -> list[int]:
     pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
     out = []
     for seed in SEEDS[:words]:
-        count = np.zeros(64, dtype=np.int64)
+        count, all_ = np.zeros(64, dtype=np.int64), []
         for at in range(0, len(pieces), 1 << 16):
             some = pieces[at : at + (1 << 16)]
             h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in some), dtype="<u8", count=len(some))
+            all_.append(h)
             count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        if sketches is not None and seed == SEEDS[0]:
+            sketches.append(sketch(np.concatenate(all_)))
         out.append(int(np.packbits((2 * count > len(pieces)).astype(np.uint8), bitorder="little").view("<u8")[0]))
     return out
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The columns of docs except text, and f0, f1, ... (signed 64-bit words)."""
+    """The columns of docs except text, f0, f1, ... (signed 64-bit words), and `sketch` where the scheme needs it."""
     kept = [c for c in docs.columns if c != "text"]
+    names = kept + [f"f{w}" for w in range(scheme.words)] + ["sketch"] * bool(scheme.similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), scheme.shingle, scheme.words) for t in batch.column("text")], dtype=np.uint64)
+            sketches: list | None = [] if scheme.similarity else None
+            prints = np.array([fingerprint(t.as_py(), scheme.shingle, scheme.words, sketches) for t in batch.column("text")], dtype=np.uint64)
             prints = prints.reshape(-1, scheme.words).view(np.int64)
             columns = [batch.column(c) for c in kept] + [pa.array(np.ascontiguousarray(prints[:, w])) for w in range(scheme.words)]
-            yield pa.RecordBatch.from_arrays(columns, kept + [f"f{w}" for w in range(scheme.words)])
+            if sketches is not None:
+                flat = np.concatenate(sketches).view(np.int64) if sketches else np.empty(0, np.int64)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"] + [f"f{w} long" for w in range(scheme.words)]
+    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"] + [f"f{w} long" for w in range(scheme.words)] + ["sketch array<long>"] * bool(scheme.similarity)
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
@@ -110,7 +136,23 @@ def _keys(scheme: Scheme) -> Column:
     return F.flatten(F.array(*[ball(no, *segment) for no, segment in enumerate(scheme.segments)]))
 
 
-def forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple[int, int]]:
+def close_prints(distance: int):
+    """Whether fingerprints differ by at most that many bits: one against several."""
+    return lambda one, many: np.bitwise_count(many ^ one).sum(1, dtype=np.int64) <= distance
+
+
+def close_sketches(similarity: float):
+    """Whether sketches agree in that share of the bins that either has anything in."""
+
+    def close(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        a, b = np.ascontiguousarray(one).view(np.uint16), np.ascontiguousarray(many).view(np.uint16)
+        same = ((a == b) & (a != EMPTY)).sum(1)
+        return same >= similarity * ((a != EMPTY) | (b != EMPTY)).sum(1)
+
+    return close
+
+
+def forest(prints: np.ndarray, nodes: np.ndarray, close) -> list[tuple[int, int]]:
     """Links that span the components of one bucket.  prints: (n, words), uint64."""
     nodes, first = np.unique(nodes, return_index=True)
     prints = prints[first]
@@ -121,7 +163,7 @@ def forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple[i
             todo, left = [int(left[0])], left[1:]
             continue
         at = todo.pop()
-        near = np.bitwise_count(prints[left] ^ prints[at]).sum(1, dtype=np.int64) <= distance
+        near = close(prints[at], prints[left])
         if near.any():
             found = left[near]
             links.extend((int(nodes[at]), int(nodes[x])) for x in found)
@@ -130,7 +172,7 @@ def forest(prints: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple[i
     return links
 
 
-def _bucket_links(words: int, distance: int, limit: int):
+def _bucket_links(words: int, near, limit: int):
     """For rows sorted by k0, k1: links (a, b); runs of over `limit` rows come back as they are (deferred)."""
     names = ["a", "b", "k0", "k1"] + [f"f{w}" for w in range(words)]
 
@@ -148,7 +190,7 @@ def _bucket_links(words: int, distance: int, limit: int):
             deferred.extend(parts)
         elif sum(map(len, parts)) > 1:
             rows = np.concatenate(parts)
-            links.extend(forest(rows[:, 3:].view(np.uint64), rows[:, 2], distance))
+            links.extend(forest(np.ascontiguousarray(rows[:, 3:]).view(np.uint64), rows[:, 2], near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, over = None, [], False  # the run that is still open: its key, its rows (k0, k1, node, f0, ...)
@@ -182,31 +224,47 @@ def _bucket_links(words: int, distance: int, limit: int):
     return run, "a long, b long, k0 long, k1 long, " + ", ".join(f"f{w} long" for w in range(words))
 
 
-def links(prints: DataFrame, scheme: Scheme, limit: int = RUN_LIMIT) -> DataFrame:
-    """(a, b): links between distinct fingerprints `node, f0, ...` that have the components of all links within the distance."""
-    words = [f"f{w}" for w in range(scheme.words)]
-    rows = prints.select(F.explode(_keys(scheme)).alias("k0"), F.lit(0).cast("long").alias("k1"), "node", *words)
-    run, schema = _bucket_links(scheme.words, scheme.distance, limit)
+def _links_in_buckets(rows: DataFrame, words: int, near, limit: int) -> DataFrame:
+    """(a, b) of rows k0, node, f0, ...: links that span each bucket's components."""
+    names = [f"f{w}" for w in range(words)]
+    rows = rows.select("k0", F.lit(0).cast("long").alias("k1"), "node", *names)
+    run, schema = _bucket_links(words, near, limit)
     found = stored(rows.repartition("k0").sortWithinPartitions("k0", "k1").mapInArrow(run, schema), "simhash-links")
-    near, large = found.where("k0 is null").select("a", "b"), found.where("k0 is not null")
+    linked, large = found.where("k0 is null").select("a", "b"), found.where("k0 is not null")
     if large.isEmpty():
-        return near
-    rows = large.select("k0", F.col("a").alias("node"), *words)
+        return linked
+    rows = large.select("k0", F.col("a").alias("node"), *names)
     parts = rows.groupBy("k0").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(limit)).cast("long").alias("parts"))
     rows = rows.join(parts, "k0").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
-    rows = rows.select("k0", pair.alias("k1"), "node", *words)
-    run, schema = _bucket_links(scheme.words, scheme.distance, 1 << 62)
-    return near.unionByName(rows.repartition("k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(run, schema).select("a", "b"))
+    rows = rows.select("k0", pair.alias("k1"), "node", *names)
+    run, schema = _bucket_links(words, near, 1 << 62)
+    return linked.unionByName(rows.repartition("k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(run, schema).select("a", "b"))
+
+
+def links(prints: DataFrame, scheme: Scheme, limit: int = RUN_LIMIT) -> DataFrame:
+    """(a, b): links between distinct fingerprints `node, f0, ...` that have the components of all links within the distance."""
+    rows = prints.select(F.explode(_keys(scheme)).alias("k0"), "node", *[f"f{w}" for w in range(scheme.words)])
+    return _links_in_buckets(rows, scheme.words, close_prints(scheme.distance), limit)
+
+
+def confirmed(distinct: DataFrame, roots: DataFrame, scheme: Scheme, limit: int = SKETCH_LIMIT) -> DataFrame:
+    """(a, b): links by sketch within the components that fingerprints give."""
+    named = [F.col("sketch")[w].alias(f"f{w}") for w in range(SKETCH)]
+    rows = distinct.select("node", "sketch").join(roots, "node").select(F.col("root").alias("k0"), "node", *named)
+    return _links_in_buckets(rows, SKETCH, close_sketches(scheme.similarity), limit)
 
 
 def _rooted(prints: DataFrame, scheme: Scheme, by: str, limit: int = RUN_LIMIT) -> DataFrame:
     """f0, ..., component: the least `by` of each distinct fingerprint's component."""
     words = [f"f{w}" for w in range(scheme.words)]
     node = F.col("f0") if scheme.words == 1 else F.xxhash64(*words)
-    distinct = stored(prints.groupBy(*words).agg(F.min(by).alias("least")).withColumn("node", node), "simhash-distinct")
+    own = [F.min("sketch").alias("sketch")] if scheme.similarity else []
+    distinct = stored(prints.groupBy(*words).agg(F.min(by).alias("least"), *own).withColumn("node", node), "simhash-distinct")
     roots = components(links(distinct, scheme, limit))
+    if scheme.similarity:
+        roots = components(confirmed(distinct, roots, scheme))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return stored(rooted.join(smallest, "root").select(*words, "component"), "simhash-rooted")
