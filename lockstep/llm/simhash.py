@@ -7,7 +7,8 @@ one shingle; one without words (null too) has fingerprint zero, which is linked
 Index: the fingerprint is cut into segments, and each distinct fingerprint is written under all keys of a small Hamming
 ball around each segment.  Two fingerprints within the stated distance meet under at least one key (pigeonhole), where
 the complete distance decides.  A bucket is searched from one member at a time among those not yet reached, so that it
-yields a spanning forest, never all pairs, and a family of near copies costs about one comparison a member.  A bucket
+yields a spanning forest, not all pairs, and a family of near copies costs about one comparison a member (buckets of
+at most SMALL rows are simply compared).  A bucket
 of over RUN_LIMIT fingerprints is not held by one task: it is dealt out anew by pairs of its parts.  What is left is
 `graph.components`.  A scheme with a `similarity` takes these components as candidates: within each, sketches of the
 shingle sets (exact up to a few dozen shingles, a deviation of 0.025 for long texts) are linked the same way.  Nothing is capped, and copies of a fingerprint are one node whatever their number.
@@ -32,6 +33,7 @@ from .common import packed, stored, table, unpacked
 from .graph import components
 
 RUN_LIMIT = 200_000
+SMALL = 16  # rows of a bucket whose pairs are all looked at; the links of larger ones span its components only
 SEEDS = (42, 43, 44, 45)
 
 
@@ -192,6 +194,21 @@ def _bucket_links(words: int, near, limit: int):
             rows = np.concatenate(parts)
             links.extend(forest(np.ascontiguousarray(rows[:, 3:]).view(np.uint64), rows[:, 2], near))
 
+    def small(rows: np.ndarray, bounds: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+        """All links in runs of at most SMALL rows, for all runs at once: each row against the next, the one after, ..."""
+        sizes = np.where(sizes <= SMALL, sizes, 0)
+        left = np.zeros(len(rows), dtype=np.int64)  # rows of the same run behind this one
+        for k in range(1, int(sizes.max(initial=0))):
+            of = np.flatnonzero(sizes > k)
+            left[bounds[of + 1] - 1 - k] = k
+        found, bits = [], rows[:, 3:].view(np.uint64)
+        for k in range(1, int(left.max(initial=0)) + 1):
+            i = np.flatnonzero(left >= k)
+            i = i[rows[i, 2] != rows[i + k, 2]]
+            i = i[near(bits[i], bits[i + k])]
+            found += zip(rows[i, 2].tolist(), rows[i + k, 2].tolist(), strict=True)
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, over = None, [], False  # the run that is still open: its key, its rows (k0, k1, node, f0, ...)
         for batch in batches:
@@ -208,7 +225,10 @@ def _bucket_links(words: int, near, limit: int):
                 close(held, over or sum(map(len, held)) > limit, links, deferred)
                 key, held, over = None, [], False
             if done < len(bounds) - 1:
-                for r in np.flatnonzero(np.diff(bounds)[:-1] > 1).tolist():
+                sizes = np.diff(bounds)
+                sizes[:done] = sizes[-1] = 0  # dealt with; still open
+                links.extend(small(rows, bounds, sizes))
+                for r in np.flatnonzero(sizes > SMALL).tolist():
                     if r >= done:
                         close([rows[bounds[r] : bounds[r + 1]]], bounds[r + 1] - bounds[r] > limit, links, deferred)
                 key, held, over = tuple(rows[-1, :2]), [rows[bounds[-2] :]], False
