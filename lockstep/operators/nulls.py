@@ -79,24 +79,25 @@ def null_matrices(o: DataFrame, replicates: int, seed: int = 0, trades: int = TR
     return _replicates(o.sparkSession, list(range(replicates)), run, f"rep int, entity {kinds['entity']}, item {kinds['item']}, f int")
 
 
-def null_statistics(o: DataFrame, replicates: int, seed: int = 0, trades: int = TRADES, chains: int | None = None, thin: int = THIN) -> DataFrame:
+def null_statistics(o: DataFrame, replicates: int, seed: int = 0, trades: int = TRADES, chains: int | None = None, thin: int = THIN, residuals: bool = True) -> DataFrame:
     """chain, t, mean, dispersion, rms, participation of null draws; chain -1 is the observed matrix.
 
     chains None: every replicate starts from the observed matrix.  Else `chains` chains burn in and are thinned, which
-    gives cheaper, autocorrelated draws.  The margin model is fitted once: all draws have the same margins."""
+    gives cheaper, autocorrelated draws.  The margin model is fitted once: all draws have the same margins.  residuals
+    False leaves out rms and participation (null), which cost an eigen-solve a draw."""
     load, (n, _), _, _ = _bits(o)
     count = replicates if chains is None else chains
     each = 1 if chains is None else -(-replicates // chains)
 
     def run(k: int) -> pd.DataFrame:
         f = load()
-        expected = local.expected_gram(local.fit(f)[0])
+        expected = local.expected_gram(local.fit(f)[0]) if residuals else None
         rng, rows = np.random.default_rng([seed, k + 1]), []
         for t in range(each if k >= 0 else 1):
             if k >= 0:
                 f = local.curveball(f, (trades if t == 0 else thin) * n, rng)
-            r = local.residual(f, expected)
-            rows.append((k, t, local.mean_joint(f), local.dispersion(f), local.rms(r), local.participation(r)[0]))
+            r = local.residual(f, expected) if residuals else None
+            rows.append((k, t, local.mean_joint(f), local.dispersion(f), *((local.rms(r), local.participation(r)[0]) if residuals else (None, None))))
         return pd.DataFrame(rows, columns=["chain", "t", "mean", "dispersion", "rms", "participation"])
 
     return _replicates(o.sparkSession, list(range(-1, count)), run, "chain int, t int, mean double, dispersion double, rms double, participation double")

@@ -336,10 +336,10 @@ on(
     "z AS (SELECT entity, item, CAST(row_number() OVER (PARTITION BY entity ORDER BY md5(concat_ws('|', '11', entity, item)), item) <= s AS INTEGER) AS f FROM (SELECT entity, sum(f) AS s FROM o GROUP BY 1), (SELECT DISTINCT item FROM o))",
 )
 on("emb", "fixed_margin_null", lambda o: margins.margins_equal(o, nulls.null_matrices(o, 1, 1).drop("rep")), "SELECT CAST(0 AS BIGINT) AS largest_gap, true AS equal")
-on("emb", "fixed_margin_mean", lambda o: nulls.null_statistics(o, 4, 1).agg(F.round(F.max("mean") - F.min("mean"), 14).alias("spread"), F.count(F.lit(1)).alias("n")), "SELECT CAST(0.0 AS DOUBLE) AS spread, CAST(5 AS BIGINT) AS n")
-on("emb", "dispersion_test", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 2), "dispersion"))
-on("emb", "dispersion_test_chains", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 3, chains=4), "dispersion"))
-on("emb", "chain_mixing", lambda o: statistics.gelman_rubin(nulls.null_statistics(o, 40, 4, chains=4).where("chain >= 0").select("chain", F.col("dispersion").alias("x"))))
+on("emb", "fixed_margin_mean", lambda o: nulls.null_statistics(o, 4, 1, residuals=False).agg(F.round(F.max("mean") - F.min("mean"), 14).alias("spread"), F.count(F.lit(1)).alias("n")), "SELECT CAST(0.0 AS DOUBLE) AS spread, CAST(5 AS BIGINT) AS n")
+on("emb", "dispersion_test", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 2, residuals=False), "dispersion"))
+on("emb", "dispersion_test_chains", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 3, chains=4, residuals=False), "dispersion"))
+on("emb", "chain_mixing", lambda o: statistics.gelman_rubin(nulls.null_statistics(o, 40, 4, chains=4, residuals=False).where("chain >= 0").select("chain", F.col("dispersion").alias("x"))))
 on("emb", "n_effective", lambda o: nulls.n_effective(o, 8, 5))
 on("emb", "null_convergence", lambda o: nulls.convergence(o, 6))
 on("emb", "noise_floor", lambda o: nulls.noise_floor(o, 3, 7))
