@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -133,8 +134,6 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     last = s["start"] + s["n_bytes"]
                 text = b"".join([*kept, data[last:]]).decode("utf-8", "surrogatepass")
             out.append(text)
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
     return unpacked(rows.select(F.col("row").withField("text", cut("row.text", "spans")).alias("row")))

@@ -95,8 +95,6 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
             kept.append(not (stack and stack[-1][1]))
             mains.append(bool(stack and stack[-1][2]))
             linked.append(state["size"] > 0 and state["linked"] == state["size"])
-        elif lines and lines[-1]:
-            pass
         state["linked"] = state["size"] = 0
 
     def add(piece: str) -> None:
@@ -115,8 +113,6 @@ def lines_of(page: str) -> tuple[list[str], list[int]]:
         if not name:
             if m["raw"] and m["raw"].lower() != "svg":
                 close()
-            elif m[0][:9].upper() == "<![CDATA[":
-                pass
             continue
         if name in BLOCK:
             close()
