@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
@@ -117,6 +118,42 @@ def test_keep_first_drops_near_copies_only(spark):
     assert kept.columns == ["doc_id", "text", "node", "k0"]
 
 
+def test_sketches_are_exact_for_short_texts_and_close_for_long_ones():
+    rng = np.random.default_rng(1)
+    close = [simhash.close_sketches(j) for j in np.arange(0.01, 1.0, 0.01)]
+    for n, error in ((30, 0.06), (3000, 0.09)):
+        for _ in range(20):
+            shared, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, n // 8, n // 9))
+            one, two = (simhash.sketch(np.concatenate([shared, x])) for x in (a, b))
+            got = sum(bool(c(one.view(np.uint64), two[None].view(np.uint64))[0]) for c in close) / 100
+            assert abs(got - n / (n + n // 8 + n // 9)) < error
+    none = np.full((1, simhash.BINS), simhash.EMPTY, dtype=np.uint16)
+    assert simhash.close_sketches(0.8)(none[0].view(np.uint64), none.view(np.uint64))[0]
+
+
+def test_groups_of_near_copies_by_similarity(spark):
+    """A large family whose members are 0.9 alike, one of pairs that are 0.6 alike."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    rows, n = [], 0
+    for _ in range(150):
+        words = list(base)
+        words[rng.randrange(300)] = f"x{n}"
+        rows.append(Row(doc_id=n, text=" ".join(words), node="f", k0=0))
+        n += 1
+    apart = []
+    for _ in range(20):
+        words = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        for _ in range(2):
+            rows.append(Row(doc_id=n, text=" ".join(words), node="p", k0=0))
+            apart.append(n)
+            n += 1
+            for k in range(5, 200, 20):
+                words[k] = f"y{n}"
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, SCHEMA), SIMILAR).collect()}
+    assert kept == {0, *apart}
+
+
 def test_scheme_is_complete():
     for scheme in (EXACT, Scheme(3, 1, 3, ((0, 0, 32), (0, 32, 32)), 1)):
         assert sum(scheme.radius + 1 for _ in scheme.segments) > scheme.distance
