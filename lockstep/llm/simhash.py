@@ -11,7 +11,9 @@ yields a spanning forest, not all pairs, and a family of near copies costs about
 at most SMALL rows are simply compared).  A bucket
 of over RUN_LIMIT fingerprints is not held by one task: it is dealt out anew by pairs of its parts.  What is left is
 `graph.components`.  A scheme with a `similarity` takes these components as candidates: within each, sketches of the
-shingle sets (exact up to a few dozen shingles, a deviation of 0.025 for long texts) are linked the same way.  Nothing is capped, and copies of a fingerprint are one node whatever their number.
+shingle sets (exact up to a few dozen shingles, a deviation of 0.025 for long texts) are linked the same way.  Nothing
+is capped.  Copies of a fingerprint are one node whatever their number; with a `similarity`, fingerprints are of distinct
+shingles, and only texts of the same shingle set are one node, so that equal fingerprints are compared like others.
 
 Cases.  doc_ids that repeat are one document in the result's `component_id` and a row each; null doc_ids take part,
 and are a component's id only if it has no other.  Empty tables give empty results.  Other columns are ignored by
@@ -73,11 +75,12 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int, words: int, sketches: list | None = None) -> list[int]:
-    """The fingerprint's words as unsigned integers.  sketches: gets the text's sketch."""
+    """The fingerprint's words as unsigned integers.  sketches: gets the text's node (a digest of its shingle set) and
+    sketch, and the fingerprint is of distinct shingles."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         if sketches is not None:
-            sketches.append(np.full(BINS, EMPTY, dtype=np.uint16))
+            sketches.append((0, np.full(BINS, EMPTY, dtype=np.uint16)))
         return [0] * words
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
@@ -87,6 +90,8 @@ def fingerprint(text: str | None, shingle: int, words: int, sketches: list | Non
     else:
         starts, ends = starts[:1], ends[-1:]
     pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    if sketches is not None:
+        pieces = list(dict.fromkeys(pieces))
     out = []
     for seed in SEEDS[:words]:
         count, all_ = np.zeros(64, dtype=np.int64), []
@@ -96,15 +101,16 @@ def fingerprint(text: str | None, shingle: int, words: int, sketches: list | Non
             all_.append(h)
             count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         if sketches is not None and seed == SEEDS[0]:
-            sketches.append(sketch(np.concatenate(all_)))
+            hashes = np.sort(np.concatenate(all_))
+            sketches.append((xxhash.xxh3_64_intdigest(hashes.tobytes()), sketch(hashes)))
         out.append(int(np.packbits((2 * count > len(pieces)).astype(np.uint8), bitorder="little").view("<u8")[0]))
     return out
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The columns of docs except text, f0, f1, ... (signed 64-bit words), and `sketch` where the scheme needs it."""
+    """The columns of docs except text, f0, f1, ... (signed 64-bit words), and `node` and `sketch` where the scheme needs them."""
     kept = [c for c in docs.columns if c != "text"]
-    names = kept + [f"f{w}" for w in range(scheme.words)] + ["sketch"] * bool(scheme.similarity)
+    names = kept + [f"f{w}" for w in range(scheme.words)] + ["node", "sketch"] * bool(scheme.similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +119,12 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
             prints = prints.reshape(-1, scheme.words).view(np.int64)
             columns = [batch.column(c) for c in kept] + [pa.array(np.ascontiguousarray(prints[:, w])) for w in range(scheme.words)]
             if sketches is not None:
-                flat = np.concatenate(sketches).view(np.int64) if sketches else np.empty(0, np.int64)
+                columns.append(pa.array(np.array([n for n, _ in sketches], dtype=np.uint64).view(np.int64)))
+                flat = np.concatenate([s for _, s in sketches]).view(np.int64) if sketches else np.empty(0, np.int64)
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"] + [f"f{w} long" for w in range(scheme.words)] + ["sketch array<long>"] * bool(scheme.similarity)
+    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"] + [f"f{w} long" for w in range(scheme.words)] + ["node long", "sketch array<long>"] * bool(scheme.similarity)
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
@@ -264,7 +271,7 @@ def _links_in_buckets(rows: DataFrame, words: int, near, limit: int) -> DataFram
 
 
 def links(prints: DataFrame, scheme: Scheme, limit: int = RUN_LIMIT) -> DataFrame:
-    """(a, b): links between distinct fingerprints `node, f0, ...` that have the components of all links within the distance."""
+    """(a, b): links between the nodes of `node, f0, ...` that have the components of all links within the distance."""
     rows = prints.select(F.explode(_keys(scheme)).alias("k0"), "node", *[f"f{w}" for w in range(scheme.words)])
     return _links_in_buckets(rows, scheme.words, close_prints(scheme.distance), limit)
 
@@ -277,24 +284,31 @@ def confirmed(distinct: DataFrame, roots: DataFrame, scheme: Scheme, limit: int
 
 
 def _rooted(prints: DataFrame, scheme: Scheme, by: str, limit: int = RUN_LIMIT) -> DataFrame:
-    """f0, ..., component: the least `by` of each distinct fingerprint's component."""
+    """The columns of _key and component: the least `by` of each node's component."""
     words = [f"f{w}" for w in range(scheme.words)]
-    node = F.col("f0") if scheme.words == 1 else F.xxhash64(*words)
-    own = [F.min("sketch").alias("sketch")] if scheme.similarity else []
-    distinct = stored(prints.groupBy(*words).agg(F.min(by).alias("least"), *own).withColumn("node", node), "simhash-distinct")
+    if scheme.similarity:  # what has the same node has the same fingerprint and sketch
+        distinct = prints.groupBy("node").agg(F.min(by).alias("least"), *[F.min(c).alias(c) for c in (*words, "sketch")])
+    else:
+        distinct = prints.groupBy(*words).agg(F.min(by).alias("least")).withColumn("node", F.col("f0") if scheme.words == 1 else F.xxhash64(*words))
+    distinct = stored(distinct, "simhash-distinct")
     roots = components(links(distinct, scheme, limit))
     if scheme.similarity:
         roots = components(confirmed(distinct, roots, scheme))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return stored(rooted.join(smallest, "root").select(*words, "component"), "simhash-rooted")
+    return stored(rooted.join(smallest, "root").select(*_key(scheme), "component"), "simhash-rooted")
+
+
+def _key(scheme: Scheme) -> list[str]:
+    """The columns that tell nodes apart."""
+    return ["node"] if scheme.similarity else [f"f{w}" for w in range(scheme.words)]
 
 
 def classes(docs: DataFrame, scheme: Scheme = EXACT, limit: int = RUN_LIMIT) -> DataFrame:
     """One row per document: doc_id, f0, ..., component_id (smallest doc_id of its component)."""
     words = [f"f{w}" for w in range(scheme.words)]
     prints = stored(fingerprints(docs.select("doc_id", "text"), scheme), "simhash-prints")
-    return prints.join(_rooted(prints, scheme, "doc_id", limit), words).select("doc_id", *words, F.col("component").alias("component_id"))
+    return prints.join(_rooted(prints, scheme, "doc_id", limit), _key(scheme)).select("doc_id", *words, F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
@@ -303,12 +317,11 @@ def keep_first(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     Rows are told apart by doc_id and text; rows that share both stay or go together (exact deduplication is another
     operator's work).
     """
-    words = [f"f{w}" for w in range(scheme.words)]
     mark = F.xxhash64("text")
     prints = stored(fingerprints(docs.select("doc_id", mark.alias("mark"), "text"), scheme), "simhash-prints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     rooted = _rooted(prints.select("*", rank.alias("rank")), scheme, "rank")
-    going = prints.join(rooted, words).where(rank != F.col("component")).select("doc_id", "mark").distinct()
+    going = prints.join(rooted, _key(scheme)).where(rank != F.col("component")).select("doc_id", "mark").distinct()
     rows = packed(docs).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_mark"))
     same = rows["id"].eqNullSafe(going["doc_id"]) & (rows["text_mark"] == going["mark"])
     return unpacked(rows.join(going, same, "left_anti").select("row"))

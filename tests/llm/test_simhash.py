@@ -154,6 +154,20 @@ def test_groups_of_near_copies_by_similarity(spark):
     assert kept == {0, *apart}
 
 
+def test_repeated_lines_do_not_decide(spark):
+    """One line that fills two texts does not make them alike; one added to a text often leaves it nearly the same."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    line, rows = words(9), []
+    for _ in range(10):
+        rows.append(" ".join(words(60) + line * 80))
+    for _ in range(10):
+        rows.append(" ".join(words(200)))
+    rows += [f"{t} {' '.join(line * 60)}" for t in rows[10:]]
+    frame = spark.createDataFrame([Row(doc_id=i, text=t, node="r", k0=0) for i, t in enumerate(rows)], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_first(frame, SIMILAR).collect()) == list(range(20))
+
+
 def test_scheme_is_complete():
     for scheme in (EXACT, Scheme(3, 1, 3, ((0, 0, 32), (0, 32, 32)), 1)):
         assert sum(scheme.radius + 1 for _ in scheme.segments) > scheme.distance
