@@ -1,11 +1,13 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A text is cut behind a white-space byte where the gear hash of the last 32 bytes is small, at least MIN_CHUNK bytes
-after the last cut; a stretch of MAX_CHUNK bytes without a cut is cut there (at a character boundary).  Cuts depend on
-the bytes around them only, so that an insertion shifts them without changing the chunks behind it.  Chunks are
-compared by 128-bit digest; a chunk is repeated if at least two documents have it.  A run of adjacent repeated chunks of
-at least MIN_WORDS words is a repeated passage.  The ends of a passage up to the next cut are not seen, about ten words
-of a passage together; MIN_WORDS is so far below 50 that passages of over 50 words are found nevertheless.
+A text is cut behind a white-space byte where the gear hash of the last 16 bytes is the least among the places less than
+MIN_CHUNK bytes away; a stretch of MAX_CHUNK bytes without a cut is cut there (at a character boundary).  Characters of
+three bytes or more (Chinese, Japanese, Thai) are places too, as are all characters of a stretch of over LONG bytes
+without a place, so that texts without white space are cut by content as well.  Cuts depend on the bytes around them
+only, so that an insertion shifts them without changing the chunks behind it, and long gaps between minima are far rarer
+than between small hashes.  Chunks are compared by 128-bit digest; a chunk is repeated if at least two documents have
+it.  A run of adjacent repeated chunks of at least MIN_WORDS words is a repeated passage.  The ends of a passage up to
+the next cut are not seen; MIN_WORDS is so far below 50 that passages of over 50 words are found nevertheless.
 
 Scale.  What is shuffled is one narrow row a chunk, combined map-side, never text.  A passage of any number of
 documents is one group of two longs; occurrences are compared to the group, never to each other.
@@ -27,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import packed, stored, table, unpacked
 
-MIN_CHUNK, MAX_CHUNK = 24, 512
-ONE_IN = 5  # of the white-space bytes may be cuts
-MIN_WORDS = 25
+MIN_CHUNK, MAX_CHUNK = 18, 512
+LONG = 64
+MIN_WORDS = 16
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], dtype=np.uint32)
 SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
@@ -50,7 +52,22 @@ def cuts(data: bytes) -> list[int]:
     if not data:
         return []
     raw = np.frombuffer(data, dtype=np.uint8)
-    places = np.flatnonzero(SPACE[raw] & (gear(raw) < np.uint32((1 << 32) // ONE_IN))) + 1
+    inner = (raw & 0xC0) == 0x80
+    ends = np.append(~inner[1:], True)  # of characters
+    place = SPACE[raw]
+    place[2:] |= ends[2:] & inner[2:] & inner[1:-1]
+    known = np.concatenate(([0], np.flatnonzero(place) + 1, [len(raw)]))
+    for i in np.flatnonzero(np.diff(known) > LONG).tolist():
+        place[known[i] : known[i + 1]] = ends[known[i] : known[i + 1]]
+    at = np.flatnonzero(place)
+    value, least = (gear(raw) << np.uint32(16))[at], np.ones(len(at), dtype=bool)
+    for k in range(1, MIN_CHUNK):
+        near = at[k:] - at[:-k] < MIN_CHUNK
+        if not near.any():
+            break
+        least[k:] &= ~near | (value[k:] <= value[:-k])
+        least[:-k] &= ~near | (value[:-k] <= value[k:])
+    places = at[least] + 1
     out, last = [], 0
     for p in [*places.tolist(), len(data)]:
         while p - last > MAX_CHUNK:
@@ -65,6 +82,14 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def word_count(piece: bytes) -> int:
+    """Words at white space; of eight or more characters of three bytes in a word, two count as one."""
+    tokens = piece.split()
+    if piece.isascii():
+        return len(tokens)
+    return sum(max(1, wide // 2 if (wide := sum(b >= 0xE0 for b in t)) >= 8 else 1) for t in tokens)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, nos, ats, sizes, words, digests = [], [], [], [], [], []
@@ -78,7 +103,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(starts, ends, strict=True):
                 piece = data[a:b]
                 sizes.append(b - a)
-                words.append(len(piece.split()))
+                words.append(word_count(piece))
                 digests.append(xxhash.xxh3_128_digest(piece))
         both = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(

@@ -88,3 +88,24 @@ def test_removal_keeps_one_copy(spark):
     assert got[0] == docs[0].text
     assert all(len(got[i]) < len(docs[i].text) - 300 for i in (1, 2, 3))
     assert chunk_dedup.passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def common_words(a, b):
+    """Of the longest run of chunks of text a that text b has too."""
+    pieces = [[d[x:y] for x, y in zip([0, *cuts(d)], cuts(d))] for d in (a.encode(), b.encode())]
+    best = run = 0
+    for p in pieces[0]:
+        run = run + chunk_dedup.word_count(p) if p in set(pieces[1]) else 0
+        best = max(best, run)
+    return best
+
+
+def test_passages_of_51_words_are_found():
+    rng = random.Random(6)
+    for make, join in ((words, " "), (lambda rng, n: "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(2 * n)), "")):
+        for _ in range(400):
+            passage = make(rng, 51)
+            one, two = (join.join([make(rng, rng.randrange(1, 60)), passage, make(rng, rng.randrange(1, 60))]) for _ in range(2))
+            assert common_words(one, two) >= chunk_dedup.MIN_WORDS
+    blob = "".join(rng.choice("abcdefgh") for _ in range(1000))
+    assert len(set(cuts(blob.encode())) & {e - 7 for e in cuts(b"shifted" + blob.encode())}) > 20
