@@ -114,21 +114,27 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each repeated passage of each document: doc_id, start (byte), n_bytes, n_words, n_chunks, first_doc_id
-    (smallest doc_id that has one of its chunks), is_first (no smaller doc_id has any)."""
+    (smallest doc_id that has one of its chunks), is_first (no smaller doc_id has any), repeats (start and n_bytes of
+    the chunks that a smaller doc_id has).  A passage can be put together from passages of several first holders; each
+    chunk is judged by itself, so that its first holder keeps it."""
     named = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
     chunks = stored(_with_ids(named), "chunks")  # from here on the uids are fixed
     shared = chunks.groupBy("d0", "d1").agg(F.min("uid").alias("u0"), F.max("uid").alias("u1"), F.min("doc_id").alias("first_doc_id")).where("u0 <> u1").drop("u0", "u1")
-    hits = chunks.join(shared, ["d0", "d1"]).drop("d0", "d1")
-    order = Window.partitionBy("uid").orderBy("no")
-    runs = hits.withColumn("run", F.col("no") - F.row_number().over(order)).groupBy("uid", "run").agg(
+    narrow = chunks.select("d0", "d1", "doc_id", "uid", F.expr("shiftleft(at, 20) | shiftleft(size, 10) | words").alias("place"))  # narrow rows to shuffle
+    hits = narrow.join(shared, ["d0", "d1"]).select("doc_id", "uid", "first_doc_id", F.expr("shiftright(place, 20)").alias("at"), F.expr("int(shiftright(place, 10) & 1023)").alias("size"), F.expr("int(place & 1023)").alias("words"))
+    order = Window.partitionBy("uid").orderBy("at")
+    hits = hits.withColumn("starts", (F.col("at") != F.lag(F.col("at") + F.col("size"), 1, -1).over(order)).cast("int"))
+    repeat = F.when(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")), F.struct(F.col("at").alias("start"), F.col("size").alias("n_bytes")))
+    runs = hits.withColumn("run", F.sum("starts").over(order)).groupBy("uid", "run").agg(
         F.min("doc_id").alias("doc_id"),
         F.min("at").alias("start"),
         F.sum("size").alias("n_bytes"),
         F.sum("words").alias("n_words"),
         F.count(F.lit(1)).alias("n_chunks"),
         F.min("first_doc_id").alias("first_doc_id"),
+        F.sort_array(F.collect_list(repeat)).alias("repeats"),
     )
-    return runs.where(F.col("n_words") >= min_words).select("doc_id", "start", "n_bytes", "n_words", "n_chunks", "first_doc_id", F.col("doc_id").eqNullSafe(F.col("first_doc_id")).alias("is_first"))
+    return runs.where(F.col("n_words") >= min_words).select("doc_id", "start", "n_bytes", "n_words", "n_chunks", "first_doc_id", (F.size("repeats") == 0).alias("is_first"), "repeats")
 
 
 def _with_ids(docs: DataFrame) -> DataFrame:
@@ -145,7 +151,7 @@ def _with_ids(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (with unique doc_ids) without the repeated passages that a smaller doc_id has; all columns."""
-    spans = passages(docs, min_words).where("not is_first").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n_bytes")).alias("spans"))
+    spans = passages(docs, min_words).where("not is_first").groupBy("doc_id").agg(F.flatten(F.collect_list("repeats")).alias("spans"))
     rows = packed(docs).withColumn("doc_id", F.col("row.doc_id")).join(spans, "doc_id", "left")
 
     @F.pandas_udf("string")

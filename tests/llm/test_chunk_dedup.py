@@ -109,3 +109,14 @@ def test_passages_of_51_words_are_found():
             assert common_words(one, two) >= chunk_dedup.MIN_WORDS
     blob = "".join(rng.choice("abcdefgh") for _ in range(1000))
     assert len(set(cuts(blob.encode())) & {e - 7 for e in cuts(b"shifted" + blob.encode())}) > 20
+
+
+def test_side_by_side_passages_stay_with_their_first_holders(spark):
+    rng = random.Random(8)
+    one, two = words(rng, 80), words(rng, 80)
+    texts = {1: f"{words(rng, 30)} {two} {words(rng, 30)}", 5: f"{words(rng, 30)} {one} {two} {words(rng, 30)}", 9: f"{words(rng, 30)} {one} {words(rng, 30)}"}
+    frame = spark.createDataFrame([Row(doc_id=i, text=t, uid="u", run=1) for i, t in texts.items()], SCHEMA)
+    got = {r.doc_id: r.text for r in chunk_dedup.without_repeats(frame).collect()}
+    assert got[1] == texts[1]
+    assert one[:300] in got[5] and two[100:200] not in got[5]
+    assert one[100:200] not in got[9]
