@@ -10,9 +10,10 @@ the complete distance decides.  A bucket is searched from one member at a time a
 yields a spanning forest, not all pairs, and a family of near copies costs about one comparison a member (buckets of
 at most SMALL rows are simply compared).  A bucket
 of over RUN_LIMIT fingerprints is not held by one task: it is dealt out anew by pairs of its parts.  What is left is
-`graph.components`.  A scheme with a `similarity` takes these components as candidates: within each, sketches of the
-shingle sets (exact up to a few dozen shingles, a deviation of 0.025 for long texts) are linked the same way.  Nothing
-is capped.  Copies of a fingerprint are one node whatever their number; with a `similarity`, fingerprints are of distinct
+`graph.components`.  A scheme with a `similarity` takes its keys from BANDS bands of BAND least hashes instead, because
+balls miss pairs that differ in many bits, and takes the components as candidates: within each, the texts are linked the
+same way if their shingle sets have that Jaccard similarity, exactly; sketches with SLACK only spare comparisons.
+Nothing is capped.  Copies of a fingerprint are one node whatever their number; with a `similarity`, fingerprints are of distinct
 shingles, and only texts of the same shingle set are one node, so that equal fingerprints are compared like others.
 
 Cases.  doc_ids that repeat are one document in the result's `component_id` and a row each; null doc_ids take part,
@@ -54,14 +55,17 @@ class Scheme:
 
 #: Three words, 3 of 64 bits: one of the two halves differs by one bit at most, so that no link is missed.
 EXACT = Scheme(3, 1, 3, ((0, 0, 32), (0, 32, 32)), 1)
-#: Five words.  Candidates differ in at most 26 of 128 bits, three deviations above what two texts of similarity 0.8
-#: differ by (an angle of 27 degrees, 19 bits); they meet within 2 bits of a 20-bit segment.  A link is an estimated
-#: similarity of 0.8 or more.
-SIMILAR = Scheme(5, 2, 26, tuple((w, s, 20) for w in (0, 1) for s in (0, 20, 40)), 2, 0.8)
+#: Five words.  Candidates have a band in common, which two texts of similarity 0.8 lack with probability (1 - 0.8^3)^16
+#: = 0.00001, and differ in at most 44 of 128 bits, six deviations above what such texts differ by (an angle of 27
+#: degrees, 19.4 bits, deviation 4.05).  A link is a similarity of 0.8 or more.
+SIMILAR = Scheme(5, 2, 44, (), 0, 0.8)
+BANDS, BAND = 16, 3
+TURNS = np.array([xxhash.xxh64_intdigest(bytes([i]), 1) for i in range(2 * BANDS * BAND)], dtype=np.uint64).reshape(2, -1, 1)
+SLACK = 0.2  # below the similarity, of sketches whose sets are compared; their deviation is 0.025
 BINS = 256  # of a sketch, 16 bits each
-SKETCH = BINS // 4  # 64-bit words
 EMPTY = 0xFFFF
-SKETCH_LIMIT = 5_000  # sketches that one task compares with each other
+SKETCH_LIMIT = 5_000  # texts that one task compares with each other
+BYTES_LIMIT = 32 << 20  # of their text
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -74,14 +78,22 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint(text: str | None, shingle: int, words: int, sketches: list | None = None) -> list[int]:
-    """The fingerprint's words as unsigned integers.  sketches: gets the text's node (a digest of its shingle set) and
-    sketch, and the fingerprint is of distinct shingles."""
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: of BAND orders of the hashes the least ones."""
+    least = np.full(BANDS * BAND, (1 << 64) - 1, dtype=np.uint64)
+    for at in range(0, len(hashes), 4096):
+        turned = (hashes[None, at : at + 4096] ^ TURNS[0]) * (TURNS[1] | np.uint64(1))
+        turned = (turned ^ turned >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, turned.min(1))
+    rows = least.reshape(BANDS, BAND)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), no) for no, row in enumerate(rows)], dtype=np.uint64)
+
+
+def shingles(text: str | None, shingle: int) -> list[bytes]:
+    """All shingles of a text, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        if sketches is not None:
-            sketches.append((0, np.full(BINS, EMPTY, dtype=np.uint16)))
-        return [0] * words
+        return []
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -89,8 +101,24 @@ def fingerprint(text: str | None, shingle: int, words: int, sketches: list | Non
         starts, ends = starts[: len(tokens) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    pieces = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    if sketches is not None:
+    return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted hashes of the distinct shingles."""
+    pieces = set(shingles(text, shingle))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEEDS[0]) for p in pieces), dtype=np.uint64, count=len(pieces)))
+
+
+def fingerprint(text: str | None, shingle: int, words: int, nodes: list | None = None) -> list[int]:
+    """The fingerprint's words as unsigned integers.  nodes: gets the text's node (a digest of its shingle set) and
+    bands, and the fingerprint is of distinct shingles."""
+    pieces = shingles(text, shingle)
+    if not pieces:
+        if nodes is not None:
+            nodes.append((0, bands(np.empty(0, np.uint64))))
+        return [0] * words
+    if nodes is not None:
         pieces = list(dict.fromkeys(pieces))
     out = []
     for seed in SEEDS[:words]:
@@ -100,31 +128,31 @@ def fingerprint(text: str | None, shingle: int, words: int, sketches: list | Non
             h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in some), dtype="<u8", count=len(some))
             all_.append(h)
             count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        if sketches is not None and seed == SEEDS[0]:
-            hashes = np.sort(np.concatenate(all_))
-            sketches.append((xxhash.xxh3_64_intdigest(hashes.tobytes()), sketch(hashes)))
+        if nodes is not None and seed == SEEDS[0]:
+            hashes = np.unique(np.concatenate(all_))
+            nodes.append((xxhash.xxh3_64_intdigest(hashes.tobytes()), bands(hashes)))
         out.append(int(np.packbits((2 * count > len(pieces)).astype(np.uint8), bitorder="little").view("<u8")[0]))
     return out
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """The columns of docs except text, f0, f1, ... (signed 64-bit words), and `node` and `sketch` where the scheme needs them."""
+    """The columns of docs except text, f0, f1, ... (signed 64-bit words), and `node` and `bands` where the scheme needs them."""
     kept = [c for c in docs.columns if c != "text"]
-    names = kept + [f"f{w}" for w in range(scheme.words)] + ["node", "sketch"] * bool(scheme.similarity)
+    names = kept + [f"f{w}" for w in range(scheme.words)] + ["node", "bands"] * bool(scheme.similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches: list | None = [] if scheme.similarity else None
-            prints = np.array([fingerprint(t.as_py(), scheme.shingle, scheme.words, sketches) for t in batch.column("text")], dtype=np.uint64)
+            nodes: list | None = [] if scheme.similarity else None
+            prints = np.array([fingerprint(t.as_py(), scheme.shingle, scheme.words, nodes) for t in batch.column("text")], dtype=np.uint64)
             prints = prints.reshape(-1, scheme.words).view(np.int64)
             columns = [batch.column(c) for c in kept] + [pa.array(np.ascontiguousarray(prints[:, w])) for w in range(scheme.words)]
-            if sketches is not None:
-                columns.append(pa.array(np.array([n for n, _ in sketches], dtype=np.uint64).view(np.int64)))
-                flat = np.concatenate([s for _, s in sketches]).view(np.int64) if sketches else np.empty(0, np.int64)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(sketches) + 1, dtype=np.int32) * SKETCH), pa.array(flat)))
+            if nodes is not None:
+                columns.append(pa.array(np.array([n for n, _ in nodes], dtype=np.uint64).view(np.int64)))
+                flat = np.concatenate([b for _, b in nodes]).view(np.int64) if nodes else np.empty(0, np.int64)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"] + [f"f{w} long" for w in range(scheme.words)] + ["node long", "sketch array<long>"] * bool(scheme.similarity)
+    kinds = [f"{c} {t}" for c, t in docs.dtypes if c != "text"] + [f"f{w} long" for w in range(scheme.words)] + ["node long", "bands array<long>"] * bool(scheme.similarity)
     return docs.mapInArrow(run, ", ".join(kinds))
 
 
@@ -161,6 +189,23 @@ def close_sketches(similarity: float):
     return close
 
 
+def close_sets(sets: list[np.ndarray], similarity: float):
+    """Whether the sets of that number have the similarity: one against several."""
+    sketches = np.array([sketch(x) for x in sets]).view(np.uint64)
+    maybe = close_sketches(similarity - SLACK)
+
+    def close(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        a, many = sets[int(one)], many.tolist()
+        near = maybe(sketches[int(one)], sketches[many])
+        for i in np.flatnonzero(near).tolist():
+            b = sets[many[i]]
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            near[i] = common >= similarity * (len(a) + len(b) - common) - 1e-9
+        return near
+
+    return close
+
+
 def forest(prints: np.ndarray, nodes: np.ndarray, close) -> list[tuple[int, int]]:
     """Links that span the components of one bucket.  prints: (n, words), uint64."""
     nodes, first = np.unique(nodes, return_index=True)
@@ -272,28 +317,59 @@ def _links_in_buckets(rows: DataFrame, words: int, near, limit: int) -> DataFram
 
 def links(prints: DataFrame, scheme: Scheme, limit: int = RUN_LIMIT) -> DataFrame:
     """(a, b): links between the nodes of `node, f0, ...` that have the components of all links within the distance."""
-    rows = prints.select(F.explode(_keys(scheme)).alias("k0"), "node", *[f"f{w}" for w in range(scheme.words)])
+    keys = F.col("bands") if scheme.similarity else _keys(scheme)
+    rows = prints.select(F.explode(keys).alias("k0"), "node", *[f"f{w}" for w in range(scheme.words)])
     return _links_in_buckets(rows, scheme.words, close_prints(scheme.distance), limit)
 
 
-def confirmed(distinct: DataFrame, roots: DataFrame, scheme: Scheme, limit: int = SKETCH_LIMIT) -> DataFrame:
-    """(a, b): links by sketch within the components that fingerprints give."""
-    named = [F.col("sketch")[w].alias(f"f{w}") for w in range(SKETCH)]
-    rows = distinct.select("node", "sketch").join(roots, "node").select(F.col("root").alias("k0"), "node", *named)
-    return _links_in_buckets(rows, SKETCH, close_sketches(scheme.similarity), limit)
+def confirmed(texts: DataFrame, scheme: Scheme, limit: int = SKETCH_LIMIT) -> DataFrame:
+    """(a, b): links by exact similarity between `node, text` of the same `root`.  A large root is dealt out by pairs of
+    its parts."""
+    size = F.greatest(2 * F.count(F.lit(1)) / F.lit(limit), 2 * F.sum(F.octet_length("text")) / F.lit(BYTES_LIMIT))
+    parts = texts.groupBy("root").agg(F.count(F.lit(1)).alias("n"), size.alias("size"))
+    parts = parts.select("root", F.when((F.col("n") <= limit) & (F.col("size") <= 2), 1).otherwise(F.ceil("size")).cast("long").alias("parts"))
+    rows = texts.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    pair = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    rows = rows.select(F.col("root").alias("k0"), pair.alias("k1"), "node", "text").repartition("k0", "k1").sortWithinPartitions("k0", "k1")
+
+    def linked(held: list) -> pa.RecordBatch:
+        found = []
+        if len(held) > 1:
+            sets = [shingle_set(text, scheme.shingle) for _, text in held]
+            found = forest(np.arange(len(held)), np.array([n for n, _ in held], dtype=np.int64), close_sets(sets, scheme.similarity))
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for k0, k1, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (k0, k1):
+                    yield linked(held)
+                    key, held = (k0, k1), []
+                held.append((node, text))
+        yield linked(held)
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
-def _rooted(prints: DataFrame, scheme: Scheme, by: str, limit: int = RUN_LIMIT) -> DataFrame:
-    """The columns of _key and component: the least `by` of each node's component."""
+def _rooted(prints: DataFrame, scheme: Scheme, by: str, limit: int = RUN_LIMIT, docs: DataFrame | None = None) -> DataFrame:
+    """The columns of _key and component: the least `by` of each node's component.  docs: where a scheme with a
+    similarity finds the texts by doc_id and mark."""
     words = [f"f{w}" for w in range(scheme.words)]
-    if scheme.similarity:  # what has the same node has the same fingerprint and sketch
-        distinct = prints.groupBy("node").agg(F.min(by).alias("least"), *[F.min(c).alias(c) for c in (*words, "sketch")])
+    if scheme.similarity:  # what has the same node has the same fingerprint and bands
+        one = F.min(F.struct("doc_id", "mark")).alias("one")
+        distinct = prints.groupBy("node").agg(F.min(by).alias("least"), one, *[F.min(c).alias(c) for c in (*words, "bands")])
     else:
         distinct = prints.groupBy(*words).agg(F.min(by).alias("least")).withColumn("node", F.col("f0") if scheme.words == 1 else F.xxhash64(*words))
     distinct = stored(distinct, "simhash-distinct")
     roots = components(links(distinct, scheme, limit))
     if scheme.similarity:
-        roots = components(confirmed(distinct, roots, scheme))
+        wanted = distinct.join(roots, "node").select("node", "root", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("mark"))
+        texts = docs.select("doc_id", F.xxhash64("text").alias("text_mark"), "text")
+        same = texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["text_mark"] == wanted["mark"])
+        texts = stored(texts.join(wanted, same).select("root", "node", "text"), "simhash-texts")
+        roots = components(confirmed(texts, scheme))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return stored(rooted.join(smallest, "root").select(*_key(scheme), "component"), "simhash-rooted")
@@ -307,8 +383,9 @@ def _key(scheme: Scheme) -> list[str]:
 def classes(docs: DataFrame, scheme: Scheme = EXACT, limit: int = RUN_LIMIT) -> DataFrame:
     """One row per document: doc_id, f0, ..., component_id (smallest doc_id of its component)."""
     words = [f"f{w}" for w in range(scheme.words)]
-    prints = stored(fingerprints(docs.select("doc_id", "text"), scheme), "simhash-prints")
-    return prints.join(_rooted(prints, scheme, "doc_id", limit), _key(scheme)).select("doc_id", *words, F.col("component").alias("component_id"))
+    mark = [F.xxhash64("text").alias("mark")] if scheme.similarity else []
+    prints = stored(fingerprints(docs.select("doc_id", *mark, "text"), scheme), "simhash-prints")
+    return prints.join(_rooted(prints, scheme, "doc_id", limit, docs), _key(scheme)).select("doc_id", *words, F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
@@ -320,7 +397,7 @@ def keep_first(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     mark = F.xxhash64("text")
     prints = stored(fingerprints(docs.select("doc_id", mark.alias("mark"), "text"), scheme), "simhash-prints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    rooted = _rooted(prints.select("*", rank.alias("rank")), scheme, "rank")
+    rooted = _rooted(prints.select("*", rank.alias("rank")), scheme, "rank", docs=docs)
     going = prints.join(rooted, _key(scheme)).where(rank != F.col("component")).select("doc_id", "mark").distinct()
     rows = packed(docs).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_mark"))
     same = rows["id"].eqNullSafe(going["doc_id"]) & (rows["text_mark"] == going["mark"])

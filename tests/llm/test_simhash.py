@@ -168,6 +168,20 @@ def test_repeated_lines_do_not_decide(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(frame, SIMILAR).collect()) == list(range(20))
 
 
+def test_links_are_exact(spark):
+    """Pairs at and a little above 0.8 are linked, those a little below are not."""
+    rng, rows, want = random.Random(12), [], []
+    for i in range(120):
+        words = [f"w{rng.randrange(99999)}" for _ in range(184)]  # 180 shingles
+        changed = list(words)
+        for k in range(4 if i % 2 else 5):  # five shingles each: 160 of 200 are common, or 155 of 205
+            changed[20 + 30 * k] = "x"
+        rows += [" ".join(words), " ".join(changed)]
+        want += [2 * i] if i % 2 else [2 * i, 2 * i + 1]
+    frame = spark.createDataFrame([Row(doc_id=i, text=t, node="e", k0=0) for i, t in enumerate(rows)], SCHEMA)
+    assert sorted(r.doc_id for r in simhash.keep_first(frame, SIMILAR).collect()) == want
+
+
 def test_scheme_is_complete():
     for scheme in (EXACT, Scheme(3, 1, 3, ((0, 0, 32), (0, 32, 32)), 1)):
         assert sum(scheme.radius + 1 for _ in scheme.segments) > scheme.distance
