@@ -113,8 +113,8 @@ def test_passages_of_51_words_are_found():
 
 def test_side_by_side_passages_stay_with_their_first_holders(spark):
     rng = random.Random(8)
-    one, two = words(rng, 80), words(rng, 80)
-    texts = {1: f"{words(rng, 30)} {two} {words(rng, 30)}", 5: f"{words(rng, 30)} {one} {two} {words(rng, 30)}", 9: f"{words(rng, 30)} {one} {words(rng, 30)}"}
+    one, both, two = words(rng, 80), words(rng, 60), words(rng, 80)  # what both share makes one run of the two
+    texts = {1: f"{words(rng, 30)} {both} {two} {words(rng, 30)}", 5: f"{words(rng, 30)} {one} {both} {two} {words(rng, 30)}", 9: f"{words(rng, 30)} {one} {both} {words(rng, 30)}"}
     frame = spark.createDataFrame([Row(doc_id=i, text=t, uid="u", run=1) for i, t in texts.items()], SCHEMA)
     got = {r.doc_id: r.text for r in chunk_dedup.without_repeats(frame).collect()}
     assert got[1] == texts[1]
