@@ -72,7 +72,7 @@ def null_matrices(o: DataFrame, replicates: int, seed: int = 0, trades: int = TR
     load, (n, m), entities, items = _bits(o)
 
     def run(k: int) -> pd.DataFrame:
-        x = local.curveball(load(), trades * n, np.random.default_rng([seed, k]))
+        x = local.trades(load(), trades * n, np.random.default_rng([seed, k]))
         return pd.DataFrame({"rep": k, "entity": np.repeat(entities, m), "item": np.tile(items, n), "f": x.ravel().astype("int32")})
 
     kinds = dict(o.dtypes)
@@ -95,7 +95,7 @@ def null_statistics(o: DataFrame, replicates: int, seed: int = 0, trades: int =
         rng, rows = np.random.default_rng([seed, k + 1]), []
         for t in range(each if k >= 0 else 1):
             if k >= 0:
-                f = local.curveball(f, (trades if t == 0 else thin) * n, rng)
+                f = local.trades(f, (trades if t == 0 else thin) * n, rng)
             r = local.residual(f, expected) if residuals else None
             rows.append((k, t, local.mean_joint(f), local.dispersion(f), *((local.rms(r), local.participation(r)[0]) if residuals else (None, None))))
         return pd.DataFrame(rows, columns=["chain", "t", "mean", "dispersion", "rms", "participation"])
@@ -135,7 +135,7 @@ def convergence(o: DataFrame, seed: int = 0, at: tuple[int, ...] = (1, 2, 5, 10,
     def run(k: int) -> pd.DataFrame:
         f, rows = load(), []
         note = lambda a: lambda x: rows.append((a, float((x != f).mean()), local.dispersion(x.astype(np.uint8))))
-        local.curveball(f, max(at) * n, np.random.default_rng([seed, k]), {a * n: note(a) for a in at})
+        local.trades(f, max(at) * n, np.random.default_rng([seed, k]), {a * n: note(a) for a in at})
         return pd.DataFrame(rows, columns=["trades", "changed", "dispersion"])
 
     return _replicates(o.sparkSession, [0], run, "trades int, changed double, dispersion double")
@@ -158,7 +158,7 @@ def noise_floor(o: DataFrame, replicates: int = 6, seed: int = 0, rungs: tuple[s
         name, rep = names[k // replicates], k % replicates
         f, rng = load(), np.random.default_rng([seed, k])
         if name == "fixed_margins":
-            value = local.rms(local.residual(local.curveball(f, TRADES * n, rng), local.expected_gram(local.fit(f)[0])))
+            value = local.rms(local.residual(local.trades(f, TRADES * n, rng), local.expected_gram(local.fit(f)[0])))
         elif name == "rows_permuted":
             value = rms_refit(rng.permuted(f, axis=1))
         elif name == "columns_permuted":
@@ -201,7 +201,7 @@ def detection_power(spark: SparkSession, conditions: list[tuple[str, float]], tr
         f = local.trim(local.planted(kind, n, m, strength, rng))
         expected = local.expected_gram(local.fit(f)[0])
         seen = local.rms(local.residual(f, expected))
-        null = [local.rms(local.residual(local.curveball(f, 20 * len(f), rng), expected)) for _ in range(draws)]
+        null = [local.rms(local.residual(local.trades(f, 20 * len(f), rng), expected)) for _ in range(draws)]
         return pd.DataFrame([(kind, strength, seen > np.mean(null) + 1.6449 * np.std(null, ddof=1), (seen - np.mean(null)) / np.std(null, ddof=1))], columns=["kind", "strength", "found", "ses"])
 
     runs = _replicates(spark, list(range(len(conditions) * trials)), run, "kind string, strength double, found boolean, ses double")
@@ -233,7 +233,7 @@ def fiber_visits(spark: SparkSession, rows: list[int], columns: list[int], draws
     def run(k: int) -> pd.DataFrame:
         rng, counts, x = np.random.default_rng([seed, k]), np.zeros(len(fiber), dtype=np.int64), start
         for _ in range(draws // tasks):
-            x = local.curveball(x, 4 * len(rows), rng)
+            x = local.trades(x, 4 * len(rows), rng)
             counts[place[tuple(map(tuple, x.tolist()))]] += 1
         return pd.DataFrame({"matrix": range(len(fiber)), "k": counts})
 
