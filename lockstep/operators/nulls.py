@@ -89,43 +89,45 @@ def null_statistics(o: DataFrame, replicates: int, seed: int = 0, trades: int =
     count = replicates if chains is None else chains
     each = 1 if chains is None else -(-replicates // chains)
 
+    names = ["chain", "t", "mean", "dispersion", "rms", "participation", "participation_abs", "participation_raw", "margin_gap"]
+
     def run(k: int) -> pd.DataFrame:
         f = load()
-        expected = local.expected_gram(local.fit(f)[0]) if residuals else None
+        p, gap = local.fit(f) if residuals else (None, None)
+        expected = local.expected_gram(p) if residuals else None
         rng, rows = np.random.default_rng([seed, k + 1]), []
         for t in range(each if k >= 0 else 1):
             if k >= 0:
                 f = local.trades(f, (trades if t == 0 else thin) * n, rng)
             r = local.residual(f, expected) if residuals else None
-            rows.append((k, t, local.mean_joint(f), local.dispersion(f), *((local.rms(r), local.participation(r)[0]) if residuals else (None, None))))
-        return pd.DataFrame(rows, columns=["chain", "t", "mean", "dispersion", "rms", "participation"])
+            rows.append((k, t, local.mean_joint(f), local.dispersion(f), *((local.rms(r), *local.participation(r)[:3], gap) if residuals else (None,) * 5)))
+        return pd.DataFrame(rows, columns=names)
 
-    return _replicates(o.sparkSession, list(range(-1, count)), run, "chain int, t int, mean double, dispersion double, rms double, participation double")
+    return _replicates(o.sparkSession, list(range(-1, count)), run, "chain int, t int, " + ", ".join(f"{x} double" for x in names[2:]))
 
 
-def calibrated(stats: DataFrame, statistic: str) -> DataFrame:
-    """One row: observed, null mean and deviation, standardised effect (null if the deviation is 0), ratio, one-sided p."""
+def calibrated(stats: DataFrame, statistic: str, *more) -> DataFrame:
+    """One row: observed, null mean and deviation, standardised effect (null if the deviation is 0), ratio, one-sided p.
+    One pass over the draws, of which there are hundreds.  more: further aggregates to keep."""
     x = F.col(statistic)
     seen, null = F.when(F.col("chain") < 0, x), F.when(F.col("chain") >= 0, x)
-    t = stats.agg(F.max(seen).alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), F.count(null).alias("n_null"))
-    above = stats.where("chain >= 0").crossJoin(F.broadcast(t.select("observed"))).agg(F.count_if(x >= F.col("observed")).alias("above"))
-    return t.crossJoin(above).select(
+    t = stats.agg(F.max(seen).alias("observed"), F.avg(null).alias("null_mean"), F.stddev_samp(null).alias("null_sd"), F.count(null).alias("n_null"), F.collect_list(null).alias("draws"), *more)
+    above = F.size(F.filter("draws", lambda d: d >= F.col("observed")))
+    return t.select(
         "observed", "null_mean", "null_sd", "n_null",
         F.when(F.col("null_sd") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_sd")).alias("ses"),
-        (F.col("observed") / F.col("null_mean")).alias("ratio"), ((1 + F.col("above")) / (1 + F.col("n_null"))).alias("p"),
+        (F.col("observed") / F.col("null_mean")).alias("ratio"), ((1 + above) / (1 + F.col("n_null"))).alias("p"),
+        *t.columns[5:],
     )
 
 
 def n_effective(o: DataFrame, replicates: int = 40, seed: int = 0, trades: int = TRADES) -> DataFrame:
     """One row: the calibrated participation, with negative eigenvalues clipped, absolute and kept."""
-    load, (n, _), _, _ = _bits(o)
-    f = load()
-    p, gap = local.fit(f)
-    clipped, absolute, raw, _ = local.participation(local.residual(f, local.expected_gram(p)))
-    head = [F.lit(n).alias("n_entities"), F.lit(clipped).alias("n_eff"), F.lit(absolute).alias("n_eff_abs"), F.lit(raw).alias("n_eff_raw"), F.lit(gap).alias("margin_gap")]
-    if not replicates:
-        return o.sparkSession.range(1).select(*head)
-    return calibrated(null_statistics(o, replicates, seed, trades), "participation").select(*head, "null_mean", "null_sd", "ses", "ratio", "n_null")
+    seen = lambda c, name: F.max(F.when(F.col("chain") < 0, F.col(c))).alias(name)
+    size = o.agg(F.count_distinct("entity").alias("n_entities"))
+    stats = calibrated(null_statistics(o, replicates, seed, trades), "participation", seen("participation_abs", "n_eff_abs"), seen("participation_raw", "n_eff_raw"), seen("margin_gap", "margin_gap"))
+    head = ["n_entities", F.col("observed").alias("n_eff"), "n_eff_abs", "n_eff_raw", "margin_gap"]
+    return size.crossJoin(stats).select(*head, *(["null_mean", "null_sd", "ses", "ratio", "n_null"] if replicates else []))
 
 
 def convergence(o: DataFrame, seed: int = 0, at: tuple[int, ...] = (1, 2, 5, 10, 20, 50, 100, 200)) -> DataFrame:

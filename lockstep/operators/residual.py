@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from . import local
 from .margins import entity_margins, item_margins
 from .pairs import all_pairs
 
-MAX_CELLS = 1 << 31  # of a matrix that one task may hold (as bits)
+MAX_CELLS = 1 << 27  # of a matrix that one task may hold: 1 GB as doubles, two or three of which a fit needs
 
 
 @dataclass
@@ -101,18 +102,18 @@ def variance_terms(o: DataFrame) -> DataFrame:
 
 
 def matrix(o: DataFrame) -> tuple[np.ndarray, list, list]:
-    """(F, entities, items) in the driver, from bits; refused beyond MAX_CELLS."""
-    items = [x[0] for x in o.select("item").distinct().orderBy("item").collect()]
-    rows = o.groupBy("entity").agg(F.collect_list(F.when(F.col("f") == 1, F.col("item"))).alias("failed")).orderBy("entity")
-    n = o.select("entity").distinct().count()
-    if n * len(items) > MAX_CELLS:
-        raise ValueError(f"{n} x {len(items)} cells; one task takes {MAX_CELLS}")
-    place = {x: k for k, x in enumerate(items)}
-    f, entities = np.zeros((n, len(items)), dtype=np.uint8), []
-    for k, (entity, failed) in enumerate(rows.toLocalIterator()):
-        entities.append(entity)
-        f[k, [place[x] for x in failed]] = 1
-    return f, entities, items
+    """(F, entities, items) in the driver; refused beyond MAX_CELLS before anything is collected."""
+    ends = o.agg(F.count_distinct("entity").alias("n"), F.count_distinct("item").alias("m")).head()
+    if ends.n * ends.m > MAX_CELLS:
+        raise ValueError(f"{ends.n} x {ends.m} cells; one task takes {MAX_CELLS}")
+    items = o.select("item").distinct().orderBy("item").toArrow().column(0)
+    failed = F.collect_list(F.when(F.col("f") == 1, F.col("item")))  # without nulls
+    rows = o.groupBy("entity").agg(failed.alias("failed")).orderBy("entity").toArrow()
+    f = np.zeros((len(rows), len(items)), dtype=np.uint8)
+    lists = rows.column("failed").combine_chunks()
+    place = pc.index_in(lists.flatten(), items.combine_chunks()).to_numpy(zero_copy_only=False)
+    f[np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), place] = 1
+    return f, rows.column("entity").to_pylist(), items.to_pylist()
 
 
 def spectrum(o: DataFrame, raw: bool = False) -> DataFrame:
