@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share, named by spark.checkpoint.dir; a local one only where that is unset
+    and all executors are in this machine's driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lockstep-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -74,3 +80,53 @@ def packed(df: DataFrame) -> DataFrame:
 
 def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
+
+
+ROWS, BYTES = 500, 4 << 20  # that a Python worker takes up at once
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most `rows` and about BYTES (or one row), whatever the batches that Spark sends.  What a
+    worker has put aside goes back to the system at the end of the task, since workers are used again."""
+    for batch in batches:
+        step = max(1, min(rows, BYTES * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+class Memo:
+    """What was learned of words, for a worker's life: at most twice `limit` bytes, in two generations, of which the older
+    one goes."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        """Starts a new generation if this one is full."""
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Those of the words that are not known; all others can be looked up in `new` until the next turn."""
+        words = words - self.new.keys()
+        known = words & self.old.keys()
+        self.put((w, self.old[w]) for w in known)
+        return words - known
+
+    def put(self, pairs) -> None:
+        new, before = self.new, len(self.new)
+        for word, data in pairs:
+            new[word] = data
+            self.size += len(word) + len(data)
+        self.size += 150 * (len(new) - before)  # the objects and their entry

@@ -1,19 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, units (behind a number) and names (capitalised, not at the start of a sentence)
-become typed placeholders that keep their value as a slot; all others are lower-cased and stripped of punctuation.
-Windows of WINDOW tokens, at least half of them words, are hash-joined between documents and benchmark items.  Matches
-on one diagonal (document place less item place) must agree on their slots: a value of the item stands for the same
-value of the document everywhere, and the other way round, so that a question with other numbers or names is found and
-a chance mixture is not.  A document holds an item if matched windows cover at least COVER of the item's tokens.
+Words become template tokens: numbers, units (behind a number) and names (capitalised, not at the start of a sentence;
+several in a row are one name) become typed placeholders that keep their value as a slot; all others are lower-cased and
+stripped of punctuation.  Characters of scripts that set no spaces are tokens of their own.  Windows of WINDOW tokens are
+hash-joined between documents and benchmark items; a window that is more than half placeholders says too little as a
+template and is taken with its values.  Matches on one diagonal (document place less item place) must agree on their
+slots: a value of the item stands for the same value of the document everywhere, and the other way round, so that a
+question with other numbers or names is found and a chance mixture is not.  A document holds an item if matched windows
+cover at least COVER of the item's tokens.
+
+An item of fewer than WINDOW tokens is one window, with its values.  If it has fewer than SHORT characters, it is found
+only in a document that has no other tokens, since anywhere else it cannot be told from chance.
 
 Scale.  A document is read once and yields only windows that the benchmark has; the vocabulary and window hashes of
-the benchmark go to the tasks if it has at most BROADCAST_WINDOWS windows, else all windows of all documents are joined
+the benchmark go to the tasks if its windows take at most BROADCAST_BYTES, else all windows of all documents are joined
 by hash.  Groups are a document and an item, each bounded by the item's length.
 
-Cases.  Items of fewer than WINDOW tokens are not looked for: they cannot be told from chance.  Null texts have no
-tokens.  Rows that share doc_id and text are one document; null doc_ids are allowed.  Empty tables, documents or
-benchmark, give empty results.  Other columns are kept by `without_leaks` and ignored by `leaks`.
+Cases.  Items without id are not looked for.  Null texts have no tokens.  Rows that share doc_id and text are one
+document; null doc_ids are allowed.  Empty tables, documents or benchmark, give empty results.  Other columns are kept by
+`without_leaks` and ignored by `leaks`.
 """
 
 from __future__ import annotations
@@ -27,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, table, unpacked
+from .common import packed, slices, stored, table, unpacked
 
 WINDOW = 5
 COVER = 0.8
-BROADCAST_WINDOWS = 1_000_000
-MEMO = 500_000
+SHORT = 16
+BROADCAST_BYTES = 32 << 20
+MEMO = 150_000  # words that a task remembers
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 GLUED = re.compile(r"([+-]?\d[\d.,]*)([a-zµ°]{1,4})")
@@ -43,10 +49,11 @@ UNITS = frozenset(
     "degree degrees c f k mol pa kpa bar j kj cal kcal".split()
 )
 STRIP = ".,;:!?\"'()[]{}<>«»„“”‘’…*#%$&-–—_/\\"
+WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 END = (".", "!", "?", ":", ";", ".\"", "!\"", "?\"")
 
 #: What a word is, whatever stands around it: the token's hash (0: not of the benchmark) and these flags.
-CAPITAL, STOP, NUMERIC, UNIT = 1, 2, 4, 8
+CAPITAL, STOP, NUMERIC, UNIT, EMPTY, UNKNOWN = 1, 2, 4, 8, 16, 32
 
 
 def token_hash(token: str) -> int:
@@ -82,22 +89,25 @@ class Templates:
         low, flags = classify(word)
         h = token_hash(low) if low else 0
         if self.vocabulary is not None and h not in self.vocabulary:
-            h = 0
+            flags |= UNKNOWN
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        self.memo[word] = found = (h, flags | (0 if low else 16))
+        self.memo[word] = found = (h, flags | (0 if low else EMPTY))
         return found
 
-    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(words, token hashes, whether each is a placeholder); words without letters or digits are left out."""
+    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, template hashes, hashes with their values, whether each is a placeholder); hashes are 0 for what the
+        vocabulary lacks.  Words without letters or digits are left out."""
+        if not text.isascii() and WIDE.search(text):
+            text = WIDE.sub(r" \g<0> ", text)
         words = text.split()
         if not words:
-            return [], np.empty(0, np.uint64), np.empty(0, bool)
+            return [], np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
         memo, look = self.memo, self._look
         found = [memo.get(w) or look(w) for w in words]
         h = np.fromiter((f[0] for f in found), np.uint64, len(found))
         flags = np.fromiter((f[1] for f in found), np.uint8, len(found))
-        kept = flags & 16 == 0
+        kept = flags & EMPTY == 0
         ends = np.concatenate(([True], (flags[:-1] & STOP) > 0))
         if not kept.all():
             at = np.flatnonzero(kept)
@@ -105,96 +115,130 @@ class Templates:
             since = np.cumsum(ends)
             ends = np.diff(np.concatenate(([0], since[at]))) > 0
             h, flags, words = h[at], flags[at], [words[i] for i in at]
+        h = np.where(flags & UNKNOWN, np.uint64(0), h)
         number = flags & NUMERIC > 0
         unit = (flags & UNIT > 0) & np.concatenate(([False], number[:-1]))[: len(number)]
         name = (flags & CAPITAL > 0) & ~ends & ~unit & ~number
-        h = np.where(number, NUM_T, np.where(unit, UNIT_T, np.where(name, NAME_T, h)))
-        return words, h, number | unit | name
-
-    def windows(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, int]:
-        """(words, placeholder flags, places, window hashes, tokens): of windows of known tokens, half of them words."""
-        words, h, slot = self.tokens(text)
-        n = len(h) - WINDOW + 1
-        if n <= 0:
-            return words, slot, np.empty(0, np.int64), np.empty(0, np.uint64), len(h)
-        total = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[WINDOW:] - c[:-WINDOW]
-        at = np.flatnonzero((total(h == 0) == 0) & (total(slot) * 2 <= WINDOW))
-        value = np.zeros(len(at), np.uint64)
-        for i in range(WINDOW):
-            value = (value ^ h[at + i]) * np.uint64(0x9E3779B97F4A7C15)
-            value ^= value >> np.uint64(29)
-        return words, slot, at, value, len(h)
-
-
-def _values(words: list[str], slot: np.ndarray, at: int) -> list[str]:
-    return [f"{i}:{words[at + i].strip(STRIP).lower()}" for i in np.flatnonzero(slot[at : at + WINDOW])]
-
-
-def _window_rows(known: np.ndarray | None, vocabulary: frozenset[int] | None, keep: list[str]):
+        slot = number | unit | name
+        again = name[1:] & name[:-1]
+        if again.any():  # names of several words
+            starts = np.flatnonzero(np.concatenate(([True], ~again)))
+            stops = np.append(starts[1:], len(words)).tolist()
+            for a, b in zip(starts.tolist(), stops, strict=True):
+                if b - a > 1:
+                    words[a] = " ".join(w.strip(STRIP) for w in words[a:b])
+                    h[a] = 0 if not h[a:b].all() else np.bitwise_xor.reduce(h[a:b] * np.arange(1, 2 * (b - a), 2, dtype=np.uint64))
+            words, h, slot, number, unit, name = [words[i] for i in starts], h[starts], slot[starts], number[starts], unit[starts], name[starts]
+        return words, np.where(number, NUM_T, np.where(unit, UNIT_T, np.where(name, NAME_T, h))), h, slot
+
+    def windows(self, text: str, sizes: tuple[int, ...] = (WINDOW,)) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """(words, placeholder flags, places, sizes, window hashes, tokens): of windows of known tokens.  sizes: the
+        lengths of windows; those below WINDOW are taken with their values."""
+        words, h, own, slot = self.tokens(text)
+        places, lengths, values = [], [], []
+        for size in sizes:
+            if len(h) < size:
+                continue
+            total = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[size:] - c[:-size]  # noqa: B023, E731
+            as_template = (total(slot) * 2 <= size) & (size == WINDOW)
+            at = np.flatnonzero(np.where(as_template, total(h == 0), total(own == 0)) == 0)
+            plain = as_template[at]
+            value = np.where(plain, np.uint64(0), np.uint64(size))
+            for i in range(size):
+                value = (value ^ np.where(plain, h[at + i], own[at + i])) * np.uint64(0x9E3779B97F4A7C15)
+                value ^= value >> np.uint64(29)
+            places.append(at)
+            lengths.append(np.full(len(at), size))
+            values.append(value)
+        if not places:
+            return words, slot, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), len(h)
+        return words, slot, np.concatenate(places), np.concatenate(lengths), np.concatenate(values), len(h)
+
+
+def _values(words: list[str], slot: np.ndarray, at: int, size: int) -> list[str]:
+    return [words[at + i].strip(STRIP).lower() for i in np.flatnonzero(slot[at : at + size]).tolist()]
+
+
+COLUMNS = "place int, size int, window long, slots array<string>, tokens int, chars int"
+
+
+def _window_rows(known: np.ndarray | None, vocabulary: frozenset[int] | None, sizes: tuple[int, ...] | None, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(vocabulary)
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
-            rows, places, hashes, slots, sizes = [], [], [], [], []
+        for batch in slices(batches):
+            rows, places, lengths, hashes, slots, counts, chars = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
-                words, slot, at, value, n = templates.windows(text.as_py() or "")
+                text = text.as_py() or ""
+                if sizes is None:  # an item: windows, or itself
+                    n = len(templates.tokens(text)[0])
+                    words, slot, at, length, value, n = templates.windows(text, (min(n, WINDOW),) if n else ())
+                else:
+                    words, slot, at, length, value, n = templates.windows(text, sizes)
                 if known is not None and len(value):
                     hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
-                    at, value = at[hit], value[hit]
+                    at, length, value = at[hit], length[hit], value[hit]
                 rows += [i] * len(at)
                 places += at.tolist()
+                lengths += length.tolist()
                 hashes.append(value)
-                slots += [_values(words, slot, p) for p in at.tolist()]
-                sizes += [n] * len(at)
+                slots += [_values(words, slot, p, k) for p, k in zip(at.tolist(), length.tolist(), strict=True)]
+                counts += [n] * len(at)
+                if sizes is None:
+                    chars += [sum(len(w.strip(STRIP)) for w in words)] * len(at)
             value = np.concatenate(hashes).view(np.int64) if hashes else np.empty(0, np.int64)
             kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(places, pa.int32()), pa.array(value), pa.array(slots, pa.list_(pa.string())), pa.array(sizes, pa.int32())], [*keep, "place", "window", "slots", "tokens"])
+            ints = [pa.array(x, pa.int32()) for x in (places, lengths, counts, chars or [0] * len(rows))]
+            yield pa.RecordBatch.from_arrays([*kept, ints[0], ints[1], pa.array(value), pa.array(slots, pa.list_(pa.string())), ints[2], ints[3]], [*keep, "place", "size", "window", "slots", "tokens", "chars"])
 
     return run
 
 
-def windows(rows: DataFrame, keep: list[str], known: np.ndarray | None = None, vocabulary: frozenset[int] | None = None) -> DataFrame:
+def windows(rows: DataFrame, keep: list[str], known: np.ndarray | None = None, vocabulary: frozenset[int] | None = None, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    """The windows of each text: of benchmark items where sizes is None, else of documents."""
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep) + ", place int, window long, slots array<string>, tokens int"
-    return rows.select(*keep, "text").mapInArrow(_window_rows(known, vocabulary, keep), schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), COLUMNS])
+    return rows.select(*keep, "text").mapInArrow(_window_rows(known, vocabulary, sizes, keep), schema)
 
 
 def _vocabulary(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates()
-        for batch in batches:
-            found = {int(x) for t in batch.column("text") for x in templates.tokens(t.as_py() or "")[1]}
+        for batch in slices(batches):
+            found = {token_hash(low) for t in batch.column("text") for w in WIDE.sub(r" \g<0> ", t.as_py() or "").split() if (low := classify(w)[0])}
             yield pa.RecordBatch.from_arrays([pa.array(np.array(sorted(found), dtype=np.uint64).view(np.int64))], ["token"])
 
     return benchmark.select("text").mapInArrow(run, "token long").distinct()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, extra: tuple[str, ...] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
     """A row for each document and item it holds: doc_id, (extra), item_id, coverage, n_windows, same_values (whether
     all slots have the item's own values)."""
     items = stored(windows(benchmark.where("item_id is not null"), ["item_id"]), "bench-windows")
-    n = items.count()
+    weight = F.lit(60) + F.aggregate("slots", F.lit(0), lambda n, v: n + F.octet_length(v) + 16)
+    about = items.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("bytes"), F.collect_set("size").alias("sizes")).head()  # sizes: WINDOW at most
+    sizes = tuple(sorted(about.sizes, reverse=True)) or (WINDOW,)
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    if n <= BROADCAST_WINDOWS:
+    if about.bytes <= limit:
         known = np.unique(np.array([r[0] for r in items.select("window").distinct().collect()], dtype=np.int64).view(np.uint64))
         if not len(known):
             known = np.zeros(1, np.uint64)
         words = np.array([r[0] for r in _vocabulary(benchmark).collect()], dtype=np.int64).view(np.uint64)
-        found = windows(rows, ["doc_id", "mark"], known, frozenset(words.tolist()))
+        found = windows(rows, ["doc_id", "mark"], known, frozenset(words.tolist()), sizes)
         side = F.broadcast(items)
     else:
-        found, side = windows(rows, ["doc_id", "mark"]), items
-    side = side.select("item_id", F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"))
-    match = found.drop("tokens").join(side, "window").where(F.size("slots") == F.size("item_slots"))
-    pair = F.zip_with("slots", "item_slots", lambda d, i: F.struct(F.substring_index(i, ":", -1).alias("i"), F.substring_index(d, ":", -1).alias("d")))
+        found, side = windows(rows, ["doc_id", "mark"], sizes=sizes), items
+    side = side.select("item_id", F.col("place").alias("item_place"), "window", "size", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("chars").alias("item_chars"))
+    match = found.drop("chars").join(side, ["window", "size"]).where(F.size("slots") == F.size("item_slots"))
+    match = match.where((F.col("item_tokens") >= WINDOW) | (F.col("item_chars") >= SHORT) | (F.col("tokens") == F.col("item_tokens")))
+    pair = F.zip_with("slots", "item_slots", lambda d, i: F.struct(i.alias("i"), d.alias("d")))
     lines = match.groupBy("doc_id", "mark", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.max("item_tokens").alias("tokens")
+        F.collect_set(F.struct("item_place", "size")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.max("item_tokens").alias("tokens")
     )
     one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
     lines = lines.where(one("i") & one("d"))
     held = lines.groupBy("doc_id", "mark", "item_id").agg(
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("tokens").alias("tokens"), F.min(F.forall("pairs", lambda p: p["i"] == p["d"])).alias("same_values")
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + (WINDOW - 1))))))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["item_place"], p["item_place"] + p["size"] - 1)))))
     held = held.select("doc_id", "mark", "item_id", F.round(covered / F.col("tokens"), 6).alias("coverage"), F.size("places").alias("n_windows"), "same_values")
     return held.where(F.col("coverage") >= COVER).select("doc_id", *extra, "item_id", "coverage", "n_windows", "same_values")
 
