@@ -4,8 +4,9 @@ Equal texts are one group, which stays in one shard (null counts as a text witho
 groups are differenced by one task: again and again the two partial partitions of largest spread are combined, the
 largest sum of one with the smallest of the other.  Of more groups, each task differences its hash partition into
 BUNDLES bundles of about equal size; bundles, groups larger than a bundle and every so many-th group as it is are the
-items of the next level, about a fortieth as many.  Those single groups, of all sizes, let the last level make up for
-what the large ones leave uneven.  Neither driver nor any task ever holds more than about GROUPS_PER_TASK groups.
+items of the next level, about an eighteenth as many.  Those single groups, of all sizes, let the last level make up for
+what the large ones leave uneven.  Neither driver nor any task ever holds more than about GROUPS_PER_TASK groups; of a
+partial partition the sums go when it is combined, and only the order of its slots stays.
 
 A hot text is one group, summed map-side.  Texts that occur once need no join to learn their shard; the others are
 joined by group and salt, so that copies of one text are dealt over SALTS tasks.  Slots come from per-bucket counts, not
@@ -29,63 +30,69 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 SHARDS = 16
-GROUPS_PER_TASK = 100_000
-BUNDLES, SINGLES = 256, 2048
+GROUPS_PER_TASK = 20_000
+BUNDLES, SINGLES = 128, 2048
 SALTS = 16
 
 
 class Partial:
-    """A partial partition: sums in falling order, less the smallest; either one item or two parts that were combined."""
+    """A partial partition: either one item, or two parts that were combined.  sums: in falling order, less the smallest;
+    an item's are its weight and zeros, and those of a part that was combined are gone."""
 
-    __slots__ = ("sums", "item", "left", "right", "order")
+    __slots__ = ("weight", "sums", "item", "left", "right", "order")
 
-    def __init__(self, sums, item=None, left=None, right=None, order=None):
-        self.sums, self.item, self.left, self.right, self.order = sums, item, left, right, order
+    def __init__(self, weight, sums=None, item=None, left=None, right=None, order=None):
+        self.weight, self.sums, self.item, self.left, self.right, self.order = weight, sums, item, left, right, order
 
+    def take_sums(self, k: int) -> np.ndarray:
+        sums, self.sums = self.sums, None
+        if sums is None:
+            sums = np.zeros(k, dtype=np.int64)
+            sums[0] = self.weight
+        return sums
 
-def combine(a: Partial, b: Partial) -> Partial:
-    k = len(a.sums)
-    sums = [x + y for x, y in zip(a.sums, reversed(b.sums), strict=True)]
-    order = sorted(range(k), key=sums.__getitem__, reverse=True)
-    least = sums[order[-1]]
-    return Partial([sums[i] - least for i in order], left=a, right=b, order=order)
 
+def combine(a: Partial, b: Partial, k: int) -> Partial:
+    """The largest sum of one with the smallest of the other; of equal sums the first slot stays first."""
+    sums = a.take_sums(k) + b.take_sums(k)[::-1]
+    order = np.argsort(-sums, kind="stable")
+    sums = sums[order]
+    sums -= sums[-1]
+    return Partial(int(sums[0]), sums, left=a, right=b, order=order.astype(np.uint16))
 
-def difference(parts: list[Partial]) -> Partial:
+
+def difference(parts: list[Partial], k: int) -> Partial:
     """The differencing itself; ties go by position, so that a repeated task gives the same result."""
-    heap = [(-p.sums[0], i, p) for i, p in enumerate(parts)]
+    heap = [(-p.weight, i, p) for i, p in enumerate(parts)]
     heapq.heapify(heap)
     count = len(parts)
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
-        new = combine(a, b)
-        heapq.heappush(heap, (-new.sums[0], count, new))
+        new = combine(a, b, k)
+        heapq.heappush(heap, (-new.weight, count, new))
         count += 1
     return heap[0][2]
 
 
-def resolve(root: Partial) -> Iterator[tuple[object, list[int]]]:
-    """(item, slots) for each leaf: slots[i] is the final slot of the leaf's i-th largest sum."""
-    k = len(root.sums)
-    todo = [(root, list(range(k)))]
+def resolve(root: Partial, k: int) -> Iterator[tuple[int, int]]:
+    """(item, slot) for each leaf."""
+    todo = [(root, np.arange(k, dtype=np.uint16))]  # slots[i]: the final slot of the part's i-th largest sum
     while todo:
         part, slots = todo.pop()
         if part.left is None:
-            yield part.item, slots
+            yield part.item, int(slots[0])
             continue
-        left, right = [0] * k, [0] * k
-        for j, i in enumerate(part.order):
-            left[i] = right[k - 1 - i] = slots[j]
-        todo += [(part.left, left), (part.right, right)]
+        left = np.empty(k, dtype=np.uint16)
+        left[part.order] = slots
+        todo += [(part.left, left), (part.right, left[::-1])]
 
 
 def assign(weights: list[int], shards: int) -> list[int]:
     """The shard of each weight; one task's work."""
     out = [0] * len(weights)
     if weights:
-        root = difference([Partial([w] + [0] * (shards - 1), item=i) for i, w in enumerate(weights)])
-        for item, slots in resolve(root):
-            out[item] = slots[0]
+        for item, slot in resolve(difference([Partial(w, item=i) for i, w in enumerate(weights)], shards), shards):
+            out[item] = slot
     return out
 
 

@@ -23,6 +23,30 @@ def test_differencing_beats_greedy():
     assert sharding.assign([], 4) == [] and sharding.assign([5], 4) == [0]
 
 
+def plain_differencing(weights, k):
+    """By the definition: lists of (sum, members) per slot; the two with the largest spread are combined again and again."""
+    parts = [(w, i, [(w, [i])] + [(0, [])] * (k - 1)) for i, w in enumerate(weights)]
+    count = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        a, b = parts.pop(0)[2], parts.pop(0)[2]
+        new = sorted(((x + y, m + n) for (x, m), (y, n) in zip(a, reversed(b), strict=True)), key=lambda s: -s[0])
+        new = [(s - new[-1][0], m) for s, m in new]
+        parts.append((new[0][0], count, new))
+        count += 1
+    return sorted(sorted(m) for _, m in parts[0][2])
+
+
+def test_differencing_by_definition():
+    rng = random.Random(5)
+    for k in (2, 5, 16):
+        weights = [rng.randrange(1, 40) for _ in range(150)]
+        got = [[] for _ in range(k)]
+        for i, s in enumerate(sharding.assign(weights, k)):
+            got[s].append(i)
+        assert sorted(got) == plain_differencing(weights, k)
+
+
 def check(rows, got, shards):
     want = sorted(((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in rows), key=str)
     assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=str) == want
