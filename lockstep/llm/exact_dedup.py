@@ -4,9 +4,9 @@ Pass 1 turns each text into two bit positions and keeps the positions that were
 of the possibly repeated hashes.  Pass 2 probes that filter.  A row with a position that nobody else hit is certainly
 unique and passes straight through; only the others are shuffled, by the full SHA-256.
 
-Bounds.  The filter has 16 bits a row, at most MAX_BITS, stored as 4 KB bitmaps: the broadcast is 128 MB at most
-whatever the input.  Beyond 2^30 / 16 rows the filter fills up, more rows are "possible", and the result is still
-exact: the second phase decides by digest.  Copies learn their class by digest and salt, so that those of one text are
+Bounds.  A filter has 16 bits a row, at most MAX_BITS, stored as 4 KB bitmaps: the broadcast is 128 MB at most.  Beyond
+2^30 / 16 rows the digests are cut into slices, each with a filter of its own: rows are written once by slice, without a
+shuffle, and equal texts are in one slice, so that slices are decided one after the other, at full strength.  Copies learn their class by digest and salt, so that those of one text are
 dealt over SALTS tasks.  What pass 1 shuffles are positions (two longs a row, combined map-side, so
 that a hot text costs one row a task), never texts.
 
@@ -17,10 +17,12 @@ an empty result.  Other columns, whatever their names, are untouched.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, packed, stored, table, unpacked
+from .common import ascii_lower, new_path, packed, stored, table, unpacked
 
 BITS_PER_ROW = 16
 MIN_BITS = 1 << 15
@@ -69,10 +71,28 @@ def with_possible(df: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
     return out.withColumn("possible", bit[0] & bit[1]).drop("p0", "p1", "b0", "b1", "m0", "m1")
 
 
+def by_slice(rows: DataFrame, decide) -> DataFrame:
+    """decide(rows, bits) for rows with a column `sha`; slice by slice where one filter would be too large."""
+    n = rows.count()
+    slices = -(-n * BITS_PER_ROW // MAX_BITS)
+    if slices <= 1:
+        return decide(rows, filter_bits(n))
+    path = new_path(rows.sparkSession, "op4-slices")
+    rows.withColumn("slice of sha", F.pmod(F.xxhash64("sha", F.lit(3)), F.lit(slices))).write.partitionBy("slice of sha").parquet(path)
+    found = []
+    for k in range(slices):
+        part = rows.sparkSession.read.parquet(path).where(F.col("slice of sha") == k).drop("slice of sha")
+        found.append(stored(decide(part, filter_bits(part.count())), "op4-slice"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id (largest doc_id of its class), group_size, kept, text_sha256."""
     shas = stored(docs.select("doc_id", digest(F.col("text")).alias("sha")), "op4-digests")
-    bits = filter_bits(shas.count())
+    return by_slice(shas, _classes).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def _classes(shas: DataFrame, bits: int) -> DataFrame:
     bitmaps = stored(repeat_filter(shas, bits), "op4-filter")
     flagged = with_possible(shas, bitmaps, bits)
     alone = flagged.where("not possible").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
@@ -82,9 +102,7 @@ def classes(docs: DataFrame) -> DataFrame:
     salted = groups.where("group_size > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     several = maybe.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["sha", "salt"])
     several = several.select("doc_id", "keep_id", "group_size", "sha").unionByName(after_all)
-    return alone.unionByName(several).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
-    )
+    return alone.unionByName(several)
 
 
 def keep_last(docs: DataFrame) -> DataFrame:
@@ -93,12 +111,14 @@ def keep_last(docs: DataFrame) -> DataFrame:
     Certainly unique rows pass straight through.  The class of a possibly repeated row is one aggregate whose map side
     already leaves one row a text and task, so a hot text is not gathered anywhere.
     """
-    rows = packed(docs).withColumn("sha", digest(F.col("row.text")))
-    bits = filter_bits(docs.count())
-    bitmaps = stored(repeat_filter(docs.select(digest(F.col("text")).alias("sha")), bits), "op4-filter")
+    return unpacked(by_slice(packed(docs).withColumn("sha", digest(F.col("row.text"))), _keep_last))
+
+
+def _keep_last(rows: DataFrame, bits: int) -> DataFrame:
+    bitmaps = stored(repeat_filter(rows.select("sha"), bits), "op4-filter")
     flagged = with_possible(rows, bitmaps, bits)
     kept = flagged.where("possible").groupBy("sha").agg(F.max_by("row", F.struct("row.doc_id")).alias("row")).select("row")
-    return unpacked(flagged.where("not possible").select("row").unionByName(kept))
+    return flagged.where("not possible").select("row").unionByName(kept)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

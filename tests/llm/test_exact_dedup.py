@@ -38,8 +38,7 @@ def test_classes(spark):
 
 
 def test_full_filter_is_still_exact(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MAX_BITS", 64)
-    monkeypatch.setattr(exact_dedup, "MIN_BITS", 64)
+    monkeypatch.setattr(exact_dedup, "filter_bits", lambda rows: 64)
     got = exact_dedup.classes(spark.createDataFrame(rows(), SCHEMA)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_force(rows())
 
@@ -60,3 +59,12 @@ def test_keep_last(spark):
     assert sorted(((r.doc_id, hashlib.sha256(norm(r.text).encode()).hexdigest()) for r in kept.collect()), key=str) == want
     empty = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.classes(empty).count() == 0 and exact_dedup.keep_last(empty).count() == 0
+
+
+def test_slices_give_the_same(spark, monkeypatch):
+    frame = spark.createDataFrame(rows(), SCHEMA)
+    whole, kept = sorted(map(tuple, exact_dedup.classes(frame).collect()), key=str), sorted(map(tuple, exact_dedup.keep_last(frame).collect()), key=str)
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", 16 * (len(rows()) // 3))
+    assert sorted(map(tuple, exact_dedup.classes(frame).collect()), key=str) == whole
+    sliced = exact_dedup.keep_last(frame)
+    assert sliced.columns == frame.columns and sorted(map(tuple, sliced.collect()), key=str) == kept
