@@ -8,8 +8,8 @@ For each action a cascade over that universe is built: level 0 encodes the liste
 that level 0 lets through by mistake, level 2 the listed keys that level 1 lets through, and so on until none is left.
 Membership of any key of the corpus is then exact, and is a test of a few 64-bit words inside a projection: neither
 joins nor shuffles are needed to judge a url.  A filter is register-blocked: one word per key and level, MASK_BITS bits
-of it.  Its size follows the listed keys, not the corpus.  Rules are a list in the driver; one of more than MAX_LISTED
-keys is refused, since a literal of that size no longer fits a plan.
+of it.  Its size follows the listed keys, not the corpus.  Rules are a list in the driver; beyond MAX_LISTED keys an action has
+several cascades, each over a part of its keys, and a key is listed if one of them has it.
 
 Cases.  A null url or one without `://` has empty host and path; no rule fits and the verdict is the default.  Among
 fitting rules the longest text wins, then block before allow.  Empty tables give empty results; repeated rows are
@@ -18,6 +18,8 @@ judged each; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,7 @@ RULES = [
 ]
 BITS_PER_KEY = 32
 MASK_BITS = 8
-MAX_LISTED = 2_000_000
+MAX_LISTED = 2_000_000  # of one cascade, whose words are literals of 8 MB at most
 
 
 def url_host(url: Column) -> Column:
@@ -101,8 +103,6 @@ class Cascade:
         cascade = Cascade([])
         inside, others = listed, universe
         n = inside.count()
-        if n > MAX_LISTED:
-            raise ValueError(f"{n} listed keys; a cascade in a plan takes {MAX_LISTED} at most")
         while n:
             level = len(cascade.levels)
             words = max(1, -(-n * BITS_PER_KEY // 64))
@@ -119,6 +119,11 @@ class Cascade:
         return cascade
 
 
+def _listed(spark, keys: list[str]) -> DataFrame:
+    """The keys as a column of one literal."""
+    return spark.range(0, 1, 1, 1).select(F.explode(F.split(F.lit("\x01".join(keys)), "\x01")).alias("key"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow") -> DataFrame:
     """page_id, host, path, rule, verdict."""
     spark = pages.sparkSession
@@ -130,11 +135,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     universe = urls.select(F.explode(F.array(*keys)).alias("key")).where("key is not null")
     found = []
     for action in sorted({a for a, _ in rules}):
-        mine = [t for (a, _), t in zip(rules, texts, strict=True) if a == action]
-        cascade = Cascade.build(spark.createDataFrame([(t,) for t in mine], "key string"), universe)
+        mine = sorted({t for (a, _), t in zip(rules, texts, strict=True) if a == action})
+        cascades = [Cascade.build(_listed(spark, mine[k : k + MAX_LISTED]), universe) for k in range(0, len(mine), MAX_LISTED)]
         for key in keys:
             hit = F.struct(F.char_length(key).alias("size"), F.lit(action == "block").alias("first"), key.alias("rule"), F.lit(action).alias("verdict"))
-            found.append(F.when(key.isNotNull() & cascade.contains(key), hit))
+            found.append(F.when(key.isNotNull() & reduce(Column.__or__, [c.contains(key) for c in cascades]), hit))
     best = urls.withColumn("best", F.array_max(F.array(*found)))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 

@@ -38,6 +38,13 @@ def test_against_brute_force(spark):
     assert got == {r.page_id: brute_force(r.url, RULES) for r in rows}
 
 
+def test_many_cascades_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LISTED", 2)
+    rows = [Row(page_id=i // 2, url=u, host=1, key="k") for i, u in enumerate(urls()[:60])] * 2
+    got = sorted((tuple(r) for r in judge(spark.createDataFrame(rows, SCHEMA), RULES).collect()), key=str)
+    assert got == sorted(((r.page_id, *brute_force(r.url, RULES)) for r in rows), key=str)
+
+
 def test_equal_rules_and_none(spark):
     rows = spark.createDataFrame([Row(page_id=1, url="http://a.org/x", host=1, key="k")], SCHEMA)
     assert judge(rows, [("allow", "a.org/x"), ("block", "a.org/x")]).head().verdict == "block"
