@@ -2,8 +2,9 @@
 
 Each word of a text has a likelihood under each language: that of its letter trigrams (with word ends).  Expectation
 maximisation over the words gives the languages' proportions in the text; it is repeated for the one, two, ... most
-likely languages, and the set whose likelihood less a penalty (PENALTY x log(words) / 2 for each further language) is
-best is the text's language set.  Its main language is the prediction, its proportion over all languages the score.
+likely languages until the likelihood less a penalty (PENALTY x log(words) / 2 for each further language) no longer
+rises, whatever their number; the last set that raised it is the text's language set.  Its main language is the
+prediction (the first in the order of names if several are equally likely), its proportion over all languages the score.
 
 The model is a table of TABLE hashed trigrams a language.  It is fitted on at most TRAIN_DOCS labelled documents a
 language (those with the smallest hash of their text among those of at most TRAIN_CHARS characters): a bound that does
@@ -12,8 +13,8 @@ below a threshold that leaves about SPARE times as many as wanted are shuffled t
 uses nothing but the text.
 
 Cases.  A null text, or one without letters, is `und` with score 0; so is every text if no row has a label.  Null
-labels are not learned.  Null and repeated doc_ids are rows like any other; a null doc_id is not held out.  Empty
-tables give empty results; other columns do not matter.
+labels are not learned.  Null and repeated doc_ids and repeated rows are rows like any other; a null doc_id is not held
+out.  Empty tables give empty results; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ TRAIN_DOCS = 400
 TRAIN_CHARS = 20_000
 SPARE = 2.0
 ROUNDS = 12
-LARGEST_SET = 3
 PENALTY = 2.0
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -125,11 +125,17 @@ def infer(words: list[np.ndarray], languages: int) -> tuple[np.ndarray, np.ndarr
     best, chosen = np.full(len(some), -np.inf), np.zeros(len(some), dtype=int)
     rank = np.argsort(order, axis=1, kind="stable")
     top = np.zeros(len(some), dtype=int)
-    for k in range(1, min(languages, LARGEST_SET) + 1):
-        part, likelihood = _mixture(scores, starts, counts, (rank < k).astype(np.float64))
-        likelihood = likelihood - PENALTY * 0.5 * (k - 1) * np.log(counts)
-        better = likelihood > best
-        best[better], chosen[better], top[better] = likelihood[better], k, part.argmax(1)[better]
+    left = np.arange(len(some))  # texts whose last set was better than the one before
+    for k in range(1, languages + 1):
+        words_of = scores if len(left) == len(some) else scores[np.repeat(np.isin(np.arange(len(some)), left), counts)]
+        n = counts[left]
+        part, likelihood = _mixture(words_of, np.concatenate(([0], np.cumsum(n)[:-1])), n, (rank[left] < k).astype(np.float64))
+        likelihood = likelihood - PENALTY * 0.5 * (k - 1) * np.log(n)
+        better = likelihood > best[left]
+        left, part = left[better], part[better]
+        best[left], chosen[left], top[left] = likelihood[better], k, part.argmax(1)
+        if not len(left):
+            break
     main[some], share[some], size[some] = top, weights[np.arange(len(some)), top], chosen
     return main, share, size
 
@@ -185,9 +191,13 @@ def predictions(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "p.lang_pred", F.least(F.col("p.score"), F.lit(1.0)).alias("score"), "p.n_langs")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """docs whose text has a language that makes up at least `least_score` of it; all columns."""
-    predict = predictor(*learn(docs))
+def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
+    """docs whose text has a language, one that makes up at least `least_score` of it; all columns.  If no row has a label
+    there is nothing to learn languages from, and all texts with a letter stay."""
+    names, model = learn(docs)
+    if not names:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    predict = predictor(names, model)
     rows = packed(docs).withColumn("p", predict("row.text"))
     return unpacked(rows.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least_score)).select("row"))
 

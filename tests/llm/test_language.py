@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -43,6 +44,49 @@ def test_mixture_proportions():
     assert share[0] == pytest.approx(0.75, abs=0.05) and list(size) == [2, 1, 0]
 
 
+def plain_inference(scores):
+    """Main language, its proportion and the size of the set of one text by loops: EM over all languages, then over the
+    one, two, ... most likely ones until the penalised likelihood falls."""
+    n, k = len(scores), len(scores[0])
+    rel = [[math.exp(max(x - max(row), -50)) for x in row] for row in scores]
+
+    def em(allowed):
+        w = [1 / len(allowed) if j in allowed else 0.0 for j in range(k)]
+        for _ in range(language.ROUNDS):
+            new = [0.0] * k
+            for row in rel:
+                total = sum(a * b for a, b in zip(row, w))
+                for j in range(k):
+                    new[j] += row[j] * w[j] / total
+            w = [x / n for x in new]
+        return w, sum(math.log(sum(a * b for a, b in zip(row, w))) for row in rel)
+
+    weights, _ = em(range(k))
+    order = sorted(range(k), key=lambda j: -weights[j])
+    best, top, size = -math.inf, None, 0
+    for m in range(1, k + 1):
+        part, likelihood = em(order[:m])
+        likelihood -= language.PENALTY / 2 * (m - 1) * math.log(n)
+        if likelihood <= best:
+            break
+        best, top, size = likelihood, max(range(k), key=lambda j: part[j]), m
+    return top, weights[top], size
+
+
+def test_against_plain_loops():
+    rng = random.Random(4)
+    more = SYLLABLES | {"dd": ["zr", "ksa", "vy"], "ee": ["oio", "uu", "wa"]}
+    names, model = language.fit({k: [" ".join("".join(rng.choice(more[k]) for _ in range(3)) for _ in range(800))] for k in more})
+    made = lambda k, n: " ".join("".join(rng.choice(more[k]) for _ in range(3)) for _ in range(n))
+    texts = [made(rng.choice(list(more)), rng.randrange(1, 30)) for _ in range(12)] + [" ".join(made(k, 40) for k in more), " ".join(made(k, 25) for k in ("aa", "dd", "ee")), "x"]
+    words = [language.word_scores(x, model) for x in texts]
+    main, share, size = language.infer(words, len(names))
+    for i, w in enumerate(words):
+        top, part, k = plain_inference(w.astype(float).tolist())
+        assert (int(main[i]), int(size[i])) == (top, k) and abs(share[i] - part) < 1e-6
+    assert size[12] == 5 and size[13] == 3
+
+
 def test_pieces_change_nothing(monkeypatch):
     rng = random.Random(3)
     names, model = language.fit({k: [text(rng, k, 500)] for k in SYLLABLES})
@@ -62,3 +106,4 @@ def test_filter_and_empty(spark):
     assert language.predictions(empty).count() == 0
     unlabelled = spark.createDataFrame([Row(doc_id=1, text="the", lang=None, p="", row=1)], SCHEMA)
     assert [tuple(r) for r in language.predictions(unlabelled).select("lang_pred", "score").collect()] == [("und", 0.0)]
+    assert [r.doc_id for r in language.keep_identified(unlabelled.union(spark.createDataFrame([Row(doc_id=2, text="12", lang=None, p="", row=1)], SCHEMA))).collect()] == [1]
