@@ -1,16 +1,18 @@
 """An adaptive context-mixing range coder for token ids, run over many blocks in step.
 
-Blocks are independent: each starts with an empty model and can be decoded alone.  An id is coded in one or two steps:
+Blocks are independent: each starts with an empty model and can be decoded alone.  An id is coded in one or two parts:
 
 1. Two tables give the ids last seen behind the two ids before (order 2) and the one before (order 1), each with a
    confidence 0..7.  Whether order 2 is right, else order 1, else neither is one three-way decision.  Each order has
    adaptive probabilities for it by confidence; their mixture, with a weight that follows whichever predicted better,
    drives the coder.
-2. If neither is right, the id is coded by order 0: its count in the block so far.  Counts become cumulative ones at
-   fixed places (`REFRESH`), so that a step costs two look-ups.
+2. If neither is right, the id is coded by order 0: an id that the block has had takes the places that it has in the
+   sorted ids so far, others are equally likely.  The ids are sorted anew at fixed places (`REFRESH`), so that finding
+   an id is a look-up.
 
-All arithmetic is on integers, so that decoding does not depend on the machine.  The coder has 48 bits and moves 16 at
-a time; a carry goes into words already put out.  NumPy runs a step for all blocks of a group at once.
+All arithmetic is on integers, so that decoding does not depend on the machine.  The range has 48 bits and moves 16 at a
+time; carries stay in the words put out (which may exceed 16 bits) and are settled at the end.  NumPy runs a step for all
+blocks of a batch at once; a batch has at most LANES blocks, fewer where the alphabet is large (CELLS).
 """
 
 from __future__ import annotations
@@ -19,211 +21,286 @@ import numpy as np
 
 BLOCK = 8192  # ids a block, at most
 LANES = 2048  # blocks of a group
-WEIGHT = 96  # of a seen id against an unseen one
-SLOTS1, SLOTS2 = 12, 13  # bits
-FULL, LOW = (1 << 48) - 1, 1 << 32
-REFRESH = frozenset([16, 32, 64, 128, 256, 512, 1024, 2048, 3072, 4096, 5120, 6144, 7168])
-CHANCE = 4096
-TOTAL = CHANCE + 24  # none of the three decisions is ever without a chance
-U = np.uint64
-_ONE = np.uint16(1)
+CELLS = 1 << 24  # blocks x ids of the alphabet in one batch
+AHEAD = 64  # steps whose places are looked up at once when encoding
+SEEN = 6  # an id that was seen weighs 2^SEEN for each time, one that was not 1
+SLOTS1, SLOTS2 = 11, 12  # bits
+TOP, KEPT = 1 << 48, 32  # the range is at most TOP and at least 2^KEPT before a step
+ALPHABET = 1 << 20  # ids at most, so that each of them always has a part of the range
+REFRESH = frozenset([16, 64, 256, 1024, 2048, 4096, 6144])
+CHANCE = 12  # bits
+RATE, HIT = 5, 126  # p -= p / 2^RATE, and the one that was right gains HIT: two chances are 4094 of 4096 at most
+_FIELD = (1 << 32) - 1
+_CHANGE = np.array([-(c + 1 >> 1) for c in range(8)] + [1] * 7 + [0], dtype=np.int32)
+_FRESH, _RIGHT = np.int32(1), np.int32(8)
+_PART = 0xFFFF >> RATE << 32 | 0xFFFF >> RATE  # of two chances in one word
 
 
 class _Model:
-    def __init__(self, lanes: int, vocabulary: int):
-        self.vocabulary = vocabulary
-        self.rows = np.arange(lanes)
-        self.counts = np.zeros((lanes, vocabulary), dtype=np.uint16)
-        self.before = np.zeros((lanes, vocabulary + 1), dtype=np.uint16)  # exclusive cumulative counts as of the last refresh
-        self.flat = self.before.reshape(-1)
-        self.seen = 0
-        self.tables = [np.zeros(lanes << SLOTS1, dtype=np.int32), np.zeros(lanes << SLOTS2, dtype=np.int32)]  # id * 8 + confidence
-        self.bases = self.rows << SLOTS1, self.rows << SLOTS2, self.rows << 4
-        # chances, of CHANCE, that order 2 is right, and that order 1 is and order 2 is not: as either order's confidence tells
-        self.right2 = [np.full(lanes << 4, CHANCE // 3, dtype=np.int64) for _ in (1, 2)]
-        self.right1 = [np.full(lanes << 4, CHANCE // 3, dtype=np.int64) for _ in (1, 2)]
+    def __init__(self, lanes: int, vocabulary: int, longest: int, encodes: bool):
+        self.vocabulary, self.lanes = vocabulary, lanes
+        self.small = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        self.ids = np.zeros((longest, lanes), dtype=self.small)
+        self.tables = np.zeros(lanes << SLOTS1, dtype=np.int32), np.zeros(lanes << SLOTS2, dtype=np.int32)  # id * 8 + confidence
+        start = (1 << CHANCE) // 3
+        # chances that order 2 is right (high half) and that order 1 is and order 2 is not: as either order's confidence tells
+        self.chances = [np.full(lanes << 4, start << 32 | start, dtype=np.int64) for _ in (1, 2)]
+        # order 0: by id (to encode) first place << 16 | times; by place (to decode) the same with the id << 32
+        self.encodes, self.seen = encodes, 0
+        self.places = np.zeros(lanes * vocabulary, dtype=np.int32) if encodes else None
+        self.sorted = np.empty(0, dtype=np.int64)
         self.weight = np.full(lanes, 32, dtype=np.int64)
-        self.last, self.last2 = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes: the ids of order 1 and 2 (negative: none), and the mixed sizes, of TOTAL, of the
-        decisions that order 2 is right and that order 1 is."""
-        last = self.last[:n]
-        base1, base2, base = (b[:n] for b in self.bases)
-        self.at = (
-            base1 + (last * 40503 >> 4 & (1 << SLOTS1) - 1),
-            base2 + ((last * 2654435761 + self.last2[:n] * 2246822519 & 0xFFFFFFFF) >> 32 - SLOTS2),
+        ids = np.arange(vocabulary, dtype=np.int64)
+        self.hash1 = (ids * 40503 >> 3) & ((1 << SLOTS1) - 1)
+        self.hash2, self.hash3 = ((ids * x >> 11) & ((1 << SLOTS2) - 1) for x in (2654435761, 2246822519))
+        self.narrow(lanes)
+
+    def narrow(self, n: int) -> None:
+        """Only the first n lanes go on."""
+        rows = np.arange(n)
+        self.n, self.rows, self.base0 = n, rows, rows * self.vocabulary
+        self.base1, self.base2, self.base = rows << SLOTS1, rows << SLOTS2, rows << 4
+        self.weight = self.weight[:n]
+
+    def refresh(self, t: int) -> None:
+        """Sorts what each lane has had in t steps."""
+        self.seen = t
+        ids = np.sort(np.ascontiguousarray(self.ids[:t, : self.n].T), axis=1, kind="stable")
+        new = np.ones(ids.shape, dtype=bool)
+        np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+        at = np.flatnonzero(new)
+        ids = ids.reshape(-1)[at].astype(np.int64)
+        times, lane = np.diff(np.append(at, self.n * t)), at // t
+        found = (at - lane * t) << 16 | times
+        if self.encodes:
+            self.places[lane * self.vocabulary + ids] = found
+        else:
+            self.sorted = np.repeat(ids << 32 | found, times)
+
+    @property
+    def total(self) -> int:
+        return (self.seen << SEEN) + self.vocabulary
+
+    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order 0: start and size, of total, of an id in each lane."""
+        got = self.places.take(self.base0 + ids)
+        known = got > 0
+        return np.where(known, got >> 16 << SEEN, ids + (self.seen << SEEN)), np.where(known, (got & 0xFFFF) << SEEN, 1)
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order 0: the id whose span holds the value, its start and size."""
+        if not self.seen:
+            return value, value, np.ones_like(value)
+        place = value >> SEEN
+        known = place < self.seen
+        got = self.sorted.take(np.minimum(place, self.seen - 1) + self.firsts)
+        return (
+            np.where(known, got >> 32, value - (self.seen << SEEN)),
+            np.where(known, (got >> (16 - SEEN)) & (0xFFFF << SEEN), value),
+            np.where(known, (got & 0xFFFF) << SEEN, 1),
         )
-        one, two = self.got = self.tables[0].take(self.at[0]), self.tables[1].take(self.at[1])
+
+    def slots(self, last: np.ndarray, last2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the tables of order 1 and 2."""
+        return self.base1 + self.hash1.take(last), self.base2 + (self.hash2.take(last) ^ self.hash3.take(last2))
+
+    def predict(self, slots: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of order 2 and 1, and the mixed chances, of 2^CHANCE, that order 2 is right and that order 1 is."""
+        self.at = slots
+        one, two = self.got = self.tables[0].take(slots[0]), self.tables[1].take(slots[1])
         conf1, conf2 = self.conf = one & 7, two & 7
-        id1, id2 = (one >> 3) - ((conf1 == 0) << 20), (two >> 3) - ((conf2 == 0) << 20)
-        base = base + ((id1 == id2) << 3)
-        self.ctx = base + conf1, base + conf2
-        self.p2 = [c.take(x) for c, x in zip(self.right2, self.ctx)]
-        self.p1 = [c.take(x) for c, x in zip(self.right1, self.ctx)]
-        w = self.weight[:n]
-        size2 = (self.p2[0] << 6) + w * (self.p2[1] - self.p2[0]) >> 6
-        size1 = (self.p1[0] << 6) + w * (self.p1[1] - self.p1[0]) >> 6
-        return id1, id2, size2 + 8, size1 + 8
-
-    def learn(self, n: int, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        hit2, hit1 = is2 * CHANCE, is1 * CHANCE
+        id1, id2 = self.id = one >> 3, two >> 3
+        same = (id1 == id2).view(np.int8) * _RIGHT
+        self.ctx = self.base + (same + conf1), self.base + (same + conf2)
+        p, q = self.p = self.chances[0].take(self.ctx[0]), self.chances[1].take(self.ctx[1])
+        self.gap = q - p
+        mixed = (p << 6) + self.gap * self.weight
+        return id2, id1, mixed >> 38, (mixed & _FIELD) >> 6
+
+    def learn(self, ids: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
+        """ids: int32."""
         # the weight follows the order that gave the decision the greater chance
-        better = np.where(is2, self.p2[1] - self.p2[0], np.where(is1, self.p1[1] - self.p1[0], self.p2[0] + self.p1[0] - self.p2[1] - self.p1[1]))
-        w = self.weight[:n]
-        w += better > 0
-        w -= better < 0
-        np.minimum(np.maximum(w, 4, out=w), 60, out=w)
+        one = (self.gap << 32 >> 32).astype(np.int32)
+        two = (self.gap - one >> 32).astype(np.int32)
+        w = self.weight
+        w += np.sign(np.where(is2, two, np.where(is1, one, -two - one)))
+        np.minimum(w, 60, out=w)
+        np.maximum(w, 4, out=w)
+        gain = is2 * (HIT << 32) + is1 * HIT
+        fresh = (ids << 3) + _FRESH
         for k in (0, 1):
-            self.right2[k][self.ctx[k]] = self.p2[k] + (hit2 - self.p2[k] >> 5)
-            self.right1[k][self.ctx[k]] = self.p1[k] + (hit1 - self.p1[k] >> 5)
-            got, conf = self.got[k], self.conf[k]
+            x = self.p[k]
+            self.chances[k][self.ctx[k]] = x - (x >> RATE & _PART) + gain
             # right: more confidence, up to 7; wrong: half of it, and a new id once there is none
-            right = (got >> 3 == ids) & (conf > 0)
-            self.tables[k][self.at[k]] = np.where(right, got + (conf < 7), np.where(conf > 1, got - conf + (conf >> 1), (ids << 3) + 1))
-        self.counts[self.rows[:n], ids] += _ONE
-        self.last2[:n] = self.last[:n]
-        self.last[:n] = ids
+            case = self.conf[k] + (self.id[k] == ids).view(np.int8) * _RIGHT
+            self.tables[k][self.at[k]] = np.where(case > 1, self.got[k] + _CHANGE.take(case), fresh)
 
-    def refresh(self, n: int, seen: int) -> None:
-        np.cumsum(self.counts[:n], axis=1, dtype=np.uint16, out=self.before[:n, 1:])
-        self.seen = seen
 
-    @property
-    def total(self) -> int:
-        return self.vocabulary + WEIGHT * self.seen
-
-    def _low(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return self.flat.take(rows * (self.vocabulary + 1) + ids).astype(np.int64) * WEIGHT + ids
+def _batches(sizes: list[int], vocabulary: int) -> list[list[int]]:
+    """Numbers of the blocks, the longest first, in batches."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    lanes = max(64, min(LANES, CELLS // max(1, vocabulary)))
+    return [order[a : a + lanes] for a in range(0, len(order), lanes)]
 
-    def span(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low = self._low(rows, ids)
-        return low, self._low(rows, ids + 1) - low
 
-    def find(self, rows: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The id whose span holds the value."""
-        base = rows * (self.vocabulary + 1)
-        at = np.zeros(len(rows), dtype=np.int64)
-        step = 1 << (self.vocabulary - 1).bit_length() - 1 if self.vocabulary > 1 else 0
-        while step:
-            to = np.minimum(at + step, self.vocabulary)
-            below = self.flat.take(base + to).astype(np.int64) * WEIGHT + to <= value
-            at = np.where(below, to, at)
-            step >>= 1
-        return at
+def _steps(lengths: np.ndarray, model: _Model):
+    """The steps, with the lanes narrowed and order 0 refreshed where it is time."""
+    n = len(lengths)
+    for t in range(int(lengths[0])):
+        while lengths[n - 1] <= t:
+            n -= 1
+        if n < model.n:
+            model.narrow(n)
+            model.firsts = model.rows * model.seen
+        if t in REFRESH:
+            model.refresh(t)
+            model.firsts = model.rows * t
+        yield t, n
 
 
 def encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
-    """The payload of each block (at most LANES blocks of at most BLOCK ids below `vocabulary`)."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lengths = np.array([len(blocks[i]) for i in order])
-    longest = int(lengths[0]) if len(order) else 0
-    ids = np.zeros((longest, len(order)), dtype=np.int64)
-    for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-    model = _Model(len(order), vocabulary)
-    low, span = np.zeros(len(order), dtype=U), np.full(len(order), FULL, dtype=U)
-    out = np.zeros((len(order), longest * 2 + 8), dtype=np.uint16)
-    used = np.zeros(len(order), dtype=np.int64)
-
-    def put(rows, start, size, total) -> None:
-        r = span[rows] // total
-        now = low[rows] + r * start
-        wide = r * size
-        over = np.flatnonzero(now > FULL)
-        if len(over):
-            now[over] &= U(FULL)
-            for lane in rows[over].tolist():
-                k = used[lane] - 1
-                while out[lane, k] == 0xFFFF:
-                    out[lane, k] = 0
-                    k -= 1
-                out[lane, k] += 1
-        short = np.flatnonzero(wide < LOW)
-        while len(short):
-            lanes = rows[short]
-            out[lanes, used[lanes]] = now[short] >> U(32)
-            used[lanes] += 1
-            now[short] = now[short] << U(16) & U(FULL)
-            wide[short] <<= U(16)
-            short = short[wide[short] < LOW]
-        low[rows], span[rows] = now, wide
-
-    for t in range(longest):
-        n = int(np.searchsorted(-lengths, -t, "left"))
-        if t in REFRESH:
-            model.refresh(n, t)
-        real = ids[t, :n]
-        id1, id2, size2, size1 = model.predict(n)
-        is2 = real == id2
-        is1 = (real == id1) & ~is2
-        start = np.where(is2, 0, np.where(is1, size2, size2 + size1))
-        size = np.where(is2, size2, np.where(is1, size1, TOTAL - size2 - size1))
-        put(model.rows[:n], start.astype(U), size.astype(U), U(TOTAL))
-        miss = np.flatnonzero(~(is2 | is1))
-        if len(miss):
-            start, size = model.span(miss, real[miss])
-            put(miss, start.astype(U), size.astype(U), U(model.total))
-        model.learn(n, real, is2, is1)
+    """The payload of each block (at most BLOCK ids below `vocabulary` each)."""
+    if vocabulary > ALPHABET:
+        raise ValueError(f"{vocabulary} ids; an alphabet has {ALPHABET} at most")
     payloads: list[bytes] = [b""] * len(blocks)
-    for lane, i in enumerate(order):
-        tail = int(low[lane])
-        out[lane, used[lane] : used[lane] + 3] = [tail >> 32, tail >> 16 & 0xFFFF, tail & 0xFFFF]
-        payloads[i] = out[lane, : used[lane] + 3].astype("<u2").tobytes()
+    for batch in _batches([len(b) for b in blocks], vocabulary):
+        for i, data in zip(batch, _encode([blocks[i] for i in batch], vocabulary), strict=True):
+            payloads[i] = data
     return payloads
 
 
+def _encode(blocks: list[np.ndarray], vocabulary: int) -> list[bytes]:
+    lengths = np.array([len(b) for b in blocks])
+    if not lengths[0]:
+        return [b""] * len(blocks)
+    lanes = len(blocks)
+    model = _Model(lanes, vocabulary, int(lengths[0]), True)
+    for lane, b in enumerate(blocks):
+        model.ids[: len(b), lane] = b
+    low, span = np.zeros(lanes, dtype=np.int64), np.full(lanes, TOP, dtype=np.int64)
+    room = 256
+    out = np.zeros(room * lanes, dtype=np.int32)  # word by word: all lanes' first ones, then all second ones, ...
+    at = np.arange(lanes)  # where each lane's next word goes
+    full = (room - 8) * lanes
+    begin, ahead = 0, 0
+    for t, n in _steps(lengths, model):
+        if n < len(low):
+            _finish(out, low[n:], at[n:], lanes)
+            low, span, at = low[:n], span[:n], at[:n]
+            ahead = t
+        if t >= ahead or t in REFRESH:  # what depends on the ids alone, for some steps at once
+            begin, ahead = t, min(t + AHEAD, len(model.ids))
+            ids = model.ids[begin:ahead, :n].astype(np.int32)
+            starts, sizes = model.span(ids)
+            before = np.zeros((ahead - begin + 2, n), dtype=model.small)
+            before[max(0, 2 - begin) :] = model.ids[max(0, begin - 2) : ahead, :n]
+            slots = model.slots(before[1:-1], before[:-2])
+        k = t - begin
+        real = ids[k]
+        id2, id1, size2, size1 = model.predict((slots[0][k], slots[1][k]))
+        is2 = real == id2
+        miss2 = ~is2
+        is1 = (real == id1) & miss2
+        miss = miss2 ^ is1
+        r = span >> CHANCE
+        low = low + r * (miss2 * size2 + miss * size1)
+        r *= np.where(is2, size2, np.where(is1, size1, (1 << CHANCE) - size1 - size2))
+        total = model.total
+        r //= total
+        low += r * (starts[k] * miss)
+        span = r * np.where(miss, sizes[k], total)
+        short = span < 1 << KEPT
+        out[at] = (low >> KEPT).astype(np.int32)  # stays only where the place moves on
+        at = at + short * lanes
+        low = np.where(short, (low & (1 << KEPT) - 1) << 16, low)
+        span <<= short * 16
+        short = span < 1 << KEPT
+        if short.any():
+            rest = np.flatnonzero(short)
+            while len(rest):
+                out[at[rest]] = low[rest] >> KEPT
+                at[rest] += lanes
+                low[rest] = (low[rest] & (1 << KEPT) - 1) << 16
+                span[rest] <<= 16
+                rest = rest[span[rest] < 1 << KEPT]
+        if t % 2 == 0 and at.max() >= full:
+            out = np.concatenate([out, np.zeros(len(out), dtype=np.int32)])
+            full = len(out) - 8 * lanes
+        model.learn(real, is2, is1)
+    _finish(out, low, at, lanes)
+    words = out.reshape(-1, lanes)
+    for k in range(len(words) - 1, 0, -1):  # carries, from the last word to the first
+        words[k - 1] += words[k] >> 16
+        words[k] &= 0xFFFF
+    words = words.astype("<u2")
+    return [words[:used, lane].tobytes() for lane, used in enumerate(_lengths(words).tolist())]
+
+
+def _finish(out: np.ndarray, low: np.ndarray, at: np.ndarray, lanes: int) -> None:
+    """Puts out what is left of each lane's low end."""
+    out[at], out[at + lanes], out[at + 2 * lanes] = low >> 32, low >> 16 & 0xFFFF, low & 0xFFFF
+
+
+def _lengths(words: np.ndarray) -> np.ndarray:
+    """Words of each lane up to its last one that is not zero; the decoder reads zeros behind the end."""
+    some = words != 0
+    return np.where(some.any(0), len(words) - np.argmax(some[::-1], axis=0), 0)
+
+
 def decode(payloads: list[bytes], counts: list[int], vocabulary: int) -> list[np.ndarray]:
-    order = sorted(range(len(payloads)), key=lambda i: -counts[i])
-    lengths = np.array([counts[i] for i in order])
-    longest = int(lengths[0]) if len(order) else 0
-    words = np.zeros((len(order), max((len(p) // 2 for p in payloads), default=0) + 8), dtype=U)
-    for lane, i in enumerate(order):
-        words[lane, : len(payloads[i]) // 2] = np.frombuffer(payloads[i], dtype="<u2")
-    model = _Model(len(order), vocabulary)
-    code = words[:, 0] << U(32) | words[:, 1] << U(16) | words[:, 2]
-    used = np.full(len(order), 3, dtype=np.int64)
-    span = np.full(len(order), FULL, dtype=U)
-    ids = np.zeros((longest, len(order)), dtype=np.int64)
-    last = words.shape[1] - 1
-
-    def take(rows, r, start, size) -> None:
-        now, wide = code[rows] - r * start, r * size
-        short = np.flatnonzero(wide < LOW)
-        while len(short):
-            lanes = rows[short]
-            now[short] = now[short] << U(16) | words[lanes, np.minimum(used[lanes], last)]
-            used[lanes] += 1
-            wide[short] <<= U(16)
-            short = short[wide[short] < LOW]
-        code[rows], span[rows] = now, wide
-
-    for t in range(longest):
-        n = int(np.searchsorted(-lengths, -t, "left"))
-        if t in REFRESH:
-            model.refresh(n, t)
-        id1, id2, size2, size1 = model.predict(n)
-        r = span[:n] // U(TOTAL)
-        value = np.minimum(code[:n] // r, U(TOTAL - 1)).astype(np.int64)
-        is2 = value < size2
-        is1 = (value < size2 + size1) & ~is2
-        start = np.where(is2, 0, np.where(is1, size2, size2 + size1))
-        size = np.where(is2, size2, np.where(is1, size1, TOTAL - size2 - size1))
-        take(model.rows[:n], r, start.astype(U), size.astype(U))
-        real = np.where(is2, id2, id1)
-        miss = np.flatnonzero(~(is2 | is1))
-        if len(miss):
-            r = span[miss] // U(model.total)
-            value = np.minimum(code[miss] // r, U(model.total - 1)).astype(np.int64)
-            found = model.find(miss, value)
-            start, size = model.span(miss, found)
-            take(miss, r, start.astype(U), size.astype(U))
-            real[miss] = found
-        if int(real.min(initial=0)) < 0:
-            raise ValueError("damaged block")
-        ids[t, :n] = real
-        model.learn(n, real, is2, is1)
     found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(payloads)
-    for lane, i in enumerate(order):
-        found[i] = ids[: counts[i], lane].astype(np.uint32)
+    for batch in _batches(counts, vocabulary):
+        for i, ids in zip(batch, _decode([payloads[i] for i in batch], [counts[i] for i in batch], vocabulary), strict=True):
+            found[i] = ids
     return found
+
+
+def _decode(payloads: list[bytes], counts: list[int], vocabulary: int) -> list[np.ndarray]:
+    lengths = np.array(counts)
+    if not lengths[0]:
+        return [np.empty(0, np.uint32)] * len(payloads)
+    lanes = len(payloads)
+    words = np.zeros((max(len(p) // 2 for p in payloads) + 8, lanes), dtype=np.uint16)
+    for lane, p in enumerate(payloads):
+        words[: len(p) // 2, lane] = np.frombuffer(p, dtype="<u2")
+    last = (len(words) - 1) * lanes
+    words = words.reshape(-1)
+    model = _Model(lanes, vocabulary, int(lengths[0]), False)
+    word = lambda at: words.take(np.minimum(at, last + at % lanes)).astype(np.int64)  # noqa: E731  zeros behind the end
+    at = np.arange(lanes)
+    code = word(at) << 32 | word(at + lanes) << 16 | word(at + 2 * lanes)
+    at += 3 * lanes
+    span = np.full(lanes, TOP, dtype=np.int64)
+    real = before = np.zeros(lanes, dtype=np.int32)
+    for t, n in _steps(lengths, model):
+        if n < len(code):
+            code, span, at, real, before = code[:n], span[:n], at[:n], real[:n], before[:n]
+        id2, id1, size2, size1 = model.predict(model.slots(real, before))
+        both = size2 + size1
+        r = span >> CHANCE
+        is2 = code < r * size2
+        miss = code >= r * both
+        miss2 = ~is2
+        is1 = miss2 ^ miss
+        code = code - r * (miss2 * size2 + miss * size1)
+        r *= np.where(is2, size2, np.where(is1, size1, (1 << CHANCE) - both))
+        total = model.total
+        r //= total
+        value = np.minimum((code.view(np.uint64) // r.view(np.uint64)).view(np.int64), total - 1)
+        found, start, size = model.find(value)
+        real, before = np.where(is2, id2, np.where(is1, id1, found)).astype(np.int32), real
+        if int(real.max()) >= vocabulary or int(real.min()) < 0:
+            raise ValueError("damaged block")
+        code -= r * (start * miss)
+        span = r * np.where(miss, size, total)
+        short = span < 1 << KEPT
+        if short.any():
+            rest = np.flatnonzero(short)
+            while len(rest):
+                code[rest] = code[rest] << 16 | word(at[rest])
+                at[rest] += lanes
+                span[rest] <<= 16
+                rest = rest[span[rest] < 1 << KEPT]
+        model.ids[t, :n] = real
+        model.learn(real, is2, is1)
+    return [model.ids[:count, lane].astype(np.uint32) for lane, count in enumerate(counts)]

@@ -9,8 +9,8 @@ temporary name in the shared folder, then renames it, so that a repeated task le
 by a group (range_coder.LANES blocks) and ROWS texts.  Reading: a task a file, a group at a time.
 
 Tokenising is the library's.  Texts of plain Latin characters, where lower-casing and splitting are beyond doubt the
-same and that hold no special token, are split here and only words not seen before go to the library; all other texts
-go to it whole.
+same and that hold no special token, are split here at white space, and only what is new of their parts goes to the
+library, many at once (the end of a word shows in its last id); all other texts go to it whole.
 
 Cases.  Null and empty texts are the end id alone.  Null doc_ids come first, repeated ones in any order.  Empty tables
 write no file and give empty results.  Other columns are ignored.
@@ -35,12 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import new_path, stored, table
+from .common import Memo, new_path, slices, stored, table
 
-MAGIC = b"LKSTID1\n"
+MAGIC = b"LKSTID2\n"
 END_ID = 1
-ROWS = 500
-MEMO = 300_000
+MEMO = 40 << 20  # bytes
 #: The tokenizer file's own split pattern, as it reads on PLAIN texts; what it leaves out is white space.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Latin letters, digits, punctuation; not the superscripts and fractions, which `re` takes for letters.
@@ -60,30 +59,47 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.added = [str(t).lower() for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        words = self.library.get_vocab()
+        self.size = max(words.values(), default=0) + 1
+        self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.ends = np.zeros(self.size, dtype=bool)
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.memo = Memo(MEMO)
         probe = "It's a Test, naïve-ÉCOLE 12 don't_x…"
         self.splits = [w for w in SPLIT.findall(probe.lower())] == [
             unicodedata.normalize("NFC", probe.lower())[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(probe.lower())
         ]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words (each one match of SPLIT), many in one call where each word's last id, and no other, is one
+        that ends a word."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+            groups = [some[a : a + 128] for a in range(0, len(some), 128)]
+            for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, dtype=self.kind)
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                else:
+                    out += [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(group, add_special_tokens=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         lower = [t.lower() for t in texts]
         plain = [i for i, t in enumerate(texts) if self.splits and PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) and not any(a in lower[i] for a in self.added)]
-        words = [SPLIT.findall(lower[i]) for i in plain]
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        new = set(chain.from_iterable(words)) - self.memo.keys()
-        known = new & self.older.keys()
-        self.memo.update((w, self.older[w]) for w in known)
-        new = list(new - known)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            self.memo.update(zip(some, (tuple(e.ids) for e in self.library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        look = self.memo.__getitem__
-        for i, w in zip(plain, words, strict=True):
-            out[i] = np.fromiter(chain.from_iterable(map(look, w)), np.uint32)
+        parts = [lower[i].split() for i in plain]
+        memo = self.memo
+        memo.turn()
+        several = {p: SPLIT.findall(p) for p in memo.missing(set(chain.from_iterable(parts)))}
+        words = sorted(memo.missing(set(chain.from_iterable(several.values()))))
+        memo.put(zip(words, self._words(words), strict=True))
+        look = memo.new.__getitem__
+        memo.put([(p, b"".join(map(look, w))) for p, w in several.items() if len(w) > 1 or w[0] != p])
+        for i, p in zip(plain, parts, strict=True):
+            out[i] = np.frombuffer(b"".join(map(look, p)), self.kind).astype(np.uint32)
         seen = set(plain)
         rest = [i for i in range(len(texts)) if i not in seen]
         for i, e in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
@@ -117,8 +133,12 @@ def _unpacked(f) -> bytes:
 
 def group_bytes(ids: np.ndarray) -> bytes:
     """One group of at most LANES x BLOCK ids.  A short group has shorter blocks, so that it has many of them still."""
-    length = max(1024, min(range_coder.BLOCK, -(-len(ids) // 128)))
-    alphabet, dense = np.unique(ids, return_inverse=True)
+    length = max(2048, min(range_coder.BLOCK, -(-len(ids) // range_coder.LANES)))
+    times = np.bincount(ids)
+    alphabet = np.flatnonzero(times)
+    place = np.zeros(len(times), dtype=np.uint32)
+    place[alphabet] = np.arange(len(alphabet))
+    dense = place[ids]
     blocks = [dense[a : a + length] for a in range(0, len(ids), length)]
     payloads = range_coder.encode(blocks, len(alphabet))
     table = [(len(b), len(p), zlib.crc32(ids[a : a + length].astype("<u4").tobytes())) for a, b, p in zip(range(0, len(ids), length), blocks, payloads, strict=True)]
@@ -145,7 +165,7 @@ def read_group(f) -> np.ndarray | None:
 def write_file(f, docs: Iterator[tuple[int | None, np.ndarray]]) -> tuple[int, int]:
     """Writes the documents' ids; returns (documents, ids)."""
     f.write(MAGIC)
-    limit = range_coder.LANES * range_coder.BLOCK
+    limit = range_coder.LANES * range_coder.BLOCK // 2
     names, sizes, held, n = [], [], [], 0
 
     def flush(all_: bool) -> None:
@@ -195,7 +215,7 @@ def read_file(f, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
 def _writer(folder: str, tokenizer: str):
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         tokens = loaded(tokenizer)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in slices(batches):
             ids = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
             for name, some in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 yield name, np.append(some, np.uint32(END_ID))
