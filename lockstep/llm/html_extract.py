@@ -22,11 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import slices, table
 
 WINDOW = 3
 SURGE = 40
-ROWS = 500
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -173,7 +172,7 @@ def extract(pages: DataFrame) -> DataFrame:
     kinds = dict(pages.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in slices(batches):
             texts = [main_text(h.as_py()) for h in batch.column("html")]
             columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])

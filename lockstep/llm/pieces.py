@@ -9,7 +9,7 @@ transition from piece a to piece b is allowed if merging a+b on its own gives a,
 sequence of pieces is the merge result exactly if all its transitions are allowed, so that the one allowed path is what
 the library returns (tests compare them).  Words with several marks (runs of spaces) go through the merges directly.
 
-Bounds.  Known words are kept per worker, about twice MEMO at most, those in use longest; a batch is at most ROWS texts or one text.  No shuffle is needed.
+Bounds.  Known words are kept per worker, MEMO bytes in each of two generations; a batch is at most common.ROWS texts, or one long one.  No shuffle is needed.
 
 Cases.  Null and empty texts have no ids.  Characters outside the vocabulary become byte pieces.  A text's own `▁` is
 taken as a space, as the library does, so that decoding gives the space back.  Repeated rows are rows like any other,
@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,11 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import Memo, slices, table
 
 MARK = "▁"
-MEMO = 200_000
-ROWS = 500
+MEMO = 25 << 20  # bytes
+TRANSITIONS = 200_000
 WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 UNKNOWN = -1
 
@@ -67,8 +68,7 @@ class Pieces:
         self.longest = max(map(len, order))
         self.halves: dict[int, tuple[int, int]] = {}
         self.allowed: dict[int, bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(MEMO)
 
     def merged(self, word: str, whole: bool = True) -> list[str]:
         """The merges themselves: the best-scored pair first, the leftmost of equal ones.  whole: the last may make
@@ -114,7 +114,7 @@ class Pieces:
         found = self.allowed.get(key)
         if found is not None:
             return found
-        if len(self.allowed) > 4 * MEMO:
+        if len(self.allowed) > TRANSITIONS:
             self.allowed.clear()
         ids, names, rank = self.ids, self.names, self.rank
         until = 1 << 30
@@ -134,23 +134,23 @@ class Pieces:
         self.allowed[key] = found
         return found
 
-    def _ids_of(self, pieces: list[str]) -> tuple[int, ...]:
+    def _ids_of(self, pieces: list[str]) -> bytes:
         out: list[int] = []
         for p in pieces:
             if p in self.ids:
                 out.append(self.ids[p])
             else:
                 out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
-        return tuple(out)
+        return array("i", out).tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Adds the ids of the words to the memo: one walk through the trie of the sorted words."""
+    def learn(self, words: set[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of the words: one walk through the trie of the sorted words."""
         get, longest, fits, allowed = self.ids.get, self.longest, self._fits, self.allowed
         starts, ends = [0], [UNKNOWN]  # of the final piece of the prefix of j characters: where it starts, its id
         previous = ""
         for word in sorted(words):
             if word[:2] == MARK * 2 or word == "\n":
-                self.memo[word] = self._ids_of(self.merged(word))
+                yield word, self._ids_of(self.merged(word))
                 continue
             shared = 0
             for a, b in zip(previous, word):
@@ -176,20 +176,15 @@ class Pieces:
                 else:
                     out.extend(self.bytes[x] for x in word[i:j].encode("utf-8", "surrogatepass")[::-1])
                 j = i
-            self.memo[word] = tuple(out[::-1])
+            yield word, array("i", out[::-1]).tobytes()
             previous = word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut))
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        new -= self.memo.keys()
-        known = new & self.older.keys()
-        self.memo.update((w, self.older[w]) for w in known)
-        self.learn(new - known)
-        look = self.memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(look, words)), np.int32) for words in cut]
+        self.memo.turn()
+        self.memo.put(self.learn(self.memo.missing(set(chain.from_iterable(cut)))))
+        look = self.memo.new.__getitem__
+        return [np.frombuffer(b"".join(map(look, words)), np.int32) for words in cut]
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
@@ -210,7 +205,7 @@ def encoded(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             ids = pieces.encode(texts)
             decoded = [pieces.decode(i.tolist()) for i in ids]

@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, table, unpacked
+from .common import packed, slices, stored, table, unpacked
 from .graph import components
 
 RUN_LIMIT = 200_000
 SMALL = 16  # rows of a bucket whose pairs are all looked at; the links of larger ones span its components only
-SEEDS = (42, 43, 44, 45)
+SEED = 42
 
 
 @dataclass(frozen=True)
@@ -89,49 +89,59 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), no) for no, row in enumerate(rows)], dtype=np.uint64)
 
 
-def shingles(text: str | None, shingle: int) -> list[bytes]:
-    """All shingles of a text, repeats included."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return []
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    if len(tokens) >= shingle:
-        starts, ends = starts[: len(tokens) - shingle + 1], ends[shingle - 1 :]
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+AT_ONCE = 1 << 15  # shingles that are hashed at once
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of all shingles in their order, repeats included; few bytes a shingle whatever the length of the text."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+    space = SPACE[raw]
+    words = np.where(space, np.uint8(32), raw)[~(space & np.concatenate(([True], space[:-1])))] if len(raw) else raw
+    if len(words) and words[-1] == 32:
+        words = words[:-1]
+    if not len(words):
+        return np.empty(0, dtype=np.uint64)
+    gaps = np.flatnonzero(words == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(words)]))
+    if len(starts) >= shingle:
+        starts, ends = starts[: len(starts) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    data, out = words.tobytes(), np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(starts), AT_ONCE):
+        some = zip(starts[at : at + AT_ONCE].tolist(), ends[at : at + AT_ONCE].tolist(), strict=True)
+        out[at : at + AT_ONCE] = np.fromiter((xxhash.xxh64_intdigest(data[a:b], seed) for a, b in some), dtype=np.uint64)
+    return out
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The sorted hashes of the distinct shingles."""
-    pieces = set(shingles(text, shingle))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEEDS[0]) for p in pieces), dtype=np.uint64, count=len(pieces)))
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit is set that is set in over half of the hashes."""
+    if not len(hashes):
+        return 0
+    count = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), AT_ONCE):
+        count += np.unpackbits(hashes[at : at + AT_ONCE].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits((2 * count > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, shingle: int, words: int, nodes: list | None = None) -> list[int]:
     """The fingerprint's words as unsigned integers.  nodes: gets the text's node (a digest of its shingle set) and
-    bands, and the fingerprint is of distinct shingles."""
-    pieces = shingles(text, shingle)
-    if not pieces:
-        if nodes is not None:
-            nodes.append((0, bands(np.empty(0, np.uint64))))
-        return [0] * words
+    bands, and the fingerprint is of distinct shingles.  Further words come from the hashes mixed once more."""
+    hashes = shingle_hashes(text, shingle)
     if nodes is not None:
-        pieces = list(dict.fromkeys(pieces))
+        hashes = np.unique(hashes)
+        nodes.append((xxhash.xxh3_64_intdigest(hashes.tobytes()) if len(hashes) else 0, bands(hashes)))
     out = []
-    for seed in SEEDS[:words]:
-        count, all_ = np.zeros(64, dtype=np.int64), []
-        for at in range(0, len(pieces), 1 << 16):
-            some = pieces[at : at + (1 << 16)]
-            h = np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in some), dtype="<u8", count=len(some))
-            all_.append(h)
-            count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        if nodes is not None and seed == SEEDS[0]:
-            hashes = np.unique(np.concatenate(all_))
-            nodes.append((xxhash.xxh3_64_intdigest(hashes.tobytes()), bands(hashes)))
-        out.append(int(np.packbits((2 * count > len(pieces)).astype(np.uint8), bitorder="little").view("<u8")[0]))
+    for _ in range(words):
+        out.append(majority(hashes))
+        hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
     return out
 
 
@@ -141,7 +151,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme) -> DataFrame:
     names = kept + [f"f{w}" for w in range(scheme.words)] + ["node", "bands"] * bool(scheme.similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             nodes: list | None = [] if scheme.similarity else None
             prints = np.array([fingerprint(t.as_py(), scheme.shingle, scheme.words, nodes) for t in batch.column("text")], dtype=np.uint64)
             prints = prints.reshape(-1, scheme.words).view(np.int64)
@@ -336,18 +346,17 @@ def confirmed(texts: DataFrame, scheme: Scheme, limit: int = SKETCH_LIMIT) -> Da
     def linked(held: list) -> pa.RecordBatch:
         found = []
         if len(held) > 1:
-            sets = [shingle_set(text, scheme.shingle) for _, text in held]
-            found = forest(np.arange(len(held)), np.array([n for n, _ in held], dtype=np.int64), close_sets(sets, scheme.similarity))
+            found = forest(np.arange(len(held)), np.array([n for n, _ in held], dtype=np.int64), close_sets([x for _, x in held], scheme.similarity))
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            for k0, k1, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != (k0, k1):
+        key, held = None, []  # of the open group, the nodes and their shingle sets
+        for batch in slices(batches):
+            for k0, k1, node, text in zip(*batch.columns, strict=True):
+                if key != (k0.as_py(), k1.as_py()):
                     yield linked(held)
-                    key, held = (k0, k1), []
-                held.append((node, text))
+                    key, held = (k0.as_py(), k1.as_py()), []
+                held.append((node.as_py(), shingle_set(text.as_py(), scheme.shingle)))
         yield linked(held)
 
     return rows.mapInArrow(run, "a long, b long")
