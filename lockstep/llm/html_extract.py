@@ -1,21 +1,27 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped first: comments, scripts, styles and the like go with what they hold; block elements end a line.
-Lines inside elements that by name, class, id or role are menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments, and, on pages that mark an article or main element, all lines outside of it, have length 0; so have the
-links of lists that are links only.  Then the lengths of WINDOW lines are summed at each line.  A run of text surges
-where the sum reaches SURGE and dives where it is 0; what stands between the two is the text.  If no run is that long
-(a very short article) the longest run is.
-
-One page at a time, whole; no shuffle.  Cases: a null or empty page has the text ''.  Unclosed tags, comments and
-quotes, and truncated character references, are taken as browsers do, roughly: an unclosed element ends with its parent
-or the page.  Repeated rows are rows like any other, empty tables give empty results, other columns are ignored.
+Markup is stripped first: comments, scripts, styles and the like go with what they hold, and every start or end of a block
+element ends a line, so that a line without text stands between two paragraphs and two or more between containers.  A
+line's length is the number of its characters outside links (headings: all); elements that HTML itself sets apart (nav,
+aside, footer, form, ...), that are hidden, or whose class, id or role names a menu, notice, advert or reader comments
+have length 0, and so has, on pages that mark an article or main element, all that is outside of it.
+
+The lengths of WINDOW lines are summed at each line.  A run of lines surges where its sums reach SURGE and dives where
+they are 0; on a page without such a run the longest one counts.  The text is what stands between the first surge and the
+last dive, and with it what shares a container (or the marked article) with a run that surged, so that a short last
+paragraph stays and a line of terms in a container of its own does not.  Rows of links outside a marked article go.
+
+One page at a time, whole, in linear time; no shuffle.  Cases: a null or empty page has the text ''.  Unclosed tags,
+comments and quotes, and truncated character references, are taken as browsers do, roughly: an unclosed element ends with
+its parent or the page, an unclosed script or style with the page.  Repeated rows are rows like any other, empty tables
+give empty results, other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +30,20 @@ from pyspark.sql import DataFrame
 
 from .common import slices, table
 
-WINDOW = 3
+WINDOW = 2
 SURGE = 40
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|textarea|select|head|canvas|video|audio)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
+    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[\s/](?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)?)>"
     r"|<[!?/][^>]*>?"
     r"|<[a-z][^<>]*(?:>|\Z)",
     re.I | re.S,
 )
+#: What these hold is no text of the page; the first ones go on to the end of the page if they are not closed.
+TO_END = frozenset("script style title textarea".split())
+RAW = TO_END | frozenset("noscript template iframe svg object select canvas video audio".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 BLOCK = frozenset(
@@ -47,6 +55,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 OPTIONAL = {"p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 DROPPED = frozenset("nav aside footer form button menu dialog search label input fieldset".split())
 MAIN = frozenset(["article", "main"])
+#: What a line stands in, as against paragraphs, lists and tables.
+CONTAINER = frozenset("address article aside body center details dialog div fieldset footer form header main nav search section".split())
+#: Elements whose class, id or role may say that they are none of the text.
+NAMED = CONTAINER | frozenset("ul ol dl table figure span ins amp-ad".split())
+#: Parts of such names that say nothing.
+GENERIC = frozenset("site page main top bottom left right primary secondary area box list wrapper bar block container section item items inner outer post entry global id".split())
 #: Words of class, id or role that say what an element is.
 TELLING = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts "
@@ -58,6 +72,12 @@ TELLING = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 
 
+def _says(token: str, words: frozenset[str]) -> bool:
+    """Whether all parts of a name are such words, apart from parts that say nothing."""
+    parts = [x for x in re.split(r"[^a-z]+", token) if x and x not in GENERIC]
+    return bool(parts) and all(x in words for x in parts)
+
+
 def _told(name: str, attrs: str, in_main: bool) -> bool:
     """Whether the element is none of the main text."""
     if name in DROPPED or (name == "header" and not in_main):
@@ -66,105 +86,147 @@ def _told(name: str, attrs: str, in_main: bool) -> bool:
         return False
     if HIDDEN.search(attrs):
         return True
-    words = set()
-    for m in ATTRIBUTE.finditer(attrs):
-        if m[1].lower() != "style":
-            words.update(re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()))
-    if name in MAIN or name[0] == "h" and name[1:].isdigit():
-        return bool(words & COMMENTS)
-    return bool(words & TELLING) or ("header" in words and not in_main)
-
-
-def lines_of(page: str) -> tuple[list[str], list[int]]:
-    """(lines, lengths): white space inside a line is one space; length 0 for what is known not to be main text."""
-    lines: list[str] = []
-    kept: list[bool] = []  # known main text or not known to be anything
-    linked: list[bool] = []  # nothing but links
-    mains: list[bool] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, in main
-    text: list[str] = []
-    state = {"link": 0, "linked": 0, "size": 0}
-    any_main = False
-
-    def close() -> None:
-        line = " ".join(html.unescape("".join(text)).split())
-        text.clear()
-        if line:
-            lines.append(line)
-            kept.append(not (stack and stack[-1][1]))
-            mains.append(bool(stack and stack[-1][2]))
-            linked.append(state["size"] > 0 and state["linked"] == state["size"])
-        state["linked"] = state["size"] = 0
-
-    def add(piece: str) -> None:
+    if name not in NAMED:
+        return False
+    tokens = [t for m in ATTRIBUTE.finditer(attrs) if m[1].lower() != "style" for t in (m[2] or m[3] or m[4] or "").lower().split()]
+    if name in MAIN:
+        return any(_says(t, COMMENTS) for t in tokens)
+    return any(_says(t, TELLING) or (t == "header" and not in_main) for t in tokens)
+
+
+class Lines:
+    """The lines of a page: text, length, and what is known of the place of each."""
+
+    def __init__(self, page: str):
+        self.text: list[str] = []
+        self.length: list[int] = []
+        self.kept: list[bool] = []  # not known to be something else
+        self.main: list[int] = []  # number of the outermost article or main element around it, 0 if none
+        self.container: list[int] = []
+        self.row: list[bool] = []  # a row of links
+        self._open: list[tuple[str, bool, int, int]] = []  # name, dropped, main, container
+        self._count: Counter[str] = Counter()
+        self._pieces: list[str] = []
+        self._size = self._linked = self._links = self._in_link = 0
+        self._elements = 0
+        self._read(page)
+
+    def _close(self) -> None:
+        line = " ".join(html.unescape("".join(self._pieces)).split())
+        name, dropped, main, container = self._open[-1] if self._open else ("", False, 0, 0)
+        heading = name[:1] == "h" and name[1:].isdigit()
+        links_only = self._size > 0 and self._linked == self._size and not heading
+        self.text.append(line)
+        self.length.append(0 if dropped or not line else len(line) if heading or not self._size else len(line) * (self._size - self._linked) // self._size)
+        self.kept.append(not dropped)
+        self.main.append(main)
+        self.container.append(container)
+        self.row.append(links_only and (self._links > 1 or name in ("li", "td", "dd", "dt", "option")))
+        self._pieces.clear()
+        self._size = self._linked = self._links = 0
+
+    def _add(self, piece: str) -> None:
         if piece:
-            text.append(piece)
+            self._pieces.append(piece)
             n = len(piece.strip())
-            state["size"] += n
-            if state["link"]:
-                state["linked"] += n
-
-    at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            if m["raw"] and m["raw"].lower() != "svg":
-                close()
-            continue
-        if name in BLOCK:
-            close()
-        if m["end"]:
+            self._size += n
+            if self._in_link:
+                self._linked += n
+
+    def _read(self, page: str) -> None:
+        at, endless = 0, set()
+        while True:
+            m = TOKEN.search(page, at)
+            if m is None:
+                break
+            self._add(page[at : m.start()])
+            at = m.end()
+            name = (m["name"] or "").lower()
+            if not name:
+                continue
+            if name in RAW and not m["end"] and not m["attrs"].endswith("/"):
+                close = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                elif name in TO_END:
+                    at = len(page)
+                else:
+                    endless.add(name)
+                if name in ("title", "textarea", "select", "video", "audio", "iframe", "object", "canvas", "noscript", "template"):
+                    self._close()
+                continue
             if name == "a":
-                state["link"] = max(0, state["link"] - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if len(text) and any(x[1] != stack[i][1] for x in stack[i:]):
-                        close()
-                    del stack[i:]
-                    break
-            continue
-        if name in VOID:
-            continue
-        if name in OPTIONAL and stack and stack[-1][0] in OPTIONAL[name]:
-            stack.pop()
-        if name == "a":
-            state["link"] += 1
-        if name not in BLOCK and not (m["attrs"] and name in ("span", "ins", "amp-ad")):
-            continue
-        dropped, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        new = dropped or _told(name, m["attrs"], main)
+                self._in_link = max(0, self._in_link + (-1 if m["end"] else 1))
+                self._links += not m["end"]
+            if name in BLOCK:
+                self._close()
+            if m["end"]:
+                self._end(name)
+            elif name not in VOID:
+                self._start(name, m["attrs"])
+        self._add(page[at:])
+        self._close()
+
+    def _end(self, name: str) -> None:
+        if not self._count[name]:
+            return
+        dropped = self._open[-1][1]
+        while True:
+            top = self._open.pop()
+            self._count[top[0]] -= 1
+            if top[0] == name:
+                break
+        if self._pieces and dropped != (self._open[-1][1] if self._open else False):  # an element within a line
+            self._open.append(top)
+            self._close()
+            self._open.pop()
+
+    def _start(self, name: str, attrs: str) -> None:
+        if name in OPTIONAL and self._open and self._open[-1][0] in OPTIONAL[name]:
+            self._count[self._open.pop()[0]] -= 1
+        if name not in BLOCK and not (attrs.strip() and name in NAMED):
+            return
+        _, dropped, main, container = self._open[-1] if self._open else ("", False, 0, 0)
+        new = dropped or _told(name, attrs, main > 0)
         if new != dropped:
-            close()
+            self._close()
+        self._elements += 1
         if name in MAIN and not new:
-            main = any_main = True
-        stack.append((name, new, main))
-    add(page[at:])
-    close()
-    use = [k and (m or not any_main) and not (l and not m) for k, m, l in zip(kept, mains, linked, strict=True)]
-    return lines, [len(line) if u else 0 for line, u in zip(lines, use, strict=True)]
+            main = main or self._elements
+        self._open.append((name, new, main, self._elements if name in CONTAINER else container))
+        self._count[name] += 1
+
+
+def runs(length: np.ndarray) -> list[tuple[int, int]]:
+    """(first line, line after the last) of the runs that surge, or of the longest run."""
+    sums = np.convolve(length, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of the line and the WINDOW - 1 after it
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], sums > 0, [0]))))
+    found = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    surging = [(a, b) for a, b in found if sums[a:b].max() >= SURGE]
+    return surging or sorted(found, key=lambda r: (-int(length[r[0] : r[1]].sum()), r))[:1]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, lengths = lines_of(page)
-    if not any(lengths):
+    lines = Lines(page)
+    marked = any(m and k and x for m, k, x in zip(lines.main, lines.kept, lines.length, strict=True))
+    length = np.array([n if not marked or m else 0 for n, m in zip(lines.length, lines.main, strict=True)])
+    surging = runs(length)
+    if not surging:
         return ""
-    size = np.array(lengths)
-    sums = np.convolve(size, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of the line and the WINDOW - 1 after it
-    runs: list[list[int]] = []  # first line, line after the last
-    start = None
-    for i, s in enumerate([*sums.tolist(), 0]):
-        if start is None and s > 0:
-            start = i
-        elif start is not None and s == 0:
-            runs.append([start, i])
-            start = None
-    best = max(int(size[a:b].sum()) for a, b in runs)
-    surging = [(a, b) for a, b in runs if sums[a:b].max() >= min(SURGE, best)]
-    return " ".join(lines[i] for a, b in surging for i in range(a, b) if size[i])
+    first, last = surging[0][0], surging[-1][1]
+    inside = [i for a, b in surging for i in range(a, b) if length[i]]
+    containers, mains = {lines.container[i] for i in inside}, {lines.main[i] for i in inside} - {0}
+
+    def stays(i: int) -> bool:
+        if not lines.text[i] or not lines.kept[i] or (marked and not lines.main[i]):
+            return False
+        if lines.main[i] in mains:
+            return True
+        return not lines.row[i] and (first <= i < last or lines.container[i] in containers)
+
+    return " ".join(text for i, text in enumerate(lines.text) if stays(i))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
+import random
+import time
+
+import numpy as np
 from pyspark.sql import Row
 
-from lockstep.llm.html_extract import extract, main_text
+from lockstep.llm.html_extract import SURGE, WINDOW, extract, main_text, runs
 
 PAGE = """<!DOCTYPE html><html><head><title>Site</title><style>p{}</style></head><body class="has-sidebar">
 <header><h1>Site</h1><p>the tag line of this site</p></header><nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>
@@ -28,6 +32,53 @@ def test_broken_and_odd_pages():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def plain_runs(length):
+    """Stretches whose windows hold any text, by loops; those with a window of SURGE, or the longest."""
+    sums = [sum(length[i : i + WINDOW]) for i in range(len(length))]
+    found, start = [], None
+    for i, s in enumerate([*sums, 0]):
+        if s and start is None:
+            start = i
+        elif not s and start is not None:
+            found.append((start, i))
+            start = None
+    surging = [r for r in found if max(sums[r[0] : r[1]]) >= SURGE]
+    return surging or sorted(found, key=lambda r: -sum(length[r[0] : r[1]]))[:1]
+
+
+def test_runs_against_plain_loops():
+    rng = random.Random(1)
+    for _ in range(300):
+        length = [rng.choice([0, 0, 0, 3, 12, 25, 60]) for _ in range(rng.randrange(1, 30))]
+        assert runs(np.array(length)) == plain_runs(length)
+
+
+PARAGRAPH = "Some words of the text that go on for a while, as they do. "
+
+
+def test_names_that_say_nothing():
+    """Surge and dive alone leave out a menu, a tag line and terms in containers of their own."""
+    page = (
+        "<html><head><title>T</title><body><div class=xq><a href=1>Home</a> <a href=2>News</a></div><div class=k><p>All about it</p></div>"
+        f"<div class=aa><h1><a href=x>The Title</a></h1><p>{PARAGRAPH}</p><ul><li>one<li>two</ul><p>The end.</p></div><div class=zz>Copyright 2020. Terms</div></body></html>"
+    )
+    assert main_text(page) == f"The Title {PARAGRAPH}one two The end."
+
+
+def test_nothing_inside_the_article_goes():
+    page = f"<article><p>{PARAGRAPH}</p><div class=advert>a<br>b<br>c</div><p>The end.</p><section class='related-work'><p class=alert>Mind <math><mi>x</mi></math>.</p></section><p><a href=1>More</a></p></article>"
+    assert main_text(page) == f"{PARAGRAPH}The end. Mind x. More"
+    assert main_text(f"<head><meta charset=x><body><div class='content-sidebar-wrap'><p>{PARAGRAPH}<video-js>on</video-js></p></div>") == f"{PARAGRAPH}on"
+    assert main_text(f"<p>{PARAGRAPH}<video>no end") == f"{PARAGRAPH}no end"
+
+
+def test_time_is_linear():
+    began = time.process_time()
+    for page in ("<a b " * 20_000, "<div>" * 20_000 + "</x>" * 20_000, "<svg>" * 20_000, "<!--" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, '<a "' * 20_000):
+        main_text(page)
+    assert time.process_time() - began < 20
+
+
 def test_query(spark):
     schema = "page_id long, url string, html string, text int, n_chars string"
     rows = [Row(page_id=1, url="u", html=PAGE % ("<article>", "</article>"), text=1, n_chars="x"), Row(page_id=None, url=None, html=None, text=None, n_chars=None)]
