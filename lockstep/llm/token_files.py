@@ -55,9 +55,11 @@ def default_tokenizer() -> str:
 class Tokens:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        self.pieces = Tokenizer(self.library.model)  # the merges alone, for words that are split and normalised already
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.added = [str(t).lower() for t in self.library.get_added_tokens_decoder().values()]
         words = self.library.get_vocab()
         self.size = max(words.values(), default=0) + 1
@@ -66,10 +68,15 @@ class Tokens:
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.memo = Memo(MEMO)
         probe = "It's a Test, naïve-ÉCOLE 12 don't_x…"
-        self.splits = [w for w in SPLIT.findall(probe.lower())] == [
+        self.splits = self._same_bytes() and [w for w in SPLIT.findall(probe.lower())] == [
             unicodedata.normalize("NFC", probe.lower())[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(probe.lower())
         ]
 
+    def _same_bytes(self) -> bool:
+        """Whether the library's pre-tokenizer shows words of ASCII letters, digits and punctuation as they are."""
+        plain = "".join(map(chr, range(0x21, 0x7F)))
+        return "".join(w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)) == plain
+
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of words (each one match of SPLIT), many in one call where each word's last id, and no other, is one
         that ends a word."""
@@ -77,7 +84,9 @@ class Tokens:
         for at in range(0, len(words), 8192):
             some = words[at : at + 8192]
             groups = [some[a : a + 128] for a in range(0, len(some), 128)]
-            for group, found in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            joined = [" ".join(g) for g in groups]
+            results = [(self.pieces if j.isascii() else self.library).encode_batch_fast([j], add_special_tokens=False)[0] for j in joined]
+            for group, found in zip(groups, results, strict=True):
                 ids = np.array(found.ids, dtype=self.kind)
                 ends = np.flatnonzero(self.ends[ids]) + 1
                 if len(ends) == len(group) and ends[-1] == len(ids):
@@ -94,7 +103,7 @@ class Tokens:
         memo = self.memo
         memo.turn()
         several = {p: SPLIT.findall(p) for p in memo.missing(set(chain.from_iterable(parts)))}
-        words = sorted(memo.missing(set(chain.from_iterable(several.values()))))
+        words = sorted(memo.missing(set(chain.from_iterable(several.values()))), key=lambda w: (not w.isascii(), w))
         memo.put(zip(words, self._words(words), strict=True))
         look = memo.new.__getitem__
         memo.put([(p, b"".join(map(look, w))) for p, w in several.items() if len(w) > 1 or w[0] != p])
