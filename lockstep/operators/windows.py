@@ -35,8 +35,17 @@ def rank_windows(n: int, windows: int = 25, share: float = 0.10, least: int = 10
     return [(k, k * (n - width) // (windows - 1) + 1, width) for k in range(windows)] if n >= width else []
 
 
-def window_profile(o: DataFrame, windows: int = 25) -> DataFrame:
-    """window, start, centre_accuracy, mean_agreement within each window of accuracy ranks."""
+def residual_profile(o: DataFrame, windows: int = 25) -> DataFrame:
+    """window, start, centre_accuracy, mean_residual: the mean residual correlation within each window of accuracy ranks."""
+    from .residual import residual_pairs
+
+    pairs = residual_pairs(o).select("i", "j", F.col("residual").alias("agreement"))
+    return window_profile(o, windows, pairs).withColumnRenamed("mean_agreement", "mean_residual")
+
+
+def window_profile(o: DataFrame, windows: int = 25, values: DataFrame | None = None) -> DataFrame:
+    """window, start, centre_accuracy, mean_agreement within each window of accuracy ranks.  values: (i, j, agreement) of
+    all pairs, if it is another measure that is averaged."""
     ranked = by_accuracy(o)
     n = ranked.count()
     spans = o.sparkSession.createDataFrame(rank_windows(n, windows), "window int, start int, width int")
@@ -44,7 +53,7 @@ def window_profile(o: DataFrame, windows: int = 25) -> DataFrame:
     inside = ranked.join(F.broadcast(spans), (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("width")))  # `windows` rows
     centre = inside.crossJoin(F.broadcast(m)).groupBy("window", "start").agg(F.avg(1 - F.col("r") / F.col("m")).alias("accuracy"))
     ranks = ranked.select("entity", "rank")
-    pairs = agreement(o).join(ranks.select(F.col("entity").alias("i"), F.col("rank").alias("a")), "i").join(ranks.select(F.col("entity").alias("j"), F.col("rank").alias("b")), "j")
+    pairs = (agreement(o) if values is None else values).join(ranks.select(F.col("entity").alias("i"), F.col("rank").alias("a")), "i").join(ranks.select(F.col("entity").alias("j"), F.col("rank").alias("b")), "j")
     first, last = F.least("a", "b"), F.greatest("a", "b")
     within = pairs.join(F.broadcast(spans), (first >= F.col("start")) & (last < F.col("start") + F.col("width"))).groupBy("window").agg(F.avg("agreement").alias("agreement"))
     return centre.join(within, "window").select("window", "start", F.round("accuracy", 8).alias("centre_accuracy"), F.round("agreement", 8).alias("mean_agreement"))

@@ -147,6 +147,7 @@ on(
     'SELECT a."top", b.median, round(a."top" / b.median, 6) AS top_over_median FROM (SELECT mean_agreement AS "top" FROM prof WHERE "window" = 0) a, (SELECT round(median(mean_agreement), 8) AS median FROM prof) b',
     PROFILE,
 )
+on("emb", "rank_window_residual", lambda o: windows.residual_profile(margins.trim_degenerate(o)))
 RUNS = "runs AS (SELECT CAST(ts AS DATE) AS day, event_type AS bench, count(DISTINCT user_id) AS n_models FROM events GROUP BY 1, 2)"
 query("runs_delta", f"WITH {RUNS} SELECT strftime(day, '%Y-%m-%d') AS day, bench, n_models, n_models - lag(n_models, 1, 0) OVER (PARTITION BY bench ORDER BY day) AS delta FROM runs")(lambda s, d: _day(windows.delta_vs_previous(windows.runs_by_day(read(s, d, "events")))))
 query("runs_last", f"WITH {RUNS} SELECT bench, arg_max(n_models, day) AS n_models FROM runs GROUP BY bench")(lambda s, d: windows.last_value(windows.runs_by_day(read(s, d, "events"))))
@@ -346,7 +347,7 @@ on("emb", "noise_floor", lambda o: nulls.noise_floor(o, 3, 7))
 on("evt", "null_ladder", lambda o: nulls.noise_floor(margins.trim_degenerate(o), 2, 8, extra=True))
 on("evt", "held_out_dimension", lambda o: nulls.held_out_dimension(margins.trim_degenerate(o), 3, 9))
 query("detection_power")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.2), ("shared", 1.2), ("copy", 0.35)], 4, 80, 150, 8, 10))
-query("controls")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.6), ("clone", 1.0)], 2, 120, 200, 10, 11).select("kind", "strength", "mean_ses"))
+query("controls")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.6), ("clone", 1.0), ("shuffled", 0.0)], 2, 120, 200, 10, 11).select("kind", "strength", "mean_ses"))
 
 
 @query("fiber_uniformity")

@@ -234,3 +234,19 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     events.withColumn("user_id", F.col("user_id") + 1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     incremental.run_cells(spark, f"{tmp_path}/events.parquet", f"{tmp_path}/state")
     assert incremental.cells(spark, f"{tmp_path}/state").count() == 4
+
+
+def test_residual_profile_and_planted_kinds(spark):
+    rng = np.random.default_rng(3)
+    f = local.trim(local.planted("groups", 40, 60, 1.0, rng))
+    n, m = f.shape
+    o = spark.createDataFrame([(i, j, int(f[i, j])) for i in range(n) for j in range(m)], "entity long, item long, f int")
+    r = local.residual(f, local.expected_gram(local.fit(f)[0]))
+    order = sorted(range(n), key=lambda i: (f[i].sum(), i))
+    for row in windows.residual_profile(o, 5).collect():
+        inside = order[row.start - 1 : row.start - 1 + 10]
+        want = np.mean([r[a, b] for a in inside for b in inside if a != b])
+        assert abs(row.mean_residual - want) < 1e-6 and abs(row.centre_accuracy - (1 - f[inside].mean())) < 1e-6
+    whole = local.planted("copy", 30, 50, 1.0, rng)
+    assert (whole == whole[0]).all()
+    assert local.planted("shuffled", 30, 50, 0.0, rng).shape == (30, 50)
