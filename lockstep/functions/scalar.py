@@ -84,9 +84,9 @@ def logit(p: Column, eps: float = 1e-9) -> Column:
     return F.ln(p / (1 - p))
 
 
-def first_argmax(values: Column) -> Column:
-    """0-based place of the largest of 2 to 8 finite numbers, the first of equal ones; -1 otherwise."""
-    good = F.size(values).between(2, 8) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+def first_argmax(values: Column, most: int = 8) -> Column:
+    """0-based place of the largest of 2 to `most` finite numbers, the first of equal ones; -1 otherwise."""
+    good = F.size(values).between(2, most) & F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return F.coalesce(F.when(good, F.array_position(values, F.array_max(values)).cast("int") - 1), F.lit(-1))
 
 

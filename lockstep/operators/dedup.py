@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
-from .margins import entity_margins, trim_degenerate
 from .pairs import agreement
 
 
@@ -46,16 +45,3 @@ def representatives(o: DataFrame, threshold: float, pairs: DataFrame | None = No
     both = a.select(F.col("i").alias("entity"), "agreement").union(a.select("j", "agreement"))
     central = both.groupBy("entity").agg(F.round(F.sum("agreement"), 9).alias("s"))
     return first_independent(a.where(F.col("agreement") >= threshold), ordinal(central, [F.desc("s"), F.col("entity")]))
-
-
-def sweep(o: DataFrame, thresholds: list[float]) -> DataFrame:
-    """threshold, n_before, n_kept, and the size after trimming what is left."""
-    pairs = stored(agreement(o), "agreement")
-    n = entity_margins(o).count()
-    rows = []
-    for t in thresholds:
-        kept = keep_accurate(o, t, pairs)
-        left = trim_degenerate(o.join(kept, "entity", "left_semi"), columns_first=True)
-        size = left.agg(F.count_distinct("entity"), F.count_distinct("item")).head()
-        rows.append((t, n, kept.count(), size[0], size[1]))
-    return o.sparkSession.createDataFrame(rows, "threshold double, n_before long, n_kept long, n_entities long, n_items long")

@@ -79,31 +79,42 @@ def null_matrices(o: DataFrame, replicates: int, seed: int = 0, trades: int = TR
     return _replicates(o.sparkSession, list(range(replicates)), run, f"rep int, entity {kinds['entity']}, item {kinds['item']}, f int")
 
 
-def null_statistics(o: DataFrame, replicates: int, seed: int = 0, trades: int = TRADES, chains: int | None = None, thin: int = THIN, residuals: bool = True) -> DataFrame:
-    """chain, t, mean, dispersion, rms, participation of null draws; chain -1 is the observed matrix.
+def draws(o: DataFrame, replicates: int, seed: int, measure, schema: str, trades: int = TRADES, chains: int | None = None, thin: int = THIN, fitted: bool = True) -> DataFrame:
+    """chain, t and the columns of `schema` of null draws; chain -1 is the observed matrix.  measure(f, expected, gap) gives
+    the rows of one matrix.
 
     chains None: every replicate starts from the observed matrix.  Else `chains` chains burn in and are thinned, which
-    gives cheaper, autocorrelated draws.  The margin model is fitted once: all draws have the same margins.  residuals
-    False leaves out rms and participation (null), which cost an eigen-solve a draw."""
+    gives cheaper, autocorrelated draws.  The margin model (fitted) is that of the observed matrix: all draws have its
+    margins."""
     load, (n, _), _, _ = _bits(o)
     count = replicates if chains is None else chains
     each = 1 if chains is None else -(-replicates // chains)
-
-    names = ["chain", "t", "mean", "dispersion", "rms", "participation", "participation_abs", "participation_raw", "margin_gap"]
+    names = ["chain", "t", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(k: int) -> pd.DataFrame:
         f = load()
-        p, gap = local.fit(f) if residuals else (None, None)
-        expected = local.expected_gram(p) if residuals else None
+        p, gap = local.fit(f) if fitted else (None, None)
+        expected = local.expected_gram(p) if fitted else None
         rng, rows = np.random.default_rng([seed, k + 1]), []
         for t in range(each if k >= 0 else 1):
             if k >= 0:
                 f = local.trades(f, (trades if t == 0 else thin) * n, rng)
-            r = local.residual(f, expected) if residuals else None
-            rows.append((k, t, local.mean_joint(f), local.dispersion(f), *((local.rms(r), *local.participation(r)[:3], gap) if residuals else (None,) * 5)))
+            rows += [(k, t, *row) for row in measure(f, expected, gap)]
         return pd.DataFrame(rows, columns=names)
 
-    return _replicates(o.sparkSession, list(range(-1, count)), run, "chain int, t int, " + ", ".join(f"{x} double" for x in names[2:]))
+    return _replicates(o.sparkSession, list(range(-1, count)), run, f"chain int, t int, {schema}")
+
+
+def null_statistics(o: DataFrame, replicates: int, seed: int = 0, trades: int = TRADES, chains: int | None = None, thin: int = THIN, residuals: bool = True) -> DataFrame:
+    """chain, t, mean, dispersion, rms, participation of the observed matrix and of null draws (see `draws`).  residuals
+    False leaves out rms and participation (null), which cost an eigen-solve a draw."""
+
+    def measure(f, expected, gap):
+        r = local.residual(f, expected) if residuals else None
+        return [(local.mean_joint(f), local.dispersion(f), *((local.rms(r), *local.participation(r)[:3], gap) if residuals else (None,) * 5))]
+
+    names = ["mean", "dispersion", "rms", "participation", "participation_abs", "participation_raw", "margin_gap"]
+    return draws(o, replicates, seed, measure, ", ".join(f"{x} double" for x in names), trades, chains, thin, residuals)
 
 
 def calibrated(stats: DataFrame, statistic: str, *more) -> DataFrame:

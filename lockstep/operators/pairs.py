@@ -35,11 +35,14 @@ def packed_words(o: DataFrame) -> DataFrame:
     return failing(o).groupBy("entity", F.shiftright(item, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def packed_counts(o: DataFrame) -> DataFrame:
-    a = packed_words(o)
-    b = a.select(F.col("entity").alias("other"), "word", F.col("bits").alias("more"))
+def packed_counts(o: DataFrame, blocks: int = 16) -> DataFrame:
+    """Words meet by word number and a pair of entity blocks, so that few items still give blocks^2 keys a word."""
+    w = packed_words(o).withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = w.withColumnRenamed("block", "ba").withColumn("bb", every)
+    b = w.select(F.col("entity").alias("other"), "word", F.col("bits").alias("more"), F.col("block").alias("bb")).withColumn("ba", every)
     both = F.bit_count(F.col("bits").bitwiseAND(F.col("more")))
-    out = a.join(b, "word").where("entity < other").groupBy(F.col("entity").alias("i"), F.col("other").alias("j")).agg(F.sum(both).cast("long").alias("g"))
+    out = a.join(b, ["word", "ba", "bb"]).where("entity < other").groupBy(F.col("entity").alias("i"), F.col("other").alias("j")).agg(F.sum(both).cast("long").alias("g"))
     return out.where("g > 0")
 
 
@@ -71,6 +74,16 @@ def all_pairs(o: DataFrame, strategy: str = "auto") -> DataFrame:
     return pairs.join(g, ["i", "j"], "left").crossJoin(F.broadcast(m)).select("i", "j", F.coalesce("g", F.lit(0)).alias("g"), "ri", "rj", "m")
 
 
+def counts_of(o: DataFrame, wanted: DataFrame) -> DataFrame:
+    """i, j, g, ri, rj, m of the wanted pairs (i, j) alone: failing cells meet those pairs, not each other."""
+    two, f, r = wanted.select("i", "j").distinct(), failing(o), entity_margins(o)
+    both = two.join(f.withColumnRenamed("entity", "i"), "i").join(f.withColumnRenamed("entity", "j"), ["j", "item"])
+    g = both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("g"))
+    m = item_margins(o).agg(F.count(F.lit(1)).alias("m"))
+    own = two.join(r.select(F.col("entity").alias("i"), F.col("r").alias("ri")), "i").join(r.select(F.col("entity").alias("j"), F.col("r").alias("rj")), "j")
+    return own.join(g, ["i", "j"], "left").crossJoin(F.broadcast(m)).select("i", "j", F.coalesce("g", F.lit(0)).alias("g"), "ri", "rj", "m")
+
+
 def dispersion(o: DataFrame, strategy: str = "auto") -> DataFrame:
     """One row: variance over all pairs of the share of items that both fail; pairs without any count."""
     sums = joint_counts(o, strategy).agg(F.coalesce(F.sum("g"), F.lit(0)).cast("double").alias("s"), F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0)).cast("double").alias("ss"))
@@ -111,18 +124,14 @@ def variance_inflation(o: DataFrame) -> DataFrame:
 
 
 def sampled_dispersion(o: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Variance of the joint failure share over given pairs (i, j) only: failing cells meet those pairs, not each other."""
-    f = failing(o)
-    both = pairs.select("i", "j").join(f.withColumnRenamed("entity", "i"), "i").join(f.withColumnRenamed("entity", "j"), ["j", "item"])
-    g = pairs.join(both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("g")), ["i", "j"], "left").select(F.coalesce("g", F.lit(0)).alias("g"))
-    m = item_margins(o).agg(F.count(F.lit(1)).alias("m"))
-    return g.crossJoin(F.broadcast(m)).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.var_pop(F.col("g") / F.col("m")) * 1e6, 4).alias("variance_e6"))
+    """Variance of the joint failure share over given pairs (i, j) only; a pair that is given twice counts once."""
+    return counts_of(o, pairs).agg(F.count(F.lit(1)).alias("n_pairs"), F.round(F.var_pop(F.col("g") / F.col("m")) * 1e6, 4).alias("variance_e6"))
 
 
 def double_fault(o: DataFrame, panels: DataFrame) -> DataFrame:
     """panel: mean share of items that two members both fail, and on which they differ.  panels: (panel, entity)."""
     p = panels.select("panel", F.col("entity").alias("i")).join(panels.select("panel", F.col("entity").alias("j")), "panel").where("i < j")
-    rows = p.join(all_pairs(o), ["i", "j"])
+    rows = p.join(counts_of(o, p), ["i", "j"])
     return rows.groupBy("panel").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.round(F.avg(F.col("g") / F.col("m")), 8).alias("double_fault"),

@@ -75,13 +75,17 @@ def expected_share(model: MarginModel):
     return share
 
 
-def residual_pairs(o: DataFrame, model: MarginModel | None = None) -> DataFrame:
-    """i < j, excess (observed less expected share), residual (its correlation)."""
+def residual_pairs(o: DataFrame, model: MarginModel | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """i < j, excess (observed less expected share), residual (its correlation).  wanted: the counts (`pairs.counts_of`) of
+    the pairs that matter, instead of all.  An entity's own deviation depends on its margin only: a table of the margins."""
     model = model or fit_margins(o)
     share = expected_share(model)
-    q = all_pairs(o)
-    own = lambda x: F.sqrt(F.greatest(F.col(x) / F.col("m") - share(x, x), F.lit(1e-12)))
-    out = q.select("i", "j", (F.col("g") / F.col("m") - share("ri", "rj")).alias("excess"), own("ri").alias("si"), own("rj").alias("sj"), (F.col("g") / F.col("m")).alias("observed"))
+    p = model.probabilities()
+    own = np.sqrt(np.maximum(model.r / model.m - (p * p) @ model.nc / model.m, 1e-12))
+    classes = o.sparkSession.createDataFrame(list(zip(model.r.tolist(), own.tolist(), strict=True)), "r long, s double")
+    side = lambda r, s: F.broadcast(classes.select(F.col("r").alias(r), F.col("s").alias(s)))  # noqa: E731  distinct margins, which the driver holds
+    q = (all_pairs(o) if wanted is None else wanted).join(side("ri", "si"), "ri").join(side("rj", "sj"), "rj")
+    out = q.select("i", "j", (F.col("g") / F.col("m") - share("ri", "rj")).alias("excess"), "si", "sj", (F.col("g") / F.col("m")).alias("observed"))
     return out.select("i", "j", "observed", "excess", (F.col("excess") / (F.col("si") * F.col("sj"))).alias("residual"))
 
 

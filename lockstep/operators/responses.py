@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import ordinal
+
 
 def recover_gold(r: DataFrame) -> DataFrame:
     """item, gold: the most frequent choice among correct answers, the smallest of equal ones; -1 if none is correct.
@@ -37,16 +39,22 @@ def global_agreement(r: DataFrame) -> DataFrame:
     return w.agg(F.sum("same").alias("same"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs")).select("same", "pairs", F.round(F.col("same") / F.col("pairs"), 8).alias("agreement"))
 
 
-def pair_agreement(r: DataFrame, pairs: DataFrame, least: int = 20) -> DataFrame:
+def pair_agreement(r: DataFrame, pairs: DataFrame | None = None, least: int = 20, blocks: int = 16) -> DataFrame:
     """i, j, n, observed, expected: agreement of two entities over the items that both get wrong, against that of
-    answers drawn independently from the item's wrong ones.  Pairs with fewer than `least` such items are left out."""
+    answers drawn independently from the item's wrong ones.  Pairs with fewer than `least` such items are left out.
+    The
+    expectation is a sum of whole 1e-8ths, the same in any order.  pairs: (i, j) if only some matter; else all i < j, which meet by item and a pair of entity blocks."""
     w = r.where("acc = 0 AND choice >= 0").select("entity", "item", "choice")
     q2 = concentration(r).where("q2 is not null").select("item", "q2")
     i = w.select(F.col("entity").alias("i"), "item", F.col("choice").alias("ci"))
     j = w.select(F.col("entity").alias("j"), "item", F.col("choice").alias("cj"))
-    both = pairs.join(i, "i").join(j, ["j", "item"]).join(q2, "item")
-    out = both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("ci") == F.col("cj")).cast("int")).alias("o"), F.avg("q2").alias("e"))
-    return out.where(F.col("n") >= least).select("i", "j", "n", F.round("o", 6).alias("observed"), F.round("e", 6).alias("expected"))
+    if pairs is None:
+        block, every = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        both = i.withColumn("a", block("i")).withColumn("b", every).join(j.withColumn("b", block("j")).withColumn("a", every), ["item", "a", "b"]).where("i < j").join(q2, "item")
+    else:
+        both = pairs.join(i, "i").join(j, ["j", "item"]).join(q2, "item")
+    out = both.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("ci") == F.col("cj")).cast("int")).alias("o"), F.sum(F.round(F.col("q2") * 1e8).cast("long")).alias("e"))
+    return out.where(F.col("n") >= least).select("i", "j", "n", F.round("o", 6).alias("observed"), (F.floor(F.col("e") / F.col("n")) / 1e8).alias("expected"))
 
 
 def tiebreak(seed: int, *columns: str):
@@ -91,8 +99,9 @@ def top_panel(o: DataFrame, size: int) -> DataFrame:
 
 def item_halves(o: DataFrame, seed: int = 0) -> DataFrame:
     """item, half (1 or 2): by hash order, the first half of the items and the rest."""
-    items = o.select("item").distinct().withColumn("h", tiebreak(seed, "item"))
-    return items.withColumn("half", F.ntile(2).over(Window.orderBy("h", "item"))).select("item", "half")
+    ranked = ordinal(o.select("item").distinct().withColumn("h", tiebreak(seed, "item")), [F.col("h"), F.col("item")])
+    n = ranked.agg(F.count(F.lit(1)).alias("n"))
+    return ranked.crossJoin(F.broadcast(n)).select("item", F.when(F.col("rank") * 2 <= F.col("n") + F.col("n") % 2, 1).otherwise(2).alias("half"))
 
 
 def greedy_diverse(pairs: DataFrame, start: int, size: int, candidates: DataFrame | None = None) -> list[int]:

@@ -23,16 +23,34 @@ def poisson_cuts(most: int = 8) -> list[float]:
     return out
 
 
-def bootstrap_mean(df: DataFrame, key: str, x: str, draws: int, seed: int = 0) -> DataFrame:
-    """One row: mean and 95 % interval of Poisson-bootstrap means.  Weights come from a hash of seed, draw and row, by the
-    inverse distribution function, so that a draw needs no shuffle of rows."""
+def _weighted(df: DataFrame, key: str, columns: list[str], draws: int, seed: int) -> DataFrame:
+    """The rows once a draw, with a Poisson weight w of mean 1 by a hash of seed, draw and row."""
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     weight = F.lit(0)
     for cut in poisson_cuts():
         weight = weight + (u >= cut).cast("int")
-    rows = df.select(key, x).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
-    means = rows.groupBy("draw").agg((F.sum(F.col(x) * F.col("w")) / F.sum("w")).alias("mean"))
-    return means.agg(F.round(F.avg("mean"), 8).alias("mean"), F.round(F.percentile("mean", F.lit(0.025)), 8).alias("low"), F.round(F.percentile("mean", F.lit(0.975)), 8).alias("high"))
+    return df.select(key, *columns).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
+
+
+def _interval(x: str, name: str) -> list:
+    return [F.round(F.avg(x), 8).alias(name), F.round(F.percentile(x, F.lit(0.025)), 8).alias("low"), F.round(F.percentile(x, F.lit(0.975)), 8).alias("high")]
+
+
+def bootstrap_mean(df: DataFrame, key: str, x: str, draws: int, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """One row (a row a group of `by`): mean and 95 % interval of Poisson-bootstrap means.  Weights come from a hash of
+    seed, draw and row, by the inverse distribution function, so that a draw needs no shuffle of rows."""
+    by = by or []
+    rows = _weighted(df, key, [*by, x], draws, seed)
+    means = rows.groupBy(*by, "draw").agg((F.sum(F.col(x) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    return means.groupBy(*by).agg(*_interval("mean", "mean"))
+
+
+def bootstrap_slope(df: DataFrame, key: str, y: str, x: str, draws: int = 400, seed: int = 0) -> DataFrame:
+    """One row: mean and 95 % interval of Poisson-bootstrap slopes of y on x."""
+    w, a, b = F.col("w"), F.col(x).cast("double"), F.col(y).cast("double")
+    rows = _weighted(df, key, [x, y], draws, seed).groupBy("draw").agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * a * b).alias("ab"))
+    slopes = rows.select(((F.col("ab") * F.col("n") - F.col("a") * F.col("b")) / F.nullif(F.col("aa") * F.col("n") - F.col("a") * F.col("a"), F.lit(0.0))).alias("slope"))
+    return slopes.agg(*_interval("slope", "slope"))
 
 
 def gelman_rubin(draws: DataFrame) -> DataFrame:

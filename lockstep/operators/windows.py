@@ -1,7 +1,6 @@
 """Ranks, rank windows, profiles and run-to-run deltas.
 
-Ranks are over entities, of which there are few against cells; a global rank is one range-partitioned sort of one row an
-entity.
+A global rank is a range-partitioned sort, written once, and the counts of the partitions before: no task sees all rows.
 """
 
 from __future__ import annotations
@@ -9,13 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .margins import entity_margins, item_margins
 from .pairs import agreement
 
 
 def ordinal(df: DataFrame, by: list, name: str = "rank") -> DataFrame:
     """df with its 1-based place in the order `by` (which must be total)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*by)))
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place in the partition
+    parts = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    placed = stored(parts.withColumn("_part", F.spark_partition_id()).withColumn("_place", within), "ranks")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("k"))
+    before = sizes.select("_part", (F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("k")).alias("_before"))  # a row a partition
+    out = placed.join(F.broadcast(before), "_part")
+    return out.select(*df.columns, (F.col("_before") + F.col("_place") + 1).alias(name))
 
 
 def by_accuracy(o: DataFrame) -> DataFrame:
@@ -85,8 +91,9 @@ def last_value(runs: DataFrame) -> DataFrame:
 
 
 def autocorrelation(series: DataFrame, t: str, x: str) -> DataFrame:
-    """One row: lag-1 autocorrelation of x in the order of t."""
-    mean = series.agg(F.avg(x).alias("mean"))
-    c = series.crossJoin(F.broadcast(mean)).select(t, (F.col(x) - F.col("mean")).alias("d"))
-    nxt = F.lead("d").over(Window.orderBy(t))
-    return c.withColumn("e", nxt).agg(F.round(F.sum(F.col("d") * F.col("e")) / F.sum(F.col("d") * F.col("d")), 8).alias("lag1"))
+    """One row: lag-1 autocorrelation of x in the order of t (without ties)."""
+    s = series.select(F.col(t).alias("t"), F.col(x).alias("x"))
+    centred = s.crossJoin(F.broadcast(s.agg(F.avg("x").alias("mean")))).select("t", (F.col("x") - F.col("mean")).alias("d"))
+    c = ordinal(centred, [F.col("t")])
+    after = c.select((F.col("rank") - 1).alias("rank"), F.col("d").alias("e"))
+    return c.join(after, "rank", "left").agg(F.round(F.sum(F.col("d") * F.col("e")) / F.sum(F.col("d") * F.col("d")), 8).alias("lag1"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar
-from ..operators import dedup, margins, nulls, pairs, residual, responses, statistics, windows
+from ..functions import scalar, verdicts
+from ..operators import dedup, margins, nulls, pairs, residual, responses, statistics, studies, windows
 from ..sources import ingest
 from ..sources.storage import stored
 from ..sources.views import SQL as VIEW
@@ -123,7 +123,13 @@ on(
     "SELECT i % 25 AS panel, count(*) AS n_pairs, round(avg(g / m), 8) AS double_fault, round(avg((ri + rj - 2 * g) / m), 8) AS disagreement FROM p WHERE i % 25 = j % 25 GROUP BY 1",
     PAIRS,
 )
-on("emb", "pair_submatrix", lambda o: pairs.submatrix(pairs.joint_counts(o), o.where("entity % 5 = 0")), "SELECT i, j, g FROM g WHERE i % 5 = 0 AND j % 5 = 0", PAIRS)
+on(
+    "emb",
+    "pair_submatrix",
+    lambda o: pairs.submatrix(pairs.joint_counts(o), responses.top_panel(o, 100)),
+    "SELECT i, j, g.g FROM g JOIN top a ON a.entity = i JOIN top b ON b.entity = j",
+    PAIRS + ", top AS (SELECT entity FROM em ORDER BY r, entity LIMIT 100)",
+)
 
 # Ranks, windows, runs ------------------------------------------------------------------------------------------------
 RANKED = ", rk AS (SELECT entity, r, row_number() OVER (ORDER BY r, entity) AS rank FROM em)"
@@ -173,9 +179,9 @@ query("global_agreement", f"WITH {WRONG}, s AS (SELECT item, sum(k) AS n, sum(k
 )
 query(
     "pair_wrong_agreement",
-    f"WITH {WRONG} SELECT a.entity AS i, b.entity AS j, count(*) AS n, round(avg(CAST(a.choice = b.choice AS INTEGER)), 6) AS observed, round(avg(q2), 6) AS expected FROM r a JOIN r b ON b.item = a.item AND b.entity = a.entity + 1 JOIN q ON q.item = a.item "
+    f"WITH {WRONG} SELECT a.entity AS i, b.entity AS j, count(*) AS n, round(avg(CAST(a.choice = b.choice AS INTEGER)), 6) AS observed, floor(CAST(sum(CAST(round(q2 * 1e8) AS BIGINT)) AS DOUBLE) / count(*)) / 1e8 AS expected FROM r a JOIN r b ON b.item = a.item AND b.entity > a.entity JOIN q ON q.item = a.item "
     "WHERE a.acc = 0 AND b.acc = 0 AND a.choice >= 0 AND b.choice >= 0 AND q2 IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 10",
-)(lambda s, d: responses.pair_agreement(resp(s, d), _neighbours(resp(s, d), 1), 10))
+)(lambda s, d: responses.pair_agreement(resp(s, d), None, 10))
 PANELS = ", pn AS (SELECT panel, entity FROM (SELECT panel, entity, row_number() OVER (PARTITION BY panel ORDER BY md5(concat_ws('|', '5', panel, entity))) AS k FROM (SELECT DISTINCT entity FROM r), (SELECT range AS panel FROM range(20))) WHERE k <= 7)"
 query("hashed_panels", f"WITH {RESP}{PANELS} SELECT panel, entity FROM pn")(lambda s, d: responses.hashed_panels(resp(s, d), 20, 7, 5))
 query(
@@ -190,7 +196,10 @@ for _mask, _group in ((True, "item, acc"), (False, "item")):
     )(lambda s, d, mask=_mask: responses.permute_wrong(resp(s, d), 3, mask))
 on("emb", "top_panel", lambda o: responses.top_panel(o, 100), "SELECT entity, r FROM em ORDER BY r, entity LIMIT 100")
 on("emb", "item_halves", lambda o: responses.item_halves(o, 4), "SELECT item, ntile(2) OVER (ORDER BY md5(concat_ws('|', '4', item)), item) AS half FROM im")
-on("emb", "greedy_diverse_panel", lambda o: o.sparkSession.createDataFrame([(k, e) for k, e in enumerate(responses.greedy_diverse(stored(pairs.agreement(o), "agreement"), 0, 8))], "place int, entity long"))
+DIVERSE = PAIRS + ", sim AS (SELECT i AS a, j AS b, agreement FROM ag UNION ALL SELECT j, i, agreement FROM ag), c0 AS (SELECT 0 AS place, CAST(0 AS BIGINT) AS entity)" + "".join(
+    f", c{k} AS (SELECT * FROM c{k - 1} UNION ALL SELECT * FROM (SELECT {k} AS place, b AS entity FROM sim WHERE a IN (SELECT entity FROM c{k - 1}) AND b NOT IN (SELECT entity FROM c{k - 1}) GROUP BY b ORDER BY round(avg(agreement), 10), b LIMIT 1))" for k in range(1, 8)
+)
+on("emb", "greedy_diverse_panel", lambda o: o.sparkSession.createDataFrame([(k, e) for k, e in enumerate(responses.greedy_diverse(stored(pairs.agreement(o), "agreement"), 0, 8))], "place int, entity long"), "SELECT place, entity FROM c7", DIVERSE)
 
 # Text and ingest -----------------------------------------------------------------------------------------------------
 KEY = r"substr(md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16)"
@@ -253,6 +262,12 @@ query("lineage_parse", f"WITH {CARDS} SELECT model, coalesce(parent, '') AS pare
 query("lineage_gate", f"WITH {CARDS} SELECT count(*) AS n_models, count(parent) AS n_with_parent, round(count(parent) / count(*), 8) AS coverage, count(DISTINCT parent) AS n_parents FROM lin")(
     lambda s, d: ingest.lineage_gate(_cards(s, d).select("model"), ingest.parsed_lineage(_cards(s, d)))
 )
+query("lineage_sources", f"WITH {CARDS} SELECT coalesce(lin.source, 'none') AS source, count(*) AS n FROM (SELECT replace(c_name, 'Customer', 'Supplier') AS c_name FROM customer) LEFT JOIN lin ON lin.model = c_name GROUP BY 1")(
+    lambda s, d: ingest.source_breakdown(read(s, d, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("model")), ingest.parsed_lineage(_cards(s, d)))
+)
+query("verdict_coverage", f"WITH {CARDS} SELECT round(count(parent) / count(*), 8) AS coverage, count(parent) / count(*) >= 0.4 AS covered FROM lin")(
+    lambda s, d: ingest.lineage_gate(_cards(s, d).select("model"), ingest.parsed_lineage(_cards(s, d))).select("coverage", verdicts.covered(F.col("coverage")).alias("covered"))
+)
 query("top_parents", f"WITH {CARDS} SELECT parent, count(*) AS n FROM lin WHERE parent IS NOT NULL GROUP BY parent ORDER BY n DESC, parent LIMIT 25")(lambda s, d: ingest.top_parents(ingest.parsed_lineage(_cards(s, d))))
 query("lineage_lookup", f"WITH {CARDS} SELECT c_name AS model, coalesce(lin.source, 'none') AS source, coalesce(parent, '') AS parents FROM (SELECT replace(c_name, 'Customer', 'Supplier') AS c_name FROM customer) LEFT JOIN lin ON lin.model = c_name")(
     lambda s, d: ingest.with_lineage(read(s, d, "customer").select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("model")), ingest.parsed_lineage(_cards(s, d))).withColumn("parents", F.array_join("parents", ","))
@@ -286,8 +301,8 @@ query("first_days", "SELECT model, strftime(day, '%Y-%m-%d') AS day, rank FROM (
 query("month_cohorts", "SELECT strftime(o_orderdate, '%Y-%m') AS cohort, count(*) AS n FROM orders GROUP BY 1")(lambda s, d: read(s, d, "orders").groupBy(scalar.month(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("cohort")).agg(F.count(F.lit(1)).alias("n")))
 query("json_props", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")(lambda s, d: read(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
 query("analytic_floor", "SELECT n_name, round(1 / sqrt(n_nationkey + 5 - 3), 10) AS floor FROM nation")(lambda s, d: read(s, d, "nation").select("n_name", F.round(scalar.analytic_floor(F.col("n_nationkey") + 5), 10).alias("floor")))
-query("argmax_choice", "SELECT vec_id, CAST(list_position(embedding[1:8], list_max(embedding[1:8])) - 1 AS INTEGER) AS choice FROM embeddings")(
-    lambda s, d: read(s, d, "embeddings").select("vec_id", scalar.first_argmax(F.slice("embedding", 1, 8).cast("array<double>")).alias("choice"))
+query("argmax_choice", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS choice FROM embeddings")(
+    lambda s, d: read(s, d, "embeddings").select("vec_id", scalar.first_argmax(F.col("embedding").cast("array<double>"), 4096).alias("choice"))
 )
 
 # Statistics ----------------------------------------------------------------------------------------------------------
@@ -307,6 +322,14 @@ query(
     "SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m",
 )(lambda s, d: statistics.bootstrap_mean(read(s, d, "supplier"), "s_suppkey", "s_acctbal", 100, 2).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")]))
 
+query(
+    "bootstrap_slope",
+    "WITH u AS (SELECT draw, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, CAST(('0x' || substr(md5(concat_ws('|', '6', draw, p_partkey)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM part, (SELECT range AS draw FROM range(100))), "
+    "w AS (SELECT draw, x, y, " + " + ".join(f"CAST(u >= {statistics_cut} AS INTEGER)" for statistics_cut in statistics.poisson_cuts()) + " AS w FROM u), "
+    "m AS (SELECT (sum(w * x * y) * sum(w) - sum(w * x) * sum(w * y)) / (sum(w * x * x) * sum(w) - sum(w * x) * sum(w * x)) AS slope FROM w GROUP BY draw) "
+    "SELECT round(avg(slope), 6) AS slope, round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high FROM m",
+)(lambda s, d: statistics.bootstrap_slope(read(s, d, "part"), "p_partkey", "p_retailprice", "p_size", 100, 6).select(*[F.round(c, 6).alias(c) for c in ("slope", "low", "high")]))
+
 
 @query("nested_models")
 def _nested(s: SparkSession, d: str) -> DataFrame:
@@ -367,7 +390,7 @@ on("emb", "residual_pairs", residual.residual_pairs)
 on("emb", "variance_terms", residual.variance_terms)
 on("emb", "spectrum_summary", lambda o: residual.spectrum_summary(residual.spectrum(o)))
 on("emb", "spectrum_raw", lambda o: residual.spectrum(o, raw=True))
-on("emb", "eigenvalues_above", lambda o: residual.eigenvalues_above(residual.spectrum(o), 2.0))
+on("emb", "eigenvalues_above", lambda o: residual.eigenvalues_above(residual.spectrum(o), studies.null_edge(o, 4, 20)))
 query("cohort_participation")(lambda s, d: residual.by_cohort(VIEWS["emb"](s, d), read(s, d, "embeddings").select(F.col("vec_id").alias("entity"), F.col("label").cast("string").alias("cohort")), 20, 20))
 on("emb", "margin_fit_gap", lambda o: o.sparkSession.range(1).select(F.lit(residual.fit_margins(o).gap < 1e-8).alias("margins_fit")), "SELECT true AS margins_fit")
 
@@ -381,9 +404,46 @@ def _log_likelihood(s: SparkSession, d: str) -> DataFrame:
 
 
 # Redundancy ----------------------------------------------------------------------------------------------------------
-on("emb", "keep_accurate", lambda o: dedup.keep_accurate(o, 0.65))
-on("emb", "representatives", lambda o: dedup.representatives(o, 0.65))
-on("emb", "redundancy_sweep", lambda o: dedup.sweep(o, [1.01, 0.70, 0.65, 0.60]))
+#: Entities in the order `od` (entity, rank); each is kept unless a kept one before it agrees at the threshold.
+FIRST_KEPT = (
+    ", el AS MATERIALIZED (SELECT greatest(a.rank, b.rank) AS rank, list(least(a.rank, b.rank)) AS early FROM ag JOIN od a ON a.entity = ag.i JOIN od b ON b.entity = ag.j WHERE agreement >= 0.65 GROUP BY 1), nb AS MATERIALIZED (SELECT rank, early FROM od LEFT JOIN el USING (rank))"
+    ", kp AS (SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT nb.rank, CASE WHEN list_has_any(kp.kept, coalesce(nb.early, [])) THEN kp.kept ELSE list_append(kp.kept, nb.rank) END FROM kp JOIN nb ON nb.rank = kp.rank + 1)"
+)
+KEPT = "SELECT entity FROM od WHERE rank IN (SELECT unnest(kept) FROM (SELECT kept FROM kp ORDER BY rank DESC LIMIT 1))"
+ORDERS = {
+    "keep_accurate": ", od AS (SELECT entity, row_number() OVER (ORDER BY r, entity) AS rank FROM em)",
+    "representatives": ", sm AS (SELECT entity, round(sum(agreement), 9) AS s FROM (SELECT i AS entity, agreement FROM ag UNION ALL SELECT j, agreement FROM ag) GROUP BY 1), od AS (SELECT entity, row_number() OVER (ORDER BY s DESC, entity) AS rank FROM sm)",
+}
+for _name, _rule in (("keep_accurate", dedup.keep_accurate), ("representatives", dedup.representatives)):
+    query(_name, f"WITH RECURSIVE o AS ({VIEW['emb']}), {PAIRS}{ORDERS[_name]}{FIRST_KEPT} {KEPT}")(over("emb", lambda o, f=_rule: f(o, 0.65)))
+on("emb", "redundancy_sweep", lambda o: studies.redundancy_sweep(o, (1.01, 0.70, 0.65, 0.60), 4))
+on("emb", "duplication_verdict", lambda o: studies.duplication_verdict(studies.redundancy_sweep(o, (1.01, 0.65), 4), 1.01, 0.65))
+
+# Studies beside their nulls ------------------------------------------------------------------------------------------
+on("emb", "variance_reconciliation", lambda o: studies.reconciliation(margins.trim_degenerate(o), 8, 13, 400))
+on("emb", "rank_redundancy", lambda o: studies.rank_redundancy_profile(studies.rank_redundancy(margins.trim_degenerate(o), 8, seed=14)))
+on("emb", "rank_redundancy_summary", lambda o: studies.rank_redundancy_summary(stored(studies.rank_redundancy(margins.trim_degenerate(o), 8, seed=14), "profiles")))
+on("emb", "chain_comparison", lambda o: studies.chain_comparison(o, 24, 15))
+query("panel_measures")(lambda s, d: studies.panel_study(resp(s, d), (3, 5, 7), 300, 16))
+query("incremental_validity")(lambda s, d: studies.incremental_models(studies.panel_study(resp(s, d), (3, 5, 7), 300, 16)))
+query("panel_strategies")(lambda s, d: studies.panel_strategies(resp(s, d), (3, 5, 7), 10, 2, 17))
+query("strategy_contrast")(lambda s, d: studies.strategy_contrast(studies.panel_strategies(resp(s, d), (3, 5, 7), 10, 3, 18), 2000))
+
+
+@query("null_verdicts")
+def _null_verdicts(s: SparkSession, d: str) -> DataFrame:
+    """verdict, holds: whether the exact null is apart from simpler ones, one-margin nulls from it, and chains have mixed."""
+    o = VIEWS["emb"](s, d)
+    at = lambda r: F.max(F.when(F.col("rung") == r, F.col("rms_mean")))
+    floor = stored(nulls.noise_floor(o, 3, 19, nulls.RUNGS[:4]), "floor").agg(*[at(r).alias(r) for r in nulls.RUNGS[:4]], F.max("analytic").alias("analytic"))
+    exact = F.col("fixed_margins")
+    apart = lambda a, b: verdicts.differs(exact, F.col(a)) | verdicts.differs(exact, F.col(b))
+    names = {"exact_null_matters": apart("bernoulli_constant", "analytic"), "both_margins_matter": apart("rows_permuted", "columns_permuted")}
+    out = floor.select(F.explode(F.array(*[F.struct(F.lit(k).alias("verdict"), v.alias("holds")) for k, v in names.items()])).alias("v")).select("v.*")
+    chains = nulls.null_statistics(o, 40, 4, chains=4, residuals=False).where("chain >= 0").select("chain", F.col("dispersion").alias("x"))
+    return out.union(statistics.gelman_rubin(chains).select(F.lit("chains_mixed").alias("verdict"), verdicts.mixed(F.col("r_hat")).alias("holds")))
+
+
 
 # Streaming, monitor, report ------------------------------------------------------------------------------------------
 query("stream_joint_failure", f"WITH o AS ({VIEW['evt']}), {TOTALS} {RECORD}")(lambda s, d: incremental.monitor_record(s, f"{d}/events.parquet"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalar import first_argmax, parents, retryable, text_key
+from ..operators.windows import ordinal
 
 
 def read_correctness(spark: SparkSession, path: str, metric: str = "acc", model: str = "model", position: str = "item") -> DataFrame:
@@ -87,6 +88,11 @@ def lineage_gate(models: DataFrame, lineage: DataFrame) -> DataFrame:
     return head.crossJoin(distinct).select("n_models", "n_with_parent", F.round(F.col("n_with_parent") / F.col("n_models"), 8).alias("coverage"), "n_parents")
 
 
+def source_breakdown(models: DataFrame, lineage: DataFrame) -> DataFrame:
+    """source, n: where the lineage of the models was found; `none` for those without."""
+    return with_lineage(models, lineage).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_parents(lineage: DataFrame, k: int = 25) -> DataFrame:
     return lineage.select(F.explode("parents").alias("parent")).groupBy("parent").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "parent").limit(k)
 
@@ -122,10 +128,10 @@ def row_order_audit(reference: DataFrame, other: DataFrame) -> DataFrame:
 
 def stratified_by_date(models: DataFrame, k: int) -> DataFrame:
     """k models spread evenly over the order of (day, model)."""
-    n = models.count()
-    picks = [(int(i * n / k) + 1,) for i in range(min(k, n))]
-    ranked = models.withColumn("rank", F.row_number().over(Window.orderBy("day", "model")))
-    return ranked.join(F.broadcast(models.sparkSession.createDataFrame(picks, "rank int")), "rank").select("model", "day", "rank")
+    ranked = ordinal(models, [F.col("day"), F.col("model")])
+    n = ranked.count()
+    picks = [(i * n // k + 1,) for i in range(min(k, n))]
+    return ranked.join(F.broadcast(models.sparkSession.createDataFrame(picks, "rank long")), "rank").select("model", "day", "rank")
 
 
 def write_report(df: DataFrame, path: str) -> None:
