@@ -317,18 +317,18 @@ query("chi_square_hours", "SELECT round(CAST(sum(k * k) AS DOUBLE) * 24 / sum(k)
 query("chi_square_tail")(lambda s, d: statistics.chi_square_uniform(read(s, d, "events").groupBy(F.hour("ts")).agg(F.count(F.lit(1)).alias("k")), 24))
 query(
     "bootstrap_mean",
-    "WITH u AS (SELECT draw, s_acctbal AS x, CAST(('0x' || substr(md5(concat_ws('|', '2', draw, s_suppkey)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM supplier, (SELECT range AS draw FROM range(100))), "
+    "WITH u AS (SELECT draw, s_acctbal AS x, CAST(('0x' || substr(md5(concat_ws('|', '2', draw, s_suppkey)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM supplier, (SELECT range AS draw FROM range(20000))), "
     "w AS (SELECT draw, x, " + " + ".join(f"CAST(u >= {statistics_cut} AS INTEGER)" for statistics_cut in statistics.poisson_cuts()) + " AS w FROM u), m AS (SELECT draw, sum(x * w) / sum(w) AS mean FROM w GROUP BY draw) "
     "SELECT round(avg(mean), 6) AS mean, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m",
-)(lambda s, d: statistics.bootstrap_mean(read(s, d, "supplier"), "s_suppkey", "s_acctbal", 100, 2).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")]))
+)(lambda s, d: statistics.bootstrap_mean(read(s, d, "supplier"), "s_suppkey", "s_acctbal", 20000, 2).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")]))
 
 query(
     "bootstrap_slope",
-    "WITH u AS (SELECT draw, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, CAST(('0x' || substr(md5(concat_ws('|', '6', draw, p_partkey)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM part, (SELECT range AS draw FROM range(100))), "
+    "WITH u AS (SELECT draw, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y, CAST(('0x' || substr(md5(concat_ws('|', '6', draw, p_partkey)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM part, (SELECT range AS draw FROM range(400))), "
     "w AS (SELECT draw, x, y, " + " + ".join(f"CAST(u >= {statistics_cut} AS INTEGER)" for statistics_cut in statistics.poisson_cuts()) + " AS w FROM u), "
     "m AS (SELECT (sum(w * x * y) * sum(w) - sum(w * x) * sum(w * y)) / (sum(w * x * x) * sum(w) - sum(w * x) * sum(w * x)) AS slope FROM w GROUP BY draw) "
     "SELECT round(avg(slope), 6) AS slope, round(quantile_cont(slope, 0.025), 6) AS low, round(quantile_cont(slope, 0.975), 6) AS high FROM m",
-)(lambda s, d: statistics.bootstrap_slope(read(s, d, "part"), "p_partkey", "p_retailprice", "p_size", 100, 6).select(*[F.round(c, 6).alias(c) for c in ("slope", "low", "high")]))
+)(lambda s, d: statistics.bootstrap_slope(read(s, d, "part"), "p_partkey", "p_retailprice", "p_size", 400, 6).select(*[F.round(c, 6).alias(c) for c in ("slope", "low", "high")]))
 
 
 @query("nested_models")
@@ -361,16 +361,16 @@ on(
 )
 on("emb", "fixed_margin_null", lambda o: margins.margins_equal(o, nulls.null_matrices(o, 1, 1).drop("rep")), "SELECT CAST(0 AS BIGINT) AS largest_gap, true AS equal")
 on("emb", "fixed_margin_mean", lambda o: nulls.null_statistics(o, 4, 1, residuals=False).agg(F.round(F.max("mean") - F.min("mean"), 14).alias("spread"), F.count(F.lit(1)).alias("n")), "SELECT CAST(0.0 AS DOUBLE) AS spread, CAST(5 AS BIGINT) AS n")
-on("emb", "dispersion_test", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 2, residuals=False), "dispersion"))
-on("emb", "dispersion_test_chains", lambda o: nulls.calibrated(nulls.null_statistics(o, 16, 3, chains=4, residuals=False), "dispersion"))
+on("emb", "dispersion_test", lambda o: nulls.calibrated(nulls.null_statistics(o, 400, 2, residuals=False), "dispersion"))
+on("emb", "dispersion_test_chains", lambda o: nulls.calibrated(nulls.null_statistics(o, 400, 3, chains=8, residuals=False), "dispersion"))
 on("emb", "chain_mixing", lambda o: statistics.gelman_rubin(nulls.null_statistics(o, 40, 4, chains=4, residuals=False).where("chain >= 0").select("chain", F.col("dispersion").alias("x"))))
-on("emb", "n_effective", lambda o: nulls.n_effective(o, 8, 5))
+on("emb", "n_effective", lambda o: nulls.n_effective(o, 40, 5))
 on("emb", "null_convergence", lambda o: nulls.convergence(o, 6))
-on("emb", "noise_floor", lambda o: nulls.noise_floor(o, 3, 7))
-on("evt", "null_ladder", lambda o: nulls.noise_floor(margins.trim_degenerate(o), 2, 8, extra=True))
+on("emb", "noise_floor", lambda o: nulls.noise_floor(o, 12, 7))
+on("evt", "null_ladder", lambda o: nulls.noise_floor(margins.trim_degenerate(o), 8, 8, extra=True))
 on("evt", "held_out_dimension", lambda o: nulls.held_out_dimension(margins.trim_degenerate(o), 3, 9))
-query("detection_power")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.2), ("shared", 1.2), ("copy", 0.35)], 4, 80, 150, 8, 10))
-query("controls")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.6), ("clone", 1.0), ("shuffled", 0.0)], 2, 120, 200, 10, 11).select("kind", "strength", "mean_ses"))
+query("detection_power")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.2), ("shared", 1.2), ("copy", 0.35)], 20, 400, 700, 15, 10))
+query("controls")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("groups", 1.6), ("clone", 1.0), ("shuffled", 0.0)], 4, 500, 900, 15, 11).select("kind", "strength", "mean_ses"))
 
 
 @query("fiber_uniformity")
@@ -390,7 +390,7 @@ on("emb", "residual_pairs", residual.residual_pairs)
 on("emb", "variance_terms", residual.variance_terms)
 on("emb", "spectrum_summary", lambda o: residual.spectrum_summary(residual.spectrum(o)))
 on("emb", "spectrum_raw", lambda o: residual.spectrum(o, raw=True))
-on("emb", "eigenvalues_above", lambda o: residual.eigenvalues_above(residual.spectrum(o), studies.null_edge(o, 4, 20)))
+on("emb", "eigenvalues_above", lambda o: residual.eigenvalues_above(residual.spectrum(o), studies.null_edge(o, 6, 20)))
 query("cohort_participation")(lambda s, d: residual.by_cohort(VIEWS["emb"](s, d), read(s, d, "embeddings").select(F.col("vec_id").alias("entity"), F.col("label").cast("string").alias("cohort")), 20, 20))
 on("emb", "margin_fit_gap", lambda o: o.sparkSession.range(1).select(F.lit(residual.fit_margins(o).gap < 1e-8).alias("margins_fit")), "SELECT true AS margins_fit")
 
@@ -416,18 +416,18 @@ ORDERS = {
 }
 for _name, _rule in (("keep_accurate", dedup.keep_accurate), ("representatives", dedup.representatives)):
     query(_name, f"WITH RECURSIVE o AS ({VIEW['emb']}), {PAIRS}{ORDERS[_name]}{FIRST_KEPT} {KEPT}")(over("emb", lambda o, f=_rule: f(o, 0.65)))
-on("emb", "redundancy_sweep", lambda o: studies.redundancy_sweep(o, (1.01, 0.70, 0.65, 0.60), 4))
-on("emb", "duplication_verdict", lambda o: studies.duplication_verdict(studies.redundancy_sweep(o, (1.01, 0.65), 4), 1.01, 0.65))
+on("emb", "redundancy_sweep", lambda o: studies.redundancy_sweep(o, (1.01, 0.70, 0.65, 0.60), 6))
+on("emb", "duplication_verdict", lambda o: studies.duplication_verdict(studies.redundancy_sweep(o, (1.01, 0.65), 6), 1.01, 0.65))
 
 # Studies beside their nulls ------------------------------------------------------------------------------------------
-on("emb", "variance_reconciliation", lambda o: studies.reconciliation(margins.trim_degenerate(o), 8, 13, 400))
-on("emb", "rank_redundancy", lambda o: studies.rank_redundancy_profile(studies.rank_redundancy(margins.trim_degenerate(o), 8, seed=14)))
-on("emb", "rank_redundancy_summary", lambda o: studies.rank_redundancy_summary(stored(studies.rank_redundancy(margins.trim_degenerate(o), 8, seed=14), "profiles")))
-on("emb", "chain_comparison", lambda o: studies.chain_comparison(o, 24, 15))
-query("panel_measures")(lambda s, d: studies.panel_study(resp(s, d), (3, 5, 7), 300, 16))
-query("incremental_validity")(lambda s, d: studies.incremental_models(studies.panel_study(resp(s, d), (3, 5, 7), 300, 16)))
-query("panel_strategies")(lambda s, d: studies.panel_strategies(resp(s, d), (3, 5, 7), 10, 2, 17))
-query("strategy_contrast")(lambda s, d: studies.strategy_contrast(studies.panel_strategies(resp(s, d), (3, 5, 7), 10, 3, 18), 2000))
+on("emb", "variance_reconciliation", lambda o: studies.reconciliation(margins.trim_degenerate(o), 30, 13, 2000))
+on("emb", "rank_redundancy", lambda o: studies.rank_redundancy_profile(studies.rank_redundancy(margins.trim_degenerate(o), 10, seed=14)))
+on("emb", "rank_redundancy_summary", lambda o: studies.rank_redundancy_summary(stored(studies.rank_redundancy(margins.trim_degenerate(o), 10, seed=14), "profiles")))
+on("emb", "chain_comparison", lambda o: studies.chain_comparison(o, 200, 15))
+query("panel_measures")(lambda s, d: studies.panel_study(resp(s, d), seed=16))
+query("incremental_validity")(lambda s, d: studies.incremental_models(studies.panel_study(resp(s, d), seed=16)))
+query("panel_strategies")(lambda s, d: studies.panel_strategies(resp(s, d), seed=17))
+query("strategy_contrast")(lambda s, d: studies.strategy_contrast(studies.panel_strategies(resp(s, d), seed=17)))
 
 
 @query("null_verdicts")
@@ -435,7 +435,7 @@ def _null_verdicts(s: SparkSession, d: str) -> DataFrame:
     """verdict, holds: whether the exact null is apart from simpler ones, one-margin nulls from it, and chains have mixed."""
     o = VIEWS["emb"](s, d)
     at = lambda r: F.max(F.when(F.col("rung") == r, F.col("rms_mean")))
-    floor = stored(nulls.noise_floor(o, 3, 19, nulls.RUNGS[:4]), "floor").agg(*[at(r).alias(r) for r in nulls.RUNGS[:4]], F.max("analytic").alias("analytic"))
+    floor = stored(nulls.noise_floor(o, 12, 19, nulls.RUNGS[:4]), "floor").agg(*[at(r).alias(r) for r in nulls.RUNGS[:4]], F.max("analytic").alias("analytic"))
     exact = F.col("fixed_margins")
     apart = lambda a, b: verdicts.differs(exact, F.col(a)) | verdicts.differs(exact, F.col(b))
     names = {"exact_null_matters": apart("bernoulli_constant", "analytic"), "both_margins_matter": apart("rows_permuted", "columns_permuted")}

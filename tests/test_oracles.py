@@ -11,7 +11,7 @@ from lockstep.plans import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"redundancy_sweep", "duplication_verdict", "audit_report", "strategy_contrast"}  # covered by test_operators.py
+SLOW = {"redundancy_sweep", "duplication_verdict", "audit_report", "panel_strategies", "strategy_contrast"}  # covered by test_operators.py
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
