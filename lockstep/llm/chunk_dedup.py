@@ -92,13 +92,12 @@ def word_count(piece: bytes) -> int:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, nos, ats, sizes, words, digests = [], [], [], [], [], []
+        ids, ats, sizes, words, digests = [], [], [], [], []
         for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             ends = cuts(data)
             starts = [0, *ends[:-1]] if ends else []
             ids += [uid] * len(ends)
-            nos += range(len(ends))
             ats += starts
             for a, b in zip(starts, ends, strict=True):
                 piece = data[a:b]
@@ -107,8 +106,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digests.append(xxhash.xxh3_128_digest(piece))
         both = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int32()), pa.array(words, pa.int32()), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))],
-            ["uid", "no", "at", "size", "words", "d0", "d1"],
+            [pa.array(ids, pa.int64()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int32()), pa.array(words, pa.int32()), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))],
+            ["uid", "at", "size", "words", "d0", "d1"],
         )
 
 
@@ -120,8 +119,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     named = docs.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text")
     chunks = stored(_with_ids(named), "chunks")  # from here on the uids are fixed
     shared = chunks.groupBy("d0", "d1").agg(F.min("uid").alias("u0"), F.max("uid").alias("u1"), F.min("doc_id").alias("first_doc_id")).where("u0 <> u1").drop("u0", "u1")
-    narrow = chunks.select("d0", "d1", "doc_id", "uid", F.expr("shiftleft(at, 20) | shiftleft(size, 10) | words").alias("place"))  # narrow rows to shuffle
-    hits = narrow.join(shared, ["d0", "d1"]).select("doc_id", "uid", "first_doc_id", F.expr("shiftright(place, 20)").alias("at"), F.expr("int(shiftright(place, 10) & 1023)").alias("size"), F.expr("int(place & 1023)").alias("words"))
+    narrow = chunks.select("d0", "d1", "uid", F.expr("shiftleft(at, 20) | shiftleft(size, 10) | words").alias("place"))  # narrow rows to shuffle
+    ids = chunks.groupBy("uid").agg(F.first("doc_id").alias("doc_id"))  # a document has one; its chunks need not carry it through the join
+    hits = narrow.join(shared, ["d0", "d1"]).select("uid", "first_doc_id", F.expr("shiftright(place, 20)").alias("at"), F.expr("int(shiftright(place, 10) & 1023)").alias("size"), F.expr("int(place & 1023)").alias("words")).join(ids, "uid")
     order = Window.partitionBy("uid").orderBy("at")
     hits = hits.withColumn("starts", (F.col("at") != F.lag(F.col("at") + F.col("size"), 1, -1).over(order)).cast("int"))
     repeat = F.when(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")), F.struct(F.col("at").alias("start"), F.col("size").alias("n_bytes")))
@@ -146,7 +146,7 @@ def _with_ids(docs: DataFrame) -> DataFrame:
             at = np.searchsorted(batch.column("uid").to_numpy(), out.column("uid").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), *out.columns], ["doc_id", *out.schema.names])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, uid long, no int, at long, size int, words int, d0 long, d1 long")
+    return docs.mapInArrow(run, f"doc_id {kind}, uid long, at long, size int, words int, d0 long, d1 long")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
