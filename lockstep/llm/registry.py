@@ -1,6 +1,6 @@
 """The text operators' queries, and their SQL where SQL can express them."""
 
-from . import chunk_dedup, decontaminate, exact_dedup, html_extract, language, pieces, sharding, simhash, token_files, url_filter
+from . import chunk_dedup, conversations, decontaminate, exact_dedup, html_extract, language, pieces, sharding, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_piece_viterbi": pieces.op9_piece_viterbi,
     "op10_kk_shards": sharding.op10_kk_shards,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
 }
-SQL = {"op4_exact_dedup": exact_dedup.SQL, "op7_url_cascade": url_filter.SQL}
+SQL = {"op4_exact_dedup": exact_dedup.SQL, "op7_url_cascade": url_filter.SQL, "op12_conversation_repair": conversations.SQL}
