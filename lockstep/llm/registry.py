@@ -1,6 +1,6 @@
 """The text operators' queries, and their SQL where SQL can express them."""
 
-from . import chunk_dedup, conversations, decontaminate, exact_dedup, html_extract, language, negatives, pieces, sharding, simhash, token_files, url_filter
+from . import chunk_dedup, conversations, decontaminate, exact_dedup, html_extract, language, negatives, packing, pieces, sharding, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_template_leaks": decontaminate.op1_template_leaks,
@@ -13,12 +13,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_piece_viterbi": pieces.op9_piece_viterbi,
     "op10_kk_shards": sharding.op10_kk_shards,
+    "op11_cutting_stock_packing": packing.op11_cutting_stock_packing,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_distance_key_negatives": negatives.op13_distance_key_negatives,
 }
 SQL = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op7_url_cascade": url_filter.SQL,
+    "op11_cutting_stock_packing": packing.op11_cutting_stock_packing,
     "op12_conversation_repair": conversations.SQL,
     "op13_distance_key_negatives": negatives.SQL,
 }

@@ -30,16 +30,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import Memo, new_path, slices, stored, table
+from .common import new_path, slices, stored, table
 
 MAGIC = b"LKSTID2\n"
 END_ID = 1
-MEMO = 40 << 20  # bytes
+LEXICON = 400_000  # words that a worker remembers, at some 200 bytes
 #: The tokenizer file's own split pattern, as it reads on PLAIN texts; what it leaves out is white space.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Latin letters, digits, punctuation; not the superscripts and fractions, which `re` takes for letters.
@@ -52,6 +53,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Lexicon:
+    """Words and their ids, as rows of one array."""
+
+    def __init__(self, kind: np.dtype):
+        self.rows: dict[str, int] = {}
+        self.ids, self.starts = np.empty(1 << 16, kind), np.zeros(1 << 14, np.int64)  # row i: ids[starts[i]:starts[i + 1]]
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New words, their ids one after the other, and how many each has."""
+        n, m = len(self.rows), len(words)
+        used = int(self.starts[n])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.empty(used + len(ids), self.ids.dtype)])
+        if n + m >= len(self.starts):
+            self.starts = np.concatenate([self.starts[: n + 1], np.empty(n + m + 1, np.int64)])
+        self.ids[used : used + len(ids)] = ids
+        self.starts[n + 1 : n + m + 1] = used + np.cumsum(sizes)
+        self.rows.update(zip(words, range(n, n + m), strict=True))
+
+    def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows one after the other, and how many each has."""
+        starts = self.starts[rows]
+        sizes = self.starts[rows + 1] - starts
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
+        at += np.arange(total, dtype=np.int32)
+        return self.ids[at], sizes
+
+    def keep(self, words: list[str]) -> None:
+        """Forgets all others."""
+        ids, sizes = self.ids_of(np.array([self.rows[w] for w in words], dtype=np.int64))
+        self.__init__(self.ids.dtype)
+        self.add(words, ids, sizes)
+
+
 class Tokens:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,7 +103,7 @@ class Tokens:
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.memo = Memo(MEMO)
+        self.lexicon = Lexicon(self.kind)
         probe = "It's a Test, naïve-ÉCOLE 12 don't_x…"
         self.splits = self._same_bytes() and [w for w in SPLIT.findall(probe.lower())] == [
             unicodedata.normalize("NFC", probe.lower())[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(probe.lower())
@@ -77,38 +114,51 @@ class Tokens:
         plain = "".join(map(chr, range(0x21, 0x7F)))
         return "".join(w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)) == plain
 
-    def _words(self, words: list[str]) -> list[bytes]:
+    def _learn(self, words: list[str]) -> None:
         """The ids of words (each one match of SPLIT), many in one call where each word's last id, and no other, is one
         that ends a word."""
-        out: list[bytes] = []
-        for at in range(0, len(words), 8192):
-            some = words[at : at + 8192]
-            groups = [some[a : a + 128] for a in range(0, len(some), 128)]
-            joined = [" ".join(g) for g in groups]
-            results = [(self.pieces if j.isascii() else self.library).encode_batch_fast([j], add_special_tokens=False)[0] for j in joined]
-            for group, found in zip(groups, results, strict=True):
-                ids = np.array(found.ids, dtype=self.kind)
+        for tokenizer, some in ((self.pieces, [w for w in words if w.isascii()]), (self.library, [w for w in words if not w.isascii()])):
+            for at in range(0, len(some), 128):
+                group = some[at : at + 128]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=self.kind)
                 ends = np.flatnonzero(self.ends[ids]) + 1
                 if len(ends) == len(group) and ends[-1] == len(ids):
-                    out += [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                    self.lexicon.add(group, ids, np.diff(ends, prepend=0))
                 else:
-                    out += [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(group, add_special_tokens=False)]
-        return out
+                    found = [np.array(e.ids, dtype=self.kind) for e in self.library.encode_batch_fast(group, add_special_tokens=False)]
+                    self.lexicon.add(group, np.concatenate(found), np.array([len(x) for x in found]))
+
+    def _rows(self, parts: list[str]) -> np.ndarray:
+        """The lexicon's rows of distinct parts of texts; what is new is learned."""
+        known = self.lexicon.rows
+        new = [p for p in parts if p not in known]
+        if len(known) + len(new) > LEXICON:
+            self.lexicon.keep([p for p in parts if p in known])
+            known = self.lexicon.rows
+        several = [SPLIT.findall(p) for p in new]
+        self._learn(list(dict.fromkeys(w for words in several for w in words if w not in known)))
+        several = [(p, words) for p, words in zip(new, several, strict=True) if p not in known]
+        ids, sizes = self.lexicon.ids_of(np.array([known[w] for _, words in several for w in words], dtype=np.int64))
+        ends, words = np.cumsum([0, *sizes.tolist()]), np.cumsum([0, *(len(words) for _, words in several)])
+        self.lexicon.add([p for p, _ in several], ids, np.diff(ends[words]))
+        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of lower-cased texts of PLAIN characters."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        parts = split.flatten().dictionary_encode()
+        ids, sizes = self.lexicon.ids_of(self._rows(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy()])
+        ends = np.zeros(len(sizes) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=ends[1:])
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         lower = [t.lower() for t in texts]
         plain = [i for i, t in enumerate(texts) if self.splits and PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) and not any(a in lower[i] for a in self.added)]
-        parts = [lower[i].split() for i in plain]
-        memo = self.memo
-        memo.turn()
-        several = {p: SPLIT.findall(p) for p in memo.missing(set(chain.from_iterable(parts)))}
-        words = sorted(memo.missing(set(chain.from_iterable(several.values()))), key=lambda w: (not w.isascii(), w))
-        memo.put(zip(words, self._words(words), strict=True))
-        look = memo.new.__getitem__
-        memo.put([(p, b"".join(map(look, w))) for p, w in several.items() if len(w) > 1 or w[0] != p])
-        for i, p in zip(plain, parts, strict=True):
-            out[i] = np.frombuffer(b"".join(map(look, p)), self.kind).astype(np.uint32)
+        for i, ids in zip(plain, self._plain([lower[i] for i in plain]), strict=True):
+            out[i] = ids.astype(np.uint32)
         seen = set(plain)
         rest = [i for i in range(len(texts)) if i not in seen]
         for i, e in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
