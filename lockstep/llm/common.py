@@ -85,11 +85,11 @@ def unpacked(df: DataFrame) -> DataFrame:
 ROWS, BYTES = 500, 4 << 20  # that a Python worker takes up at once
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of at most `rows` and about BYTES (or one row), whatever the batches that Spark sends.  What a
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most `rows` and about `size` bytes (or one row), whatever the batches that Spark sends.  What a
     worker has put aside goes back to the system at the end of the task, since workers are used again."""
     for batch in batches:
-        step = max(1, min(rows, BYTES * batch.num_rows // max(1, batch.nbytes)))
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
     release()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stored, table
-from .token_files import default_tokenizer, loaded
+from .token_files import TEXT_BYTES, TEXTS, default_tokenizer, loaded
 
 CAPACITY, END_ID, PAD_ID = 4096, 2, 0
 CLASSES, POOL = 128, 32
@@ -299,7 +299,7 @@ def _cutter(tokenizer: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(tokenizer)
-        for batch in slices(batches, 3000):
+        for batch in slices(batches, TEXTS, TEXT_BYTES):
             ids = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
             rows = []
             for name, some in zip(batch.column("doc_id").to_pylist(), ids, strict=True):

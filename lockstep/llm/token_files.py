@@ -4,9 +4,11 @@ File: magic, then groups, then a footer.  A group holds the sorted distinct ids
 count, payload size and CRC-32 of ids of each block, and the payloads of `range_coder`.  Any block can be decoded with
 its group's alphabet alone.  The footer has the documents (doc_id, ids), and its own size and CRC-32 are the last bytes.
 
-Writing: rows are range-partitioned and sorted by doc_id; each task tokenises its texts and writes one file under a
-temporary name in the shared folder, then renames it, so that a repeated task leaves one whole file.  Memory is bounded
-by a group (range_coder.LANES blocks) and ROWS texts.  Reading: a task a file, a group at a time.
+Writing: rows are range-partitioned and sorted by doc_id; each task tokenises its texts and writes one file under a name
+of its own attempt in the shared folder.  The manifest, a table that Spark commits, names the files of the attempts that
+count; no file is renamed, and what lost attempts leave is read by nobody and goes with the folder.  Memory is bounded by
+a group (range_coder.LANES blocks), TEXTS texts or TEXT_BYTES of them, and 16 bytes a document of the task for the footer.
+Reading: a task a file, a group at a time; damage of any kind is a ValueError.
 
 Tokenising is the library's.  Texts of plain Latin characters, where lower-casing and splitting are beyond doubt the
 same and that hold no special token, are split here at white space, and only what is new of their parts goes to the
@@ -24,6 +26,7 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,6 +43,7 @@ from .common import new_path, slices, stored, table
 
 MAGIC = b"LKSTID2\n"
 END_ID = 1
+TEXTS, TEXT_BYTES = 3000, 10 << 20  # that are tokenised at once: the more, the fewer times a word is looked up
 LEXICON = 400_000  # words that a worker remembers, at some 200 bytes
 #: The tokenizer file's own split pattern, as it reads on PLAIN texts; what it leaves out is white space.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -135,7 +139,7 @@ class Tokens:
         if len(known) + len(new) > LEXICON:
             self.lexicon.keep([p for p in parts if p in known])
             known = self.lexicon.rows
-        several = [SPLIT.findall(p) for p in new]
+        several = [[p] if p.isalpha() else SPLIT.findall(p) for p in new]
         self._learn(list(dict.fromkeys(w for words in several for w in words if w not in known)))
         several = [(p, words) for p, words in zip(new, several, strict=True) if p not in known]
         ids, sizes = self.lexicon.ids_of(np.array([known[w] for _, words in several for w in words], dtype=np.int64))
@@ -225,7 +229,7 @@ def write_file(f, docs: Iterator[tuple[int | None, np.ndarray]]) -> tuple[int, i
     """Writes the documents' ids; returns (documents, ids)."""
     f.write(MAGIC)
     limit = range_coder.LANES * range_coder.BLOCK // 2
-    names, sizes, held, n = [], [], [], 0
+    names, sizes, flags, held, n = array("q"), array("q"), bytearray(), [], 0
 
     def flush(all_: bool) -> None:
         nonlocal held, n
@@ -238,21 +242,28 @@ def write_file(f, docs: Iterator[tuple[int | None, np.ndarray]]) -> tuple[int, i
         n = sum(map(len, held))
 
     for name, ids in docs:
-        names.append(name)
+        names.append(name or 0)
         sizes.append(len(ids))
+        flags.append(name is None)
         held.append(ids)
         n += len(ids)
         if n >= limit:
             flush(False)
     flush(True)
-    flags = np.array([x is None for x in names], dtype=np.uint8)
-    footer = _packed(np.array([x or 0 for x in names], dtype="<i8").tobytes() + np.array(sizes, dtype="<i8").tobytes() + flags.tobytes())
+    footer = _packed(np.array([names, sizes], dtype="<i8").tobytes() + bytes(flags))
     f.write(struct.pack("<III", 2, len(names), 0) + footer + struct.pack("<I", len(footer) + 12))
     return len(names), sum(sizes)
 
 
 def read_file(f, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) in the file's order."""
+    try:
+        yield from _read_file(f, size)
+    except (struct.error, zlib.error, IndexError, ValueError, TypeError, OverflowError, MemoryError, OSError) as e:
+        raise ValueError("damaged token-id file") from e
+
+
+def _read_file(f, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
     f.seek(size - 4)
     f.seek(size - 4 - struct.unpack("<I", f.read(4))[0])
     _, n, _ = struct.unpack("<III", f.read(12))
@@ -274,7 +285,7 @@ def read_file(f, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
 def _writer(folder: str, tokenizer: str):
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         tokens = loaded(tokenizer)
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS, TEXT_BYTES):
             ids = tokens.encode([t or "" for t in batch.column("text").to_pylist()])
             for name, some in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                 yield name, np.append(some, np.uint32(END_ID))
@@ -286,43 +297,41 @@ def _writer(folder: str, tokenizer: str):
         part = TaskContext.get().partitionId()
         system, root = _open(folder)
         system.create_dir(root, recursive=True)
-        temporary = f"{root}/.{uuid.uuid4().hex}"
-        with system.open_output_stream(temporary) as f:
+        name = f"part-{part:05d}-{uuid.uuid4().hex}.ids"
+        with system.open_output_stream(f"{root}/{name}") as f:
             docs, ids = write_file(f, documents(chain([first], batches)))
-        system.move(temporary, f"{root}/part-{part:05d}.ids")
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, docs, ids)], ["part", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([name]), pa.array([docs], pa.int64()), pa.array([ids], pa.int64())], ["part", "name", "docs", "ids"])
 
     return run
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFrame:
-    """Writes folder/part-NNNNN.ids; returns part, docs, ids of each file.  doc_ids must be integers."""
+    """Writes a file a part into the folder; returns part, name, docs, ids of each.  doc_ids must be integers."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = max(1, rows.rdd.getNumPartitions())
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer()), "part long, docs long, ids long"), "token-manifest")
+    return stored(ordered.mapInArrow(_writer(folder, tokenizer or default_tokenizer()), "part long, name string, docs long, ids long"), "token-manifest")
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read from the files."""
     spark = manifest.sparkSession
-    starts, total = {}, 0
-    for part, n in manifest.select("part", "ids").orderBy("part").collect():  # a row a file
-        starts[part] = total
+    files, total = [], 0
+    for name, n in manifest.orderBy("part").select("name", "ids").collect():  # a row a file
+        files.append((name, total))
         total += n
-    parts = sorted(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _open(folder)
         for i in (i for b in batches for i in b.column(0).to_pylist()):
-            path, start, rows = f"{root}/part-{parts[i]:05d}.ids", starts[parts[i]], []
-            with system.open_input_file(path) as f:
+            (name, start), rows = files[i], []
+            with system.open_input_file(f"{root}/{name}") as f:
                 for name, ids in read_file(f, f.size()):
                     rows.append((name, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(parts), 1, max(1, len(parts))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_range_coded_ids(spark, sf_dir: str) -> DataFrame:
