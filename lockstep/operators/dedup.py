@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
-from .pairs import agreement
+from .margins import entity_margins, item_margins
+from .pairs import alike, failing
 
 
 def first_independent(edges: DataFrame, order: DataFrame) -> DataFrame:
@@ -31,17 +32,27 @@ def first_independent(edges: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def keep_accurate(o: DataFrame, threshold: float, pairs: DataFrame | None = None) -> DataFrame:
-    """Entities kept in order of accuracy (fewest failures, then entity): each agrees with no kept one at the threshold."""
+    """Entities kept in order of accuracy (fewest failures, then entity): each agrees with no kept one at the threshold.
+    pairs: (i, j, agreement), at least those at the threshold."""
     from .windows import by_accuracy
 
-    return first_independent((pairs if pairs is not None else agreement(o)).where(F.col("agreement") >= threshold), by_accuracy(o))
+    return first_independent((alike(o, threshold) if pairs is None else pairs).where(F.col("agreement") >= threshold), by_accuracy(o))
+
+
+def centrality(o: DataFrame) -> DataFrame:
+    """entity, s: its agreements with all others, summed.  The joint failures with all others are c - 1 of each item that
+    it fails, so that margins say it all."""
+    items = item_margins(o)
+    joint = failing(o).join(items, "item").groupBy("entity").agg(F.sum(F.col("c") - 1).alias("joint"))
+    r = entity_margins(o)
+    t = r.agg(F.count(F.lit(1)).alias("n"), F.sum("r").alias("all")).crossJoin(items.agg(F.count(F.lit(1)).alias("m")))
+    others = (F.col("n") - 1) * (F.col("m") - F.col("r")) - (F.col("all") - F.col("r")) + 2 * F.coalesce("joint", F.lit(0))
+    return r.join(joint, "entity", "left").crossJoin(F.broadcast(t)).select("entity", F.round(others / F.col("m"), 9).alias("s"))
 
 
 def representatives(o: DataFrame, threshold: float, pairs: DataFrame | None = None) -> DataFrame:
     """Entities kept in order of centrality (sum of agreements, then entity); each stands for those it agrees with."""
     from .windows import ordinal
 
-    a = pairs if pairs is not None else agreement(o)
-    both = a.select(F.col("i").alias("entity"), "agreement").union(a.select("j", "agreement"))
-    central = both.groupBy("entity").agg(F.round(F.sum("agreement"), 9).alias("s"))
-    return first_independent(a.where(F.col("agreement") >= threshold), ordinal(central, [F.desc("s"), F.col("entity")]))
+    edges = (alike(o, threshold) if pairs is None else pairs).where(F.col("agreement") >= threshold)
+    return first_independent(edges, ordinal(centrality(o), [F.desc("s"), F.col("entity")]))

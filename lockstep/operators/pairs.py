@@ -1,14 +1,18 @@
 """Pair statistics.
 
-Counts of items that two entities both fail come from one of two plans, chosen by their cost in rows:
-- sparse: self-join of the failing cells on the item, sum of c^2 / 2 rows;
-- packed: failures as 64-bit words, self-join on the word number, N^2 / 2 x M / 64 rows.
-Both are equi-joins.  Only pairs that share a failure come out of them; statistics over all pairs divide by
-N (N - 1) / 2.
+Counts of items that two entities both fail come from one of three plans, by the shape of the table:
+- vectors: up to 64 x WORDS item numbers are WORDS columns of 64 bits an entity; entities meet by pairs of blocks, and a
+  pair's count is known in the row that the join makes, so that no pair is ever shuffled;
+- sparse: self-join of the failing cells on the item, sum of c^2 / 2 rows, then a sum for each pair;
+- packed: words met by word number and a pair of entity blocks, for many items that are dense.
+All are equi-joins.  What is said over all pairs needs no table of pairs: a mean is a sum over items, and everything else
+that is here comes from `histogram`, the number of pairs with each (margin, margin, count).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from .margins import entity_margins, item_margins, totals
 
 #: Rows that the packed plan costs more than the sparse one (bit counting, building words).
 PACKED_FACTOR = 2.0
+#: Most words that are columns, and entities that a block has.
+WORDS, BLOCK = 64, 1024
 
 
 def failing(o: DataFrame) -> DataFrame:
@@ -35,43 +41,150 @@ def packed_words(o: DataFrame) -> DataFrame:
     return failing(o).groupBy("entity", F.shiftright(item, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def packed_counts(o: DataFrame, blocks: int = 16) -> DataFrame:
-    """Words meet by word number and a pair of entity blocks, so that few items still give blocks^2 keys a word."""
-    w = packed_words(o).withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = w.withColumnRenamed("block", "ba").withColumn("bb", every)
-    b = w.select(F.col("entity").alias("other"), "word", F.col("bits").alias("more"), F.col("block").alias("bb")).withColumn("ba", every)
+def block_count(n: int) -> int:
+    return min(256, max(6, -(-n // BLOCK)))
+
+
+def block_of(entity: str, blocks: int):
+    return F.pmod(F.xxhash64(entity), F.lit(blocks)).cast("int")
+
+
+def packed_counts(o: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Words meet by word number and an unordered pair of entity blocks."""
+    w = packed_words(o)
+    blocks = blocks or block_count(entity_margins(o).count())
+    w = w.withColumn("block", block_of("entity", blocks))
+    a = w.withColumnRenamed("block", "ba").withColumn("bb", F.explode(F.sequence(F.col("ba"), F.lit(blocks - 1))))
+    b = w.select(F.col("entity").alias("other"), "word", F.col("bits").alias("more"), F.col("block").alias("bb")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("bb"))))
     both = F.bit_count(F.col("bits").bitwiseAND(F.col("more")))
-    out = a.join(b, ["word", "ba", "bb"]).where("entity < other").groupBy(F.col("entity").alias("i"), F.col("other").alias("j")).agg(F.sum(both).cast("long").alias("g"))
-    return out.where("g > 0")
+    met = a.join(b, ["word", "ba", "bb"]).where("ba < bb OR entity < other").where(both > 0)
+    return met.groupBy(F.least("entity", "other").alias("i"), F.greatest("entity", "other").alias("j")).agg(F.sum(both).cast("long").alias("g"))
 
 
-def costs(o: DataFrame) -> DataFrame:
-    """One row: joined rows of either plan."""
-    t = totals(o)
-    return t.select((F.col("scc") / 2).alias("sparse"), (F.col("n") * F.col("n") / 2 * F.ceil(F.col("m") / 64)).alias("packed"))
+def shape(o: DataFrame):
+    """One row: n, m, joined rows of the sparse and the packed plan, lowest and highest item (null if items are no integers)."""
+    t = totals(o).select("n", "m", (F.col("scc") / 2).alias("sparse"), (F.col("n") * F.col("n") / 2 * F.ceil(F.col("m") / 64)).alias("packed"))
+    whole = dict(o.dtypes)["item"] in ("tinyint", "smallint", "int", "bigint")
+    ends = o.agg(*[f(F.col("item").cast("long") if whole else F.lit(None).cast("long")).alias(c) for c, f in (("low", F.min), ("high", F.max))])
+    return t.crossJoin(ends).head()
+
+
+def words_of(row) -> int:
+    """Columns of the vector plan for a `shape`, or 0 where it does not fit."""
+    fits = row.low is not None and row.low >= 0 and row.high < 64 * WORDS
+    return row.high // 64 + 1 if fits and row.packed / max(1, row.high // 64 + 1) <= row.sparse * 4 + 1e6 else 0
+
+
+def vectors(o: DataFrame, words: int) -> DataFrame:
+    """entity, r, w0, w1, ...: bit `item mod 64` of word `item div 64` is a failure."""
+    item = F.col("item").cast("long")
+    bit = F.when(F.col("f") == 1, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(item, F.lit(64)).cast("int"))).otherwise(0)
+    of = lambda k: bit if words == 1 else F.when(F.shiftright(item, 6) == k, bit).otherwise(0)
+    return o.groupBy("entity").agg(F.sum("f").cast("long").alias("r"), *[F.bit_or(of(k)).alias(f"w{k}") for k in range(words)])
+
+
+def _sides(o: DataFrame, words: int) -> tuple[DataFrame, DataFrame, object]:
+    """The vectors, the same under other names, and the count of a joined row."""
+    a = vectors(o, words)
+    b = a.select(F.col("entity").alias("other"), F.col("r").alias("s"), *[F.col(f"w{k}").alias(f"x{k}") for k in range(words)])
+    g = F.bit_count(F.col("w0").bitwiseAND(F.col("x0")))
+    for k in range(1, words):
+        g = g + F.bit_count(F.col(f"w{k}").bitwiseAND(F.col(f"x{k}")))
+    return a, b, g.cast("long")
+
+
+def vector_pairs(o: DataFrame, words: int, n: int) -> DataFrame:
+    """entity, other, r, s, g of all pairs, each once in either order; the rows of the join, not shuffled."""
+    blocks = block_count(n)
+    a, b, g = _sides(o, words)
+    a = a.withColumn("ba", block_of("entity", blocks)).withColumn("bb", F.explode(F.sequence(F.col("ba"), F.lit(blocks - 1))))
+    b = b.withColumn("bb", block_of("other", blocks)).withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("bb"))))
+    return a.join(b, ["ba", "bb"]).where("ba < bb OR entity < other").select("entity", "other", "r", "s", g.alias("g"))
+
+
+def _in_order(pairs: DataFrame, *more) -> DataFrame:
+    """i < j, g, ri, rj of rows (entity, other, r, s, g)."""
+    first = F.col("entity") < F.col("other")
+    return pairs.select(
+        F.least("entity", "other").alias("i"), F.greatest("entity", "other").alias("j"), "g", F.when(first, F.col("r")).otherwise(F.col("s")).alias("ri"), F.when(first, F.col("s")).otherwise(F.col("r")).alias("rj"), *more
+    )
 
 
 def joint_counts(o: DataFrame, strategy: str = "auto") -> DataFrame:
     """i < j and g, the number of items that both fail (g > 0)."""
     if strategy == "auto":
-        row = costs(o).head()
-        strategy = "packed" if row.packed * PACKED_FACTOR < row.sparse else "sparse"
+        row = shape(o)
+        if words := words_of(row):
+            return _in_order(vector_pairs(o, words, row.n)).where("g > 0").select("i", "j", "g")
+        strategy = "packed" if row.low is not None and row.packed * PACKED_FACTOR < row.sparse else "sparse"
     return {"sparse": sparse_counts, "packed": packed_counts}[strategy](o)
 
 
 def all_pairs(o: DataFrame, strategy: str = "auto") -> DataFrame:
     """i < j, g, ri, rj, m for all pairs, g = 0 too.  For entity sets small enough that all pairs are wanted: the
     entities meet in blocks by an equi-join on a block pair, not in a cross join."""
-    r = entity_margins(o)
-    m = item_margins(o).agg(F.count(F.lit(1)).alias("m"))
-    blocks = 16
-    block = F.pmod(F.xxhash64("entity"), F.lit(blocks))
-    a = r.select(F.col("entity").alias("i"), F.col("r").alias("ri"), block.alias("bi")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    b = r.select(F.col("entity").alias("j"), F.col("r").alias("rj"), block.alias("bj")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = a.withColumn("bj", F.col("bj").cast("long")).join(b.withColumn("bi", F.col("bi").cast("long")), ["bi", "bj"]).where("i < j")
+    row = shape(o)
+    words = words_of(row) if strategy == "auto" else 0
+    if words:
+        return _in_order(vector_pairs(o, words, row.n), F.lit(row.m).alias("m"))
+    blocks, r = block_count(row.n), entity_margins(o)
+    a = r.select(F.col("entity").alias("i"), F.col("r").alias("ri"), block_of("entity", blocks).alias("ba")).withColumn("bb", F.explode(F.sequence(F.col("ba"), F.lit(blocks - 1))))
+    b = r.select(F.col("entity").alias("j"), F.col("r").alias("rj"), block_of("entity", blocks).alias("bb")).withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("bb"))))
+    met = a.join(b, ["ba", "bb"]).where("ba < bb OR i < j").select(F.col("i").alias("entity"), F.col("j").alias("other"), F.col("ri").alias("r"), F.col("rj").alias("s"), F.lit(0).cast("long").alias("g"))
     g = joint_counts(o, strategy)
-    return pairs.join(g, ["i", "j"], "left").crossJoin(F.broadcast(m)).select("i", "j", F.coalesce("g", F.lit(0)).alias("g"), "ri", "rj", "m")
+    return _in_order(met).drop("g").join(g, ["i", "j"], "left").select("i", "j", F.coalesce("g", F.lit(0)).alias("g"), "ri", "rj", F.lit(row.m).alias("m"))
+
+
+def histogram(o: DataFrame) -> DataFrame:
+    """ra <= rb, g, k, m: how many pairs of entities have these failures and this joint count; over all pairs.  Where only
+    pairs with a joint failure are counted, the product of the margins' histogram has the others."""
+    row = shape(o)
+    margins = F.least("r", "s").alias("ra"), F.greatest("r", "s").alias("rb")
+    if words := words_of(row):
+        rows = vector_pairs(o, words, row.n).groupBy(*margins, "g").agg(F.count(F.lit(1)).alias("k"))
+        return rows.withColumn("m", F.lit(row.m))
+    r = entity_margins(o)
+    own = lambda end, name: r.select(F.col("entity").alias(end), F.col("r").alias(name))
+    seen = joint_counts(o, "sparse" if row.low is None else "auto").join(own("i", "r"), "i").join(own("j", "s"), "j").groupBy(*margins, "g").agg(F.count(F.lit(1)).alias("k"))
+    classes = r.groupBy("r").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    other = classes.select(F.col("r").alias("s"), F.col("n").alias("p"), "one")
+    every = classes.join(other, "one").where("r <= s").select(F.col("r").alias("ra"), F.col("s").alias("rb"), F.when(F.col("r") == F.col("s"), F.expr("n * (n - 1) div 2")).otherwise(F.col("n") * F.col("p")).alias("all"))
+    rest = every.join(seen.groupBy("ra", "rb").agg(F.sum("k").alias("seen")), ["ra", "rb"], "left").select("ra", "rb", F.lit(0).cast("long").alias("g"), (F.col("all") - F.coalesce("seen", F.lit(0))).alias("k"))
+    return seen.unionByName(rest.where("k > 0")).withColumn("m", F.lit(row.m))
+
+
+def alike(o: DataFrame, threshold: float) -> DataFrame:
+    """i < j, agreement of the pairs that agree on at least that share of the items.  Agreement t implies that the margins
+    differ by at most (1 - t) m: entities meet by buckets of that width, each with its own and the one above, before
+    anything is counted."""
+    row = shape(o)
+    width = math.floor((1 - threshold) * row.m + 1e-9)
+    if width < 0:
+        return joint_counts(o).limit(0).select("i", "j", F.lit(0.0).alias("agreement"))
+    blocks, words = block_count(row.n), words_of(row)
+    bucket = lambda r: F.floor(F.col(r) / (width + 1))
+
+    def banded(a: DataFrame, b: DataFrame) -> DataFrame:
+        """Pairs with r <= s (by entity where equal) and s - r <= width, each once; blocks deal out a common margin."""
+        every = F.sequence(F.lit(0), F.lit(blocks - 1))
+        a = a.withColumns({"key": bucket("r"), "ba": block_of("entity", blocks)}).withColumn("bb", F.explode(every))
+        b = b.withColumn("bb", block_of("other", blocks)).withColumn("ba", F.explode(every)).withColumn("key", F.explode(F.array(bucket("s"), bucket("s") - 1)))
+        return a.join(b, ["key", "ba", "bb"]).where(f"(r < s OR (r = s AND entity < other)) AND s - r <= {width}")
+
+    agree = (F.lit(row.m) - F.col("r") - F.col("s") + 2 * F.col("g")) / F.lit(row.m)
+    if words:
+        a, b, g = _sides(o, words)
+        rows = banded(a, b).withColumn("g", g)
+    else:
+        r = entity_margins(o)
+        low = r.where(F.col("r") <= width)  # only of those may two agree without a joint failure
+        none = banded(low, low.select(F.col("entity").alias("other"), F.col("r").alias("s"))).where(f"r + s <= {width}").select("entity", "other", "r", "s")
+        one = failing(o).join(r, "entity")
+        two = one.select(F.col("entity").alias("other"), "item", F.col("r").alias("s"))
+        counted = one.join(two, "item").where(f"(r < s OR (r = s AND entity < other)) AND s - r <= {width}").groupBy("entity", "other", "r", "s").agg(F.count(F.lit(1)).alias("g"))
+        rows = counted.unionByName(none.join(counted, ["entity", "other"], "left_anti").withColumn("g", F.lit(0).cast("long")))
+    rows = rows.withColumn("agreement", agree).where(F.col("agreement") >= threshold)
+    return rows.select(F.least("entity", "other").alias("i"), F.greatest("entity", "other").alias("j"), "agreement")
 
 
 def counts_of(o: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -84,13 +197,12 @@ def counts_of(o: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.join(g, ["i", "j"], "left").crossJoin(F.broadcast(m)).select("i", "j", F.coalesce("g", F.lit(0)).alias("g"), "ri", "rj", "m")
 
 
-def dispersion(o: DataFrame, strategy: str = "auto") -> DataFrame:
+def dispersion(o: DataFrame) -> DataFrame:
     """One row: variance over all pairs of the share of items that both fail; pairs without any count."""
-    sums = joint_counts(o, strategy).agg(F.coalesce(F.sum("g"), F.lit(0)).cast("double").alias("s"), F.coalesce(F.sum(F.col("g") * F.col("g")), F.lit(0)).cast("double").alias("ss"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    t = totals(o).select("m", pairs.alias("pairs")).crossJoin(sums)
-    mean = F.col("s") / F.col("pairs")
-    return t.select(F.col("pairs").cast("long").alias("n_pairs"), F.round(mean / F.col("m"), 10).alias("mean"), F.round((F.col("ss") / F.col("pairs") - mean * mean) / (F.col("m") * F.col("m")) * 1e6, 4).alias("variance_e6"))
+    g = F.col("g").cast("double")
+    t = histogram(o).agg(F.sum("k").alias("n_pairs"), F.sum(F.col("k") * g).alias("s"), F.sum(F.col("k") * g * g).alias("ss"), F.max("m").alias("m"))
+    mean = F.col("s") / F.col("n_pairs")
+    return t.select("n_pairs", F.round(mean / F.col("m"), 10).alias("mean"), F.round((F.col("ss") / F.col("n_pairs") - mean * mean) / (F.col("m") * F.col("m")) * 1e6, 4).alias("variance_e6"))
 
 
 def agreement(o: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -99,28 +211,75 @@ def agreement(o: DataFrame, strategy: str = "auto") -> DataFrame:
 
 
 def agreement_census(o: DataFrame, high: float = 0.99, low: float = 0.95) -> DataFrame:
-    a = agreement(o)
+    """One row over all pairs: agreement has at most m + 1 values, counted by `histogram`."""
+    a = histogram(o).groupBy(((F.col("m") - F.col("ra") - F.col("rb") + 2 * F.col("g")) / F.col("m")).alias("agreement")).agg(F.sum("k").alias("k"))
     return a.agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.round(F.avg("agreement"), 8).alias("mean"),
-        F.round(F.percentile("agreement", F.lit(0.99)), 8).alias("p99"),
+        F.sum("k").alias("n_pairs"),
+        F.round(F.sum(F.col("agreement") * F.col("k")) / F.sum("k"), 8).alias("mean"),
+        F.round(F.percentile("agreement", F.lit(0.99), F.col("k")), 8).alias("p99"),
         F.round(F.max("agreement"), 8).alias("largest"),
-        F.count_if(F.col("agreement") >= high).alias("n_high"),
-        F.count_if(F.col("agreement") >= low).alias("n_low"),
+        F.coalesce(F.sum(F.when(F.col("agreement") >= high, F.col("k"))), F.lit(0)).alias("n_high"),
+        F.coalesce(F.sum(F.when(F.col("agreement") >= low, F.col("k"))), F.lit(0)).alias("n_low"),
     )
 
 
-def phi():
-    """Pearson correlation of two failure indicators, from g, ri, rj, m."""
-    g, ri, rj, m = (F.col(c).cast("double") for c in ("g", "ri", "rj", "m"))
-    return (g * m - ri * rj) / F.sqrt(ri * (m - ri) * rj * (m - rj))
+def joint_weights(o: DataFrame, weights: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, joint: the sum over pairs (of a group) of the items that both fail, times both weights: item by item half of the
+    squared sum of the weights of those who fail it, less the sum of their squares.  weights: (by, entity, weight)."""
+    by = by or []
+    w = F.col("weight")
+    items = failing(o).join(weights, "entity").groupBy(*by, "item").agg(F.sum(w).alias("a"), F.sum(w * w).alias("b"))
+    return items.groupBy(*by).agg((F.sum(F.col("a") * F.col("a") - F.col("b")) / 2).alias("joint"))
 
 
 def variance_inflation(o: DataFrame) -> DataFrame:
-    """One row: mean correlation of failures over pairs, and N / (1 + (N - 1) mean)."""
-    p = all_pairs(o).where("ri > 0 AND ri < m AND rj > 0 AND rj < m").agg(F.avg(phi()).alias("rbar"))
-    n = entity_margins(o).agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(p).select("n", F.round("rbar", 8).alias("mean_correlation"), F.round(F.col("n") / (1 + (F.col("n") - 1) * F.col("rbar")), 4).alias("n_effective"))
+    """One row: mean correlation of failures over pairs, and N / (1 + (N - 1) mean).  With s_i the deviation of an entity
+    (times m), the mean of (g m - r_i r_j) / (s_i s_j) is two sums over entities and one over items: no pairs."""
+    m = item_margins(o).agg(F.count(F.lit(1)).cast("double").alias("m"))
+    r = F.col("r").cast("double")
+    weights = entity_margins(o).crossJoin(F.broadcast(m)).withColumn("weight", F.when((F.col("r") > 0) & (F.col("r") < F.col("m")), 1 / F.sqrt(r * (F.col("m") - r))))
+    x = r * F.col("weight")
+    t = weights.agg(F.count(F.lit(1)).alias("n"), F.count("weight").alias("k"), F.max("m").alias("m"), ((F.sum(x) * F.sum(x) - F.sum(x * x)) / 2).alias("own"))
+    rbar = (F.col("m") * F.col("joint") - F.col("own")) / (F.col("k") * (F.col("k") - 1) / 2)
+    t = t.crossJoin(joint_weights(o, weights.where("weight IS NOT NULL").select("entity", "weight"))).select("n", rbar.alias("rbar"))
+    return t.select("n", F.round("rbar", 8).alias("mean_correlation"), F.round(F.col("n") / (1 + (F.col("n") - 1) * F.col("rbar")), 4).alias("n_effective"))
+
+
+#: Rounds of the Feistel network, and steps of its walk: three quarters of the numbers at most are outside, so that a walk
+#: of 256 steps fails to end with probability 1e-32.
+ROUNDS, WALK = 4, 256
+
+
+def permuted(x, seed: int, half: int):
+    """A keyed permutation of [0, 4^half): Feistel rounds on two halves of `half` bits, with MD5 as round function."""
+    size = 1 << half
+    left, right = F.shiftright(x, half), x.bitwiseAND(F.lit(size - 1))
+    for k in range(ROUNDS):
+        hashed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.lit(f"{k}"), right.cast("string"))), 1, 8), 16, 10).cast("long")
+        left, right = right, left.bitwiseXOR(hashed.bitwiseAND(F.lit(size - 1)))
+    return F.shiftleft(left, half).bitwiseOR(right)
+
+
+def random_pairs(o: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """i < j: min(k, all) different pairs of entities, each as likely: the images of 0, 1, ..., k - 1 under a keyed
+    permutation of the pair numbers, as ranks of entities.  No list of pairs is made and none is drawn twice."""
+    from .windows import ordinal
+
+    ranked = ordinal(o.select("entity").distinct(), [F.col("entity")])
+    n = ranked.count()
+    pairs = n * (n - 1) // 2
+    half = max(1, ((pairs - 1).bit_length() + 1) // 2)
+    if half > 31:
+        raise ValueError("pair numbers take 62 bits at most")
+    step = lambda x, _: F.when(x < pairs, x).otherwise(permuted(x, seed, half))  # noqa: E731  back inside, along the cycle
+    number = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), permuted(F.col("id"), seed, half), step)
+    drawn = o.sparkSession.range(min(k, pairs)).select(number.alias("p"))
+    guess = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2)
+    first = lambda j: F.expr(f"{j} * ({j} - 1) div 2")
+    drawn = drawn.withColumn("j", guess).withColumn("j", F.when(first("j") > F.col("p"), F.col("j") - 1).when(first("(j + 1)") <= F.col("p"), F.col("j") + 1).otherwise(F.col("j")))
+    at = drawn.select((F.col("p") - first("j") + 1).alias("low"), (F.col("j") + 1).alias("high"))
+    end = lambda rank, name: ranked.select(F.col("rank").alias(rank), F.col("entity").alias(name))
+    return at.join(end("low", "i"), "low").join(end("high", "j"), "high").select("i", "j")
 
 
 def sampled_dispersion(o: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import local
 from .margins import entity_margins, item_margins
-from .pairs import all_pairs
+from .pairs import all_pairs, histogram
 
 MAX_CELLS = 1 << 27  # of a matrix that one task may hold: 1 GB as doubles, two or three of which a fit needs
 
@@ -75,15 +75,41 @@ def expected_share(model: MarginModel):
     return share
 
 
+def class_deviations(model: MarginModel) -> np.ndarray:
+    """Root of the variance that the model leaves an entity of each margin, over items."""
+    p = model.probabilities()
+    return np.sqrt(np.maximum(model.r / model.m - (p * p) @ model.nc / model.m, 1e-12))
+
+
+def expected_in_group(model: MarginModel, members: dict[int, int]) -> float:
+    """The sum over pairs of a group (members[r]: how many have margin r) of the expected share over both deviations."""
+    k = np.array([members.get(int(r), 0) for r in model.r], dtype=np.float64)
+    x = model.probabilities() / class_deviations(model)[:, None]
+    return float(((k @ x) ** 2 - k @ (x * x)) @ model.nc / (2 * model.m))
+
+
+def _sides(spark, model: MarginModel):
+    """(margin column, name) -> the table of the deviations, to join by margin: distinct margins, which the driver holds."""
+    classes = spark.createDataFrame(list(zip(model.r.tolist(), class_deviations(model).tolist(), strict=True)), "r long, s double")
+    return lambda r, s: F.broadcast(classes.select(F.col("r").alias(r), F.col("s").alias(s)))
+
+
+def residual_classes(o: DataFrame, model: MarginModel | None = None) -> DataFrame:
+    """observed, expected, excess, residual, k: of the pairs of all entities, those of equal margins and count together."""
+    model = model or fit_margins(o)
+    share, side = expected_share(model), _sides(o.sparkSession, model)
+    h = histogram(o).join(side("ra", "sa"), "ra").join(side("rb", "sb"), "rb")
+    out = h.select((F.col("g") / F.col("m")).alias("observed"), share("ra", "rb").alias("expected"), "sa", "sb", "k")
+    excess = F.col("observed") - F.col("expected")
+    return out.select("observed", "expected", excess.alias("excess"), (excess / (F.col("sa") * F.col("sb"))).alias("residual"), "k")
+
+
 def residual_pairs(o: DataFrame, model: MarginModel | None = None, wanted: DataFrame | None = None) -> DataFrame:
     """i < j, excess (observed less expected share), residual (its correlation).  wanted: the counts (`pairs.counts_of`) of
     the pairs that matter, instead of all.  An entity's own deviation depends on its margin only: a table of the margins."""
     model = model or fit_margins(o)
     share = expected_share(model)
-    p = model.probabilities()
-    own = np.sqrt(np.maximum(model.r / model.m - (p * p) @ model.nc / model.m, 1e-12))
-    classes = o.sparkSession.createDataFrame(list(zip(model.r.tolist(), own.tolist(), strict=True)), "r long, s double")
-    side = lambda r, s: F.broadcast(classes.select(F.col("r").alias(r), F.col("s").alias(s)))  # noqa: E731  distinct margins, which the driver holds
+    side = _sides(o.sparkSession, model)
     q = (all_pairs(o) if wanted is None else wanted).join(side("ri", "si"), "ri").join(side("rj", "sj"), "rj")
     out = q.select("i", "j", (F.col("g") / F.col("m") - share("ri", "rj")).alias("excess"), "si", "sj", (F.col("g") / F.col("m")).alias("observed"))
     return out.select("i", "j", "observed", "excess", (F.col("excess") / (F.col("si") * F.col("sj"))).alias("residual"))
@@ -92,16 +118,19 @@ def residual_pairs(o: DataFrame, model: MarginModel | None = None, wanted: DataF
 def residual_summary(o: DataFrame) -> DataFrame:
     """One row: largest margin gap of the model, rms residual, N^2 / sum R^2 (participation, negative eigenvalues kept)."""
     model = fit_margins(o)
-    s = residual_pairs(o, model).agg(F.sum(F.col("residual") * F.col("residual")).alias("s"), F.count(F.lit(1)).alias("k"))
+    s = residual_classes(o, model).agg(F.sum(F.col("k") * F.col("residual") * F.col("residual")).alias("s"), F.sum("k").alias("k"))
     return s.select(F.lit(model.n).alias("n"), F.lit(model.gap < 1e-8).alias("margins_fit"), F.round(F.sqrt(F.col("s") / F.col("k")), 6).alias("rms_residual"), F.round(model.n**2 / (model.n + 2 * F.col("s")), 4).alias("participation_raw"))
 
 
 def variance_terms(o: DataFrame) -> DataFrame:
     """One row: Var(C) = Var(E) + 2 Cov(E, D) + Var(D) over pairs, sample moments."""
-    p = residual_pairs(o).select("observed", "excess", (F.col("observed") - F.col("excess")).alias("expected"))
-    return p.agg(
-        F.var_samp("observed").alias("var_observed"), F.var_samp("expected").alias("var_expected"), F.covar_samp("expected", "excess").alias("covariance"),
-        F.var_samp("excess").alias("var_excess"), F.corr("expected", "excess").alias("correlation"), F.avg("excess").alias("mean_excess"),
+    p = residual_classes(o)
+    k, middle = F.col("k"), p.agg(*[(F.sum(F.col(c) * F.col("k")) / F.sum("k")).alias(f"mean_{c}") for c in ("observed", "expected", "excess")])
+    d = {c: F.col(c) - F.col(f"mean_{c}") for c in ("observed", "expected", "excess")}
+    second = lambda x, y: F.sum(k * d[x] * d[y]) / (F.sum(k) - 1)
+    return p.crossJoin(F.broadcast(middle)).agg(
+        second("observed", "observed").alias("var_observed"), second("expected", "expected").alias("var_expected"), second("expected", "excess").alias("covariance"), second("excess", "excess").alias("var_excess"),
+        (second("expected", "excess") / F.sqrt(second("expected", "expected") * second("excess", "excess"))).alias("correlation"), F.max("mean_excess").alias("mean_excess"),
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import DoubleType
 
 
@@ -23,13 +26,49 @@ def poisson_cuts(most: int = 8) -> list[float]:
     return out
 
 
-def _weighted(df: DataFrame, key: str, columns: list[str], draws: int, seed: int) -> DataFrame:
-    """The rows once a draw, with a Poisson weight w of mean 1 by a hash of seed, draw and row."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    weight = F.lit(0)
-    for cut in poisson_cuts():
-        weight = weight + (u >= cut).cast("int")
-    return df.select(key, *columns).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
+def _weights(seed: int, key: str, draws: int) -> np.ndarray:
+    """The Poisson weights of a row in all draws, of mean 1, by a hash of seed, draw and row."""
+    head, tail = f"{seed}|".encode(), f"|{key}".encode()
+    hashed = b"".join([hashlib.md5(head + b"%d" % d + tail).digest()[:4] for d in range(draws)])
+    return np.searchsorted(np.array(poisson_cuts()), np.frombuffer(hashed, ">u4") / 4294967296.0, side="right")
+
+
+GROUPS = 64  # whose sums a task holds at once
+
+
+def weighted_sums(df: DataFrame, key: str, columns: dict, draws: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """by, draw, w (sum of the weights), and for each column the weighted sum.  A task keeps one vector of `draws` sums a
+    column and group, and puts out these alone: a row is never made into `draws` rows."""
+    by = by or []
+    names = list(columns)
+    rows = df.select(*by, F.col(key).cast("string").alias("_key"), *[c.cast("double").alias(f"_{n}") for n, c in columns.items()])
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for group, total in sums.items():
+                given = [pa.array([g] * draws, kinds[i]) for i, g in enumerate(group)]
+                yield pa.RecordBatch.from_arrays([*given, pa.array(np.arange(draws, dtype=np.int32)), *(pa.array(t) for t in total)], [*by, "draw", "w", *names])
+            sums.clear()
+
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            groups = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True)) if by else [()] * batch.num_rows
+            values = np.column_stack([np.ones(batch.num_rows), *(batch.column(f"_{n}").to_numpy(zero_copy_only=False) for n in names)])
+            for group, k, x in zip(groups, batch.column("_key").to_pylist(), values, strict=True):
+                if np.isnan(x).any():
+                    continue
+                if group not in sums:
+                    if len(sums) >= GROUPS:
+                        yield from flush()
+                    sums[group] = np.zeros((len(names) + 1, draws))
+                sums[group] += x[:, None] * _weights(seed, k, draws)
+        yield from flush()
+
+    schema = T.StructType([*(df.schema[c] for c in by), T.StructField("draw", T.IntegerType()), *(T.StructField(n, T.DoubleType()) for n in ("w", *names))])
+    return rows.mapInArrow(run, schema).groupBy(*by, "draw").agg(*[F.sum(n).alias(n) for n in ("w", *names)])
 
 
 def _interval(x: str, name: str) -> list:
@@ -38,18 +77,18 @@ def _interval(x: str, name: str) -> list:
 
 def bootstrap_mean(df: DataFrame, key: str, x: str, draws: int, seed: int = 0, by: list[str] | None = None) -> DataFrame:
     """One row (a row a group of `by`): mean and 95 % interval of Poisson-bootstrap means.  Weights come from a hash of
-    seed, draw and row, by the inverse distribution function, so that a draw needs no shuffle of rows."""
+    seed, draw and row, by the inverse distribution function, so that a draw needs no shuffle of rows; rows without x or
+    with NaN have no weight."""
     by = by or []
-    rows = _weighted(df, key, [*by, x], draws, seed)
-    means = rows.groupBy(*by, "draw").agg((F.sum(F.col(x) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    means = weighted_sums(df, key, {"x": F.col(x)}, draws, seed, by).select(*by, (F.col("x") / F.nullif(F.col("w"), F.lit(0.0))).alias("mean"))
     return means.groupBy(*by).agg(*_interval("mean", "mean"))
 
 
 def bootstrap_slope(df: DataFrame, key: str, y: str, x: str, draws: int = 400, seed: int = 0) -> DataFrame:
     """One row: mean and 95 % interval of Poisson-bootstrap slopes of y on x."""
-    w, a, b = F.col("w"), F.col(x).cast("double"), F.col(y).cast("double")
-    rows = _weighted(df, key, [x, y], draws, seed).groupBy("draw").agg(F.sum(w).alias("n"), F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w * a * a).alias("aa"), F.sum(w * a * b).alias("ab"))
-    slopes = rows.select(((F.col("ab") * F.col("n") - F.col("a") * F.col("b")) / F.nullif(F.col("aa") * F.col("n") - F.col("a") * F.col("a"), F.lit(0.0))).alias("slope"))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    sums = weighted_sums(df, key, {"a": a, "b": b, "aa": a * a, "ab": a * b}, draws, seed)
+    slopes = sums.select(((F.col("ab") * F.col("w") - F.col("a") * F.col("b")) / F.nullif(F.col("aa") * F.col("w") - F.col("a") * F.col("a"), F.lit(0.0))).alias("slope"))
     return slopes.agg(*_interval("slope", "slope"))
 
 

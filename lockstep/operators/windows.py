@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .margins import entity_margins, item_margins
-from .pairs import agreement
+from .pairs import joint_weights
 
 
 def ordinal(df: DataFrame, by: list, name: str = "rank") -> DataFrame:
@@ -41,28 +41,42 @@ def rank_windows(n: int, windows: int = 25, share: float = 0.10, least: int = 10
     return [(k, k * (n - width) // (windows - 1) + 1, width) for k in range(windows)] if n >= width else []
 
 
-def residual_profile(o: DataFrame, windows: int = 25) -> DataFrame:
-    """window, start, centre_accuracy, mean_residual: the mean residual correlation within each window of accuracy ranks."""
-    from .residual import residual_pairs
-
-    pairs = residual_pairs(o).select("i", "j", F.col("residual").alias("agreement"))
-    return window_profile(o, windows, pairs).withColumnRenamed("mean_agreement", "mean_residual")
+def inside_windows(o: DataFrame, windows: int) -> DataFrame:
+    """window, start, width, entity, r: the members of each window of accuracy ranks."""
+    ranked = stored(by_accuracy(o), "ranked")
+    spans = o.sparkSession.createDataFrame(rank_windows(ranked.count(), windows), "window int, start int, width int")
+    return ranked.join(F.broadcast(spans), (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("width"))).select("window", "start", "width", "entity", "r")  # `windows` rows
 
 
-def window_profile(o: DataFrame, windows: int = 25, values: DataFrame | None = None) -> DataFrame:
-    """window, start, centre_accuracy, mean_agreement within each window of accuracy ranks.  values: (i, j, agreement) of
-    all pairs, if it is another measure that is averaged."""
-    ranked = by_accuracy(o)
-    n = ranked.count()
-    spans = o.sparkSession.createDataFrame(rank_windows(n, windows), "window int, start int, width int")
+def window_profile(o: DataFrame, windows: int = 25) -> DataFrame:
+    """window, start, centre_accuracy, mean_agreement within each window of accuracy ranks: sums over entities and items of
+    a window, no pairs."""
+    inside = inside_windows(o, windows)
     m = item_margins(o).agg(F.count(F.lit(1)).alias("m"))
-    inside = ranked.join(F.broadcast(spans), (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("width")))  # `windows` rows
-    centre = inside.crossJoin(F.broadcast(m)).groupBy("window", "start").agg(F.avg(1 - F.col("r") / F.col("m")).alias("accuracy"))
-    ranks = ranked.select("entity", "rank")
-    pairs = (agreement(o) if values is None else values).join(ranks.select(F.col("entity").alias("i"), F.col("rank").alias("a")), "i").join(ranks.select(F.col("entity").alias("j"), F.col("rank").alias("b")), "j")
-    first, last = F.least("a", "b"), F.greatest("a", "b")
-    within = pairs.join(F.broadcast(spans), (first >= F.col("start")) & (last < F.col("start") + F.col("width"))).groupBy("window").agg(F.avg("agreement").alias("agreement"))
-    return centre.join(within, "window").select("window", "start", F.round("accuracy", 8).alias("centre_accuracy"), F.round("agreement", 8).alias("mean_agreement"))
+    joint = joint_weights(o, inside.select("window", "entity", F.lit(1).cast("long").alias("weight")), ["window"])
+    t = inside.crossJoin(F.broadcast(m)).groupBy("window", "start", "width").agg(F.avg(1 - F.col("r") / F.col("m")).alias("accuracy"), F.sum("r").alias("all"), F.max("m").alias("m"))
+    pairs = F.col("width") * (F.col("width") - 1) / 2
+    same = F.col("m") * pairs - (F.col("width") - 1) * F.col("all") + 2 * F.coalesce("joint", F.lit(0.0))
+    return t.join(joint, "window", "left").select("window", "start", F.round("accuracy", 8).alias("centre_accuracy"), F.round(same / (F.col("m") * pairs), 8).alias("mean_agreement"))
+
+
+def residual_profile(o: DataFrame, windows: int = 25) -> DataFrame:
+    """window, start, centre_accuracy, mean_residual: the mean residual correlation within each window of accuracy ranks.
+    Observed shares are a sum over items, expected ones a sum over classes of margins."""
+    from .residual import class_deviations, expected_in_group, fit_margins
+
+    model, inside = fit_margins(o), inside_windows(o, windows)
+    spark = o.sparkSession
+    own = F.broadcast(spark.createDataFrame(list(zip(model.r.tolist(), (1 / class_deviations(model)).tolist(), strict=True)), "r long, weight double"))  # distinct margins
+    joint = joint_weights(o, inside.join(own, "r").select("window", "entity", "weight"), ["window"])
+    t = inside.groupBy("window", "start", "width").agg(F.avg(1 - F.col("r") / model.m).alias("accuracy"))
+    classes: dict[int, dict[int, int]] = {}
+    for row in inside.groupBy("window", "r").agg(F.count(F.lit(1)).alias("k")).collect():  # windows x distinct margins
+        classes.setdefault(row.window, {})[row.r] = row.k
+    expected = spark.createDataFrame([(w, expected_in_group(model, k)) for w, k in classes.items()], "window int, expected double")
+    pairs = F.col("width") * (F.col("width") - 1) / 2
+    mean = (F.coalesce("joint", F.lit(0.0)) / model.m - F.col("expected")) / pairs
+    return t.join(joint, "window", "left").join(expected, "window").select("window", "start", F.round("accuracy", 8).alias("centre_accuracy"), F.round(mean, 8).alias("mean_residual"))
 
 
 def profile_summary(profile: DataFrame) -> DataFrame:

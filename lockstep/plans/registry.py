@@ -104,12 +104,30 @@ on(
 )
 
 
-def _neighbours(o: DataFrame, step: int) -> DataFrame:
-    e = o.select("entity").distinct()
-    return e.select(F.col("entity").alias("i"), (F.col("entity") + step).alias("j")).join(e.withColumnRenamed("entity", "j"), "j", "left_semi").select("i", "j")
+PAIRS_DRAWN, PAIR_SEED = 20_000, 18
+#: The Feistel network on pair numbers, walked back inside, and the ranks of the pair with that number.
+_ROUND = "xor({l}, CAST(('0x' || substr(md5(concat_ws('|', '18', '{k}', CAST({r} AS VARCHAR))), 1, 8)) AS BIGINT) & (size - 1))"
 
 
-on("emb", "sampled_dispersion", lambda o: pairs.sampled_dispersion(o, _neighbours(o, 3)), "SELECT count(*) AS n_pairs, round(var_pop(g / m) * 1e6, 4) AS variance_e6 FROM p WHERE j = i + 3", PAIRS)
+def _feistel(x: str) -> str:
+    left, right = "s.l", "s.r"
+    state = f"{{'l': {x} >> half, 'r': {x} & (size - 1)}}"
+    for k in range(pairs.ROUNDS):
+        state = f"list_transform([{state}], lambda s: {{'l': s.r, 'r': {_ROUND.format(l=left, r=right, k=k)}}})[1]"
+    return f"list_transform([{state}], lambda s: (s.l << half) | s.r)[1]"
+
+
+DRAWN = (
+    ", nn AS (SELECT count(*) AS n, count(*) * (count(*) - 1) // 2 AS pairs FROM em), hh AS (SELECT *, CAST(greatest(1, (length(bin(pairs - 1)) + 1) // 2) AS INTEGER) AS half FROM nn), sz AS (SELECT *, CAST(1 AS BIGINT) << half AS size FROM hh)"
+    f", w0 AS (SELECT t, {_feistel('t')} AS p, pairs, half, size FROM range({PAIRS_DRAWN}) q(t), sz WHERE t < pairs), walk AS (SELECT * FROM w0 UNION ALL SELECT t, {_feistel('p')}, pairs, half, size FROM walk WHERE p >= pairs)"
+    ", nr AS (SELECT p, CAST(floor((1 + sqrt(1 + 8 * CAST(p AS DOUBLE))) / 2) AS BIGINT) AS j FROM walk WHERE p < pairs), fx AS (SELECT p, CASE WHEN j * (j - 1) // 2 > p THEN j - 1 WHEN (j + 1) * j // 2 <= p THEN j + 1 ELSE j END AS j FROM nr)"
+    ", er AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS rank FROM em), drawn AS (SELECT a.entity AS i, b.entity AS j FROM fx JOIN er a ON a.rank = p - fx.j * (fx.j - 1) // 2 JOIN er b ON b.rank = fx.j)"
+)
+for _name, _f, _sql in (
+    ("random_pairs", pairs.random_pairs, "SELECT i, j FROM drawn"),
+    ("sampled_dispersion", lambda o, k, seed: pairs.sampled_dispersion(o, pairs.random_pairs(o, k, seed)), "SELECT count(*) AS n_pairs, round(var_pop(g / m) * 1e6, 4) AS variance_e6 FROM p JOIN drawn ON drawn.i = p.i AND drawn.j = p.j"),
+):
+    query(_name, f"WITH RECURSIVE o AS ({VIEW['emb']}), {PAIRS}{DRAWN} {_sql}")(over("emb", lambda o, f=_f: f(o, PAIRS_DRAWN, PAIR_SEED)))
 
 
 def _panels(o: DataFrame) -> DataFrame:
