@@ -43,8 +43,8 @@ from .common import new_path, slices, stored, table
 
 MAGIC = b"LKSTID2\n"
 END_ID = 1
-TEXTS, TEXT_BYTES = 3000, 10 << 20  # that are tokenised at once: the more, the fewer times a word is looked up
-LEXICON = 400_000  # words that a worker remembers, at some 200 bytes
+TEXTS, TEXT_BYTES = 2000, 6 << 20  # that are tokenised at once: the more, the fewer times a word is looked up
+LEXICON = 250_000  # words that a worker remembers, at some 200 bytes
 #: The tokenizer file's own split pattern, as it reads on PLAIN texts; what it leaves out is white space.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Latin letters, digits, punctuation; not the superscripts and fractions, which `re` takes for letters.
