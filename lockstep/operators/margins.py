@@ -53,7 +53,12 @@ def margin_artifact():
 
 def joint_failure_record(o: DataFrame) -> DataFrame:
     """mean_joint, naive_excess, its closed form from margins, and whether the two agree."""
-    t = totals(o).select("n", "m", mean_joint().alias("mean_joint"), (mean_joint() - expected_joint()).alias("excess"), margin_artifact().alias("closed"))
+    return record_of_totals(totals(o))
+
+
+def record_of_totals(t: DataFrame) -> DataFrame:
+    """The record of one row of `totals`, wherever its sums come from."""
+    t = t.select("n", "m", mean_joint().alias("mean_joint"), (mean_joint() - expected_joint()).alias("excess"), margin_artifact().alias("closed"))
     return t.select(
         F.col("n").alias("n_entities"),
         F.col("m").alias("n_items"),

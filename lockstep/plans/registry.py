@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import scalar, verdicts
 from ..operators import dedup, margins, nulls, pairs, residual, responses, statistics, studies, windows
 from ..sources import ingest
-from ..sources.storage import stored
+from ..sources.storage import new_path, stored
 from ..sources.views import SQL as VIEW
 from ..sources.views import VIEWS, read, resp
-from ..streaming import incremental
+from ..streaming import incremental, maintained
 from . import report
 
 QUERIES: dict = {}
@@ -467,5 +467,38 @@ def _null_verdicts(s: SparkSession, d: str) -> DataFrame:
 query("stream_joint_failure", f"WITH o AS ({VIEW['evt']}), {TOTALS} {RECORD}")(lambda s, d: incremental.monitor_record(s, f"{d}/events.parquet"))
 query("stream_windows", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: _day(incremental.windowed_errors(s, f"{d}/events.parquet")))
 query("stream_latest", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")(lambda s, d: incremental.newest_snapshots(s, f"{d}/events.parquet"))
+RUNS_A_MONTH, DAYS_A_RUN = 5, 6
+
+
+def _monitored(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The events of the month come in in five parts, with a run of the maintained margins after each: (state, the record
+    after each run).  Each run is published, and once more, as if its batch were repeated."""
+    state, out = new_path(s, "maintained"), None
+    cells = read(s, d, "events").select(F.col("user_id").alias("entity"), F.hour("ts").cast("long").alias("item"), (F.col("event_type") == "error").cast("int").alias("f"), F.floor((F.dayofmonth("ts") - 1) / DAYS_A_RUN).alias("part"))
+    for k in range(RUNS_A_MONTH):
+        cells.where(F.col("part") == k).drop("part").write.parquet(f"{state}/source/part={k}")
+        stream = s.readStream.schema("entity long, item long, f int").option("maxFilesPerTrigger", 2).parquet(f"{state}/source/*")
+        maintained.take_up(stream, state)
+        now = stored(maintained.record(s, state), "record")
+        measured = now.select(F.lit("hours").alias("bench"), F.col("n_entities").alias("n_models"), "n_items", "mean_joint", "naive_excess_e6")
+        for _ in range(2):
+            maintained.publish(measured, state, f"2024-01-{DAYS_A_RUN * (k + 1):02d}", k)
+        now = now.withColumn("run", F.lit(k))
+        out = now if out is None else out.union(now)
+    return state, out
+
+
+HISTORY = (
+    "e AS (SELECT user_id AS entity, hour(ts) AS item, CAST(event_type = 'error' AS INTEGER) AS f, (day(ts) - 1) // 6 AS part FROM events), o AS (SELECT k AS run, entity, item, max(f) AS f FROM e JOIN range(5) q(k) ON part <= k GROUP BY 1, 2, 3)"
+    ", im AS (SELECT run, item, CAST(sum(f) AS BIGINT) AS c FROM o GROUP BY 1, 2), em AS (SELECT run, entity, CAST(sum(f) AS BIGINT) AS r FROM o GROUP BY 1, 2)"
+    ", t AS (SELECT * FROM (SELECT run, CAST(count(*) AS DOUBLE) AS m, CAST(sum(c) AS DOUBLE) AS sc, CAST(sum(c * c) AS DOUBLE) AS scc FROM im GROUP BY 1) JOIN (SELECT run, CAST(count(*) AS DOUBLE) AS n, CAST(sum(r * r) AS DOUBLE) AS srr FROM em GROUP BY 1) USING (run))"
+    + TOTALS[TOTALS.index(", x AS") :]
+)
+query("stream_record_history", f"WITH {HISTORY} SELECT CAST(run AS INTEGER) AS run, {RECORD.removeprefix('SELECT ')}")(lambda s, d: _monitored(s, d)[1])
+query(
+    "monitor_chain",
+    f"WITH {HISTORY}, rec AS (SELECT run AS batch, {RECORD.removeprefix('SELECT ')}) SELECT concat('2024-01-', lpad(CAST(6 * (batch + 1) AS VARCHAR), 2, '0')) AS run, CAST(batch AS BIGINT) AS batch, 'hours' AS bench, n_entities AS n_models, n_items, mean_joint, naive_excess_e6, "
+    "n_entities - lag(n_entities, 1, 0) OVER (ORDER BY batch) AS n_models_delta, format('- 2024-01-{:02d} hours: {:d} models ({:+d}), {:d} items, mean joint failure {:.6f}', 6 * (batch + 1), n_entities, n_entities - lag(n_entities, 1, 0) OVER (ORDER BY batch), n_items, mean_joint) AS line FROM rec",
+)(lambda s, d: maintained.series(s, _monitored(s, d)[0]))
 on("emb", "audit_report", lambda o: report.audit(o, 4, (0.70, 0.65, 0.60)))
 on("emb", "monitor_row", lambda o: report.measure(o, 4))
