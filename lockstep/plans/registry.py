@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, verdicts
 from ..operators import dedup, margins, nulls, pairs, residual, responses, statistics, studies, windows
-from ..sources import ingest
+from ..sources import ingest, results
 from ..sources.storage import new_path, stored
 from ..sources.views import SQL as VIEW
 from ..sources.views import VIEWS, read, resp
@@ -467,6 +467,38 @@ def _null_verdicts(s: SparkSession, d: str) -> DataFrame:
 query("stream_joint_failure", f"WITH o AS ({VIEW['evt']}), {TOTALS} {RECORD}")(lambda s, d: incremental.monitor_record(s, f"{d}/events.parquet"))
 query("stream_windows", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: _day(incremental.windowed_errors(s, f"{d}/events.parquet")))
 query("stream_latest", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")(lambda s, d: incremental.newest_snapshots(s, f"{d}/events.parquet"))
+HARVEST_MODELS, HARVEST_FILES = 30, 12
+
+
+def _harvested(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Result files of three snapshots of ten days, users by 30 as models: complete ones, short ones and ones with counts for
+    outcomes; taken up in runs of at most twelve files, some before the next snapshot is there."""
+    state, hours = new_path(s, "harvest"), s.range(24).select(F.col("id").alias("item"))
+    e = read(s, d, "events").select((F.col("user_id") % HARVEST_MODELS).alias("n"), F.hour("ts").cast("long").alias("item"), (F.col("event_type") == "error").cast("int").alias("bad"), F.floor((F.dayofmonth("ts") - 1) / 10).alias("part"))
+    found = e.groupBy("n", "part", "item").agg(F.sum("bad").alias("k"))
+    grid = found.select("n", "part").distinct().crossJoin(F.broadcast(hours)).join(found, ["n", "part", "item"], "left").where("n % 10 != 3 OR item < 20")
+    value = F.when(F.col("n") % 10 == 7, F.coalesce("k", F.lit(0))).otherwise((F.coalesce("k", F.lit(0)) == 0).cast("long"))
+    rows = stored(grid.select("part", F.format_string("m%02d", "n").alias("model"), "item", value.cast("double").alias("acc")), "results")
+    for part in range(3):
+        out = rows.where(F.col("part") == part).select("model", "item", "acc")
+        out.repartition("model").write.partitionBy("model").parquet(f"{state}/results/snapshot=2024-01-{10 * part + 1:02d}")
+        results.harvest(s, f"{state}/results", state, 24, files=HARVEST_FILES)
+    known = -1
+    while (now := s.read.parquet(f"{state}/files").count()) != known:  # a number a file; until a run finds nothing more
+        known = now
+        results.harvest(s, f"{state}/results", state, 24, files=HARVEST_FILES)
+    return results.harvested(s, state)
+
+
+HARVEST = (
+    "e AS (SELECT user_id % 30 AS n, hour(ts) AS item, CAST(event_type = 'error' AS INTEGER) AS bad, (day(ts) - 1) // 10 AS part FROM events), g AS (SELECT n, part, item FROM (SELECT DISTINCT n, part FROM e), range(24) q(item) WHERE n % 10 <> 3 OR item < 20)"
+    ", c AS (SELECT n, part, item, coalesce(sum(bad), 0) AS k FROM g LEFT JOIN e USING (n, part, item) GROUP BY 1, 2, 3), v AS (SELECT printf('m%02d', n) AS model, part, printf('2024-01-%02d', 10 * part + 1) AS snapshot, item, CASE WHEN n % 10 = 7 THEN k ELSE CAST(k = 0 AS INTEGER) END AS acc FROM c WHERE part < 3)"
+    ", j AS (SELECT model, snapshot, CASE WHEN count(*) <> 24 THEN concat('rowcount:', count(*), '!=24') WHEN max(acc) > 1 THEN 'non-binary-primary' END AS reason FROM v GROUP BY 1, 2)"
+)
+query("harvest_rejects", f"WITH {HARVEST} SELECT snapshot, model, reason FROM j WHERE reason IS NOT NULL")(lambda s, d: _harvested(s, d)[1])
+query("harvest_matrix", f"WITH {HARVEST}, last AS (SELECT model, max(snapshot) AS snapshot FROM j WHERE reason IS NULL GROUP BY 1) SELECT model AS entity, item, CAST(1 - acc AS INTEGER) AS f FROM v JOIN last USING (model, snapshot)")(
+    lambda s, d: results.newest(_harvested(s, d)[0])
+)
 RUNS_A_MONTH, DAYS_A_RUN = 5, 6
 
 
