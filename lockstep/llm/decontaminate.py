@@ -1,8 +1,11 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, units (behind a number) and names (capitalised, not at the start of a sentence;
-several in a row are one name) become typed placeholders that keep their value as a slot; all others are lower-cased and
-stripped of punctuation.  Characters of scripts that set no spaces are tokens of their own.  Windows of WINDOW tokens are
+Words become template tokens: numbers (in digits or words), units (behind a number) and names (capitalised, not at the start
+of a sentence; several in a row are one name) become typed placeholders that keep their value as a slot; all others are
+lower-cased and stripped of punctuation.  Characters of scripts that set no spaces are tokens of their own.  A capitalised
+word at the start of a sentence is read twice, as a word and as a name: in a document any of them, in an item those that are
+a name elsewhere in it or do not occur in lower case.  Windows of the second reading come beside those of the first, and
+count unless their slots disagree.  Windows of WINDOW tokens are
 hash-joined between documents and benchmark items; a window that is more than half placeholders says too little as a
 template and is taken with its values.  Matches on one diagonal (document place less item place) must agree on their
 slots: a value of the item stands for the same value of the document everywhere, and the other way round, so that a
@@ -48,6 +51,10 @@ UNITS = frozenset(
     "day days week weeks month months year years euro euros dollar dollars cent cents percent kmh mph kw kwh w v a hz khz mhz ghz kb mb gb tb "
     "degree degrees c f k mol pa kpa bar j kj cal kcal".split()
 )
+NUMBER_WORDS = frozenset(
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
+    "thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+)
 STRIP = ".,;:!?\"'()[]{}<>«»„“”‘’…*#%$&-–—_/\\"
 WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 END = (".", "!", "?", ":", ";", ".\"", "!\"", "?\"")
@@ -73,6 +80,8 @@ def classify(word: str) -> tuple[str, int]:
         if NUMBER.fullmatch(bare) or GLUED.fullmatch(bare):
             return bare.lower(), stop | NUMERIC
     low = bare.lower()
+    if low in NUMBER_WORDS:
+        return low, stop | NUMERIC
     flags = stop | (UNIT if low in UNITS else 0)
     if bare[0].isupper() and (len(bare) == 1 or not bare.isupper()):
         flags |= CAPITAL
@@ -95,14 +104,15 @@ class Templates:
         self.memo[word] = found = (h, flags | (0 if low else EMPTY))
         return found
 
-    def tokens(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, template hashes, hashes with their values, whether each is a placeholder); hashes are 0 for what the
-        vocabulary lacks.  Words without letters or digits are left out."""
+    def tokens(self, text: str, item: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, template hashes, hashes with their values, whether each is a placeholder, whether each could be a name at
+        the start of a sentence); hashes are 0 for what the vocabulary lacks.  Words without letters or digits are left
+        out."""
         if not text.isascii() and WIDE.search(text):
             text = WIDE.sub(r" \g<0> ", text)
         words = text.split()
         if not words:
-            return [], np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+            return [], np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
         memo, look = self.memo, self._look
         found = [memo.get(w) or look(w) for w in words]
         h = np.fromiter((f[0] for f in found), np.uint64, len(found))
@@ -120,6 +130,10 @@ class Templates:
         unit = (flags & UNIT > 0) & np.concatenate(([False], number[:-1]))[: len(number)]
         name = (flags & CAPITAL > 0) & ~ends & ~unit & ~number
         slot = number | unit | name
+        start = (flags & CAPITAL > 0) & ends & ~unit & ~number
+        start[:-1] &= ~name[1:]  # the first of several words would make one token of them
+        if item and start.any():
+            start &= np.isin(h, h[name]) | ~np.isin(h, h[flags & CAPITAL == 0])
         again = name[1:] & name[:-1]
         if again.any():  # names of several words
             starts = np.flatnonzero(np.concatenate(([True], ~again)))
@@ -128,67 +142,78 @@ class Templates:
                 if b - a > 1:
                     words[a] = " ".join(w.strip(STRIP) for w in words[a:b])
                     h[a] = 0 if not h[a:b].all() else np.bitwise_xor.reduce(h[a:b] * np.arange(1, 2 * (b - a), 2, dtype=np.uint64))
-            words, h, slot, number, unit, name = [words[i] for i in starts], h[starts], slot[starts], number[starts], unit[starts], name[starts]
-        return words, np.where(number, NUM_T, np.where(unit, UNIT_T, np.where(name, NAME_T, h))), h, slot
-
-    def windows(self, text: str, sizes: tuple[int, ...] = (WINDOW,)) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
-        """(words, placeholder flags, places, sizes, window hashes, tokens): of windows of known tokens.  sizes: the
-        lengths of windows; those below WINDOW are taken with their values."""
-        words, h, own, slot = self.tokens(text)
-        places, lengths, values = [], [], []
-        for size in sizes:
-            if len(h) < size:
-                continue
-            total = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[size:] - c[:-size]  # noqa: B023, E731
-            as_template = (total(slot) * 2 <= size) & (size == WINDOW)
-            at = np.flatnonzero(np.where(as_template, total(h == 0), total(own == 0)) == 0)
-            plain = as_template[at]
+            words, h, slot, number, unit, name, start = [words[i] for i in starts], h[starts], slot[starts], number[starts], unit[starts], name[starts], start[starts]
+        return words, np.where(number, NUM_T, np.where(unit, UNIT_T, np.where(name, NAME_T, h))), h, slot, start
+
+    def windows(self, text: str, sizes: tuple[int, ...] = (WINDOW,), item: bool = False) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+        """(words, placeholder flags in either reading, places, sizes, readings, window hashes, tokens): of windows of known
+        tokens.  sizes: the lengths of windows; those below WINDOW are taken with their values."""
+        words, h, own, slot, start = self.tokens(text, item)
+        second = slot | start
+        places, lengths, readings, values = [], [], [], []
+
+        def add(at: np.ndarray, size: int, reading: int, plain: np.ndarray, template: np.ndarray) -> None:
             value = np.where(plain, np.uint64(0), np.uint64(size))
             for i in range(size):
-                value = (value ^ np.where(plain, h[at + i], own[at + i])) * np.uint64(0x9E3779B97F4A7C15)
+                value = (value ^ np.where(plain, template[at + i], own[at + i])) * np.uint64(0x9E3779B97F4A7C15)
                 value ^= value >> np.uint64(29)
             places.append(at)
             lengths.append(np.full(len(at), size))
+            readings.append(np.full(len(at), reading, dtype=bool))
             values.append(value)
+
+        for size in sizes:
+            if len(h) < size:
+                continue
+            total = lambda x: (c := np.concatenate(([0], np.cumsum(x))))[size:] - c[:-size]  # noqa: B023, E731
+            as_template = (total(slot) * 2 <= size) & (size == WINDOW)
+            at = np.flatnonzero(np.where(as_template, total(h == 0), total(own == 0)) == 0)
+            add(at, size, 0, as_template[at], h)
+            if size == WINDOW and start.any():
+                names = np.where(start, NAME_T, h)
+                at = np.flatnonzero((total(start) > 0) & (total(names == 0) == 0) & (total(second) * 2 <= size))
+                if len(at):
+                    add(at, size, 1, np.ones(len(at), dtype=bool), names)
         if not places:
-            return words, slot, np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), len(h)
-        return words, slot, np.concatenate(places), np.concatenate(lengths), np.concatenate(values), len(h)
+            return words, [slot, second], np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.uint64), len(h)
+        return words, [slot, second], *(np.concatenate(x) for x in (places, lengths, readings, values)), len(h)
 
 
 def _values(words: list[str], slot: np.ndarray, at: int, size: int) -> list[str]:
     return [words[at + i].strip(STRIP).lower() for i in np.flatnonzero(slot[at : at + size]).tolist()]
 
 
-COLUMNS = "place int, size int, window long, slots array<string>, tokens int, chars int"
+COLUMNS = "place int, size int, second boolean, window long, slots array<string>, tokens int, chars int"
 
 
 def _window_rows(known: np.ndarray | None, vocabulary: frozenset[int] | None, sizes: tuple[int, ...] | None, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(vocabulary)
         for batch in slices(batches):
-            rows, places, lengths, hashes, slots, counts, chars = [], [], [], [], [], [], []
+            rows, places, lengths, seconds, hashes, slots, counts, chars = [], [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 text = text.as_py() or ""
                 if sizes is None:  # an item: windows, or itself
                     n = len(templates.tokens(text)[0])
-                    words, slot, at, length, value, n = templates.windows(text, (min(n, WINDOW),) if n else ())
+                    words, slot, at, length, reading, value, n = templates.windows(text, (min(n, WINDOW),) if n else (), True)
                 else:
-                    words, slot, at, length, value, n = templates.windows(text, sizes)
+                    words, slot, at, length, reading, value, n = templates.windows(text, sizes)
                 if known is not None and len(value):
                     hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
-                    at, length, value = at[hit], length[hit], value[hit]
+                    at, length, reading, value = at[hit], length[hit], reading[hit], value[hit]
                 rows += [i] * len(at)
                 places += at.tolist()
                 lengths += length.tolist()
+                seconds += reading.tolist()
                 hashes.append(value)
-                slots += [_values(words, slot, p, k) for p, k in zip(at.tolist(), length.tolist(), strict=True)]
+                slots += [_values(words, slot[r], p, k) for p, k, r in zip(at.tolist(), length.tolist(), reading.tolist(), strict=True)]
                 counts += [n] * len(at)
                 if sizes is None:
                     chars += [sum(len(w.strip(STRIP)) for w in words)] * len(at)
             value = np.concatenate(hashes).view(np.int64) if hashes else np.empty(0, np.int64)
             kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in keep]
             ints = [pa.array(x, pa.int32()) for x in (places, lengths, counts, chars or [0] * len(rows))]
-            yield pa.RecordBatch.from_arrays([*kept, ints[0], ints[1], pa.array(value), pa.array(slots, pa.list_(pa.string())), ints[2], ints[3]], [*keep, "place", "size", "window", "slots", "tokens", "chars"])
+            yield pa.RecordBatch.from_arrays([*kept, ints[0], ints[1], pa.array(seconds, pa.bool_()), pa.array(value), pa.array(slots, pa.list_(pa.string())), ints[2], ints[3]], [*keep, "place", "size", "second", "window", "slots", "tokens", "chars"])
 
     return run
 
@@ -226,15 +251,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, extra: tuple[str, ...] = (), li
         side = F.broadcast(items)
     else:
         found, side = windows(rows, ["doc_id", "mark"], sizes=sizes), items
-    side = side.select("item_id", F.col("place").alias("item_place"), "window", "size", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("chars").alias("item_chars"))
+    side = side.select("item_id", F.col("place").alias("item_place"), F.col("second").alias("item_second"), "window", "size", F.col("slots").alias("item_slots"), F.col("tokens").alias("item_tokens"), F.col("chars").alias("item_chars"))
     match = found.drop("chars").join(side, ["window", "size"]).where(F.size("slots") == F.size("item_slots"))
     match = match.where((F.col("item_tokens") >= WINDOW) | (F.col("item_chars") >= SHORT) | (F.col("tokens") == F.col("item_tokens")))
     pair = F.zip_with("slots", "item_slots", lambda d, i: F.struct(i.alias("i"), d.alias("d")))
+    first = ~F.col("second") & ~F.col("item_second")
+    gather = lambda x, when=None: F.collect_set(x if when is None else F.when(when, x))
+    at, of = F.struct("item_place", "size"), lambda pairs: F.array_distinct(F.flatten(pairs))
     lines = match.groupBy("doc_id", "mark", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
-        F.collect_set(F.struct("item_place", "size")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"), F.max("item_tokens").alias("tokens")
+        gather(at).alias("places"), of(gather(pair)).alias("pairs"), gather(at, first).alias("first_places"), of(gather(pair, first)).alias("first_pairs"), F.max("item_tokens").alias("tokens")
     )
-    one = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    lines = lines.where(one("i") & one("d"))
+    one = lambda pairs, side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side]))) == F.size(pairs)
+    agree = lambda pairs: one(pairs, "i") & one(pairs, "d")
+    both = agree("pairs")  # else the first reading alone
+    lines = lines.where(both | (agree("first_pairs") & (F.size("first_places") > 0)))
+    lines = lines.select("doc_id", "mark", "item_id", "tokens", *[F.when(both, F.col(c)).otherwise(F.col(f"first_{c}")).alias(c) for c in ("places", "pairs")])
     held = lines.groupBy("doc_id", "mark", "item_id").agg(
         F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.max("tokens").alias("tokens"), F.min(F.forall("pairs", lambda p: p["i"] == p["d"])).alias("same_values")
     )

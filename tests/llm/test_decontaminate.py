@@ -109,6 +109,24 @@ def test_items_dense_in_values_and_short_ones(spark):
     assert found(spark, texts, dense + short) == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 4), (6, 5)}
 
 
+def test_names_at_sentence_starts_and_number_words(spark):
+    anna = "Anna has 5 apples. Anna buys 3 more apples. How many apples does Anna have now?"
+    tom = "Tom has 7 apples. Tom buys 4 more apples. How many apples does Tom have now?"
+    mixed = "Tom has 7 apples. Kim buys 4 more apples. How many apples does Lee have now?"
+    balls = "there are three red balls in the big box and four green balls in the small bag on the shelf"
+    other = balls.replace("four", "nine").replace("three", "five")
+    chance = balls.replace("four", "three")
+    texts = [f"So we ask. {tom}", anna, mixed, f"well {other} here", chance, "How many apples does anyone buy now? Tom has more."]
+    assert found(spark, texts, [anna, balls]) == {(0, 0), (1, 0), (3, 1)}
+
+
+def test_second_reading_never_takes_matches_away(spark):
+    """Another word at a sentence start, which as a name would disagree, leaves the first reading's windows."""
+    item = "Which of these is the oldest town by the river bank today? Which one has the longest stone bridge over the water here?"
+    near = item.replace("Which of", "What of")
+    assert found(spark, [f"so: {near}"], [item]) == {(0, 0)}
+
+
 def test_null_and_repeated_ids(spark):
     docs, bench, _ = frames(spark)
     rows = [Row(doc_id=None, text=f"x {QUESTION}", row="r", mark=1)] * 2 + [Row(doc_id=4, text=f"y {QUESTION}", row="r", mark=1), Row(doc_id=4, text="clean words only", row="r", mark=1)]
