@@ -9,7 +9,9 @@ have length 0, and so has, on pages that mark an article or main element, all th
 The lengths of WINDOW lines are summed at each line.  A run of lines surges where its sums reach SURGE and dives where
 they are 0; on a page without such a run the longest one counts.  The text is what stands between the first surge and the
 last dive, and with it what shares a container (or the marked article) with a run that surged, so that a short last
-paragraph stays and a line of terms in a container of its own does not.  Rows of links outside a marked article go.
+paragraph stays and a line of terms in a container of its own does not; sentences in short containers right before and
+behind the text, beside its own, stay too.  Rows of links outside a marked article go.  There a line of rights
+("(c) 2020 ...") has length 0, so that it stays only within the text's own container.
 
 One page at a time, whole, in linear time; no shuffle.  Cases: a null or empty page has the text ''.  Unclosed tags,
 comments and quotes, and truncated character references, are taken as browsers do, roughly: an unclosed element ends with
@@ -44,8 +46,12 @@ TOKEN = re.compile(
 #: What these hold is no text of the page; the first ones go on to the end of the page if they are not closed.
 TO_END = frozenset("script style title textarea".split())
 RAW = TO_END | frozenset("noscript template iframe svg object select canvas video audio".split())
-ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+#: A line of rights and terms, wherever it stands.
+RIGHTS = re.compile(r"(?:©|\(c\)\s*\d|copyright\s*(?:©|\(c\)|\d)).{0,300}|.{0,300}all rights reserved\W*", re.I | re.S)
+TERMS = re.compile(r"copyright|all rights reserved|\b(?:terms|privacy|cookies?|imprint|impressum)\b", re.I)
+SENTENCE = re.compile(r".*[.!?…][\"'”’»)]*\Z", re.S)
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split()
@@ -64,12 +70,15 @@ GENERIC = frozenset("site page main top bottom left right primary secondary area
 #: Words of class, id or role that say what an element is.
 TELLING = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts "
-    "sidebar sidenav aside menu menus nav navbar navigation navigations breadcrumb breadcrumbs footer comment comments commentlist disqus respond reply replies "
+    "sidebar sidenav aside menu menus nav navbar navigation navigations breadcrumb breadcrumbs footer comment comments commentlist disqus discussion discussions respond reply replies "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay toolbar pagination pager "
     "widget widgets masthead topbar contentinfo complementary search skip".split()
 )
 #: These alone take away an article, main or body.
-COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+COMMENTS = frozenset("comment comments commentlist disqus discussion discussions respond reply replies".split())
+#: Of a list in the article these say that its rows of links go, not its other lines: a menu may be what is written about.
+LISTS, CARDS = frozenset("ul ol dl table".split()), frozenset("menu menus".split())
+SHOWN, LINKS, GONE = 0, 1, 2
 
 
 def _says(token: str, words: frozenset[str]) -> bool:
@@ -78,20 +87,32 @@ def _says(token: str, words: frozenset[str]) -> bool:
     return bool(parts) and all(x in words for x in parts)
 
 
-def _told(name: str, attrs: str, in_main: bool) -> bool:
-    """Whether the element is none of the main text."""
+def attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _told(name: str, attrs: str, in_main: bool) -> int:
+    """SHOWN, or GONE if the element is none of the main text, or LINKS if its rows of links are not."""
     if name in DROPPED or (name == "header" and not in_main):
-        return True
+        return GONE
     if not attrs or name in ("html", "body"):
-        return False
-    if HIDDEN.search(attrs):
-        return True
+        return SHOWN
+    given = attributes(attrs)
+    if "hidden" in given or NOT_SHOWN.search(given.get("style", "")):
+        return GONE
     if name not in NAMED:
-        return False
-    tokens = [t for m in ATTRIBUTE.finditer(attrs) if m[1].lower() != "style" for t in (m[2] or m[3] or m[4] or "").lower().split()]
+        return SHOWN
+    tokens = [t for a in ("class", "id", "role") for t in given.get(a, "").lower().split()]
     if name in MAIN:
-        return any(_says(t, COMMENTS) for t in tokens)
-    return any(_says(t, TELLING) or (t == "header" and not in_main) for t in tokens)
+        return GONE if any(_says(t, COMMENTS) for t in tokens) else SHOWN
+    telling = [t for t in tokens if _says(t, TELLING) or (t == "header" and not in_main)]
+    if telling and in_main and name in LISTS and all(_says(t, CARDS) for t in telling):
+        return LINKS
+    return GONE if telling else SHOWN
 
 
 class Lines:
@@ -104,7 +125,8 @@ class Lines:
         self.main: list[int] = []  # number of the outermost article or main element around it, 0 if none
         self.container: list[int] = []
         self.row: list[bool] = []  # a row of links
-        self._open: list[tuple[str, bool, int, int]] = []  # name, dropped, main, container
+        self.around: dict[int, int] = {0: 0}  # the container around a container
+        self._open: list[tuple[str, int, int, int]] = []  # name, whether shown, main, container
         self._count: Counter[str] = Counter()
         self._pieces: list[str] = []
         self._size = self._linked = self._links = self._in_link = 0
@@ -113,11 +135,12 @@ class Lines:
 
     def _close(self) -> None:
         line = " ".join(html.unescape("".join(self._pieces)).split())
-        name, dropped, main, container = self._open[-1] if self._open else ("", False, 0, 0)
+        name, gone, main, container = self._open[-1] if self._open else ("", SHOWN, 0, 0)
         heading = name[:1] == "h" and name[1:].isdigit()
         links_only = self._size > 0 and self._linked == self._size and not heading
+        dropped = gone == GONE or (gone == LINKS and links_only)
         self.text.append(line)
-        self.length.append(0 if dropped or not line else len(line) if heading or not self._size else len(line) * (self._size - self._linked) // self._size)
+        self.length.append(0 if dropped or not line or (not main and RIGHTS.fullmatch(line)) else len(line) if heading or not self._size else len(line) * (self._size - self._linked) // self._size)
         self.kept.append(not dropped)
         self.main.append(main)
         self.container.append(container)
@@ -176,7 +199,7 @@ class Lines:
             self._count[top[0]] -= 1
             if top[0] == name:
                 break
-        if self._pieces and dropped != (self._open[-1][1] if self._open else False):  # an element within a line
+        if self._pieces and dropped != (self._open[-1][1] if self._open else SHOWN):  # an element within a line
             self._open.append(top)
             self._close()
             self._open.pop()
@@ -186,13 +209,15 @@ class Lines:
             self._count[self._open.pop()[0]] -= 1
         if name not in BLOCK and not (attrs.strip() and name in NAMED):
             return
-        _, dropped, main, container = self._open[-1] if self._open else ("", False, 0, 0)
-        new = dropped or _told(name, attrs, main > 0)
+        _, dropped, main, container = self._open[-1] if self._open else ("", SHOWN, 0, 0)
+        new = max(dropped, _told(name, attrs, main > 0))
         if new != dropped:
             self._close()
         self._elements += 1
-        if name in MAIN and not new:
+        if name in MAIN and new != GONE:
             main = main or self._elements
+        if name in CONTAINER:
+            self.around[self._elements] = container
         self._open.append((name, new, main, self._elements if name in CONTAINER else container))
         self._count[name] += 1
 
@@ -206,6 +231,21 @@ def runs(length: np.ndarray) -> list[tuple[int, int]]:
     return surging or sorted(found, key=lambda r: (-int(length[r[0] : r[1]].sum()), r))[:1]
 
 
+def beside(lines: Lines, containers: set[int], first: int, last: int) -> set[int]:
+    """Lines next to the text, in short containers with the same one around them: whole sentences, up to the first line
+    that is none or that speaks of rights and terms."""
+    around = {lines.around[c] for c in containers}
+    found: set[int] = set()
+    for step in (range(last, len(lines.text)), range(first - 1, -1, -1)):
+        for i in step:
+            if not lines.text[i] or lines.container[i] in containers:
+                continue
+            if not lines.kept[i] or not lines.length[i] or lines.around.get(lines.container[i]) not in around or not SENTENCE.fullmatch(lines.text[i]) or TERMS.search(lines.text[i]):
+                break
+            found.add(i)
+    return found
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
@@ -219,12 +259,14 @@ def main_text(page: str | None) -> str:
     inside = [i for a, b in surging for i in range(a, b) if length[i]]
     containers, mains = {lines.container[i] for i in inside}, {lines.main[i] for i in inside} - {0}
 
+    ends = beside(lines, containers, first, last) if not marked else set()
+
     def stays(i: int) -> bool:
         if not lines.text[i] or not lines.kept[i] or (marked and not lines.main[i]):
             return False
         if lines.main[i] in mains:
             return True
-        return not lines.row[i] and (first <= i < last or lines.container[i] in containers)
+        return not lines.row[i] and (first <= i < last or lines.container[i] in containers or i in ends)
 
     return " ".join(text for i, text in enumerate(lines.text) if stays(i))
 

@@ -72,6 +72,112 @@ def test_nothing_inside_the_article_goes():
     assert main_text(f"<p>{PARAGRAPH}<video>no end") == f"{PARAGRAPH}no end"
 
 
+def test_attributes_are_read_by_name():
+    assert main_text(f'<article data-title="The hidden cost of x"><p>{PARAGRAPH}</p><p title="a hidden gem">Too.</p><p hidden>no</p><p HIDDEN="">no</p><p style="color:red; Display : none">no</p></article>') == f"{PARAGRAPH}Too."
+    assert main_text(f"<div class=x title='display:none hidden'><p>{PARAGRAPH}</p></div>") == PARAGRAPH.strip()
+
+
+def test_short_last_container_stays():
+    assert main_text(f"<div><p>{PARAGRAPH}</p></div><div><p>The end of it.</p></div>") == f"{PARAGRAPH}The end of it."
+    assert main_text(f"<div><p>{PARAGRAPH}</p></div><div><p>The end of it.</p></div><div>Read our terms.</div><div>And so on.</div>") == f"{PARAGRAPH}The end of it."
+    assert main_text(f"<div><p>{PARAGRAPH}</p></div><div><a href=x>More of this.</a></div><div>Back to top</div><div>So there.</div>") == PARAGRAPH.strip()
+
+
+def test_discussions_rights_and_menus():
+    assert main_text(f"<main><p>{PARAGRAPH}</p><div id='discussion'><article>{PARAGRAPH}</article></div></main>") == PARAGRAPH.strip()
+    rights = "© 2020 by the owners of this site and all of their friends. All rights reserved."
+    assert main_text(f"<article><p>{PARAGRAPH}</p></article><div class=qq>{rights}</div>") == PARAGRAPH.strip()
+    assert main_text(f"<div class=a><p>{PARAGRAPH}</p></div><div class=qq>{rights}</div>") == PARAGRAPH.strip()
+    assert main_text(f"<article><p>{PARAGRAPH}</p><p>Copyright law is old.</p></article>") == f"{PARAGRAPH}Copyright law is old."
+    assert main_text(f"<article><p>{PARAGRAPH}</p><ul class='menu'><li>Soup, 3 euros<li>Fish, 9 euros</ul></article>") == f"{PARAGRAPH}Soup, 3 euros Fish, 9 euros"
+    assert main_text(f"<article><p>{PARAGRAPH}</p><ul class='menu'><li><a href=1>Home</a><li><a href=2>News</a></ul></article>") == PARAGRAPH.strip()
+
+
+class PlainLines:
+    """The lines of well-formed pages of div, p, ul, li and a, by a parser of the standard library and plain recursion."""
+
+    def __new__(cls, page):
+        from html.parser import HTMLParser
+
+        rows = []  # text, container path, whether all of it is links
+
+        class Parser(HTMLParser):
+            path, pieces, link, linked = [0], [], False, True
+            count = 0
+
+            def flush(self):
+                text = " ".join("".join(self.pieces).split())
+                rows.append((text, tuple(self.path), bool(text) and self.linked))
+                self.pieces, self.linked = [], True
+
+            def handle_starttag(self, tag, attrs):
+                if tag == "a":
+                    self.link = True
+                    return
+                self.flush()
+                if tag == "div":
+                    Parser.count += 1
+                    self.path = [*self.path, Parser.count]
+
+            def handle_endtag(self, tag):
+                if tag == "a":
+                    self.link = False
+                    return
+                self.flush()
+                if tag == "div":
+                    self.path = self.path[:-1]
+
+            def handle_data(self, data):
+                self.pieces.append(data)
+                if data.strip() and not self.link:
+                    self.linked = False
+
+        parser = Parser()
+        parser.feed(page)
+        parser.flush()
+        return rows
+
+
+def plain_text(page):
+    """The choice of lines by its definition."""
+    rows = PlainLines(page)
+    length = [0 if links else len(text) for text, _, links in rows]
+    found = plain_runs(length)
+    if not found or not any(length):
+        return ""
+    first, last = found[0][0], found[-1][1]
+    own = {rows[i][1] for a, b in found for i in range(a, b) if length[i]}
+    stay = {i for i, (text, path, links) in enumerate(rows) if text and not links and (first <= i < last or path in own)}
+    for side in (range(last, len(rows)), range(first - 1, -1, -1)):
+        for i in side:
+            text, path, links = rows[i]
+            if not text or path in own:
+                continue
+            if links or len(path) < 2 or path[:-1] not in {p[:-1] for p in own} or text[-1] not in ".!?" or "terms" in text.lower():
+                break
+            stay.add(i)
+    return " ".join(rows[i][0] for i in sorted(stay))
+
+
+def test_choice_of_lines_against_a_plain_version():
+    rng = random.Random(7)
+    words = ["A long enough sentence of some twenty words or so, which is text.", "Short one.", "Home", "Our terms.", "label", "Yes!"]
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "ul", "a", "div"] if depth < 3 else ["p"])
+        if kind == "p":
+            return f"<p>{rng.choice(words)}</p>"
+        if kind == "a":
+            return "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{rng.choice(words)}</li>" for _ in range(rng.randrange(1, 4))) + "</ul>"
+        return "<div>" + "".join(block(depth + 1) for _ in range(rng.randrange(1, 4))) + "</div>"
+
+    for _ in range(400):
+        page = "<div>" + "".join(block(1) for _ in range(rng.randrange(1, 6))) + "</div>"
+        assert main_text(page) == plain_text(page), page
+
+
 def test_time_is_linear():
     began = time.process_time()
     for page in ("<a b " * 20_000, "<div>" * 20_000 + "</x>" * 20_000, "<svg>" * 20_000, "<!--" * 20_000, "<div>" * 20_000 + "</p>" * 20_000, '<a "' * 20_000):
