@@ -7,7 +7,8 @@ lengths that rules have.  No other key can be a rule, so the keys of all urls ar
 For each action a cascade over that universe is built: level 0 encodes the listed keys, level 1 the keys of the corpus
 that level 0 lets through by mistake, level 2 the listed keys that level 1 lets through, and so on until none is left.
 Membership of any key of the corpus is then exact, and is a test of a few 64-bit words inside a projection: neither
-joins nor shuffles are needed to judge a url.  A filter is register-blocked: one word per key and level, MASK_BITS bits
+joins nor shuffles are needed to judge a url.  The keys of a url are one array, filtered by one expression an action, so that
+a level's words stand in the plan once, however many rules, labels and lengths there are.  A filter is register-blocked: one word per key and level, MASK_BITS bits
 of it.  Its size follows the listed keys, not the corpus.  Rules are a list in the driver; beyond MAX_LISTED keys an action has
 several cascades, each over a part of its keys, and a key is listed if one of them has it.
 
@@ -52,16 +53,15 @@ def split_rule(rule: str) -> tuple[str, str]:
     return host.translate(str.maketrans(UPPER, LOWER)), slash + path
 
 
-def keys_of(host: Column, path: Column, rules: list[str]) -> list[Column]:
-    """The url's candidate keys; null where the path is too short."""
+def keys_of(host: Column, path: Column, rules: list[str]) -> Column:
+    """The url's candidate keys, an array; empty where no rule can fit."""
     parts = [split_rule(r) for r in rules]
     depth = max((h.count(".") + 1 for h, _ in parts), default=0)
-    lengths = sorted({len(p) for _, p in parts})
-    return [
-        F.when((F.char_length(path) >= n) & (host != ""), F.concat(F.substring_index(host, ".", -k), F.substring(path, 1, n)))
-        for k in range(1, depth + 1)
-        for n in lengths
-    ]
+    lengths = F.filter(F.lit(sorted({len(p) for _, p in parts})), lambda n: n <= F.char_length(path))
+    ends = F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda k: F.call_function("substring_index", host, F.lit("."), -k))
+    starts = F.transform(lengths, lambda n: F.call_function("substring", path, F.lit(1), n))
+    keys = F.flatten(F.transform(F.array_distinct(ends), lambda e: F.transform(starts, lambda s: F.concat(e, s))))
+    return F.when(host != "", F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
 
 def _slot(key: Column, level: int, words: int) -> Column:
@@ -129,18 +129,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], default: str = "allow"
     spark = pages.sparkSession
     urls = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     texts = ["".join(split_rule(r)) for _, r in rules]
-    keys = keys_of(F.col("host"), F.col("path"), [r for _, r in rules])
-    if not keys:
+    if not rules:
         return urls.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    universe = urls.select(F.explode(F.array(*keys)).alias("key")).where("key is not null")
+    urls = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), [r for _, r in rules]))
+    universe = urls.select(F.explode("keys").alias("key"))
     found = []
     for action in sorted({a for a, _ in rules}):
         mine = sorted({t for (a, _), t in zip(rules, texts, strict=True) if a == action})
         cascades = [Cascade.build(_listed(spark, mine[k : k + MAX_LISTED]), universe) for k in range(0, len(mine), MAX_LISTED)]
-        for key in keys:
-            hit = F.struct(F.char_length(key).alias("size"), F.lit(action == "block").alias("first"), key.alias("rule"), F.lit(action).alias("verdict"))
-            found.append(F.when(key.isNotNull() & reduce(Column.__or__, [c.contains(key) for c in cascades]), hit))
-    best = urls.withColumn("best", F.array_max(F.array(*found)))
+        hits = F.filter("keys", lambda key: reduce(Column.__or__, [c.contains(key) for c in cascades]))  # noqa: B023  used in this turn
+        found.append(F.transform(hits, lambda key: F.struct(F.char_length(key).alias("size"), F.lit(action == "block").alias("first"), key.alias("rule"), F.lit(action).alias("verdict"))))  # noqa: B023
+    best = urls.withColumn("best", F.array_max(F.concat(*found)))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
