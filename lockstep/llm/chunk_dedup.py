@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, slices, stored, table, unpacked
+from .common import join_hot, packed, slices, stored, table, unpacked
 
 MIN_CHUNK, MAX_CHUNK = 18, 512
 LONG = 64
@@ -121,7 +121,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     shared = chunks.groupBy("d0", "d1").agg(F.min("uid").alias("u0"), F.max("uid").alias("u1"), F.min("doc_id").alias("first_doc_id")).where("u0 <> u1").drop("u0", "u1")
     narrow = chunks.select("d0", "d1", "uid", F.expr("shiftleft(at, 20) | shiftleft(size, 10) | words").alias("place"))  # narrow rows to shuffle
     ids = chunks.groupBy("uid").agg(F.first("doc_id").alias("doc_id"))  # a document has one; its chunks need not carry it through the join
-    hits = narrow.join(shared, ["d0", "d1"]).select("uid", "first_doc_id", F.expr("shiftright(place, 20)").alias("at"), F.expr("int(shiftright(place, 10) & 1023)").alias("size"), F.expr("int(place & 1023)").alias("words")).join(ids, "uid")
+    hits = join_hot(narrow, shared, ["d0", "d1"], "place").select("uid", "first_doc_id", F.expr("shiftright(place, 20)").alias("at"), F.expr("int(shiftright(place, 10) & 1023)").alias("size"), F.expr("int(place & 1023)").alias("words")).join(ids, "uid")
     order = Window.partitionBy("uid").orderBy("at")
     hits = hits.withColumn("starts", (F.col("at") != F.lag(F.col("at") + F.col("size"), 1, -1).over(order)).cast("int"))
     repeat = F.when(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")), F.struct(F.col("at").alias("start"), F.col("size").alias("n_bytes")))

@@ -73,6 +73,25 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+KEY_BUCKETS, HOT_SHARE, SALTS = 1 << 16, 1000, 16
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """left joined with right on keys, which are unique in right.  The rows of left are counted by a hash of their keys, in
+    KEY_BUCKETS buckets; those of buckets with more than 1 in HOT_SHARE of all rows (of which there are fewer than
+    HOT_SHARE) are dealt over SALTS tasks by a hash of `spread`, and meet copies of right's rows there.  left must be cheap
+    to read twice."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS))
+    counts = left.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most KEY_BUCKETS rows
+    total = sum(r.n for r in counts)
+    hot = [r.bucket for r in counts if r.n * HOT_SHARE > total and r.n > SALTS]
+    if not hot:
+        return left.join(right, keys)
+    dealt = F.when(bucket.isin(hot), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(bucket.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.withColumn("_salt", dealt).join(right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"]).drop("_salt")
+
+
 def packed(df: DataFrame) -> DataFrame:
     """One struct column `row`, so that no column of df can clash with a name that an operator uses."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

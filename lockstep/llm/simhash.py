@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, slices, stored, table, unpacked
+from .common import join_hot, packed, slices, stored, table, unpacked
 from .graph import components
 
 RUN_LIMIT = 200_000
@@ -394,7 +394,7 @@ def classes(docs: DataFrame, scheme: Scheme = EXACT, limit: int = RUN_LIMIT) ->
     words = [f"f{w}" for w in range(scheme.words)]
     mark = [F.xxhash64("text").alias("mark")] if scheme.similarity else []
     prints = stored(fingerprints(docs.select("doc_id", *mark, "text"), scheme), "simhash-prints")
-    return prints.join(_rooted(prints, scheme, "doc_id", limit, docs), _key(scheme)).select("doc_id", *words, F.col("component").alias("component_id"))
+    return join_hot(prints, _rooted(prints, scheme, "doc_id", limit, docs), _key(scheme), "doc_id").select("doc_id", *words, F.col("component").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
@@ -407,7 +407,7 @@ def keep_first(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     prints = stored(fingerprints(docs.select("doc_id", mark.alias("mark"), "text"), scheme), "simhash-prints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
     rooted = _rooted(prints.select("*", rank.alias("rank")), scheme, "rank", docs=docs)
-    going = prints.join(rooted, _key(scheme)).where(rank != F.col("component")).select("doc_id", "mark").distinct()
+    going = join_hot(prints, rooted, _key(scheme), "doc_id").where(rank != F.col("component")).select("doc_id", "mark").distinct()
     rows = packed(docs).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_mark"))
     same = rows["id"].eqNullSafe(going["doc_id"]) & (rows["text_mark"] == going["mark"])
     return unpacked(rows.join(going, same, "left_anti").select("row"))
