@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space of any script, the separators of ASCII too.
+WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def text_key(text: Column) -> Column:
     """First 16 hex digits of the MD5 of the text, stripped, lower-cased, with white space collapsed."""
-    return F.substring(F.md5(F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))), 1, 16)
+    return F.substring(F.md5(F.lower(F.trim(F.regexp_replace(text, WHITE, " ")))), 1, 16)
 
 
 def model_of_dataset(dataset: Column) -> Column:
@@ -26,7 +30,8 @@ def parents(card: Column, tags: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(names, lambda n: F.instr(n, "/") > 0)))
 
 
-#: Base families that a model name can show, first match wins, and words that hint at a merge.
+#: Base families that a model name can show, first match wins, words that hint at a merge, and the beginnings
+#: of errors after which a file is tried again.
 FAMILIES = [
     ("llama-3", r"llama[-_ ]?3"),
     ("llama-2", r"llama[-_ ]?2"),

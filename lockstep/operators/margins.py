@@ -84,6 +84,14 @@ def trim_degenerate(o: DataFrame, columns_first: bool = False) -> DataFrame:
     return o.select("entity", "item", "f")
 
 
+def min_support(o: DataFrame, least_items: int, least_entities: int) -> DataFrame:
+    """Cells of entities with at least `least_items` cells and of items with at least `least_entities` cells of those."""
+    rich = o.groupBy("entity").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_items).select("entity")
+    left = o.join(rich, "entity", "left_semi")
+    common = left.groupBy("item").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_entities).select("item")
+    return left.join(common, "item", "left_semi").select(*o.columns)
+
+
 def domain_check(o: DataFrame) -> DataFrame:
     """One row: cells, cells outside {0, 1}, cells given twice."""
     cells = o.groupBy("entity", "item").agg(F.count(F.lit(1)).alias("k"), F.sum((~F.col("f").isin(0, 1) | F.col("f").isNull()).cast("int")).alias("bad"))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from . import local
 from .residual import matrix
 from .responses import tiebreak
@@ -79,6 +80,48 @@ def null_matrices(o: DataFrame, replicates: int, seed: int = 0, trades: int = TR
     return _replicates(o.sparkSession, list(range(replicates)), run, f"rep int, entity {kinds['entity']}, item {kinds['item']}, f int")
 
 
+MATCHED = 512  # entities, about, that are matched among themselves in a sweep
+
+
+def trade_sweep(rows: DataFrame, seed: int, t: int, buckets: int, within: str | None = None) -> DataFrame:
+    """One global trade on rows(entity, failed): entities are dealt into buckets by a hash of seed and sweep and matched there
+    in hash order; of the items that only one of a pair fails each keeps as many as before, by a hash order of the items.
+    One shuffle, no Python.  within: a column of rows; only entities with one value of it are matched.  All draws come from hashes, so that a task that is repeated gives the same rows."""
+    order = tiebreak_of(f"{seed}|{t}", F.col("entity"))
+    dealt = rows.select("entity", "failed", order.alias("h"), *([F.col(within).alias("bucket")] if within else []))
+    if within is None:
+        dealt = dealt.withColumn("bucket", F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % buckets)
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "entity"))
+    pairs = dealt.withColumn("pair", F.floor((place - 1) / 2)).groupBy("bucket", "pair").agg(F.array_sort(F.collect_list(F.struct("h", "entity", "failed"))).alias("two"))
+    a, b = F.col("two")[0], F.try_element_at("two", F.lit(2))
+    mine, other = F.array_except(a["failed"], b["failed"]), F.array_except(b["failed"], a["failed"])
+    both = F.array_intersect(a["failed"], b["failed"])
+    key = lambda x: tiebreak_of(f"{seed}|{t}", a["entity"], x)
+    mixed = F.transform(F.array_sort(F.transform(F.concat(mine, other), lambda x: F.struct(key(x).alias("h"), x.alias("item")))), lambda s: s["item"])
+    k = F.size(mine)
+    rest = F.size(other)
+    one = F.struct(a["entity"].alias("entity"), F.concat(both, F.slice("mixed", F.lit(1), k)).alias("failed"))
+    two = F.struct(b["entity"].alias("entity"), F.concat(both, F.slice("mixed", k + 1, rest)).alias("failed"))
+    alone = F.struct(a["entity"].alias("entity"), a["failed"].alias("failed"))
+    traded = pairs.withColumn("mixed", F.when(F.size("two") == 2, mixed))
+    kept = [F.col("bucket").alias(within)] if within else []
+    return traded.select(*kept, F.explode(F.when(F.size("two") == 2, F.array(one, two)).otherwise(F.array(alone))).alias("x")).select(*([within] if within else []), "x.*")
+
+
+def tiebreak_of(head: str, *values):
+    return F.md5(F.concat_ws("|", F.lit(head), *[v.cast("string") for v in values]))
+
+
+def null_table(o: DataFrame, seed: int = 0, trades: int = TRADES) -> DataFrame:
+    """entity, item: the failing cells of one draw with the margins of o, after about `trades` trades an entity; for matrices
+    of any size.  A sweep is a job whose rows are written to the shared folder; a task holds one pair of entities."""
+    rows = stored(o.groupBy("entity").agg(F.collect_list(F.when(F.col("f") == 1, F.col("item"))).alias("failed")), "trade")
+    buckets = max(1, rows.count() // MATCHED)
+    for t in range(2 * trades):  # half the entities trade with the other half
+        rows = stored(trade_sweep(rows, seed, t, buckets), "trade")
+    return rows.select("entity", F.explode("failed").alias("item"))
+
+
 def draws(o: DataFrame, replicates: int, seed: int, measure, schema: str, trades: int = TRADES, chains: int | None = None, thin: int = THIN, fitted: bool = True) -> DataFrame:
     """chain, t and the columns of `schema` of null draws; chain -1 is the observed matrix.  measure(f, expected, gap) gives
     the rows of one matrix.

@@ -11,10 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from . import local
 from .margins import entity_margins, item_margins
 from .pairs import all_pairs, histogram
@@ -149,9 +151,8 @@ def matrix(o: DataFrame) -> tuple[np.ndarray, list, list]:
     return f, rows.column("entity").to_pylist(), items.to_pylist()
 
 
-def spectrum(o: DataFrame, raw: bool = False) -> DataFrame:
-    """place (from 0, falling), eigenvalue: of the residual correlation, or (raw) of joint failures normed by own ones.
-    An eigen-solve needs the whole matrix, so this is one task; for entity sets up to a few thousand."""
+def _whole_spectrum(o: DataFrame, raw: bool) -> DataFrame:
+    """By the matrix of the entities, in one task."""
     f, _, _ = matrix(o)
     bits, shape = np.packbits(f), f.shape
 
@@ -170,6 +171,82 @@ def spectrum(o: DataFrame, raw: bool = False) -> DataFrame:
     return o.sparkSession.range(0, 1, 1, 1).mapInPandas(run, "place int, eigenvalue double")
 
 
+ROWS = 512  # entities that a task has as doubles at once
+
+
+def _item_gram(o: DataFrame, weights: dict[int, float], more: dict[int, np.ndarray], items: pa.Array) -> DataFrame:
+    """k, v: row k of G'G, summed over entities, where an entity's row of G is its failures and more[r], times weights[r]."""
+    q = len(items) + len(next(iter(more.values())))
+
+    def blocks(batches):
+        total = np.zeros((q, q))
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                some = batch.slice(at, ROWS)
+                lists, r = some.column("failed"), some.column("r").to_pylist()
+                g = np.zeros((len(r), q))
+                place = pc.index_in(lists.flatten(), items).to_numpy(zero_copy_only=False)
+                g[np.repeat(np.arange(len(r)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), place] = 1
+                g[:, len(items) :] = [more[x] for x in r]
+                g *= np.array([weights[x] for x in r])[:, None]
+                total += g.T @ g
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(q)), pa.array([x.tobytes() for x in total], pa.binary())], ["k", "v"])
+
+    def sums(batches):
+        rows: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column("k").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                rows[k] = rows.get(k, 0) + np.frombuffer(v)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary())], ["k", "v"])
+
+    failed = F.collect_list(F.when(F.col("f") == 1, F.col("item")))
+    rows = o.groupBy("entity").agg(F.sum("f").cast("long").alias("r"), failed.alias("failed")).select("r", "failed")
+    return rows.mapInArrow(blocks, "k long, v binary").repartition("k").mapInArrow(sums, "k long, v binary")
+
+
+def _item_spectrum(o: DataFrame, raw: bool, n: int) -> DataFrame:
+    """By the items: with G the entities' rows (failures, and by class of items the model's expectation), scaled, the matrix
+    of the entities is G S G' with S = 1 for failures and -1 for expectations.  Its eigenvalues other than 0 are those of
+    H^1/2 S H^1/2, where H = G'G is a sum over entities: blocks of them are multiplied in tasks, and no task holds more
+    than items and classes squared."""
+    items = o.select("item").distinct().orderBy("item").toArrow().column(0).combine_chunks()
+    if raw:
+        margins = [x.r for x in entity_margins(o).select("r").distinct().collect()]  # distinct margins
+        weights, more = {r: 1 / np.sqrt(max(r, 1)) for r in margins}, {r: np.empty(0) for r in margins}
+    else:
+        model = fit_margins(o)
+        own = 1 / (class_deviations(model) * np.sqrt(model.m))
+        p = model.probabilities() * np.sqrt(model.nc)
+        weights, more = dict(zip(model.r.tolist(), own.tolist(), strict=True)), dict(zip(model.r.tolist(), p, strict=True))
+    m = len(items)
+
+    def solve(batches):
+        rows = {k: np.frombuffer(v) for b in batches for k, v in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), strict=True)}
+        if rows:
+            h = np.array([rows[k] for k in range(len(rows))])
+            values, vectors = np.linalg.eigh(h)
+            root = vectors * np.sqrt(np.maximum(values, 0))
+            sign = np.where(np.arange(len(h)) < m, 1.0, -1.0)
+            w = np.linalg.eigvalsh(root.T @ (sign[:, None] * root))
+            w = np.sort(np.concatenate([w[np.argsort(-np.abs(w))][:n], np.zeros(max(0, n - len(w)))]))[::-1]
+            yield from pa.table({"place": pa.array(np.arange(n, dtype=np.int32)), "eigenvalue": pa.array(w)}).to_batches(max_chunksize=10_000)
+
+    return stored(_item_gram(o, weights, more, items), "gram").coalesce(1).mapInArrow(solve, "place int, eigenvalue double")
+
+
+def spectrum(o: DataFrame, raw: bool = False) -> DataFrame:
+    """place (from 0, falling), eigenvalue: of the residual correlation, or (raw) of joint failures normed by own ones.  By
+    entities or by items, whichever are fewer; the fewer ones squared are at most MAX_CELLS."""
+    ends = o.agg(F.count_distinct("entity").alias("n"), F.count_distinct("item").alias("m")).head()
+    if ends.n <= ends.m:
+        return _whole_spectrum(o, raw)
+    if (2 * ends.m) ** 2 > MAX_CELLS:
+        raise ValueError(f"{ends.m} items; their products are squared, and one task takes {MAX_CELLS} cells")
+    return _item_spectrum(o, raw, ends.n)
+
+
 def spectrum_summary(s: DataFrame) -> DataFrame:
     """One row from a spectrum: participation (clipped, absolute, raw), share of the first eigenvalue's square, and the
     participation without it."""

@@ -118,3 +118,35 @@ def greedy_diverse(pairs: DataFrame, start: int, size: int, candidates: DataFram
             break
         chosen.append(best.b)
     return chosen
+
+
+def diverse_panel(o: DataFrame, start, size: int, sign: int = 1) -> DataFrame:
+    """place, entity: chosen one by one, each with the least (sign -1: the largest) mean agreement with those chosen; ties by
+    entity.  No pairs are made: an entity's row is its failures as words, a step is one pass over those rows with the chosen
+    ones' words as literals, and the least value comes back.  Integer items below 64 x pairs.WORDS."""
+    from . import pairs
+    from ..sources.storage import stored
+
+    shape = pairs.shape(o)
+    words = shape.high // 64 + 1
+    if shape.low < 0 or words > pairs.WORDS:
+        raise ValueError("items are numbered from 0 to 64 x WORDS")
+    rows = stored(pairs.vectors(o, words), "vectors")
+    names = ["r", *[f"w{k}" for k in range(words)]]
+    chosen, known = [start], []
+    while len(chosen) < size:
+        known.append(rows.where(F.col("entity") == F.lit(chosen[-1])).select(*names).head())
+        if known[-1] is None:
+            break
+        total = F.lit(0.0)
+        for x in known:
+            g = F.lit(0)
+            for k in range(words):
+                g = g + F.bit_count(F.col(f"w{k}").bitwiseAND(F.lit(x[f"w{k}"])))
+            total = total + (F.lit(shape.m) - F.col("r") - F.lit(x.r) + 2 * g) / F.lit(shape.m)
+        value = F.round(sign * total / len(known), 10)
+        best = rows.where(~F.col("entity").isin(chosen)).agg(F.min(F.struct(value.alias("s"), "entity")).alias("best")).head().best
+        if best is None:
+            break
+        chosen.append(best.entity)
+    return o.sparkSession.createDataFrame(list(enumerate(chosen)), f"place int, entity {dict(o.dtypes)['entity']}")  # a panel

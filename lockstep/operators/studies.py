@@ -15,6 +15,7 @@ from ..sources.storage import stored
 from . import dedup, local, nulls, pairs, residual, responses, statistics, windows
 from .margins import entity_margins, entity_rates, trim_degenerate
 
+# Fixed values, equal to those of the definitions.
 THRESHOLDS = (1.01, 0.99, 0.97, 0.95, 0.90)
 BAND_SIZES = (3, 5, 7, 9, 11, 15, 21)
 STRATEGY_SIZES = (3, 5, 7, 9, 11, 15)
@@ -72,17 +73,19 @@ def rank_redundancy_summary(rows: DataFrame) -> DataFrame:
     return both.crossJoin(top).withColumn("rises", verdicts.redundancy_rises(F.col("spearman"), F.col("top"), F.col("median")))
 
 
-def chain_comparison(o: DataFrame, replicates: int = 400, seed: int = 0, thin: int = nulls.THIN) -> DataFrame:
-    """kind (independent, single), null_mean, null_sd, ses, ratio, lag1, sd_inflation: dispersion against draws that each
-    start anew and against thinned draws of one chain.  sd_inflation: deviation of the independent ones over this kind's."""
+def chain_comparison(o: DataFrame, replicates: int = 400, seed: int = 0, thin: int = nulls.THIN, participations: int = 60) -> DataFrame:
+    """statistic, kind (independent, single), null_mean, null_sd, ses, ratio, lag1, sd_inflation: dispersion, and the
+    effective number (participation) over fewer draws, against draws that each start anew and against thinned draws of one
+    chain.  sd_inflation: deviation of the independent ones over this kind's."""
     out = None
-    for kind, chains, t in (("independent", None, "chain"), ("single", 1, "t")):
-        rows = stored(nulls.null_statistics(o, replicates, seed, chains=chains, thin=thin, residuals=False), f"draws-{kind}")
-        lag = windows.autocorrelation(rows.where("chain >= 0"), t, "dispersion")
-        one = nulls.calibrated(rows, "dispersion").crossJoin(lag).select(F.lit(kind).alias("kind"), "observed", "null_mean", "null_sd", "ses", "ratio", "lag1", "n_null")
-        out = one if out is None else out.union(one)
-    first = out.where("kind = 'independent'").select(F.col("null_sd").alias("base"))
-    return out.crossJoin(first).withColumn("sd_inflation", F.col("base") / F.nullif("null_sd", F.lit(0.0))).drop("base")
+    for statistic, count in (("dispersion", replicates), ("participation", participations)):
+        for kind, chains, t in (("independent", None, "chain"), ("single", 1, "t")):
+            rows = stored(nulls.null_statistics(o, count, seed, chains=chains, thin=thin, residuals=statistic == "participation"), f"draws-{kind}")
+            lag = windows.autocorrelation(rows.where("chain >= 0"), t, statistic)
+            one = nulls.calibrated(rows, statistic).crossJoin(lag).select(F.lit(statistic).alias("statistic"), F.lit(kind).alias("kind"), "observed", "null_mean", "null_sd", "ses", "ratio", "lag1", "n_null")
+            out = one if out is None else out.union(one)
+    first = out.where("kind = 'independent'").select("statistic", F.col("null_sd").alias("base"))
+    return out.join(F.broadcast(first), "statistic").withColumn("sd_inflation", F.col("base") / F.nullif("null_sd", F.lit(0.0))).drop("base")  # two rows
 
 
 def null_edge(o: DataFrame, replicates: int = 20, seed: int = 0) -> float:

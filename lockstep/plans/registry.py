@@ -171,7 +171,6 @@ on(
     'SELECT a."top", b.median, round(a."top" / b.median, 6) AS top_over_median FROM (SELECT mean_agreement AS "top" FROM prof WHERE "window" = 0) a, (SELECT round(median(mean_agreement), 8) AS median FROM prof) b',
     PROFILE,
 )
-on("emb", "rank_window_residual", lambda o: windows.residual_profile(margins.trim_degenerate(o)))
 RUNS = "runs AS (SELECT CAST(ts AS DATE) AS day, event_type AS bench, count(DISTINCT user_id) AS n_models FROM events GROUP BY 1, 2)"
 query("runs_delta", f"WITH {RUNS} SELECT strftime(day, '%Y-%m-%d') AS day, bench, n_models, n_models - lag(n_models, 1, 0) OVER (PARTITION BY bench ORDER BY day) AS delta FROM runs")(lambda s, d: _day(windows.delta_vs_previous(windows.runs_by_day(read(s, d, "events")))))
 query("runs_last", f"WITH {RUNS} SELECT bench, arg_max(n_models, day) AS n_models FROM runs GROUP BY bench")(lambda s, d: windows.last_value(windows.runs_by_day(read(s, d, "events"))))
@@ -217,11 +216,31 @@ on("emb", "item_halves", lambda o: responses.item_halves(o, 4), "SELECT item, nt
 DIVERSE = PAIRS + ", sim AS (SELECT i AS a, j AS b, agreement FROM ag UNION ALL SELECT j, i, agreement FROM ag), c0 AS (SELECT 0 AS place, CAST(0 AS BIGINT) AS entity)" + "".join(
     f", c{k} AS (SELECT * FROM c{k - 1} UNION ALL SELECT * FROM (SELECT {k} AS place, b AS entity FROM sim WHERE a IN (SELECT entity FROM c{k - 1}) AND b NOT IN (SELECT entity FROM c{k - 1}) GROUP BY b ORDER BY round(avg(agreement), 10), b LIMIT 1))" for k in range(1, 8)
 )
-on("emb", "greedy_diverse_panel", lambda o: o.sparkSession.createDataFrame([(k, e) for k, e in enumerate(responses.greedy_diverse(stored(pairs.agreement(o), "agreement"), 0, 8))], "place int, entity long"), "SELECT place, entity FROM c7", DIVERSE)
+on("emb", "greedy_diverse_panel", lambda o: responses.diverse_panel(o, 0, 8), "SELECT place, entity FROM c7", DIVERSE)
+on("emb", "greedy_alike_panel", lambda o: responses.diverse_panel(o, 0, 8, -1), "SELECT place, entity FROM c7", DIVERSE.replace("ORDER BY round(avg(agreement), 10), b", "ORDER BY round(avg(agreement), 10) DESC, b"))
+on("evt", "min_support", lambda o: margins.min_support(o, 10, 50), "SELECT entity, item, f FROM lo WHERE item IN (SELECT item FROM lo GROUP BY item HAVING count(*) >= 50)", "lo AS (SELECT * FROM o WHERE entity IN (SELECT entity FROM o GROUP BY entity HAVING count(*) >= 10))")
+query(
+    "response_lengths",
+    f"WITH {RESP}, z AS (SELECT entity, count(*) AS n, count(*) FILTER (choice >= CASE WHEN item % 7 = 3 THEN 4 ELSE 5 END) AS bad FROM r GROUP BY 1), x AS (SELECT arg_min(n, entity) AS expected FROM z) "
+    "SELECT entity, n, CASE WHEN n <> expected THEN concat('length:', n, '!=', expected) WHEN bad > 0 THEN 'choice-range' END AS reason FROM z, x",
+)(lambda s, d: ingest.length_check(resp(s, d).withColumn("nchoice", F.when(F.col("item") % 7 == 3, 4).otherwise(5))))
+query("read_correctness", "SELECT user_id AS entity, event_id AS item, value AS correct FROM events")(lambda s, d: ingest.read_correctness(s, f"{d}/events.parquet", "value", "user_id", "event_id"))
+
+
+def _samples(s: SparkSession, d: str) -> DataFrame:
+    """The events of each user as a JSON list of samples, in order; those of every third as the list `samples` of an object."""
+    e = read(s, d, "events").select(F.col("user_id").alias("model"), "event_id", F.to_json(F.struct(F.when(F.col("event_type") == "error", "0").otherwise("1").alias("acc"))).alias("j"))
+    lists = e.groupBy("model").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "j"))), lambda x: x["j"]), ",").alias("j"))
+    text = F.concat(F.lit("["), "j", F.lit("]"))
+    return lists.select("model", F.when(F.col("model") % 3 == 0, F.concat(F.lit('{"samples":'), text, F.lit("}"))).otherwise(text).alias("json"))
+
+
+query("sample_correctness", "SELECT user_id AS model, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS item, CAST(event_type <> 'error' AS INTEGER) AS correct FROM events")(lambda s, d: ingest.sample_correctness(_samples(s, d)))
 
 # Text and ingest -----------------------------------------------------------------------------------------------------
-KEY = r"substr(md5(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))), 1, 16)"
+KEY = r"substr(md5(lower(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')))), 1, 16)"
 query("text_keys", f"SELECT doc_id, {KEY} AS key FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", scalar.text_key(F.col("text")).alias("key")))
+query("item_text_keys", f"SELECT doc_id AS position, {KEY} AS key FROM documents")(lambda s, d: ingest.item_keys(read(s, d, "documents").select(F.col("doc_id").alias("position"), F.col("source").alias("example"), F.col("text").alias("query"))))
 query("first_per_key", f"SELECT key, min(doc_id) AS doc_id FROM (SELECT doc_id, {KEY} AS key FROM documents) GROUP BY key")(
     lambda s, d: ingest.first_per_key(read(s, d, "documents").select("doc_id", scalar.text_key(F.col("text")).alias("key")), "key", "doc_id")
 )
@@ -379,6 +398,17 @@ on(
 )
 on("emb", "fixed_margin_null", lambda o: margins.margins_equal(o, nulls.null_matrices(o, 1, 1).drop("rep")), "SELECT CAST(0 AS BIGINT) AS largest_gap, true AS equal")
 on("emb", "fixed_margin_mean", lambda o: nulls.null_statistics(o, 4, 1, residuals=False).agg(F.round(F.max("mean") - F.min("mean"), 14).alias("spread"), F.count(F.lit(1)).alias("n")), "SELECT CAST(0.0 AS DOUBLE) AS spread, CAST(5 AS BIGINT) AS n")
+MARGINS_OF = "SELECT 'entity' AS kind, entity AS key, r AS margin FROM em WHERE r > 0 UNION ALL SELECT 'item', item, c FROM im WHERE c > 0"
+
+
+def _margins_of(cells: DataFrame) -> DataFrame:
+    """kind, key, margin of failing cells (entity, item)."""
+    ends = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("long").alias("key")) for k in ("entity", "item")]))
+    return cells.select(ends.alias("e")).groupBy("e.kind", "e.key").agg(F.count(F.lit(1)).alias("margin"))
+
+
+on("emb", "fixed_margin_margins", lambda o: _margins_of(nulls.null_matrices(o, 1, 21).where("f = 1")), MARGINS_OF)
+on("ret", "trade_table_margins", lambda o: _margins_of(nulls.null_table(o, 22, 5)), MARGINS_OF)
 on("emb", "dispersion_test", lambda o: nulls.calibrated(nulls.null_statistics(o, 400, 2, residuals=False), "dispersion"))
 on("emb", "dispersion_test_chains", lambda o: nulls.calibrated(nulls.null_statistics(o, 400, 3, chains=8, residuals=False), "dispersion"))
 on("emb", "chain_mixing", lambda o: statistics.gelman_rubin(nulls.null_statistics(o, 40, 4, chains=4, residuals=False).where("chain >= 0").select("chain", F.col("dispersion").alias("x"))))
@@ -395,17 +425,56 @@ query("controls")(lambda s, d: nulls.detection_power(s, [("groups", 0.0), ("grou
 def _fibers(s: SparkSession, d: str) -> DataFrame:
     """Chi-square of the sampler's visits against equal frequencies, on margins whose matrices can all be listed."""
     out = None
-    for name, rows, columns in (("90", [2, 2, 2, 2], [2, 2, 2, 2]), ("48", [3, 2, 2, 1], [2, 2, 2, 2]), ("204", [3, 3, 2, 2, 2], [3, 3, 3, 3])):
-        visits, size = nulls.fiber_visits(s, rows, columns, 8000, 12)
+    for name, rows, columns in (("90", [2, 2, 2, 2], [2, 2, 2, 2]), ("48", [3, 2, 2, 1], [2, 2, 2, 2]), ("204", [3, 3, 2, 2, 2], [3, 3, 3, 3]), ("1170", [2, 3, 1, 2, 2], [2, 2, 2, 2, 2])):
+        visits, size = nulls.fiber_visits(s, rows, columns, 60_000, 12)
         one = statistics.chi_square_uniform(visits, size).select(F.lit(name).alias("fiber"), F.lit(size).alias("size"), "chi_square", "p")
         out = one if out is None else out.union(one)
     return out
 
 
 # Conditioning --------------------------------------------------------------------------------------------------------
-on("emb", "residual_summary", residual.residual_summary)
-on("emb", "residual_pairs", residual.residual_pairs)
-on("emb", "variance_terms", residual.variance_terms)
+#: The margin model by 400 rounds of Newton steps for each parameter by itself, over the distinct margins; then what it
+#: expects two margins to share, and the deviation that it leaves each.
+_P = "1 / (1 + exp(-(x[2] + y[2])))"
+_SUM = "list_sum(list_transform({other}, lambda y: y[1] * {term}))"
+
+
+def _newton(own: str, other: str) -> str:
+    left, curve = _SUM.format(other=other, term=f"({_P})"), _SUM.format(other=other, term=f"({_P}) * (1 - {_P})")
+    return f"list_transform({own}, lambda x: x[2] + (x[1] - {left}) / {curve})"
+
+
+FIT = (
+    ", rc AS (SELECT r, count(*) AS n FROM em GROUP BY r), cc AS (SELECT c, count(*) AS n FROM im GROUP BY c)"
+    ", v AS (SELECT (SELECT list(r ORDER BY r) FROM rc) AS r, (SELECT list(n ORDER BY r) FROM rc) AS nr, (SELECT list(c ORDER BY c) FROM cc) AS c, (SELECT list(n ORDER BY c) FROM cc) AS nc, (SELECT count(*) FROM em) AS n, (SELECT count(*) FROM im) AS m)"
+    ", fit AS (SELECT 0 AS k, list_transform(r, lambda x: ln(x / (m - x))) AS a, list_transform(c, lambda x: CAST(0 AS DOUBLE)) AS b FROM v UNION ALL "
+    f"SELECT k + 1, a, {_newton('list_zip(c, b)', 'list_zip(nr, a)')} FROM (SELECT k, {_newton('list_zip(r, a)', 'list_zip(nc, b)')} AS a, b, r, nr, c, nc FROM fit, v WHERE k < 400))"
+    ", fa AS (SELECT unnest(r) AS r, unnest(a) AS a FROM fit, v WHERE k = 400), fb AS (SELECT unnest(c) AS c, unnest(nc) AS n, unnest(b) AS b FROM fit, v WHERE k = 400)"
+    ", pr AS (SELECT r, c, n, 1 / (1 + exp(-(a + b))) AS p FROM fa, fb), ex AS (SELECT x.r AS ra, y.r AS rb, sum(x.n * x.p * y.p) / (SELECT m FROM v) AS e FROM pr x JOIN pr y USING (c) GROUP BY 1, 2)"
+    ", dv AS (SELECT ra AS r, sqrt(ra / (SELECT m FROM v) - e) AS s FROM ex WHERE ra = rb)"
+    ", rp AS (SELECT i, j, g / m AS observed, e AS expected, g / m - e AS excess, (g / m - e) / (a.s * b.s) AS residual FROM p JOIN ex ON ra = ri AND rb = rj JOIN dv a ON a.r = ri JOIN dv b ON b.r = rj)"
+)
+
+
+def fitted(name: str, f, sql: str, parts: str = PAIRS) -> None:
+    query(name, f"WITH RECURSIVE o AS ({VIEW['emb']}), {parts}{FIT} {sql}")(over("emb", f))
+
+
+_CHOSEN = lambda df, digits, *names: df.select(*names, *[F.round(c, digits).alias(c) for c in df.columns if c not in names])
+fitted("residual_summary", residual.residual_summary, "SELECT (SELECT n FROM v) AS n, true AS margins_fit, round(sqrt(avg(residual * residual)), 6) AS rms_residual, round((SELECT n * n FROM v) / ((SELECT n FROM v) + 2 * sum(residual * residual)), 4) AS participation_raw FROM rp")
+fitted("residual_pairs", lambda o: _CHOSEN(residual.residual_pairs(o), 4, "i", "j"), "SELECT i, j, round(observed, 4) AS observed, round(excess, 4) AS excess, round(residual, 4) AS residual FROM rp")
+fitted(
+    "variance_terms",
+    lambda o: residual.variance_terms(o).select(F.round("correlation", 6).alias("correlation"), *[F.round(F.col(c) * 1e6, 4).alias(f"{c}_e6") for c in ("var_observed", "var_expected", "covariance", "var_excess", "mean_excess")]),
+    "SELECT round(corr(expected, excess), 6) AS correlation, round(var_samp(observed) * 1e6, 4) AS var_observed_e6, round(var_samp(expected) * 1e6, 4) AS var_expected_e6, round(covar_samp(expected, excess) * 1e6, 4) AS covariance_e6, round(var_samp(excess) * 1e6, 4) AS var_excess_e6, round(avg(excess) * 1e6, 4) AS mean_excess_e6 FROM rp",
+)
+fitted(
+    "rank_window_residual",
+    lambda o: windows.residual_profile(margins.trim_degenerate(o)),
+    'SELECT CAST(prof."window" AS INTEGER) AS "window", CAST(prof.start AS INTEGER) AS start, prof.centre_accuracy, round(x.residual, 8) AS mean_residual FROM prof JOIN (SELECT sp."window", avg(rp.residual) AS residual FROM rp JOIN rk a ON a.entity = rp.i JOIN rk b ON b.entity = rp.j '
+    'JOIN sp ON least(a.rank, b.rank) >= sp.start AND greatest(a.rank, b.rank) < sp.start + sp.width GROUP BY 1) x ON x."window" = prof."window"',
+    PROFILE,
+)
 on("emb", "spectrum_summary", lambda o: residual.spectrum_summary(residual.spectrum(o)))
 on("emb", "spectrum_raw", lambda o: residual.spectrum(o, raw=True))
 on("emb", "eigenvalues_above", lambda o: residual.eigenvalues_above(residual.spectrum(o), studies.null_edge(o, 6, 20)))
@@ -413,12 +482,18 @@ query("cohort_participation")(lambda s, d: residual.by_cohort(VIEWS["emb"](s, d)
 on("emb", "margin_fit_gap", lambda o: o.sparkSession.range(1).select(F.lit(residual.fit_margins(o).gap < 1e-8).alias("margins_fit")), "SELECT true AS margins_fit")
 
 
-@query("log_likelihood")
-def _log_likelihood(s: SparkSession, d: str) -> DataFrame:
-    o = VIEWS["emb"](s, d)
+def _log_likelihood(o: DataFrame) -> DataFrame:
     a, b = residual.parameters(o, residual.fit_margins(o))
     cells = o.join(a, "entity").join(F.broadcast(b), "item")  # a row an item
-    return statistics.log_likelihood(cells.withColumn("p", scalar.sigmoid(F.col("alpha") + F.col("beta"), 30.0)), "p", "f")
+    return statistics.log_likelihood(cells.withColumn("p", scalar.sigmoid(F.col("alpha") + F.col("beta"), 30.0)), "p", "f").select(F.round("mean_log_likelihood", 8).alias("mean_log_likelihood"))
+
+
+fitted(
+    "log_likelihood",
+    _log_likelihood,
+    "SELECT round(avg(ln(CASE f WHEN 1 THEN q ELSE 1 - q END)), 8) AS mean_log_likelihood FROM (SELECT f, 1 / (1 + exp(-(a + b))) AS q FROM o JOIN em USING (entity) JOIN fa USING (r) JOIN im USING (item) JOIN fb USING (c))",
+    MARGINS,
+)
 
 
 # Redundancy ----------------------------------------------------------------------------------------------------------
@@ -439,8 +514,8 @@ on("emb", "duplication_verdict", lambda o: studies.duplication_verdict(studies.r
 
 # Studies beside their nulls ------------------------------------------------------------------------------------------
 on("emb", "variance_reconciliation", lambda o: studies.reconciliation(margins.trim_degenerate(o), 30, 13, 2000))
-on("emb", "rank_redundancy", lambda o: studies.rank_redundancy_profile(studies.rank_redundancy(margins.trim_degenerate(o), 10, seed=14)))
-on("emb", "rank_redundancy_summary", lambda o: studies.rank_redundancy_summary(stored(studies.rank_redundancy(margins.trim_degenerate(o), 10, seed=14), "profiles")))
+on("emb", "rank_redundancy", lambda o: studies.rank_redundancy_profile(studies.rank_redundancy(margins.trim_degenerate(o), 12, seed=14)))
+on("emb", "rank_redundancy_summary", lambda o: studies.rank_redundancy_summary(stored(studies.rank_redundancy(margins.trim_degenerate(o), 12, seed=14), "profiles")))
 on("emb", "chain_comparison", lambda o: studies.chain_comparison(o, 200, 15))
 query("panel_measures")(lambda s, d: studies.panel_study(resp(s, d), seed=16))
 query("incremental_validity")(lambda s, d: studies.incremental_models(studies.panel_study(resp(s, d), seed=16)))
@@ -463,6 +538,24 @@ def _null_verdicts(s: SparkSession, d: str) -> DataFrame:
 
 
 
+@query(
+    "verdict_statistics",
+    f"WITH o AS ({VIEW['emb']}), {PROFILE}, {TOTALS.removeprefix(MARGINS + ', ')}, u AS (SELECT event_type, count(DISTINCT user_id) AS k FROM events GROUP BY 1), q AS (SELECT k > avg(k) OVER () AS passed FROM u) "
+    f"SELECT 'closed_form_holds' AS verdict, abs(excess - closed) < {verdicts.CLOSED_FORM_GAP} AS holds FROM x UNION ALL "
+    f"SELECT 'survives_dedup', coalesce(a.v / b.v >= {verdicts.TOP_OVER_MEDIAN}, false) FROM (SELECT mean_agreement AS v FROM prof WHERE \"window\" = 0) a, (SELECT median(mean_agreement) AS v FROM prof) b UNION ALL "
+    f"SELECT 'fires_below', count(*) FILTER (passed) < {verdicts.MOST_BENCHES} FROM q UNION ALL SELECT 'fires_by_majority', count(*) FILTER (passed) <= count(*) // 2 FROM q",
+)
+def _verdict_statistics(s: SparkSession, d: str) -> DataFrame:
+    """verdict, holds: predicates over margins, rank windows and the event types with more users than the mean one."""
+    o = VIEWS["emb"](s, d)
+    form = margins.closed_form_terms(o).select(F.lit("closed_form_holds").alias("verdict"), verdicts.closed_form_holds(F.col("naive"), F.col("forced")).alias("holds"))
+    top = windows.profile_summary(windows.window_profile(o)).select(F.lit("survives_dedup"), verdicts.survives_dedup(F.col("top_over_median")))
+    users = read(s, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("k"))
+    passed = users.crossJoin(F.broadcast(users.agg(F.avg("k").alias("mean")))).select((F.col("k") > F.col("mean")).alias("passed"))
+    below, most = (passed.agg(f(F.col("passed")).alias("holds")).select(F.lit(n), "holds") for n, f in (("fires_below", verdicts.fires_below), ("fires_by_majority", verdicts.fires_by_majority)))
+    return form.union(top).union(below).union(most)
+
+
 # Streaming, monitor, report ------------------------------------------------------------------------------------------
 query("stream_joint_failure", f"WITH o AS ({VIEW['evt']}), {TOTALS} {RECORD}")(lambda s, d: incremental.monitor_record(s, f"{d}/events.parquet"))
 query("stream_windows", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda s, d: _day(incremental.windowed_errors(s, f"{d}/events.parquet")))
@@ -532,5 +625,5 @@ query(
     f"WITH {HISTORY}, rec AS (SELECT run AS batch, {RECORD.removeprefix('SELECT ')}) SELECT concat('2024-01-', lpad(CAST(6 * (batch + 1) AS VARCHAR), 2, '0')) AS run, CAST(batch AS BIGINT) AS batch, 'hours' AS bench, n_entities AS n_models, n_items, mean_joint, naive_excess_e6, "
     "n_entities - lag(n_entities, 1, 0) OVER (ORDER BY batch) AS n_models_delta, format('- 2024-01-{:02d} hours: {:d} models ({:+d}), {:d} items, mean joint failure {:.6f}', 6 * (batch + 1), n_entities, n_entities - lag(n_entities, 1, 0) OVER (ORDER BY batch), n_items, mean_joint) AS line FROM rec",
 )(lambda s, d: maintained.series(s, _monitored(s, d)[0]))
-on("emb", "audit_report", lambda o: report.audit(o, 4, (0.70, 0.65, 0.60)))
-on("emb", "monitor_row", lambda o: report.measure(o, 4))
+on("emb", "audit_report", lambda o: report.audit(o, 20, (0.70, 0.65, 0.60)))
+on("emb", "monitor_row", lambda o: report.measure(o, 40))

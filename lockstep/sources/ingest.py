@@ -30,6 +30,15 @@ def read_choices(spark: SparkSession, path: str, model: str = "model", position:
     return df.select(F.col(model).alias("entity"), F.col(position).alias("item"), first_argmax(F.col("predictions")).alias("choice"), F.size("predictions").alias("nchoice"))
 
 
+def length_check(choices: DataFrame) -> DataFrame:
+    """entity, n, reason (null: kept): the number of an entity's responses against the first entity's, by name, and whether
+    any choice is outside of the item's options (-1 is an answer that cannot be read)."""
+    sizes = choices.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("choice") < -1) | (F.col("choice") >= F.col("nchoice")) | F.col("choice").isNull()).alias("bad"))
+    first = sizes.agg(F.min_by("n", "entity").alias("expected"))
+    short = F.concat(F.lit("length:"), F.col("n"), F.lit("!="), F.col("expected"))
+    return sizes.crossJoin(F.broadcast(first)).select("entity", "n", F.when(F.col("n") != F.col("expected"), short).when(F.col("bad") > 0, "choice-range").alias("reason"))
+
+
 def item_keys(df: DataFrame) -> DataFrame:
     """position, key: the hash of the item's text, of `query` where the layout has it, else of `example`."""
     text = F.col("query") if "query" in df.columns else F.col("example")

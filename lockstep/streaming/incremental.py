@@ -17,7 +17,8 @@ from ..sources.storage import new_path
 def event_stream(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
     """The table at `path` (a Parquet file or folder) as a stream."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path + "*")
+    exact = f"{path[:-1]}[{path[-1]}]"  # a pattern, which a stream needs, that nothing else fits
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(exact)
 
 
 def run_cells(spark: SparkSession, path: str, state: str, files: int = 16) -> None:
