@@ -194,14 +194,25 @@ def _unpacked(f) -> bytes:
     return zlib.decompress(data)
 
 
-def group_bytes(ids: np.ndarray) -> bytes:
-    """One group of at most LANES x BLOCK ids.  A short group has shorter blocks, so that it has many of them still."""
-    length = max(2048, min(range_coder.BLOCK, -(-len(ids) // range_coder.LANES)))
+SPREAD = 1000  # times as many numbers as ids: then they are sorted instead of counted
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and each id's place among them."""
     times = np.bincount(ids)
     alphabet = np.flatnonzero(times)
     place = np.zeros(len(times), dtype=np.uint32)
     place[alphabet] = np.arange(len(alphabet))
-    dense = place[ids]
+    return alphabet, place[ids]
+
+
+def group_bytes(ids: np.ndarray) -> bytes:
+    """One group of at most LANES x BLOCK ids, or several if they have more distinct ids than an alphabet can.  A short group
+    has shorter blocks, so that it has many of them still."""
+    length = max(2048, min(range_coder.BLOCK, -(-len(ids) // range_coder.LANES)))
+    alphabet, dense = np.unique(ids, return_inverse=True) if ids.max() > SPREAD * len(ids) else _places(ids)
+    if len(alphabet) > range_coder.ALPHABET:
+        return group_bytes(ids[: len(ids) // 2]) + group_bytes(ids[len(ids) // 2 :])
     blocks = [dense[a : a + length] for a in range(0, len(ids), length)]
     payloads = range_coder.encode(blocks, len(alphabet))
     table = [(len(b), len(p), zlib.crc32(ids[a : a + length].astype("<u4").tobytes())) for a, b, p in zip(range(0, len(ids), length), blocks, payloads, strict=True)]

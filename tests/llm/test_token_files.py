@@ -58,6 +58,15 @@ def test_files_find_damage():
             list(token_files.read_file(io.BytesIO(raw[:size]), size))
 
 
+def test_groups_beyond_an_alphabet(monkeypatch):
+    monkeypatch.setattr(range_coder, "ALPHABET", 100)
+    ids = [(k, np.array(x, dtype=np.uint32)) for k, x in enumerate((range(700), [4_000_000_000, 5, 4_000_000_000], [], [7] * 50))]
+    f = io.BytesIO()
+    token_files.write_file(f, iter(ids))
+    got = list(token_files.read_file(io.BytesIO(f.getvalue()), len(f.getvalue())))
+    assert all(a == b and (x == y).all() for (a, x), (b, y) in zip(ids, got, strict=True))
+
+
 def texts():
     rng = random.Random(1)
     some = ["".join(rng.choice("aB é'sstÉ12½,.\n…ſ日İΣς \x1c²") for _ in range(rng.randrange(0, 80))) for _ in range(300)]
