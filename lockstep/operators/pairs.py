@@ -28,10 +28,27 @@ def failing(o: DataFrame) -> DataFrame:
     return o.where("f = 1").select("entity", "item")
 
 
+#: An item with more failures than this and than 1 in HEAVY_SHARE of all is dealt out by pairs of blocks of its entities.
+HEAVY, HEAVY_SHARE = 2 * BLOCK, 1000
+
+
+def _meeting(cells: DataFrame, o: DataFrame) -> DataFrame:
+    """Rows of cells (entity, item, ...) that meet at an item, each pair once in either order: the second has `other` for
+    entity and, of the other columns, those with `_` behind their names.  The c^2 rows of a heavy item are many tasks'
+    work; there are fewer than HEAVY_SHARE such items."""
+    counts = item_margins(o)
+    heavy = counts.crossJoin(F.broadcast(counts.agg(F.sum("c").alias("all")))).where((F.col("c") > HEAVY) & (F.col("c") * HEAVY_SHARE > F.col("all")))
+    cells = cells.join(F.broadcast(heavy.select("item", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))), "item", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int")
+    names = [c for c in cells.columns if c not in ("entity", "item", "blocks")]
+    a = cells.withColumn("ba", own).withColumn("bb", F.explode(F.sequence(F.col("ba"), F.col("blocks") - 1))).drop("blocks")
+    b = cells.withColumn("bb", own).withColumn("ba", F.explode(F.sequence(F.lit(0), F.col("bb"))))
+    b = b.select("item", "ba", "bb", F.col("entity").alias("other"), *[F.col(c).alias(f"{c}_") for c in names])
+    return a.join(b, ["item", "ba", "bb"]).where("ba < bb OR entity < other")
+
+
 def sparse_counts(o: DataFrame) -> DataFrame:
-    a = failing(o)
-    b = a.select(F.col("entity").alias("other"), "item")
-    return a.join(b, "item").where("entity < other").groupBy(F.col("entity").alias("i"), F.col("other").alias("j")).agg(F.count(F.lit(1)).alias("g"))
+    return _meeting(failing(o), o).groupBy(F.least("entity", "other").alias("i"), F.greatest("entity", "other").alias("j")).agg(F.count(F.lit(1)).alias("g"))
 
 
 def packed_words(o: DataFrame) -> DataFrame:
@@ -179,9 +196,10 @@ def alike(o: DataFrame, threshold: float) -> DataFrame:
         r = entity_margins(o)
         low = r.where(F.col("r") <= width)  # only of those may two agree without a joint failure
         none = banded(low, low.select(F.col("entity").alias("other"), F.col("r").alias("s"))).where(f"r + s <= {width}").select("entity", "other", "r", "s")
-        one = failing(o).join(r, "entity")
-        two = one.select(F.col("entity").alias("other"), "item", F.col("r").alias("s"))
-        counted = one.join(two, "item").where(f"(r < s OR (r = s AND entity < other)) AND s - r <= {width}").groupBy("entity", "other", "r", "s").agg(F.count(F.lit(1)).alias("g"))
+        met = _meeting(failing(o).join(r, "entity"), o).where(F.abs(F.col("r") - F.col("r_")) <= width)
+        first = (F.col("r") < F.col("r_")) | ((F.col("r") == F.col("r_")) & (F.col("entity") < F.col("other")))
+        end = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+        counted = met.groupBy(end("entity", "other").alias("entity"), end("other", "entity").alias("other"), end("r", "r_").alias("r"), end("r_", "r").alias("s")).agg(F.count(F.lit(1)).alias("g"))
         rows = counted.unionByName(none.join(counted, ["entity", "other"], "left_anti").withColumn("g", F.lit(0).cast("long")))
     rows = rows.withColumn("agreement", agree).where(F.col("agreement") >= threshold)
     return rows.select(F.least("entity", "other").alias("i"), F.greatest("entity", "other").alias("j"), "agreement")

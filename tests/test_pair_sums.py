@@ -52,6 +52,19 @@ def test_pairs_of_both_plans_agree(spark):
     assert by(pairs.joint_counts(forms[0])) == by(pairs.sparse_counts(forms[0])) == by(pairs.packed_counts(forms[0], 3))
 
 
+def test_heavy_items_are_dealt_out(spark, monkeypatch):
+    """Blocks of three entities: an item that all fail, and the others, count the same."""
+    f = matrix(40, 30, 8)
+    f[:, 4] = 1
+    o, want = frame(spark, f), {(r.i, r.j): r.g for r in pairs.sparse_counts(frame(spark, f)).collect()}
+    monkeypatch.setattr(pairs, "HEAVY", 5)
+    monkeypatch.setattr(pairs, "BLOCK", 3)
+    monkeypatch.setattr(pairs, "HEAVY_SHARE", 50)
+    assert {(r.i, r.j): r.g for r in pairs.sparse_counts(o).collect()} == want
+    i, j, g, _, _ = dense(f)
+    assert want == {(a, b): c for a, b, c in zip(i.tolist(), j.tolist(), g.tolist(), strict=True) if c}
+
+
 def test_centrality_without_pairs(spark):
     f, forms = shapes(spark)
     i, j, g, ri, rj = dense(f)
