@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ WINDOW = 5
 COVER = 0.8
 SHORT = 16
 BROADCAST_BYTES = 32 << 20
-MEMO = 150_000  # words that a task remembers
+MEMO = 300_000  # words that a task remembers, and those of one text more
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 GLUED = re.compile(r"([+-]?\d[\d.,]*)([a-zµ°]{1,4})")
@@ -89,34 +90,64 @@ def classify(word: str) -> tuple[str, int]:
 
 
 class Templates:
-    """Turns texts into token hashes.  vocabulary: hashes of the only words that matter, or None for all."""
-
-    def __init__(self, vocabulary: frozenset[int] | None = None):
-        self.vocabulary, self.memo = vocabulary, {}
-
-    def _look(self, word: str) -> tuple[int, int]:
-        low, flags = classify(word)
-        h = token_hash(low) if low else 0
-        if self.vocabulary is not None and h not in self.vocabulary:
+    """Turns texts into token hashes.  vocabulary: the only words that matter, or None for all."""
+
+    def __init__(self, vocabulary: frozenset[str] | None = None):
+        self.vocabulary = vocabulary
+        self.rows: dict[str, int] = {}  # of the words that were seen; those outside of the vocabulary share rows by flags
+        self.shared: dict[int, int] = {}
+        self.used, self.hashes, self.flags = 0, np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint8)
+
+    def _row(self, h: int, flags: int) -> int:
+        row, self.used = self.used, self.used + 1
+        if row == len(self.flags):
+            self.hashes, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.flags))
+        self.hashes[row], self.flags[row] = h, flags
+        return row
+
+    def _look(self, word: str) -> int:
+        if word.islower() and word.isalpha():
+            low, flags = word, NUMERIC if word in NUMBER_WORDS else UNIT if word in UNITS else 0
+        else:
+            low, flags = classify(word)
+            flags |= 0 if low else EMPTY
+        if self.vocabulary is None or low in self.vocabulary:
+            row = self._row(token_hash(low) if low else 0, flags)
+        else:
             flags |= UNKNOWN
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = found = (h, flags | (0 if low else EMPTY))
-        return found
-
-    def tokens(self, text: str, item: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            row = self.shared.get(flags)
+            if row is None:
+                row = self.shared[flags] = self._row(0, flags)
+        self.rows[word] = row
+        return row
+
+    def _known(self, words: list[str]) -> np.ndarray:
+        """The rows of words; all others may be forgotten before.  Each different word is looked up once."""
+        if len(self.rows) > MEMO:
+            self.rows.clear()
+            self.shared.clear()
+            self.used = 0
+        found = pa.array(words, pa.string()).dictionary_encode()
+        different = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        rows = list(map(self.rows.get, different))
+        if None in rows:
+            rows = [self._look(w) if r is None else r for r, w in zip(rows, different, strict=True)]
+        return np.array(rows, dtype=np.int64)[found.indices.to_numpy()] if rows else np.empty(0, np.int64)
+
+    def read(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """The words of each text, and their rows, for `tokens`."""
+        split = [(WIDE.sub(r" \g<0> ", t) if not t.isascii() and WIDE.search(t) else t).split() for t in texts]
+        rows = self._known(list(chain.from_iterable(split)))
+        ends = list(accumulate(map(len, split), initial=0))
+        return [(words, rows[a:b]) for words, a, b in zip(split, ends, ends[1:], strict=False)]
+
+    def tokens(self, words: list[str], rows: np.ndarray, item: bool = False) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(words, template hashes, hashes with their values, whether each is a placeholder, whether each could be a name at
         the start of a sentence); hashes are 0 for what the vocabulary lacks.  Words without letters or digits are left
         out."""
-        if not text.isascii() and WIDE.search(text):
-            text = WIDE.sub(r" \g<0> ", text)
-        words = text.split()
         if not words:
             return [], np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool)
-        memo, look = self.memo, self._look
-        found = [memo.get(w) or look(w) for w in words]
-        h = np.fromiter((f[0] for f in found), np.uint64, len(found))
-        flags = np.fromiter((f[1] for f in found), np.uint8, len(found))
+        h, flags = self.hashes[rows], self.flags[rows]
         kept = flags & EMPTY == 0
         ends = np.concatenate(([True], (flags[:-1] & STOP) > 0))
         if not kept.all():
@@ -125,7 +156,6 @@ class Templates:
             since = np.cumsum(ends)
             ends = np.diff(np.concatenate(([0], since[at]))) > 0
             h, flags, words = h[at], flags[at], [words[i] for i in at]
-        h = np.where(flags & UNKNOWN, np.uint64(0), h)
         number = flags & NUMERIC > 0
         unit = (flags & UNIT > 0) & np.concatenate(([False], number[:-1]))[: len(number)]
         name = (flags & CAPITAL > 0) & ~ends & ~unit & ~number
@@ -145,10 +175,10 @@ class Templates:
             words, h, slot, number, unit, name, start = [words[i] for i in starts], h[starts], slot[starts], number[starts], unit[starts], name[starts], start[starts]
         return words, np.where(number, NUM_T, np.where(unit, UNIT_T, np.where(name, NAME_T, h))), h, slot, start
 
-    def windows(self, text: str, sizes: tuple[int, ...] = (WINDOW,), item: bool = False) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    def windows(self, words: list[str], rows: np.ndarray, sizes: tuple[int, ...] = (WINDOW,), item: bool = False) -> tuple[list[str], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
         """(words, placeholder flags in either reading, places, sizes, readings, window hashes, tokens): of windows of known
         tokens.  sizes: the lengths of windows; those below WINDOW are taken with their values."""
-        words, h, own, slot, start = self.tokens(text, item)
+        words, h, own, slot, start = self.tokens(words, rows, item)
         second = slot | start
         places, lengths, readings, values = [], [], [], []
 
@@ -186,18 +216,17 @@ def _values(words: list[str], slot: np.ndarray, at: int, size: int) -> list[str]
 COLUMNS = "place int, size int, second boolean, window long, slots array<string>, tokens int, chars int"
 
 
-def _window_rows(known: np.ndarray | None, vocabulary: frozenset[int] | None, sizes: tuple[int, ...] | None, keep: list[str]):
+def _window_rows(known: np.ndarray | None, vocabulary: frozenset[str] | None, sizes: tuple[int, ...] | None, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates(vocabulary)
         for batch in slices(batches):
             rows, places, lengths, seconds, hashes, slots, counts, chars = [], [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py() or ""
+            for i, text in enumerate(templates.read([t or "" for t in batch.column("text").to_pylist()])):
                 if sizes is None:  # an item: windows, or itself
-                    n = len(templates.tokens(text)[0])
-                    words, slot, at, length, reading, value, n = templates.windows(text, (min(n, WINDOW),) if n else (), True)
+                    n = len(templates.tokens(*text)[0])
+                    words, slot, at, length, reading, value, n = templates.windows(*text, (min(n, WINDOW),) if n else (), True)
                 else:
-                    words, slot, at, length, reading, value, n = templates.windows(text, sizes)
+                    words, slot, at, length, reading, value, n = templates.windows(*text, sizes)
                 if known is not None and len(value):
                     hit = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
                     at, length, reading, value = at[hit], length[hit], reading[hit], value[hit]
@@ -218,7 +247,7 @@ def _window_rows(known: np.ndarray | None, vocabulary: frozenset[int] | None, si
     return run
 
 
-def windows(rows: DataFrame, keep: list[str], known: np.ndarray | None = None, vocabulary: frozenset[int] | None = None, sizes: tuple[int, ...] | None = None) -> DataFrame:
+def windows(rows: DataFrame, keep: list[str], known: np.ndarray | None = None, vocabulary: frozenset[str] | None = None, sizes: tuple[int, ...] | None = None) -> DataFrame:
     """The windows of each text: of benchmark items where sizes is None, else of documents."""
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), COLUMNS])
@@ -228,10 +257,10 @@ def windows(rows: DataFrame, keep: list[str], known: np.ndarray | None = None, v
 def _vocabulary(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = {token_hash(low) for t in batch.column("text") for w in WIDE.sub(r" \g<0> ", t.as_py() or "").split() if (low := classify(w)[0])}
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(sorted(found), dtype=np.uint64).view(np.int64))], ["token"])
+            found = {low for t in batch.column("text") for w in WIDE.sub(r" \g<0> ", t.as_py() or "").split() if (low := classify(w)[0])}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["token"])
 
-    return benchmark.select("text").mapInArrow(run, "token long").distinct()
+    return benchmark.select("text").mapInArrow(run, "token string").distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, extra: tuple[str, ...] = (), limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -246,8 +275,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, extra: tuple[str, ...] = (), li
         known = np.unique(np.array([r[0] for r in items.select("window").distinct().collect()], dtype=np.int64).view(np.uint64))
         if not len(known):
             known = np.zeros(1, np.uint64)
-        words = np.array([r[0] for r in _vocabulary(benchmark).collect()], dtype=np.int64).view(np.uint64)
-        found = windows(rows, ["doc_id", "mark"], known, frozenset(words.tolist()), sizes)
+        words = frozenset(r[0] for r in _vocabulary(benchmark).collect())  # those of the windows, which take less than the limit
+        found = windows(rows, ["doc_id", "mark"], known, words, sizes)
         side = F.broadcast(items)
     else:
         found, side = windows(rows, ["doc_id", "mark"], sizes=sizes), items
