@@ -54,7 +54,10 @@ def test_rank_redundancy(spark):
 
 
 def test_chain_kinds(spark):
-    a, b = studies.chain_comparison(frame(spark, matrix(30, 50)), 12, 3).orderBy("kind").collect()
+    rows = studies.chain_comparison(frame(spark, matrix(30, 50)), 12, 3, participations=8).orderBy("kind").collect()
+    a, b = (r for r in rows if r.statistic == "dispersion")
+    c, d = (r for r in rows if r.statistic == "participation")
+    assert (c.kind, d.kind, c.n_null, d.n_null) == ("independent", "single", 8, 8) and c.observed == d.observed and c.sd_inflation == 1.0 and c.null_sd > 0
     assert (a.kind, b.kind) == ("independent", "single") and a.sd_inflation == 1 and a.n_null == b.n_null == 12 and a.observed == b.observed
 
 
