@@ -136,8 +136,7 @@ def draws(o: DataFrame, replicates: int, seed: int, measure, schema: str, trades
 
     def run(k: int) -> pd.DataFrame:
         f = load()
-        p, gap = local.fit(f) if fitted else (None, None)
-        expected = local.expected_gram(p) if fitted else None
+        expected, gap = local.margin_model(f) if fitted else (None, None)
         rng, rows = np.random.default_rng([seed, k + 1]), []
         for t in range(each if k >= 0 else 1):
             if k >= 0:
@@ -208,21 +207,21 @@ def noise_floor(o: DataFrame, replicates: int = 6, seed: int = 0, rungs: tuple[s
 
     def rms_refit(x: np.ndarray) -> float:
         x = local.trim(x)
-        return local.rms(local.residual(x, local.expected_gram(local.fit(x)[0]))) if min(x.shape, default=0) >= 10 else float("nan")
+        return local.rms(local.residual(x, local.margin_model(x)[0])) if min(x.shape, default=0) >= 10 else float("nan")
 
     def run(k: int) -> pd.DataFrame:
         name, rep = names[k // replicates], k % replicates
         f, rng = load(), np.random.default_rng([seed, k])
         if name == "fixed_margins":
-            value = local.rms(local.residual(local.trades(f, TRADES * n, rng), local.expected_gram(local.fit(f)[0])))
+            value = local.rms(local.residual(local.trades(f, TRADES * n, rng), local.margin_model(f)[0]))
         elif name == "rows_permuted":
             value = rms_refit(rng.permuted(f, axis=1))
         elif name == "columns_permuted":
             value = rms_refit(rng.permuted(f, axis=0))
         else:
-            p = {"bernoulli_constant": lambda: np.full(f.shape, f.mean()), "bernoulli_rasch": lambda: local.fit(f)[0], "two_parameter": lambda: local.fit_2pl(f)}.get(name)
+            p = {"bernoulli_constant": lambda: np.full((n, 1), f.mean()), "bernoulli_rasch": lambda: local.fit(f)[0], "two_parameter": lambda: local.fit_2pl(f)}.get(name)
             p = p() if p else local.fit_factors(f, int(name[-1]), seed=rep)
-            value = rms_refit((rng.random(f.shape) < p).astype(np.uint8))
+            value = rms_refit(local.below(lambda at: p[at], f.shape, rng))
         return pd.DataFrame([(name, rep, value)], columns=["rung", "rep", "rms"])
 
     runs = _replicates(o.sparkSession, list(range(len(names) * replicates)), run, "rung string, rep int, rms double")

@@ -142,13 +142,20 @@ def matrix(o: DataFrame) -> tuple[np.ndarray, list, list]:
     if ends.n * ends.m > MAX_CELLS:
         raise ValueError(f"{ends.n} x {ends.m} cells; one task takes {MAX_CELLS}")
     items = o.select("item").distinct().orderBy("item").toArrow().column(0)
+    known, m = items.combine_chunks(), len(items)
+
+    def pack(batches):
+        for batch in batches:
+            lists, f = batch.column("failed"), np.zeros((batch.num_rows, m), dtype=np.uint8)
+            place = pc.index_in(lists.flatten(), known).to_numpy(zero_copy_only=False)
+            f[np.repeat(np.arange(len(f)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), place] = 1
+            yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array([x.tobytes() for x in np.packbits(f, axis=1)], pa.binary())], ["entity", "bits"])
+
     failed = F.collect_list(F.when(F.col("f") == 1, F.col("item")))  # without nulls
-    rows = o.groupBy("entity").agg(failed.alias("failed")).orderBy("entity").toArrow()
-    f = np.zeros((len(rows), len(items)), dtype=np.uint8)
-    lists = rows.column("failed").combine_chunks()
-    place = pc.index_in(lists.flatten(), items.combine_chunks()).to_numpy(zero_copy_only=False)
-    f[np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), place] = 1
-    return f, rows.column("entity").to_pylist(), items.to_pylist()
+    lists = o.groupBy("entity").agg(failed.alias("failed"))
+    rows = lists.mapInArrow(pack, f"entity {dict(o.dtypes)['entity']}, bits binary").orderBy("entity").toArrow()  # a bit a cell
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), dtype=np.uint8).reshape(len(rows), -1)
+    return np.unpackbits(bits, axis=1, count=m), rows.column("entity").to_pylist(), items.to_pylist()
 
 
 def _whole_spectrum(o: DataFrame, raw: bool) -> DataFrame:
@@ -226,11 +233,7 @@ def _item_spectrum(o: DataFrame, raw: bool, n: int) -> DataFrame:
         rows = {k: np.frombuffer(v) for b in batches for k, v in zip(b.column("k").to_pylist(), b.column("v").to_pylist(), strict=True)}
         if rows:
             h = np.array([rows[k] for k in range(len(rows))])
-            values, vectors = np.linalg.eigh(h)
-            root = vectors * np.sqrt(np.maximum(values, 0))
-            sign = np.where(np.arange(len(h)) < m, 1.0, -1.0)
-            w = np.linalg.eigvalsh(root.T @ (sign[:, None] * root))
-            w = np.sort(np.concatenate([w[np.argsort(-np.abs(w))][:n], np.zeros(max(0, n - len(w)))]))[::-1]
+            w = local.signed_spectrum(h, np.where(np.arange(len(h)) < m, 1.0, -1.0), n)
             yield from pa.table({"place": pa.array(np.arange(n, dtype=np.int32)), "eigenvalue": pa.array(w)}).to_batches(max_chunksize=10_000)
 
     return stored(_item_gram(o, weights, more, items), "gram").coalesce(1).mapInArrow(solve, "place int, eigenvalue double")
@@ -279,7 +282,7 @@ def by_cohort(o: DataFrame, cohorts: DataFrame, least_entities: int = 60, least_
         n, m = f.shape
         if m < least_items:
             return pd.DataFrame(columns=["cohort", "n_entities", "n_items", "n_eff", "share"])
-        p = local.participation(local.residual(f, local.expected_gram(local.fit(f)[0])))[0]
+        p = local.participation(local.residual(f, local.margin_model(f)[0]))[0]
         return pd.DataFrame([(key[0], n, m, p, p / n)], columns=["cohort", "n_entities", "n_items", "n_eff", "share"])
 
     kind = dict(cohorts.dtypes)["cohort"]

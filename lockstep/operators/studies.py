@@ -38,14 +38,18 @@ def reconciliation(o: DataFrame, replicates: int = 30, seed: int = 0, long_trade
     return beside_null(rows, ["term"], "value").join(far.select("term", F.col("value").alias("long_run")), "term")
 
 
-def _profile(f: np.ndarray, r: np.ndarray, count: int) -> list[tuple[int, float, float]]:
+def _profile(f: np.ndarray, r: np.ndarray | local.Residual, count: int) -> list[tuple[int, float, float]]:
     """(window, accuracy, mean residual of its pairs) over ranks by failures, then by place."""
     order = np.argsort(f.sum(1, dtype=np.int64), kind="stable")
     out = []
     for k, start, width in windows.rank_windows(len(f), count):
         inside = order[start - 1 : start - 1 + width]
-        block = r[np.ix_(inside, inside)]
-        out.append((k, float(1 - f[inside].mean()), float((block.sum() - np.trace(block)) / (width * (width - 1)))))
+        if isinstance(r, local.Residual):
+            total = r.within(inside)
+        else:
+            block = r[np.ix_(inside, inside)]
+            total = float(block.sum() - np.trace(block))
+        out.append((k, float(1 - f[inside].mean()), total / (width * (width - 1))))
     return out
 
 
@@ -214,27 +218,24 @@ STRATEGIES = ("random", "top_accuracy", "gated_disagreement", "gated_residual",
 def strategy_members(o: DataFrame, size: int, gate: int, seed: int = 0) -> DataFrame:
     """strategy, place (from 0), entity, pair_residual: the members in the order in which they are chosen, and the mean
     residual of all pairs up to that place.  A panel of k is the first k places.  Gated strategies choose among the `gate`
-    most accurate entities; diversity starts at the most accurate one.  One task, on the dense matrix."""
-    load, (n, m), entities, _ = nulls._bits(o)
+    most accurate entities; diversity starts at the most accurate one.  One task, which holds the outcome matrix and, of pairs, a member's row."""
+    load, (n, _), entities, _ = nulls._bits(o)
 
     def run(k: int) -> pd.DataFrame:
         f, rows = load(), []
-        r = local.residual(f, local.expected_gram(local.fit(f)[0]))
-        np.fill_diagonal(r, 0.0)
-        fails = f.sum(1, dtype=np.float64)
-        differ = (fails[:, None] + fails - 2 * local.gram(f)) / m
-        order = np.argsort(fails, kind="stable")
+        r, differ = local.residual(f, local.margin_model(f, dense=False)[0]), local.Differences(f)
+        order = np.argsort(differ.fails, kind="stable")
         pool = order[: min(gate, n)]
-        among = lambda sim, sign: [int(pool[x]) for x in local.least_similar(sim[np.ix_(pool, pool)], 0, size, sign)]
+        among = lambda sim, sign: [int(pool[x]) for x in local.least_similar(sim, 0, size, sign)]
         chosen = {
             "random": np.random.default_rng([seed, 0]).permutation(n)[:size].tolist(), "top_accuracy": order[:size].tolist(),
-            "gated_disagreement": among(differ, -1), "gated_residual": among(r, 1),
+            "gated_disagreement": among(local.Differences(f[pool]), -1), "gated_residual": among(r.take(pool), 1),
             "all_disagreement": local.least_similar(differ, int(order[0]), size, -1), "all_residual": local.least_similar(r, int(order[0]), size, 1),
         }
         for name in STRATEGIES:
             for place, x in enumerate(chosen[name]):
                 inside = chosen[name][: place + 1]
-                rows.append((name, place, entities[x], float(r[np.ix_(inside, inside)].sum() / (place * (place + 1))) if place else None))
+                rows.append((name, place, entities[x], r.within(np.array(inside)) / (place * (place + 1)) if place else None))
         return pd.DataFrame(rows, columns=["strategy", "place", "entity", "pair_residual"])
 
     return nulls._replicates(o.sparkSession, [0], run, f"strategy string, place int, entity {dict(o.dtypes)['entity']}, pair_residual double")
