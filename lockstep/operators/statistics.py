@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,19 @@ def poisson_cuts(most: int = 8) -> list[float]:
 
 def _weights(seed: int, key: str, draws: int) -> np.ndarray:
     """The Poisson weights of a row in all draws, of mean 1, by a hash of seed, draw and row."""
-    head, tail = f"{seed}|".encode(), f"|{key}".encode()
-    hashed = b"".join([hashlib.md5(head + b"%d" % d + tail).digest()[:4] for d in range(draws)])
-    return np.searchsorted(np.array(poisson_cuts()), np.frombuffer(hashed, ">u4") / 4294967296.0, side="right")
+    tail, md5 = f"|{key}".encode(), hashlib.md5
+    hashed = b"".join([md5(head + tail).digest()[:4] for head in _heads(seed, draws)])
+    return np.searchsorted(CUTS, np.frombuffer(hashed, ">u4") / 4294967296.0, side="right")
 
 
+@lru_cache(maxsize=4)
+def _heads(seed: int, draws: int) -> list[bytes]:
+    return [b"%d|%d" % (seed, d) for d in range(draws)]
+
+
+CUTS = np.array(poisson_cuts())
+
+WEIGHTS = 1 << 23  # that a task hashes, about
 GROUPS = 64  # whose sums a task holds at once
 
 
@@ -42,6 +51,7 @@ def weighted_sums(df: DataFrame, key: str, columns: dict, draws: int, seed: int,
     by = by or []
     names = list(columns)
     rows = df.select(*by, F.col(key).cast("string").alias("_key"), *[c.cast("double").alias(f"_{n}") for n, c in columns.items()])
+    rows = rows.repartition(max(1, -(-df.count() * draws // WEIGHTS)))  # a small file is one partition, and much work
 
     def run(batches):
         sums: dict[tuple, np.ndarray] = {}

@@ -135,3 +135,14 @@ def test_vector_bootstrap_by_loops(spark):
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     weights = np.concatenate([statistics._weights(1, str(k), 500) for k in range(40)])
     assert abs(weights.mean() - 1) < 0.03 and abs(weights.var() - 1) < 0.05
+
+
+def test_bootstrap_of_a_small_file_is_many_tasks_work(spark, monkeypatch):
+    """Rows that lie in one partition are dealt out by what their draws cost, with the same result."""
+    df = spark.range(0, 40, 1, 1).select("id", (F.col("id") * 1.5).alias("x"))
+    parts = lambda: statistics.weighted_sums(df, "id", {"x": F.col("x")}, 50, 3)
+    whole = {r.draw: (r.w, r.x) for r in parts().collect()}
+    monkeypatch.setattr(statistics, "WEIGHTS", 500)
+    dealt = parts()
+    assert "RoundRobinPartitioning(4)" in dealt._jdf.queryExecution().toString()
+    assert {r.draw: (r.w, pytest.approx(r.x)) for r in dealt.collect()} == whole
