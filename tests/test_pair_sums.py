@@ -146,3 +146,43 @@ def test_bootstrap_of_a_small_file_is_many_tasks_work(spark, monkeypatch):
     dealt = parts()
     assert "RoundRobinPartitioning(4)" in dealt._jdf.queryExecution().toString()
     assert {r.draw: (r.w, pytest.approx(r.x)) for r in dealt.collect()} == whole
+
+
+def test_dispersion_by_either_side(spark):
+    """Many entities over few items and the reverse: the same sums, and pairs are those of the smaller side."""
+    for f in (matrix(90, 20), matrix(20, 90)):
+        _, _, g, _, _ = dense(f)
+        o = frame(spark, f)
+        assert pairs.squared_counts(o).head().squares == int((g * g).sum())
+        row = pairs.dispersion(o).head()
+        assert row.n_pairs == len(g) and row.variance_e6 == pytest.approx((g / f.shape[1]).var() * 1e6, abs=1e-4) and row["mean"] == pytest.approx((g / f.shape[1]).mean(), abs=1e-10)
+    one = pairs.dispersion(spark.createDataFrame([(1, 2, 1)], "entity long, item long, f int")).head()
+    assert (one.n_pairs, one.variance_e6) == (0, None)
+
+
+def test_pairs_that_meet_are_not_broadcast(spark):
+    """What is dealt out by blocks is larger than the aggregate it comes from, whose size Spark knows."""
+    o = frame(spark, matrix(40, 30)).localCheckpoint()
+    for plan in (pairs.vector_pairs(o, 1, 40), pairs.packed_counts(o), pairs.all_pairs(o, "sparse"), pairs.sparse_counts(o), pairs.alike(o, 0.7)):
+        plan.collect()
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [" in text and "BroadcastHashJoin [ba" not in text and "BroadcastHashJoin [word" not in text
+
+
+def test_packed_counts_over_several_slices(spark):
+    f = matrix(25, 60, 5)
+    g = f.astype(int) @ f.T.astype(int)
+    want = {(i, j): g[i, j] for i in range(len(f)) for j in range(i + 1, len(f)) if g[i, j]}
+    for step in (1, 700):  # one slice of items, eleven
+        o = frame(spark, f).withColumn("item", F.col("item") * step)
+        got = pairs.packed_counts(o)
+        assert {(r.i, r.j): r.g for r in got.collect()} == want
+
+
+def test_residual_pairs_without_python(spark, monkeypatch):
+    o = frame(spark, matrix(40, 30))
+    table = residual.residual_pairs(o)
+    assert "ArrowEvalPython" not in table._jdf.queryExecution().toString()
+    by_pair = {(r.i, r.j): r.residual for r in table.collect()}
+    monkeypatch.setattr(residual, "CLASSES", 0)
+    assert {(r.i, r.j): pytest.approx(r.residual, abs=1e-12) for r in residual.residual_pairs(o).collect()} == by_pair
