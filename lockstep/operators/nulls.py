@@ -33,11 +33,24 @@ def permute_columns(o: DataFrame, seed: int) -> DataFrame:
     return _permute(o, seed, "item", "entity")
 
 
+WIDE = 1 << 14  # cells of a key that are ranked as one group, about
+
+
 def _permute(o: DataFrame, seed: int, key: str, other: str) -> DataFrame:
+    """The cells of a key are ranked by hash.  Those of a key with many are ranked in buckets of the hash's first digits, which
+    have the same order, behind the sizes of the buckets before: no group grows with the table."""
     keys, others = o.groupBy(key).agg(F.sum("f").alias("s")), o.select(other).distinct()
-    cells = keys.crossJoin(others)  # the dense result has all cells
-    k = F.row_number().over(Window.partitionBy(key).orderBy(tiebreak(seed, "entity", "item"), other))
-    return cells.withColumn("k", k).select("entity", "item", (F.col("k") <= F.col("s")).cast("int").alias("f"))
+    digits = -(-max(0, (others.count() // WIDE).bit_length()) // 4)
+    bucket = F.substring(tiebreak(seed, "entity", "item"), 1, digits)
+    # the dense result has all cells, which are far more than the keys that they would be partitioned like
+    cells = keys.crossJoin(others).withColumn("bucket", bucket).repartition(key, "bucket")
+    place = F.row_number().over(Window.partitionBy(key, "bucket").orderBy(tiebreak(seed, "entity", "item"), other))
+    ranked = cells.withColumn("k", place)
+    if digits:
+        sizes = keys.select(key).crossJoin(others).groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        before = sizes.select(key, "bucket", (F.sum("n").over(Window.partitionBy(key).orderBy("bucket")) - F.col("n")).alias("before"))
+        ranked = ranked.join(before, [key, "bucket"]).withColumn("k", F.col("k") + F.col("before"))
+    return ranked.select("entity", "item", (F.col("k") <= F.col("s")).cast("int").alias("f"))
 
 
 def uniform(seed: int, *columns: str):

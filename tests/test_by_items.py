@@ -62,3 +62,20 @@ def test_draws_and_strategies_of_a_tall_table(spark):
     while len(own) < 6:
         own.append(min((x for x in range(len(f)) if x not in own), key=lambda x: (round(np.mean([r[x, y] for y in own]), 9), x)))
     assert [x.entity for x in members] == sorted(own, key=own.index)
+
+
+def test_permutations_rank_wide_keys_in_buckets(spark, monkeypatch):
+    """The same cells, whether a key is ranked whole or by buckets; all cells are dealt out, not the few keys."""
+    f = tall(200, 30)
+    o = frame(spark, f)
+    for permute, axis in ((nulls.permute_rows, 1), (nulls.permute_columns, 0)):
+        monkeypatch.setattr(nulls, "WIDE", 1 << 14)
+        plan = permute(o, 11)
+        assert "REPARTITION_BY_COL" in plan._jdf.queryExecution().executedPlan().toString()
+        whole = {(r.entity, r.item): r.f for r in plan.collect()}
+        monkeypatch.setattr(nulls, "WIDE", 4)
+        assert {(r.entity, r.item): r.f for r in permute(o, 11).collect()} == whole
+        x = np.zeros_like(f)
+        for (i, j), v in whole.items():
+            x[i, j] = v
+        assert (x.sum(axis) == f.sum(axis)).all() and (x != f).any()
