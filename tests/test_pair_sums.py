@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import frame, matrix
 
-from lockstep.operators import dedup, local, pairs, residual, statistics, windows
+from lockstep.operators import dedup, local, pairs, residual, responses, statistics, windows
 
 
 def dense(f):
@@ -186,3 +186,15 @@ def test_residual_pairs_without_python(spark, monkeypatch):
     by_pair = {(r.i, r.j): r.residual for r in table.collect()}
     monkeypatch.setattr(residual, "CLASSES", 0)
     assert {(r.i, r.j): pytest.approx(r.residual, abs=1e-12) for r in residual.residual_pairs(o).collect()} == by_pair
+
+
+def test_wrong_answers_by_bits(spark):
+    """The same as by items; no pair is summed up after the join."""
+    rng = np.random.default_rng(4)
+    rows = [(i, k, int(c), int(c == k % 4)) for i in range(30) for k in range(24) for c in [rng.integers(-1, 4)] if rng.random() < 0.9]
+    r = spark.createDataFrame(rows, "entity long, item long, choice int, acc int")
+    got = responses.pair_agreement(r, None, 5)
+    assert "Aggregate [i" not in got._jdf.queryExecution().optimizedPlan().toString()
+    by_bits = {(x.i, x.j): (x.n, x.observed, x.expected) for x in got.collect()}
+    by_items = responses.pair_agreement(r.withColumn("item", F.col("item") + 70), None, 5)
+    assert len(by_bits) > 100 and {(x.i, x.j): (x.n, x.observed, x.expected) for x in by_items.collect()} == by_bits
