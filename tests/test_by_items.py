@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_operators import frame
 
-from lockstep.operators import local, nulls, studies
+from lockstep.operators import dedup, local, nulls, studies
 
 
 def tall(n=260, m=40):
@@ -79,3 +79,23 @@ def test_permutations_rank_wide_keys_in_buckets(spark, monkeypatch):
         for (i, j), v in whole.items():
             x[i, j] = v
         assert (x.sum(axis) == f.sum(axis)).all() and (x != f).any()
+
+
+def test_redundancy_goes_by_steps_without_edges(spark, monkeypatch):
+    """The kept entities are those of the greedy rule, whatever a step decides at once, in one word and in several; no pairs
+    are made for it."""
+
+    def no_pairs(*_):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(dedup, "alike", no_pairs)
+    for m, threshold in ((40, 0.65), (150, 0.6), (40, 0.99)):
+        f = local.planted("groups", 120, m, 1.5, np.random.default_rng(5))
+        o, kept = frame(spark, f), []
+        for i in sorted(range(len(f)), key=lambda x: (f[x].sum(), x)):
+            if all((f[i] == f[k]).mean() < threshold for k in kept):
+                kept.append(i)
+        for step in (16, 1 << 13):
+            monkeypatch.setattr(dedup, "STEP", step)
+            assert sorted(r.entity for r in dedup.keep_accurate(o, threshold).collect()) == sorted(kept)
+    assert dedup.links(o, 0.65) is None
