@@ -593,6 +593,7 @@ query("harvest_matrix", f"WITH {HARVEST}, last AS (SELECT model, max(snapshot) A
     lambda s, d: results.newest(_harvested(s, d)[0])
 )
 RUNS_A_MONTH, DAYS_A_RUN = 5, 6
+FILES_A_RUN = 4  # two batches: their number does not follow the size of the table
 
 
 def _monitored(s: SparkSession, d: str) -> tuple[str, DataFrame]:
@@ -601,7 +602,7 @@ def _monitored(s: SparkSession, d: str) -> tuple[str, DataFrame]:
     state, out = new_path(s, "maintained"), None
     cells = read(s, d, "events").select(F.col("user_id").alias("entity"), F.hour("ts").cast("long").alias("item"), (F.col("event_type") == "error").cast("int").alias("f"), F.floor((F.dayofmonth("ts") - 1) / DAYS_A_RUN).alias("part"))
     for k in range(RUNS_A_MONTH):
-        cells.where(F.col("part") == k).drop("part").write.parquet(f"{state}/source/part={k}")
+        cells.where(F.col("part") == k).drop("part").repartition(FILES_A_RUN).write.parquet(f"{state}/source/part={k}")
         stream = s.readStream.schema("entity long, item long, f int").option("maxFilesPerTrigger", 2).parquet(f"{state}/source/*")
         maintained.take_up(stream, state)
         now = stored(maintained.record(s, state), "record")

@@ -2,11 +2,11 @@
 
 A run takes up what is new in a folder of result files (trigger availableNow) in one streaming query:
 - the first sight of each (entity, item, f) passes a keyed deduplication, in the JVM; that is all that is kept of cells;
-- of what passes, an entity's and an item's margin is state under its key, and each key that is touched puts out what its
-  margin gains: 1 if it is new, the failures, and the difference of the squares;
+- of what passes, the margins of entities and of items are state, by buckets of their keys, and each key that is touched puts
+  out what its margin gains: 1 if it is new, the failures, and the difference of the squares;
 - a batch's gains are one row of sums, in a folder named after the batch, so that a batch which is repeated writes the same.
-The joint-failure record follows from the sums of those rows.  So a run costs what its new cells cost; no cell and no margin
-is ever aggregated again.  For states beyond the executors' memory set spark.sql.streaming.stateStore.providerClass to
+The joint-failure record follows from the sums of those rows.  So a run costs what its new cells cost, and a copy
+of the margins in the buckets that it touches; no cell and no margin is ever aggregated again.  For states beyond the executors' memory set spark.sql.streaming.stateStore.providerClass to
 Spark's RocksDB provider.
 
 The time series has a folder for each (run, batch): the measured rows with their change against the run before and their
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,24 +26,36 @@ from ..operators.margins import record_of_totals
 from ..sources.storage import exists
 
 GAINS = "kind string, key long, fresh long, failures long, squares long, margin long"
-
-
-def _gains(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """What one margin gains by new cells; its state is the margin."""
-    known = state.exists
-    before = state.get[0] if known else 0
-    gained = sum(int(b["f"].sum()) for b in batches)
-    after = before + gained
-    state.update((after,))
-    yield pd.DataFrame([(key[0], key[1], 0 if known else 1, gained, after * after - before * before, after)], columns=["kind", "key", "fresh", "failures", "squares", "margin"])
+BUCKETS = 128  # of the keys of either kind, each a row of state: a batch calls Python by buckets, not by keys
+
+
+def _gains(at: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """What the margins of a bucket's keys gain by new cells; its state is the sorted keys and their margins."""
+    keys, margins = (np.frombuffer(x, dtype=np.int64) for x in (state.get if state.exists else (b"", b"")))
+    found, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+    for b in batches:
+        found, place = np.unique(np.concatenate([found, b["key"].to_numpy()]), return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, place, np.concatenate([sums, b["f"].to_numpy().astype(np.int64)]))
+        sums = total
+    place = np.searchsorted(keys, found)
+    known = np.zeros(len(found), dtype=bool) if not len(keys) else keys[np.minimum(place, len(keys) - 1)] == found
+    before = np.zeros(len(found), np.int64)
+    before[known] = margins[place[known]]
+    after = before + sums
+    margins = margins.copy()
+    margins[place[known]] = after[known]
+    new = place[~known]
+    state.update((np.insert(keys, new, found[~known]).tobytes(), np.insert(margins, new, after[~known]).tobytes()))
+    yield pd.DataFrame({"kind": at[0], "key": found, "fresh": (~known).astype(np.int64), "failures": sums, "squares": after * after - before * before, "margin": after})
 
 
 def take_up(cells: DataFrame, state: str) -> None:
     """One run over a stream of (entity, item, f), f in 0 and 1, entities and items integers; ends when all is read."""
     first = cells.select(F.col("entity").cast("long").alias("entity"), F.col("item").cast("long").alias("item"), F.col("f").cast("int").alias("f")).dropDuplicates(["entity", "item", "f"])
     ends = F.explode(F.array(F.struct(F.lit("entity").alias("kind"), F.col("entity").alias("key")), F.struct(F.lit("item").alias("kind"), F.col("item").alias("key"))))
-    margins = first.select(ends.alias("end"), "f").select("end.kind", "end.key", "f")
-    gains = margins.groupBy("kind", "key").applyInPandasWithState(_gains, GAINS, "margin long", "append", "NoTimeout")
+    margins = first.select(ends.alias("end"), "f").select("end.kind", "end.key", "f", F.pmod(F.xxhash64("end.key"), F.lit(BUCKETS)).alias("bucket"))
+    gains = margins.groupBy("kind", "bucket").applyInPandasWithState(_gains, GAINS, "keys binary, margins binary", "append", "NoTimeout")
 
     def put(batch: DataFrame, number: int) -> None:
         spark, rows = batch.sparkSession, f"{state}/margins/batch={number}"

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -132,3 +133,25 @@ def test_readers_offsets(tmp_path):
     assert [p.path for p in again.partitions(offsets[2], again.latestOffset())] == taken[2]
     rows = next(reader.read(reader.partitions(offsets[0], offsets[1])[0])).to_pylist()
     assert [(r["snapshot"], r["item"], r["correct"], r["reason"]) for r in rows] == [("a", 0, 1, None)]
+
+
+def test_margins_are_state_by_buckets():
+    """One call takes up many keys, known and new, over several frames; the state is their sorted margins."""
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rng, state, want = np.random.default_rng(7), State(), {}
+    for _ in range(3):
+        frames = [pd.DataFrame({"key": rng.integers(0, 60, 40), "f": rng.integers(0, 2, 40).astype("int32")}) for _ in range(2)]
+        (out,) = maintained._gains(("entity", 3), iter(frames), state)
+        cells, before = pd.concat(frames).groupby("key")["f"].sum(), dict(want)
+        for key, gain in cells.items():
+            want[key] = want.get(key, 0) + gain
+        got = out.set_index("key")
+        assert sorted(got.index) == sorted(cells.index) and all(got.margin[k] == want[k] and got.fresh[k] == (k not in before) and got.squares[k] == want[k] ** 2 - before.get(k, 0) ** 2 for k in got.index)
+        keys, margins_ = (np.frombuffer(x, dtype=np.int64) for x in state.get)
+        assert dict(zip(keys.tolist(), margins_.tolist())) == want and (np.diff(keys) > 0).all()
