@@ -23,8 +23,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with similar five-word shingles the one with the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+    """Of each group of texts whose fingerprints op8's index links, or with similar five-word shingles, the one with the smallest
+    doc_id stays."""
+    return simhash.keep_first(docs, simhash.EXACT, simhash.SIMILAR)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -397,17 +397,26 @@ def classes(docs: DataFrame, scheme: Scheme = EXACT, limit: int = RUN_LIMIT) ->
     return join_hot(prints, _rooted(prints, scheme, "doc_id", limit, docs), _key(scheme), "doc_id").select("doc_id", *words, F.col("component").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """docs with one document a component: the one with the smallest doc_id (null last), all columns.
+def keep_first(docs: DataFrame, *schemes: Scheme) -> DataFrame:
+    """docs with one document a component: the one with the smallest doc_id (null last), all columns.  Several schemes
+    (SIMILAR if none is given): components are those of the links of all of them.
 
     Rows are told apart by doc_id and text; rows that share both stay or go together (exact deduplication is another
     operator's work).
     """
-    mark = F.xxhash64("text")
-    prints = stored(fingerprints(docs.select("doc_id", mark.alias("mark"), "text"), scheme), "simhash-prints")
+    mark, own = F.xxhash64("text"), None
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
-    rooted = _rooted(prints.select("*", rank.alias("rank")), scheme, "rank", docs=docs)
-    going = join_hot(prints, rooted, _key(scheme), "doc_id").where(rank != F.col("component")).select("doc_id", "mark").distinct()
+    schemes = schemes or (SIMILAR,)
+    for scheme in schemes:
+        prints = stored(fingerprints(docs.select("doc_id", mark.alias("mark"), "text"), scheme), "simhash-prints")
+        rooted = _rooted(prints.select("*", rank.alias("rank")), scheme, "rank", docs=docs)
+        one = join_hot(prints, rooted, _key(scheme), "doc_id").select("doc_id", "mark", "component")
+        own = one if own is None else own.unionByName(one)
+    if len(schemes) > 1:
+        own = stored(own.select(rank.alias("rank"), "component", F.xxhash64("doc_id", "mark").alias("a"), F.xxhash64("component.doc_id", "component.mark").alias("b")), "simhash-own")
+        rows = own.select("rank", "a").distinct().join(components(own.where("a <> b").select("a", "b")).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        own = rows.join(rows.groupBy("root").agg(F.min("rank").alias("component")), "root").select("rank.doc_id", "rank.mark", "component")
+    going = own.where(rank != F.col("component")).select("doc_id", "mark").distinct()
     rows = packed(docs).select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("text_mark"))
     same = rows["id"].eqNullSafe(going["doc_id"]) & (rows["text_mark"] == going["mark"])
     return unpacked(rows.join(going, same, "left_anti").select("row"))

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -185,3 +186,21 @@ def test_links_are_exact(spark):
 def test_scheme_is_complete():
     for scheme in (EXACT, Scheme(3, 1, 3, ((0, 0, 32), (0, 32, 32)), 1)):
         assert sum(scheme.radius + 1 for _ in scheme.segments) > scheme.distance
+
+
+def test_links_of_several_schemes_are_one_graph(spark):
+    """The pipeline takes the links of op8's index and the similar texts together: 0 and 2 have one fingerprint, 1 and 2 are
+    similar, 0 and 1 neither."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    line, own, alone = words(9), words(60), words(60)
+    texts = [" ".join(alone + line * 200), " ".join(own), " ".join(own + line * 200), " ".join(words(80))]
+    prints = [brute_print(t) for t in texts]
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3
+    assert near(0, 2) and not near(0, 1) and not near(1, 2)
+    frame = spark.createDataFrame([Row(doc_id=i, text=t, node="s", k0=0) for i, t in enumerate(texts)], SCHEMA)
+    kept = lambda docs: sorted(r.doc_id for r in docs.collect())
+    assert kept(simhash.keep_first(frame, SIMILAR)) == [0, 1, 3]
+    assert kept(simhash.keep_first(frame, EXACT)) == [0, 1, 3]
+    assert kept(simhash.keep_first(frame, EXACT, SIMILAR)) == [0, 3]
+    assert kept(corpus_pipeline.near_copies(spark, frame, "")) == [0, 3]
