@@ -34,6 +34,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +45,10 @@ from .common import new_path, slices, stored, table
 MAGIC = b"LKSTID2\n"
 END_ID = 1
 TEXTS, TEXT_BYTES = 2000, 6 << 20  # that are tokenised at once: the more, the fewer times a word is looked up
-LEXICON = 250_000  # words that a worker remembers, at some 200 bytes
+LEXICON = 800_000  # words that a worker remembers, at some 50 bytes
 #: The tokenizer file's own split pattern, as it reads on PLAIN texts; what it leaves out is white space.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+SPLIT_ENDS = re.compile(SPLIT.pattern + "| ")  # of parts that each end with a space
 #: Latin letters, digits, punctuation; not the superscripts and fractions, which `re` takes for letters.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]*+")
 
@@ -58,23 +60,44 @@ def default_tokenizer() -> str:
 
 
 class Lexicon:
-    """Words and their ids, as rows of one array."""
+    """Words and their ids in arrays, found by a hash of the word and then compared.  Where two words have one hash, the later
+    one is not found, and is learned again."""
 
     def __init__(self, kind: np.dtype):
-        self.rows: dict[str, int] = {}
-        self.ids, self.starts = np.empty(1 << 16, kind), np.zeros(1 << 14, np.int64)  # row i: ids[starts[i]:starts[i + 1]]
-
-    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New words, their ids one after the other, and how many each has."""
-        n, m = len(self.rows), len(words)
-        used = int(self.starts[n])
-        if used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.empty(used + len(ids), self.ids.dtype)])
-        if n + m >= len(self.starts):
-            self.starts = np.concatenate([self.starts[: n + 1], np.empty(n + m + 1, np.int64)])
-        self.ids[used : used + len(ids)] = ids
-        self.starts[n + 1 : n + m + 1] = used + np.cumsum(sizes)
-        self.rows.update(zip(words, range(n, n + m), strict=True))
+        self.words = pa.array([], pa.string())
+        self.ids, self.starts = np.empty(0, kind), np.zeros(1, np.int64)  # row i: ids[starts[i]:starts[i + 1]]
+        self.used, self.turn = np.empty(0, np.int32), 0  # the turn in which a row was last asked for
+        self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)  # by rising hash
+
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def find(self, words: pa.StringArray) -> np.ndarray:
+        """The rows of words, -1 for those that are not known."""
+        out = np.full(len(words), -1, dtype=np.int64)
+        if len(self) and len(words):
+            hashes = hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+            order = np.argsort(hashes)
+            at = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self) - 1)
+            hit = self.hashes[at] == hashes[order]
+            place, rows = order[hit], self.rows[at[hit]]
+            same = pc.equal(self.words.take(pa.array(rows)), words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+            out[place[same]] = rows[same]
+            self.used[rows[same]] = self.turn
+        return out
+
+    def add(self, words: pa.StringArray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """New words, their ids one after the other, and how many each has; returns their rows."""
+        rows = np.arange(len(self), len(self) + len(words))
+        if len(words):
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids, self.words = np.concatenate([self.ids, ids.astype(self.ids.dtype)]), pa.concat_arrays([self.words, words])
+            self.used = np.concatenate([self.used, np.full(len(words), self.turn, np.int32)])
+            hashes = hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+            order = np.argsort(hashes)
+            at = np.searchsorted(self.hashes, hashes[order], side="right")
+            self.hashes, self.rows = np.insert(self.hashes, at, hashes[order]), np.insert(self.rows, at, rows[order])
+        return rows
 
     def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows one after the other, and how many each has."""
@@ -86,11 +109,14 @@ class Lexicon:
         at += np.arange(total, dtype=np.int32)
         return self.ids[at], sizes
 
-    def keep(self, words: list[str]) -> None:
-        """Forgets all others."""
-        ids, sizes = self.ids_of(np.array([self.rows[w] for w in words], dtype=np.int64))
-        self.__init__(self.ids.dtype)
-        self.add(words, ids, sizes)
+    def forget(self, most: int) -> None:
+        """Keeps `most` words, those that were asked for last."""
+        if len(self) > most:
+            kept = np.sort(np.argsort(-self.used, kind="stable")[:most])
+            used, turn, words, (ids, sizes) = self.used[kept], self.turn, self.words.take(pa.array(kept)), self.ids_of(kept)
+            self.__init__(self.ids.dtype)
+            self.add(words, ids, sizes)
+            self.used, self.turn = used, turn
 
 
 class Tokens:
@@ -118,40 +144,62 @@ class Tokens:
         plain = "".join(map(chr, range(0x21, 0x7F)))
         return "".join(w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)) == plain
 
-    def _learn(self, words: list[str]) -> None:
-        """The ids of words (each one match of SPLIT), many in one call where each word's last id, and no other, is one
-        that ends a word."""
-        for tokenizer, some in ((self.pieces, [w for w in words if w.isascii()]), (self.library, [w for w in words if not w.isascii()])):
-            for at in range(0, len(some), 128):
-                group = some[at : at + 128]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=self.kind)
-                ends = np.flatnonzero(self.ends[ids]) + 1
-                if len(ends) == len(group) and ends[-1] == len(ids):
-                    self.lexicon.add(group, ids, np.diff(ends, prepend=0))
-                else:
-                    found = [np.array(e.ids, dtype=self.kind) for e in self.library.encode_batch_fast(group, add_special_tokens=False)]
-                    self.lexicon.add(group, np.concatenate(found), np.array([len(x) for x in found]))
-
-    def _rows(self, parts: list[str]) -> np.ndarray:
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (each one match of SPLIT; those of ASCII come first), one after the other, and how many each has:
+        many words in one call where each one's last id, and no other, is one that ends a word."""
+        found, sizes, ascii_ = [], [], sum(map(str.isascii, words))
+        for at in chain(range(0, ascii_, 128), range(ascii_, len(words), 128)):
+            tokenizer, end = (self.pieces, ascii_) if at < ascii_ else (self.library, len(words))
+            group = words[at : min(at + 128, end)]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                found.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                each = [np.array(e.ids, dtype=self.kind) for e in self.library.encode_batch_fast(group, add_special_tokens=False)]
+                found += each
+                sizes.append(np.array([len(x) for x in each]))
+        return np.concatenate([np.empty(0, self.kind), *found]), np.concatenate([np.empty(0, np.int64), *sizes])
+
+    def _rows(self, parts: pa.StringArray) -> np.ndarray:
         """The lexicon's rows of distinct parts of texts; what is new is learned."""
-        known = self.lexicon.rows
-        new = [p for p in parts if p not in known]
-        if len(known) + len(new) > LEXICON:
-            self.lexicon.keep([p for p in parts if p in known])
-            known = self.lexicon.rows
-        several = [[p] if p.isalpha() else SPLIT.findall(p) for p in new]
-        self._learn(list(dict.fromkeys(w for words in several for w in words if w not in known)))
-        several = [(p, words) for p, words in zip(new, several, strict=True) if p not in known]
-        ids, sizes = self.lexicon.ids_of(np.array([known[w] for _, words in several for w in words], dtype=np.int64))
-        ends, words = np.cumsum([0, *sizes.tolist()]), np.cumsum([0, *(len(words) for _, words in several)])
-        self.lexicon.add([p for p, _ in several], ids, np.diff(ends[words]))
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        lexicon = self.lexicon
+        lexicon.turn += 1
+        if len(lexicon) > LEXICON:
+            lexicon.forget(LEXICON // 2)
+        rows = lexicon.find(parts)
+        new = np.flatnonzero(rows < 0)
+        fresh = parts.take(pa.array(new))
+        whole = np.fromiter(map(str.isalpha, fresh.to_pylist()), bool, len(new))
+        fresh, new = pa.concat_arrays([fresh.filter(pa.array(whole)), fresh.filter(pa.array(~whole))]), np.concatenate([new[whole], new[~whole]])
+        alone = int(whole.sum())  # they come first
+        # one list of strings for all: as many lists as parts would keep the garbage collector busy
+        found = pa.array(SPLIT_ENDS.findall("".join([p + " " for p in fresh[alone:].to_pylist()])), pa.string())
+        end = pc.equal(found, " ").to_numpy(zero_copy_only=False)
+        counts = np.concatenate([np.ones(alone, np.int64), np.diff(np.flatnonzero(end), prepend=-1) - 1])
+        words = pa.concat_arrays([fresh[:alone], found.filter(pa.array(~end))]).dictionary_encode()
+        known = lexicon.find(words.dictionary)
+        missing = np.flatnonzero(known < 0)
+        unknown = words.dictionary.take(pa.array(missing)).to_pylist()
+        order = np.argsort([not w.isascii() for w in unknown], kind="stable")  # as _learn wants them
+        missing, unknown = missing[order], [unknown[i] for i in order]
+        known[missing] = lexicon.add(pa.array(unknown, pa.string()), *self._learn(unknown))
+        word = known[words.indices.to_numpy()]
+        one = counts == 1
+        begin = np.cumsum(counts) - counts
+        rows[new[one]] = word[begin[one]]
+        if not one.all():
+            ids, sizes = lexicon.ids_of(word[np.repeat(~one, counts)])
+            ends, cuts = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(counts[~one])])
+            rows[new[~one]] = lexicon.add(fresh.filter(pa.array(~one)), ids, np.diff(ends[cuts]))
+        return rows
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of lower-cased texts of PLAIN characters."""
         split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         parts = split.flatten().dictionary_encode()
-        ids, sizes = self.lexicon.ids_of(self._rows(parts.dictionary.to_numpy(zero_copy_only=False).tolist())[parts.indices.to_numpy()])
+        ids, sizes = self.lexicon.ids_of(self._rows(parts.dictionary)[parts.indices.to_numpy()])
         ends = np.zeros(len(sizes) + 1, dtype=np.int64)
         np.cumsum(sizes, out=ends[1:])
         cuts = ends[split.offsets.to_numpy()].tolist()

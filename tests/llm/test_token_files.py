@@ -79,6 +79,27 @@ def test_ids_are_the_library_s():
         assert got.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_frequent_words_are_not_forgotten(monkeypatch):
+    monkeypatch.setattr(token_files, "LEXICON", 1000)
+    rng, tokens, learned = random.Random(3), token_files.Tokens(token_files.default_tokenizer()), []
+    words = list({"".join(rng.choices("abcdefgh", k=9)): None for _ in range(1050)})
+    a, b, c = words[:100], words[100:900], words[900:]
+    learn = tokens._learn
+    monkeypatch.setattr(tokens, "_learn", lambda some: learned.append(list(some)) or learn(some))
+    for some in (a, a + b, c, a):
+        text = " ".join(some)
+        assert tokens.encode([text])[0].tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+    assert [len(x) for x in learned] == [len(a), len(b), len(c), 0]
+
+
+def test_words_of_one_hash(monkeypatch):
+    monkeypatch.setattr(token_files, "hash_array", lambda words, categorize: np.array([len(w) % 3 for w in words], dtype=np.uint64))
+    tokens = token_files.Tokens(token_files.default_tokenizer())
+    for _ in (1, 2):
+        for text in ("one two three, four five. six, seven", "two one, seven 12 it's ten. über four"):
+            assert tokens.encode([text])[0].tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+
+
 def test_write_and_read(spark, monkeypatch):
     library = Tokenizer.from_file(token_files.default_tokenizer())
     rows = [Row(doc_id=(i * 37) % 401, text=t, start="s") for i, t in enumerate([None, *texts()])]
