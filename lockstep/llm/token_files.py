@@ -7,7 +7,7 @@ its group's alphabet alone.  The footer has the documents (doc_id, ids), and its
 Writing: rows are range-partitioned and sorted by doc_id; each task tokenises its texts and writes one file under a name
 of its own attempt in the shared folder.  The manifest, a table that Spark commits, names the files of the attempts that
 count; no file is renamed, and what lost attempts leave is read by nobody and goes with the folder.  Memory is bounded by
-a group (range_coder.LANES blocks), TEXTS texts or TEXT_BYTES of them, and 16 bytes a document of the task for the footer.
+one and a half groups (of range_coder.LANES blocks), TEXTS texts or TEXT_BYTES of them, and 16 bytes a document of the task for the footer.
 Reading: a task a file, a group at a time; damage of any kind is a ValueError.
 
 Tokenising is the library's.  Texts of plain Latin characters, where lower-casing and splitting are beyond doubt the
@@ -42,15 +42,26 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import new_path, slices, stored, table
 
-MAGIC = b"LKSTID2\n"
+MAGIC = b"LKSTID3\n"
 END_ID = 1
 TEXTS, TEXT_BYTES = 2000, 6 << 20  # that are tokenised at once: the more, the fewer times a word is looked up
-LEXICON = 800_000  # words that a worker remembers, at some 50 bytes
+LEXICON = 1_500_000  # words that a worker remembers, at some 45 bytes
 #: The tokenizer file's own split pattern, as it reads on PLAIN texts; what it leaves out is white space.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 SPLIT_ENDS = re.compile(SPLIT.pattern + "| ")  # of parts that each end with a space
 #: Latin letters, digits, punctuation; not the superscripts and fractions, which `re` takes for letters.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧‰-⁞€]*+")
+_IS_PLAIN = np.array([PLAIN.fullmatch(chr(c)) is not None for c in range(0x2100)])
+
+
+def plain(texts: list[str]) -> np.ndarray:
+    """Whether each text has PLAIN characters alone."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    bad = np.flatnonzero(~_IS_PLAIN.take(codes, mode="clip"))  # the last entry is none of them
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    out = np.ones(len(texts), dtype=bool)
+    out[np.searchsorted(ends, bad, side="right")] = False
+    return out
 
 
 def default_tokenizer() -> str:
@@ -65,7 +76,7 @@ class Lexicon:
 
     def __init__(self, kind: np.dtype):
         self.words = pa.array([], pa.string())
-        self.ids, self.starts = np.empty(0, kind), np.zeros(1, np.int64)  # row i: ids[starts[i]:starts[i + 1]]
+        self.ids, self.starts = np.empty(0, kind), np.zeros(1, np.int32)  # row i: ids[starts[i]:starts[i + 1]]
         self.used, self.turn = np.empty(0, np.int32), 0  # the turn in which a row was last asked for
         self.hashes, self.rows = np.empty(0, np.uint64), np.empty(0, np.int32)  # by rising hash
 
@@ -90,7 +101,7 @@ class Lexicon:
         """New words, their ids one after the other, and how many each has; returns their rows."""
         rows = np.arange(len(self), len(self) + len(words))
         if len(words):
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.starts = np.concatenate([self.starts, (self.starts[-1] + np.cumsum(sizes)).astype(np.int32)])
             self.ids, self.words = np.concatenate([self.ids, ids.astype(self.ids.dtype)]), pa.concat_arrays([self.words, words])
             self.used = np.concatenate([self.used, np.full(len(words), self.turn, np.int32)])
             hashes = hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
@@ -102,7 +113,7 @@ class Lexicon:
     def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of rows one after the other, and how many each has."""
         starts = self.starts[rows]
-        sizes = self.starts[rows + 1] - starts
+        sizes = (self.starts[rows + 1] - starts).astype(np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         at = np.repeat((starts - ends + sizes).astype(np.int32), sizes)
@@ -126,7 +137,7 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.pieces = Tokenizer(self.library.model)  # the merges alone, for words that are split and normalised already
-        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.added = [str(t).lower() for t in self.library.get_added_tokens_decoder().values()]
         words = self.library.get_vocab()
         self.size = max(words.values(), default=0) + 1
@@ -200,6 +211,7 @@ class Tokens:
         split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         parts = split.flatten().dictionary_encode()
         ids, sizes = self.lexicon.ids_of(self._rows(parts.dictionary)[parts.indices.to_numpy()])
+        ids = ids.astype(np.uint32)
         ends = np.zeros(len(sizes) + 1, dtype=np.int64)
         np.cumsum(sizes, out=ends[1:])
         cuts = ends[split.offsets.to_numpy()].tolist()
@@ -208,10 +220,13 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         lower = [t.lower() for t in texts]
-        plain = [i for i, t in enumerate(texts) if self.splits and PLAIN.fullmatch(t) and unicodedata.is_normalized("NFC", t) and not any(a in lower[i] for a in self.added)]
-        for i, ids in zip(plain, self._plain([lower[i] for i in plain]), strict=True):
-            out[i] = ids.astype(np.uint32)
-        seen = set(plain)
+        some = np.flatnonzero(plain(texts)).tolist() if self.splits else []
+        for a in self.added:
+            some = [i for i in some if a not in lower[i]]
+        some = [i for i in some if unicodedata.is_normalized("NFC", texts[i])]
+        for i, ids in zip(some, self._plain([lower[i] for i in some]), strict=True):
+            out[i] = ids
+        seen = set(some)
         rest = [i for i in range(len(texts)) if i not in seen]
         for i, e in zip(rest, self.library.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, dtype=np.uint32)
@@ -263,7 +278,7 @@ def group_bytes(ids: np.ndarray) -> bytes:
         return group_bytes(ids[: len(ids) // 2]) + group_bytes(ids[len(ids) // 2 :])
     blocks = [dense[a : a + length] for a in range(0, len(ids), length)]
     payloads = range_coder.encode(blocks, len(alphabet))
-    table = [(len(b), len(p), zlib.crc32(ids[a : a + length].astype("<u4").tobytes())) for a, b, p in zip(range(0, len(ids), length), blocks, payloads, strict=True)]
+    table = [(len(b), len(p), zlib.crc32(ids[a : a + length].astype("<u4", copy=False))) for a, b, p in zip(range(0, len(ids), length), blocks, payloads, strict=True)]
     head = alphabet.astype("<u4").tobytes() + np.array(table, dtype="<u4").tobytes()
     return struct.pack("<III", 1, len(alphabet), len(blocks)) + _packed(head) + b"".join(payloads)
 
@@ -279,7 +294,7 @@ def read_group(f) -> np.ndarray | None:
     found = range_coder.decode(payloads, [n for n, _, _ in rows], letters)
     for ids, (_, _, crc) in zip(found, rows, strict=True):
         ids[:] = alphabet[ids]
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
+        if zlib.crc32(ids.astype("<u4", copy=False)) != crc:
             raise ValueError("damaged block")
     return np.concatenate(found)
 
@@ -288,15 +303,21 @@ def write_file(f, docs: Iterator[tuple[int | None, np.ndarray]]) -> tuple[int, i
     """Writes the documents' ids; returns (documents, ids)."""
     f.write(MAGIC)
     limit = range_coder.LANES * range_coder.BLOCK // 2
+    most = limit + limit // 2
     names, sizes, flags, held, n = array("q"), array("q"), bytearray(), [], 0
 
     def flush(all_: bool) -> None:
         nonlocal held, n
         ids = np.concatenate(held) if held else np.empty(0, np.uint32)
         at = 0
-        while len(ids) - at >= limit or (all_ and at < len(ids)):
+        while len(ids) - at >= most:
             f.write(group_bytes(ids[at : at + limit]))
             at += limit
+        if all_ and at < len(ids):  # one group, or two alike: a small one has few lanes, which costs more time an id
+            size = -(-(len(ids) - at) // (1 + (len(ids) - at > limit)))
+            while at < len(ids):
+                f.write(group_bytes(ids[at : at + size]))
+                at += size
         held = [ids[at:]] if at < len(ids) else []
         n = sum(map(len, held))
 
@@ -306,7 +327,7 @@ def write_file(f, docs: Iterator[tuple[int | None, np.ndarray]]) -> tuple[int, i
         flags.append(name is None)
         held.append(ids)
         n += len(ids)
-        if n >= limit:
+        if n >= most:
             flush(False)
     flush(True)
     footer = _packed(np.array([names, sizes], dtype="<i8").tobytes() + bytes(flags))
@@ -386,7 +407,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
             (name, start), rows = files[i], []
             with system.open_input_file(f"{root}/{name}") as f:
                 for name, ids in read_file(f, f.size()):
-                    rows.append((name, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((name, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                     start += len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -67,6 +67,41 @@ def test_groups_beyond_an_alphabet(monkeypatch):
     assert all(a == b and (x == y).all() for (a, x), (b, y) in zip(ids, got, strict=True))
 
 
+def test_the_last_groups_are_alike(monkeypatch):
+    """A small last group would have few blocks to run in step."""
+    sizes, group = [], token_files.group_bytes
+    monkeypatch.setattr(range_coder, "LANES", 4)
+    monkeypatch.setattr(token_files, "group_bytes", lambda ids: sizes.append(len(ids)) or group(ids))
+    for n, want in ((20, [10_000] * 2), (16, [16_000]), (45, [16_384, 16_384, 12_232]), (24, [12_000] * 2)):
+        sizes.clear()
+        docs, f = [(i, np.arange(i, i + 1000, dtype=np.uint32)) for i in range(n)], io.BytesIO()
+        token_files.write_file(f, iter(docs))
+        got = list(token_files.read_file(io.BytesIO(f.getvalue()), len(f.getvalue())))
+        assert all(a == b and (x == y).all() for (a, x), (b, y) in zip(docs, got, strict=True))
+        assert sizes == want
+
+
+def test_steps_write_into_the_same_buffers():
+    """The steps write into buffers: one object for each, however many steps there are."""
+    model = range_coder._Model(3, 10, 4, False)
+    slots = model.slots(np.zeros(3, np.int64), np.zeros(3, np.int64), np.empty((2, 3), np.int64))
+    buffers = model.got, model.p, model.diff, model.starts, model.gaps, model.decision
+    for _ in range(3):
+        model.predict(slots)
+        model.compare(np.array([8, 16, 0], np.int32))
+        model.decision[:] = 2
+        model.at4[:] = model.by4 + 2
+        model.learn(np.array([8, 16, 0], np.int32))
+    assert all(a is b for a, b in zip(buffers, (model.got, model.p, model.diff, model.starts, model.gaps, model.decision), strict=True))
+    assert (model.tables.take(slots) >> 3 == [1, 2, 0]).all()
+
+
+def test_plain_texts_are_found():
+    some = [*texts(), "a\x00", "\ud800", "𝔘", "ɏ", "ɐ", "€", "\u2100", "tab\tnew\nline"]
+    assert token_files.plain(some).tolist() == [token_files.PLAIN.fullmatch(t) is not None for t in some]
+    assert token_files.plain([]).tolist() == []
+
+
 def texts():
     rng = random.Random(1)
     some = ["".join(rng.choice("aB é'sstÉ12½,.\n…ſ日İΣς \x1c²") for _ in range(rng.randrange(0, 80))) for _ in range(300)]
