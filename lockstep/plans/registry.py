@@ -371,10 +371,11 @@ query(
 @query("nested_models")
 def _nested(s: SparkSession, d: str) -> DataFrame:
     """R^2 and partial F of panel accuracy on member accuracy, then with double fault, by rank."""
-    o = margins.trim_degenerate(VIEWS["emb"](s, d))
+    o = stored(margins.trim_degenerate(VIEWS["emb"](s, d)), "trimmed")  # read several times
     members = _panels(o)
     means = members.join(margins.entity_rates(o), "entity").groupBy("panel").agg((1 - F.avg("p")).alias("accuracy"), F.max("p").alias("worst"))
-    df = stored(statistics.zscored(pairs.double_fault(o, members).join(means, "panel").select("accuracy", "worst", "double_fault", "disagreement"), ["worst", "double_fault", "disagreement"]), "panels")
+    panels = stored(pairs.double_fault(o, members).join(means, "panel").select("accuracy", "worst", "double_fault", "disagreement"), "panels")
+    df = stored(statistics.zscored(panels, ["worst", "double_fault", "disagreement"]), "zscored")
     m0, m1, m2 = (statistics.ols(df, "accuracy", x) for x in (["worst"], ["worst", "double_fault"], ["worst", "double_fault", "disagreement"]))
     rows = [("M0", m0["r2"], m0["rank"], None, None, None)] + [(n, b["r2"], b["rank"], *statistics.partial_f(a, b)) for n, a, b in (("M1", m0, m1), ("M2", m1, m2))]
     return s.createDataFrame(rows, "model string, r2 double, rank int, partial_f double, q int, p double")

@@ -215,3 +215,12 @@ def test_double_fault_without_pairs(spark):
         both = [(f[a], f[b]) for k, a in enumerate(own) for b in own[k + 1 :] if a != b]
         want[panel] = (len(both), pytest.approx(np.mean([(a & b).mean() for a, b in both]), abs=1e-8), pytest.approx(np.mean([(a != b).mean() for a, b in both]), abs=1e-8))
     assert got == want
+
+
+def test_nested_models_count_no_pairs(spark, monkeypatch):
+    """The regression over panels reads sums; the pairs of members are not counted one by one."""
+    from lockstep.plans import registry
+
+    monkeypatch.setattr(pairs, "counts_of", lambda *_: pytest.fail("pairs are counted"))
+    rows = {r.model: r for r in registry.QUERIES["nested_models"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == {"M0", "M1", "M2"} and rows["M0"].r2 <= rows["M1"].r2 <= rows["M2"].r2 + 1e-12
