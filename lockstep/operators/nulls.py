@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from . import local
+from .margins import trim_degenerate
 from .residual import matrix
 from .responses import tiebreak
 
@@ -135,12 +136,12 @@ def null_table(o: DataFrame, seed: int = 0, trades: int = TRADES) -> DataFrame:
     return rows.select("entity", F.explode("failed").alias("item"))
 
 
-def draws(o: DataFrame, replicates: int, seed: int, measure, schema: str, trades: int = TRADES, chains: int | None = None, thin: int = THIN, fitted: bool = True) -> DataFrame:
+def draws(o: DataFrame, replicates: int, seed: int, measure, schema: str, trades: int = TRADES, chains: int | None = None, thin: int = THIN, fitted: bool = True, apart: int = 0) -> DataFrame:
     """chain, t and the columns of `schema` of null draws; chain -1 is the observed matrix.  measure(f, expected, gap) gives
     the rows of one matrix.
 
-    chains None: every replicate starts from the observed matrix.  Else `chains` chains burn in and are thinned, which
-    gives cheaper, autocorrelated draws.  The margin model (fitted) is that of the observed matrix: all draws have its
+    chains None: every replicate starts from the observed matrix.  Else `chains` chains burn in (each by `apart` trades an
+    entity longer than the one before) and are thinned, which gives cheaper, autocorrelated draws.  The margin model (fitted) is that of the observed matrix: all draws have its
     margins."""
     load, (n, _), _, _ = _bits(o)
     count = replicates if chains is None else chains
@@ -153,7 +154,7 @@ def draws(o: DataFrame, replicates: int, seed: int, measure, schema: str, trades
         rng, rows = np.random.default_rng([seed, k + 1]), []
         for t in range(each if k >= 0 else 1):
             if k >= 0:
-                f = local.trades(f, (trades if t == 0 else thin) * n, rng)
+                f = local.trades(f, (trades + apart * k if t == 0 else thin) * n, rng)
             rows += [(k, t, *row) for row in measure(f, expected, gap)]
         return pd.DataFrame(rows, columns=names)
 
@@ -172,6 +173,16 @@ def null_statistics(o: DataFrame, replicates: int, seed: int = 0, trades: int =
     return draws(o, replicates, seed, measure, ", ".join(f"{x} double" for x in names), trades, chains, thin, residuals)
 
 
+CHAINS, CHAIN_DRAWS, APART = 4, 25, 25  # as published: chains, draws of each, trades by which burn-ins differ
+
+
+def chain_draws(o: DataFrame, seed: int = 0) -> DataFrame:
+    """chain, t, x: the rms residual of the draws of chains whose burn-ins differ, from the trimmed table; whether they have
+    mixed is for `statistics.gelman_rubin`."""
+    measure = lambda f, expected, gap: [(local.rms(local.residual(f, expected)),)]
+    return draws(stored(trim_degenerate(o), "trimmed"), CHAINS * CHAIN_DRAWS, seed, measure, "x double", chains=CHAINS, apart=APART).where("chain >= 0")
+
+
 def calibrated(stats: DataFrame, statistic: str, *more) -> DataFrame:
     """One row: observed, null mean and deviation, standardised effect (null if the deviation is 0), ratio, one-sided p.
     One pass over the draws, of which there are hundreds.  more: further aggregates to keep."""

@@ -99,3 +99,16 @@ def test_redundancy_goes_by_steps_without_edges(spark, monkeypatch):
             monkeypatch.setattr(dedup, "STEP", step)
             assert sorted(r.entity for r in dedup.keep_accurate(o, threshold).collect()) == sorted(kept)
     assert dedup.links(o, 0.65) is None
+
+
+def test_chains_are_as_long_as_published(spark):
+    """Four chains of 25 draws of the rms residual, whose burn-ins differ; degenerate rows are left out."""
+    f = tall(60, 20)
+    f[5], f[6] = 0, 1
+    got = nulls.chain_draws(frame(spark, f), 4).toPandas()
+    assert (got.groupby("chain").size() == 25).all() and sorted(got["chain"].unique()) == [0, 1, 2, 3] and (got["x"] > 0).all()
+    x = local.trim(f)
+    expected, rng = local.margin_model(x)[0], np.random.default_rng([4, 3])
+    for t in range(2):
+        x = local.trades(x, (125 - 25 if t == 0 else 5) * len(x), rng)
+        assert got[(got["chain"] == 2) & (got["t"] == t)]["x"].item() == pytest.approx(local.rms(local.residual(x, expected)))
