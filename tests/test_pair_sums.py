@@ -224,3 +224,13 @@ def test_nested_models_count_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(pairs, "counts_of", lambda *_: pytest.fail("pairs are counted"))
     rows = {r.model: r for r in registry.QUERIES["nested_models"](spark, "/root/testdata/sf0.001").collect()}
     assert set(rows) == {"M0", "M1", "M2"} and rows["M0"].r2 <= rows["M1"].r2 <= rows["M2"].r2 + 1e-12
+
+
+def test_residual_pairs_are_looked_up(spark, monkeypatch):
+    """One look-up a pair, rounded in the table; the same rows as worked out pair by pair."""
+    o = frame(spark, matrix(40, 30))
+    table = residual.residual_pairs(o, digits=4)
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)") == 1
+    rows = sorted(map(tuple, table.collect()))
+    monkeypatch.setattr(residual, "PAIR_CLASSES", 0)
+    assert rows == sorted(map(tuple, residual.residual_pairs(o, digits=4).collect())) and len(rows) == 780
