@@ -234,3 +234,12 @@ def test_residual_pairs_are_looked_up(spark, monkeypatch):
     rows = sorted(map(tuple, table.collect()))
     monkeypatch.setattr(residual, "PAIR_CLASSES", 0)
     assert rows == sorted(map(tuple, residual.residual_pairs(o, digits=4).collect())) and len(rows) == 780
+
+
+def test_copies_of_a_row_are_bounded(spark):
+    """However many entities there are, a row goes to so many tasks; entities without a name meet none."""
+    assert pairs.block_count(10**7) == pairs.block_count(10**9) == pairs.BLOCKS <= 32 and pairs.block_count(3000) == 6
+    o = frame(spark, matrix(30, 20))
+    none = o.where("entity = 3").withColumn("entity", F.lit(None).cast("long"))
+    for count in (pairs.joint_counts, pairs.packed_counts, pairs.all_pairs):
+        assert all(r.i is not None and r.i < r.j for r in count(o.unionByName(none)).collect())
