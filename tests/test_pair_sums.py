@@ -236,6 +236,15 @@ def test_residual_pairs_are_looked_up(spark, monkeypatch):
     assert rows == sorted(map(tuple, residual.residual_pairs(o, digits=4).collect())) and len(rows) == 780
 
 
+def test_agreement_is_rounded_once_a_value(spark):
+    f, forms = shapes(spark)
+    i, j, g, ri, rj = dense(f)
+    want = {(a, b): round(x, 5) for a, b, x in zip(i.tolist(), j.tolist(), ((f.shape[1] - ri - rj + 2 * g) / f.shape[1]).tolist(), strict=True)}
+    got = pairs.agreement(forms[0], digits=5)
+    assert "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.i, r.j): r.agreement for r in got.collect()} == want
+
+
 def test_copies_of_a_row_are_bounded(spark):
     """However many entities there are, a row goes to so many tasks; entities without a name meet none."""
     assert pairs.block_count(10**7) == pairs.block_count(10**9) == pairs.BLOCKS <= 32 and pairs.block_count(3000) == 6
